@@ -111,7 +111,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: i
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece, placed in the given order. Ties go to the smallest gap, then to a new sequence."""
+    """Sequence and offset of each piece, placed in the given order.
+
+    Of the open sequences with room, one is taken whose gap makes the sum of squares smallest; ties go to the smallest gap. A sequence is opened
+    only where none has room: with all pieces at hand, longest first, that packs tighter than opening one for the sum's sake.
+    """
     open_at: list[list[int]] = [[] for _ in range(length + 1)]  # sequences by gap
     count = np.zeros(length + 1, np.int64)
     sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -120,9 +124,8 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         after = 2 * count[: length - s + 1] + 1
         after[0] = 0  # a full sequence has no gap
         change = np.where(count[s : length + 1] > 0, after - 2 * count[s : length + 1] + 1, 1 << 60)
-        new = 0 if s == length else int(after[length - s])
         best = int(change.argmin())
-        if change[best] <= new:
+        if change[best] < 1 << 60:
             gap = best + s
             b = open_at[gap].pop()
             count[gap] -= 1

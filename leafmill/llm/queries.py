@@ -1,8 +1,12 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .decontaminate import op7_decontaminate
+from .packing import op5_packing
 from .quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op5_packing": op5_packing,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
 
