@@ -4,12 +4,14 @@ from .decontaminate import op7_decontaminate
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

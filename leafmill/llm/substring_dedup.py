@@ -10,7 +10,6 @@ The marks, as runs of windows per document, are joined back to the texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +18,6 @@ from . import superkmers as S
 from . import textkernel as K
 
 WINDOW, PIECE = 20, 4
-#: Bytes of text per bucket, and bytes of packed strings a task gathers before it gives them out.
-BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
-#: A minimiser is hot from this share of its task's distinct super-k-mers and of a bucket's; so many at most.
-HOT_SHARE, HOT_MOST = 0.001, 4096
-
-_LEAST = -(2**63)
-MARKS = "doc long, text_hash long, first array<int>, n array<int>"
 
 
 def _normal(block: K.Block, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,190 +30,58 @@ def _normal(block: K.Block, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.
     return out, begins[:-1], begins[:-1] + size
 
 
-def _cut(batches, hot: np.ndarray | None = None):
-    """Per block: doc, text hash, first window, windows, minimiser, strings' places, and the strings' source."""
-    for batch in batches:
-        doc = K.column(batch, "doc").to_numpy(zero_copy_only=False)
-        th = K.column(batch, "text_hash").to_numpy(zero_copy_only=False)
-        for block in K.blocks(K.column(batch, "text")):
-            words = K.tokens(block)
-            sums = K.running(K.word_hashes(block, words))
-            run = S.runs(sums, words.row, WINDOW, PIECE)
-            first, count, key = run.first, run.count, run.minimiser
-            if hot is not None and len(hot) and len(key):
-                at = np.searchsorted(hot, key)
-                at[at == len(hot)] = 0
-                single = hot[at] == key
-                if single.any():  # a record for each window, dealt by the window itself
-                    alone = np.repeat(first[single], count[single]) + np.arange(count[single].sum()) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
-                    first = np.concatenate([first[~single], alone])
-                    count = np.concatenate([count[~single], np.ones(len(alone), np.int64)])
-                    key = np.concatenate([key[~single], K.span_hash(sums, alone, alone + WINDOW)])
-            if len(first):
-                row = words.row[first] + block.first
-                yield doc[row], th[row], first - words.first[words.row[first]], count, key, K.span_hash(sums, first, first + count + WINDOW - 1), block, words, first
-
-
-def _hot(batches):
-    """Minimisers that head a large share of the task's distinct super-k-mers."""
-    parts = [np.unique(np.stack([key, content]), axis=1) for _, _, _, _, key, content, *_ in _cut(batches)]
-    if not parts:
-        return
-    value, count = np.unique(np.unique(np.concatenate(parts, axis=1), axis=1)[0], return_counts=True)
-    big = count >= max(50, HOT_SHARE * count.sum())
-    yield pa.RecordBatch.from_arrays([pa.array(K.as_long(value[big])), pa.array(count[big], pa.int64())], ["key", "n"])
-
-
-def _deal(hot: np.ndarray, buckets: int):
-    """Blobs of distinct super-k-mers by bucket; places of the others go along as marks."""
-
-    def flush(parts):
-        doc, th, at, count, key, content, size = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        text = np.concatenate([p[7] for p in parts])
-        where = np.cumsum(size) - size
-        order, new = S.earliest(content, doc, th, at)
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        # a repeated row has the same doc, text hash and place: it is the same occurrence
-        same = (doc[order] == doc[order[lead]]) & (th[order] == th[order[lead]]) & (at[order] == at[order[lead]])
-        first, later = order[new], order[~new & ~same]
-        bucket = (K.mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-        first = first[np.lexsort((content[first], key[first], bucket[first]))]
-        later = later[np.argsort(bucket[later], kind="stable")]
-        for b in np.unique(bucket):
-            f = first[slice(*np.searchsorted(bucket[first], [b, b + 1]))]
-            t = later[slice(*np.searchsorted(bucket[later], [b, b + 1]))]
-            blob = S.packed(doc[f], th[f], at[f].astype(np.int32), count[f].astype(np.int32), content[f], size[f].astype(np.int32), S.gather(text, where[f], size[f]), doc[t], th[t], at[t].astype(np.int32), count[t].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+def _units(block: K.Block):
+    words = K.tokens(block)
+    text, begin, end = _normal(block, words)
+    return K.running(K.word_hashes(block, words)), words.row, words.first, lambda first, n: (text, begin[first], end[first + n - 1] - begin[first])
 
-    def run(batches):
-        parts, held = [], 0
-        for doc, th, at, count, key, content, block, words, first in _cut(batches, hot):
-            text, begin, end = _normal(block, words)
-            start, size = begin[first], end[first + count + WINDOW - 2] - begin[first]
-            text = S.gather(text, start, size)
-            parts.append((doc, th, at, count, key, content, size, text))
-            held += len(text)
-            if held > FLUSH_BYTES:
-                yield from flush(parts)
-                parts, held = [], 0
-        if parts:
-            yield from flush(parts)
-
-    return run
-
-
-def _second(block: K.Block, words: K.Words) -> np.ndarray:
-    """Another hash of the words, to tell different windows of equal hash apart."""
-    return K.mix(K.word_hashes(block._replace(data=block.data ^ np.uint8(0x55)), words))
-
-
-def _find(table: pa.Table) -> pa.Table:
-    """A bucket's marks: for each document the runs of windows that start earlier too."""
-    blobs = [S.unpacked(b.as_py()) for b in table["blob"]]
-    doc, th, at, count, content, size, text = (np.concatenate([b[i] for b in blobs]) for i in range(7))
-    marks = [tuple(np.concatenate([b[i] for b in blobs]) for i in range(7, 11))]
-    order, new = S.earliest(content, doc, th, at)
-    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = (doc[order] == doc[lead]) & (th[order] == th[lead]) & (at[order] == at[lead])
-    later = order[~new & ~same]
-    marks.append((doc[later], th[later], at[later], count[later]))
-    own = np.sort(order[new])
-    where = np.cumsum(size) - size
-    found = []  # of each window: hash, second hash, record, window within the record
-    groups = np.cumsum(size[own]) // (1 << 20)
-    for part in np.split(own, np.flatnonzero(np.diff(groups)) + 1):
-        ends = np.cumsum(size[part]).astype(np.int64)
-        block = K.Block(0, len(part), S.gather(text, where[part], size[part]), np.concatenate([[0], ends]))
+
+def _repeats(strings: K.Block):
+    """Windows as two hashes of their words (128 bits), those of a kind only left out."""
+    found = []
+    for part in range(0, strings.n, 4096):
+        at = strings.offsets[part : part + 4097]
+        block = K.Block(0, len(at) - 1, strings.data[at[0] : at[-1]], at - at[0])
         words = K.tokens(block)
         start, window = K.window_hashes(K.word_hashes(block, words), words, WINDOW)
-        second = K.span_hash(K.running(_second(block, words)), start, start + WINDOW)
-        found.append((window, second, part[words.row[start]], start - words.first[words.row[start]]))
-    window, second, record, within = (np.concatenate([f[i] for f in found]) for i in range(4))
-    # windows of one content only can't repeat; most are of that kind
+        other = K.mix(K.word_hashes(block._replace(data=block.data ^ np.uint8(0x55)), words))
+        found.append((window, K.span_hash(K.running(other), start, start + WINDOW), words.row[start] + part, start - words.first[words.row[start]]))
+    window, other, row, within = (np.concatenate([f[i] for f in found]) for i in range(4))
     _, back, times = np.unique(window, return_inverse=True, return_counts=True)
     pick = np.flatnonzero(times[back] > 1)
-    window, second, record, within = window[pick], second[pick], record[pick], within[pick]
-    place = at[record] + within
-    order = np.lexsort((place, th[record], doc[record], second, window))
-    new = np.ones(len(order), bool)
-    new[1:] = (window[order][1:] != window[order][:-1]) | (second[order][1:] != second[order][:-1])
-    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    same = (doc[record[order]] == doc[record[lead]]) & (th[record[order]] == th[record[lead]]) & (place[order] == place[lead])
-    hit = order[~new & ~same]
-    marks.append((doc[record[hit]], th[record[hit]], place[hit].astype(np.int32), np.ones(len(hit), np.int32)))
-    doc, th, at, count = (np.concatenate([m[i] for m in marks]) for i in range(4))
-    return _joined_runs(doc, th, at, count)
-
-
-def _joined_runs(doc, th, at, count) -> pa.Table:
-    """A row per document, with its runs of windows; neighbours are joined."""
-    order = np.lexsort((at, th, doc))
-    doc, th, at, count = doc[order], th[order], at[order].astype(np.int64), count[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (at[1:] != at[:-1] + count[:-1])
-    head = np.flatnonzero(new)
-    total = np.add.reduceat(count, head) if len(head) else count
-    frame = pd.DataFrame({"doc": doc[head], "text_hash": th[head], "first": at[head].astype(np.int32), "n": total.astype(np.int32)})
-    out = frame.groupby(["doc", "text_hash"], sort=False).agg(list).reset_index()
-    i32 = pa.list_(pa.int32())
-    return pa.table([pa.array(out["doc"], pa.int64()), pa.array(out["text_hash"], pa.int64()), pa.array(list(out["first"]), i32), pa.array(list(out["n"]), i32)], ["doc", "text_hash", "first", "n"])
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc and text_hash, which tell documents apart even where ids are null or repeated, and the text."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-
-
-def repeated_windows(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Rows of MARKS: for documents with windows that start earlier too, their runs of such windows (first window, windows)."""
-    docs = keyed(docs)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    hot = docs.mapInArrow(_hot, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") * (WINDOW // 2 * 5) >= bucket_bytes // 8).orderBy(F.desc("n"), "key").limit(HOT_MOST)
-    hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
-    return docs.mapInArrow(_deal(hot, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_find, MARKS)
-
-
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    return [window[pick], other[pick]], row[pick], within[pick]
+
+
+WORDS = S.Source(WINDOW, PIECE, _units, _repeats)
+
+
+def remove_repeats(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of each row of ``docs`` (doc_id, an integer, and text).
 
     A null text has no words. Rows with a null doc_id come first in the order; rows that share a doc_id come in order of a hash of their
-    texts, and fully repeated rows are one occurrence: neither removes the other. An empty table gives no rows.
+    texts, and fully repeated rows are one occurrence: neither removes the other. Other columns are ignored. An empty table gives no rows.
     """
-    marks = repeated_windows(docs, bucket_bytes).groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("n")).alias("n"))
+    docs = S.keyed(docs)
+    marks = S.repeated_windows(docs, WORDS, bucket_bytes)
 
     def run(batches):
         for batch in batches:
-            doc, first, n = (K.column(batch, c) for c in ("doc", "first", "n"))
             removed, total, kept = [], [], []
             for block in K.blocks(K.column(batch, "text")):
                 words = K.tokens(block)
-                f, c = (x.slice(block.first, block.n) for x in (first, n))
-                size = np.nan_to_num(f.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) if f.null_count else f.value_lengths().to_numpy()
-                start = f.flatten().to_numpy() + np.repeat(words.first[:-1], size)
-                length = c.flatten().to_numpy().astype(np.int64)
-                edge = np.zeros(len(words.start) + 1, np.int32)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + length + WINDOW - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                first, n = (K.column(batch, c).slice(block.first, block.n) for c in ("first", "n"))
+                gone = S.covered_units(first, n, words.first, WINDOW, len(words.start))
                 text, begin, end = _normal(block, words)
-                sums = np.concatenate([[0], np.cumsum(gone)])[words.first]
-                removed += np.diff(sums).tolist()
+                removed += np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]).tolist()
                 total += np.diff(words.first).tolist()
                 left = ~gone
                 size = end[left] - begin[left] + 1
                 raw = S.gather(text, begin[left], size).tobytes()
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(left)])[words.first]].tolist()
-                kept += [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([pc_null(doc), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return keyed(docs).join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
-
+                kept += [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([S.doc_ids(K.column(batch, "doc")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-def pc_null(doc: pa.Array) -> pa.Array:
-    values = doc.to_numpy(zero_copy_only=False)
-    return pa.array(values, pa.int64(), mask=values == _LEAST)
+    return docs.join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

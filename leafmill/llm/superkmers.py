@@ -7,13 +7,26 @@ travels as one string of r + k - 1 units. What a task has for a bucket travels a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textkernel as K
 
+#: Bytes of text per bucket, and bytes of packed strings a task gathers before it gives them out.
+BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
+#: A minimiser is hot from this share of its task's distinct super-k-mers and of a bucket's; so many at most.
+HOT_SHARE, HOT_MOST = 0.001, 4096
+
+_LEAST = -(2**63)
+MARKS = "doc long, text_hash long, first array<int>, n array<int>"
+
 _TYPES = [np.dtype(x) for x in ("int64", "uint64", "int32", "uint8")]
 
 
@@ -33,14 +46,14 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each ``width`` neighbours."""
+def sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest (np.minimum) or largest (np.maximum) of each ``width`` neighbours."""
     out, w = values, 1
     while 2 * w <= width:
-        out = np.minimum(out[:-w], out[w:])
+        out = best(out[:-w], out[w:])
         w *= 2
     rest = width - w
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    return best(out[: len(out) - rest], out[rest:]) if rest else out
 
 
 class Runs(NamedTuple):
@@ -49,24 +62,31 @@ class Runs(NamedTuple):
     first: np.ndarray
     count: np.ndarray
     minimiser: np.ndarray
+    twice: np.ndarray  #: whether the minimiser may stand in it more than once, so that a window may come again within it
 
 
 def runs(sums: np.ndarray, row: np.ndarray, k: int, m: int) -> Runs:
     """``sums``: running hash over the units; ``row``: the row of each unit."""
     n = len(row)
-    if n < k:
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, none.astype(np.uint64))
-    at = np.arange(n - m + 1)
-    least = sliding_min(K.span_hash(sums, at, at + m), k - m + 1)
-    start = np.flatnonzero(row[: n - k + 1] == row[k - 1 :])
+    start = np.flatnonzero(row[: n - k + 1] == row[k - 1 :]) if n >= k else np.zeros(0, np.int64)
     if not len(start):
-        return Runs(start, start, start.astype(np.uint64))
-    least = least[start]
+        return Runs(start, start, start.astype(np.uint64), start.astype(bool))
+    at = np.arange(n - m + 1)
+    own, width = K.span_hash(sums, at, at + m), k - m + 1
+    every = sliding(np.minimum, own, width)
+    least = every[start]
     new = np.ones(len(start), bool)
     new[1:] = (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    return Runs(start[first], np.diff(np.concatenate([first, [len(start)]])), least[first])
+    begin, count = start[first], np.diff(np.concatenate([first, [len(start)]]))
+    # pieces that are the least of some window, and pairs of equal ones in one window
+    edge = np.zeros(width - 1, np.uint64)
+    led = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, every, edge]), width) == own)
+    pair = np.flatnonzero((own[led[1:]] == own[led[:-1]]) & (led[1:] - led[:-1] < width))
+    touched = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(touched, np.maximum(np.searchsorted(begin, led[pair + 1] - width + 1, "right") - 1, 0), 1)
+    np.add.at(touched, np.searchsorted(begin, led[pair], "right"), -1)
+    return Runs(begin, count, least[first], (np.cumsum(touched[:-1]) > 0) | (count > width))
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -76,10 +96,187 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (ends - size), size) + np.arange(total)]
 
 
-def earliest(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ordered by ``keys`` (the first the most significant), and where the first key changes."""
-    order = np.lexsort(keys[::-1])
-    main = keys[0][order]
+class Source(NamedTuple):
+    """What the windows of one kind of unit need."""
+
+    k: int  #: units of a window
+    m: int  #: units of a minimiser
+    units: Callable  #: block -> running hash of its units, row of each, first unit of each row, and spans(first, units) -> (bytes, start, size)
+    repeats: Callable  #: block of strings -> the content of each window as comparable numbers (a list of arrays), its row, its place in it
+
+
+class Cut(NamedTuple):
+    doc: np.ndarray
+    text_hash: np.ndarray
+    first: np.ndarray  #: first window, counted in its document
+    count: np.ndarray  #: windows
+    key: np.ndarray  #: minimiser
+    twice: np.ndarray  #: whether a window may come again within it
+    content: np.ndarray  #: hash of the whole string
+    size: np.ndarray  #: its bytes
+    text: np.ndarray  #: the strings, end to end
+
+
+def cut(source: Source, batches, hot: np.ndarray | None = None, texts: bool = True):
+    """The super-k-mers of a task, block by block."""
+    for batch in batches:
+        doc = K.column(batch, "doc").to_numpy(zero_copy_only=False)
+        th = K.column(batch, "text_hash").to_numpy(zero_copy_only=False)
+        for block in K.blocks(K.column(batch, "text")):
+            sums, rows, heads, spans = source.units(block)
+            first, count, key, twice = runs(sums, rows, source.k, source.m)
+            if hot is not None and len(hot) and len(key):
+                at = np.searchsorted(hot, key)
+                at[at == len(hot)] = 0
+                single = hot[at] == key
+                if single.any():  # a record for each window, dealt by the window itself
+                    n = count[single]
+                    alone = np.repeat(first[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    first = np.concatenate([first[~single], alone])
+                    count = np.concatenate([count[~single], np.ones(len(alone), np.int64)])
+                    twice = np.concatenate([twice[~single], np.zeros(len(alone), bool)])
+                    key = np.concatenate([key[~single], K.span_hash(sums, alone, alone + source.k)])
+            if len(first):
+                row = rows[first]
+                length = count + source.k - 1
+                text, size = np.zeros(0, np.uint8), np.zeros(len(first), np.int64)
+                if texts:
+                    data, start, size = spans(first, length)
+                    text = gather(data, start, size)
+                yield Cut(doc[row + block.first], th[row + block.first], first - heads[row], count, key, twice.astype(np.uint8), K.span_hash(sums, first, first + length), size, text)
+
+
+def _hot(source: Source):
+    """Minimisers that head a large share of a task's distinct super-k-mers."""
+
+    def run(batches):
+        parts = [np.unique(np.stack([c.key, c.content]), axis=1) for c in cut(source, batches, texts=False)]
+        if not parts:
+            return
+        value, count = np.unique(np.unique(np.concatenate(parts, axis=1), axis=1)[0], return_counts=True)
+        big = count >= max(50, HOT_SHARE * count.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(K.as_long(value[big])), pa.array(count[big], pa.int64())], ["key", "n"])
+
+    return run
+
+
+def _flush(parts: list[Cut], buckets: int):
+    doc, th, at, count, key, twice, content, size, text = (np.concatenate([p[i] for p in parts]) for i in range(9))
+    where = np.cumsum(size) - size
+    first, later = _once(content, doc, th, at)
+    bucket = (K.mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+    first = first[np.lexsort((content[first], key[first], bucket[first]))]
+    later = later[np.argsort(bucket[later], kind="stable")]
+    i32 = lambda x: x.astype(np.int32)
+    for b in np.unique(bucket):
+        f = first[slice(*np.searchsorted(bucket[first], [b, b + 1]))]
+        t = later[slice(*np.searchsorted(bucket[later], [b, b + 1]))]
+        blob = packed(doc[f], th[f], i32(at[f]), i32(count[f]), key[f], twice[f], content[f], i32(size[f]), gather(text, where[f], size[f]), doc[t], th[t], i32(at[t]), i32(count[t]))
+        yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+
+def _once(content: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of each content, and those later; a repeated row has the same doc, text hash and place and is the same occurrence, so neither."""
+    order = np.lexsort((at, th, doc, *more, content))
     new = np.ones(len(order), bool)
-    new[1:] = main[1:] != main[:-1]
-    return order, new
+    new[1:] = content[order[1:]] != content[order[:-1]]
+    for x in more:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    same = (doc[order] == doc[lead]) & (th[order] == th[lead]) & (at[order] == at[lead])
+    return order[new], order[~same]
+
+
+def _deal(source: Source, hot: np.ndarray, buckets: int):
+    """Blobs of distinct super-k-mers by bucket; places of the others go along as marks."""
+
+    def run(batches):
+        parts, held = [], 0
+        for part in cut(source, batches, hot):
+            parts.append(part)
+            held += len(part.text)
+            if held > FLUSH_BYTES:
+                yield from _flush(parts, buckets)
+                parts, held = [], 0
+        if parts:
+            yield from _flush(parts, buckets)
+
+    return run
+
+
+def _find(source: Source):
+    """A bucket's marks: for each document the runs of windows that start earlier too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [unpacked(b.as_py()) for b in table["blob"]]
+        doc, th, at, count, key, twice, content, size, text = (np.concatenate([b[i] for b in blobs]) for i in range(9))
+        marks = [tuple(np.concatenate([b[i] for b in blobs]) for i in range(9, 13))]
+        del blobs
+        size = size.astype(np.int64)
+        first, later = _once(content, doc, th, at)
+        marks.append((doc[later], th[later], at[later], count[later]))
+        # windows in a super-k-mer whose minimiser stands in no other one, nor twice in it, can't repeat
+        _, back, times = np.unique(key[first], return_inverse=True, return_counts=True)
+        own = np.sort(first[(times[back] > 1) | (twice[first] > 0)])
+        if len(own):
+            where = np.cumsum(size) - size
+            block = Block(0, len(own), gather(text, where[own], size[own]), np.concatenate([[0], np.cumsum(size[own])]))
+            contents, row, within = source.repeats(block)
+            place, of = at[own[row]] + within, own[row]
+            _, hit = _once(contents[0], doc[of], th[of], place, *contents[1:])
+            marks.append((doc[of[hit]], th[of[hit]], place[hit].astype(np.int32), np.ones(len(hit), np.int32)))
+        return _joined(*(np.concatenate([m[i] for m in marks]) for i in range(4)))
+
+    return run
+
+
+def _joined(doc, th, at, count) -> pa.Table:
+    """A row per document, with its runs of windows; neighbours are joined."""
+    order = np.lexsort((at, th, doc))
+    doc, th, at, count = doc[order], th[order], at[order].astype(np.int64), count[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (at[1:] != at[:-1] + count[:-1])
+    head = np.flatnonzero(new)
+    total = np.add.reduceat(count, head) if len(head) else count
+    doc, th, at = doc[head], th[head], at[head].astype(np.int32)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+    head = np.flatnonzero(new)
+    ends = pa.array(np.append(head, len(doc)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, total)]
+    return pa.table([pa.array(doc[head]), pa.array(th[head]), *lists], ["doc", "text_hash", "first", "n"])
+
+
+Block = K.Block
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc and text_hash, which tell documents apart even where ids are null or repeated, and the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def doc_ids(doc: pa.Array) -> pa.Array:
+    values = doc.to_numpy(zero_copy_only=False)
+    return pa.array(values, pa.int64(), mask=values == _LEAST)
+
+
+def repeated_windows(docs: DataFrame, source: Source, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``docs`` as ``keyed`` gives it -> rows of MARKS: for documents with windows that start earlier too, all runs of such windows (first window, windows)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes))
+    most = max(1000, bucket_bytes // 100)
+    hot = docs.mapInArrow(_hot(source), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).orderBy(F.desc("n"), "key").limit(HOT_MOST)
+    hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
+    found = docs.mapInArrow(_deal(source, hot, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_find(source), MARKS)
+    return found.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("n")).alias("n"))
+
+
+def covered_units(first: pa.ListArray, n: pa.ListArray, heads: np.ndarray, k: int, units: int) -> np.ndarray:
+    """Which units the marked windows of a block's rows cover; ``heads``: first unit of each row."""
+    size = first.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = first.flatten().to_numpy() + np.repeat(heads[: len(size)], size)
+    edge = np.zeros(units + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n.flatten().to_numpy() + k - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
