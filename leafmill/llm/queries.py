@@ -1,17 +1,23 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .decontaminate import op7_decontaminate
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
+from .secrets import op6_secrets
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
