@@ -1,6 +1,7 @@
 """Registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .decontaminate import op7_decontaminate
+from .hmm import op9_lm_score
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
