@@ -4,12 +4,14 @@ from .decontaminate import op7_decontaminate
 from .hmm import op9_lm_score
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
+from .quality_fm import op2_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
