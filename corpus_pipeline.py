@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.decontaminate import decontaminate
+from leafmill.llm.jaccard_join import jaccard_components
+from leafmill.llm.line_dedup import remove_boilerplate
+from leafmill.llm.packing import pack, token_pieces, tokenizer_path
 from leafmill.llm.quality_rules import quality_rules
+from leafmill.llm.shared import checkpoint_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,15 +20,40 @@ def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", rules)]
+def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many sites share but for the first place of each."""
+    found = remove_boilerplate(docs.select(*COLUMNS))
+    changed = F.col("n_removed") > 0
+    return found.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
-#: The later stages aren't expressible in SQL.
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; documents without words stay."""
+    first = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(first.select(F.col("doc_id").alias("first")), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+
+
+def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter("n_hit = 0").select(*COLUMNS)
+
+
+def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of 2048 tokens."""
+    checkpoint_dir(spark)
+    return pack(token_pieces(docs, tokenizer_path()))
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("decontaminate", benchmark), ("packing", packing)]
+
+#: Reference histograms and token ids aren't expressible in SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each is written as Parquet in the shared checkpoint folder and read again."""
+    """The stages over ``documents``; each result but the last is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

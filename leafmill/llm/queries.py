@@ -2,6 +2,7 @@
 
 from .decontaminate import op7_decontaminate
 from .hmm import op9_lm_score
+from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
 from .quality_fm import op2_quality_classifier
@@ -11,6 +12,7 @@ from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
