@@ -67,7 +67,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -> DataF
     def run(batches):
         for batch in batches:
             removed, total, kept = [], [], []
-            for block in K.blocks(K.column(batch, "text")):
+            for block in K.blocks(S.texts(batch)):
                 words = K.tokens(block)
                 first, n = (K.column(batch, c).slice(block.first, block.n) for c in ("first", "n"))
                 gone = S.covered_units(first, n, words.first, WINDOW, len(words.start))
@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -> DataF
                 kept += [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([S.doc_ids(K.column(batch, "doc")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return docs.join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return S.with_marks(docs, marks).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

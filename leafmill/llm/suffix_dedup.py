@@ -3,7 +3,7 @@
 Positions are ranked by ever longer prefixes: pairs (rank of the first b bytes, rank of the b bytes after them) are
 sorted and ranked anew, b doubles, and a position leaves once its rank is unique, or stays to the threshold.
 Over all positions every round would move more than 16 bytes per byte of text, so Spark deals positions to partitions by
-the smallest hash of the 32-byte pieces in their 100 bytes: equal strings meet, neighbours travel together as one packed
+the smallest hash of the 16-byte pieces in their 100 bytes: equal strings meet, neighbours travel together as one packed
 string, positions whose piece stands nowhere else are unique at the first round, and runs of positions whose whole
 packed strings are equal are ranked as one. The doubling rounds run within the partitions on what is left, on bytes and without hashes.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import superkmers as S
 from . import textkernel as K
 
-THRESHOLD, PIECE = 100, 32
+THRESHOLD, PIECE = 100, 16
 
 
 def _units(block: K.Block):
@@ -77,7 +77,7 @@ def remove_repeated_bytes(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -
     def run(batches):
         for batch in batches:
             removed, total, spans, kept = [], [], [], []
-            for block in K.blocks(K.column(batch, "text")):
+            for block in K.blocks(S.texts(batch)):
                 first, n = (K.column(batch, c).slice(block.first, block.n) for c in ("first", "n"))
                 gone = S.covered_units(first, n, block.offsets, THRESHOLD, len(block.data))
                 at = block.offsets.tolist()
@@ -89,7 +89,7 @@ def remove_repeated_bytes(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -
                     kept.append(block.data[a:b][~gone[a:b]].tobytes())
             yield pa.RecordBatch.from_arrays([S.doc_ids(K.column(batch, "doc")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return docs.join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return S.with_marks(docs, marks).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

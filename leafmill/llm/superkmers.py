@@ -25,14 +25,17 @@ BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
 HOT_SHARE, HOT_MOST = 0.001, 4096
 
 _LEAST = -(2**63)
-MARKS = "doc long, text_hash long, first array<int>, n array<int>"
+MARKS = "doc long, text_hash int, first array<int>, n array<int>"
 
-_TYPES = [np.dtype(x) for x in ("int64", "uint64", "int32", "uint8")]
+_TYPES = [np.dtype(x) for x in ("int64", "uint64", "int32", "uint32", "uint8")]
+ZSTD_LEVEL = 3
 
 
 def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; numbers go byte by byte of their places, so the high bytes, mostly alike, take little."""
     head = np.array([[_TYPES.index(a.dtype), len(a)] for a in arrays], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(a.tobytes() for a in arrays)]))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *planes]))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -41,8 +44,9 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
     at, out = 8 + 16 * n, []
     for kind, size in head.tolist():
-        out.append(np.frombuffer(raw, _TYPES[kind], size, at))
-        at += size * _TYPES[kind].itemsize
+        width = _TYPES[kind].itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).view(_TYPES[kind]).reshape(size))
+        at += size * width
     return out
 
 
@@ -166,12 +170,14 @@ def _flush(parts: list[Cut], buckets: int):
     first, later = _once(content, doc, th, at)
     bucket = (K.mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
     first = first[np.lexsort((content[first], key[first], bucket[first]))]
+    th = (th.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    key = (key >> np.uint64(32)).astype(np.uint32)
     later = later[np.argsort(bucket[later], kind="stable")]
     i32 = lambda x: x.astype(np.int32)
     for b in np.unique(bucket):
         f = first[slice(*np.searchsorted(bucket[first], [b, b + 1]))]
         t = later[slice(*np.searchsorted(bucket[later], [b, b + 1]))]
-        blob = packed(doc[f], th[f], i32(at[f]), i32(count[f]), key[f], twice[f], content[f], i32(size[f]), gather(text, where[f], size[f]), doc[t], th[t], i32(at[t]), i32(count[t]))
+        blob = packed(doc[f], th[f], i32(at[f]), i32(count[f]), key[f], twice[f], i32(size[f]), gather(text, where[f], size[f]), doc[t], th[t], i32(at[t]), i32(count[t]))
         yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
@@ -209,10 +215,11 @@ def _find(source: Source):
 
     def run(table: pa.Table) -> pa.Table:
         blobs = [unpacked(b.as_py()) for b in table["blob"]]
-        doc, th, at, count, key, twice, content, size, text = (np.concatenate([b[i] for b in blobs]) for i in range(9))
-        marks = [tuple(np.concatenate([b[i] for b in blobs]) for i in range(9, 13))]
+        doc, th, at, count, key, twice, size, text = (np.concatenate([b[i] for b in blobs]) for i in range(8))
+        marks = [tuple(np.concatenate([b[i] for b in blobs]) for i in range(8, 12))]
         del blobs
         size = size.astype(np.int64)
+        content = _contents(text, size)
         first, later = _once(content, doc, th, at)
         marks.append((doc[later], th[later], at[later], count[later]))
         # windows in a super-k-mer whose minimiser stands in no other one, nor twice in it, can't repeat
@@ -230,6 +237,17 @@ def _find(source: Source):
     return run
 
 
+def _contents(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each string of a bucket."""
+    ends = np.cumsum(size)
+    out = [np.zeros(0, np.uint64)]
+    for part in np.array_split(np.arange(len(size)), max(1, len(text) // K.BLOCK_BYTES)):
+        if len(part):
+            a, b = ends[part[0]] - size[part[0]], ends[part[-1]]
+            out.append(K.span_hash(K.running_bytes(text[a:b]), ends[part] - size[part] - a, ends[part] - a))
+    return np.concatenate(out)
+
+
 def _joined(doc, th, at, count) -> pa.Table:
     """A row per document, with its runs of windows; neighbours are joined."""
     order = np.lexsort((at, th, doc))
@@ -244,7 +262,7 @@ def _joined(doc, th, at, count) -> pa.Table:
     head = np.flatnonzero(new)
     ends = pa.array(np.append(head, len(doc)), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, total)]
-    return pa.table([pa.array(doc[head]), pa.array(th[head]), *lists], ["doc", "text_hash", "first", "n"])
+    return pa.table([pa.array(doc[head]), pa.array(th[head].view(np.int32)), *lists], ["doc", "text_hash", "first", "n"])
 
 
 Block = K.Block
@@ -256,6 +274,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def half(text_hash) -> F.Column:
+    """The upper half of a text hash, which is what travels with the strings: it only has to tell texts of one id apart."""
+    return F.shiftright(text_hash, 32).cast("int").alias("text_hash")
+
+
 def doc_ids(doc: pa.Array) -> pa.Array:
     values = doc.to_numpy(zero_copy_only=False)
     return pa.array(values, pa.int64(), mask=values == _LEAST)
@@ -272,6 +295,24 @@ def repeated_windows(docs: DataFrame, source: Source, bucket_bytes: int = BUCKET
     return found.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("n")).alias("n"))
 
 
+def _zip(batches):
+    squeeze = zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress
+    for batch in batches:
+        text = [squeeze(x.as_buffer()) for x in K.column(batch, "text")]
+        yield pa.RecordBatch.from_arrays([K.column(batch, "doc"), K.column(batch, "text_hash"), pa.array(text, pa.binary())], ["doc", "text_hash", "text"])
+
+
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc, text (compressed, as it travels; see ``texts``), first and n; no marks are null lists."""
+    travelling = docs.select("doc", half("text_hash"), "text").mapInArrow(_zip, "doc long, text_hash int, text binary")
+    return travelling.join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n")
+
+
+def texts(batch: pa.RecordBatch) -> pa.Array:
+    whole = zstandard.ZstdDecompressor().decompress
+    return pa.array([whole(x.as_buffer()) for x in K.column(batch, "text")], pa.large_binary())
+
+
 def covered_units(first: pa.ListArray, n: pa.ListArray, heads: np.ndarray, k: int, units: int) -> np.ndarray:
     """Which units the marked windows of a block's rows cover; ``heads``: first unit of each row."""
     size = first.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -43,7 +43,9 @@ class Words(NamedTuple):
 
 def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """The rows of a string column as blocks of about ``limit`` bytes."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_binary())
     if not len(column):
         return
     _, at, data = column.buffers()
