@@ -19,7 +19,7 @@ from .shared import written
 
 STATES, ROUNDS, SEED = 8, 3, 11
 CLASS_WORDS, SHAPES = 1000, 64
-HEAVY = 1_000_000
+HEAVY = 300_000
 #: Baum-Welch reads its training texts in pieces of so many tokens, each a sequence; scoring doesn't cut.
 TRAIN_PIECE = 128
 CLASSES = CLASS_WORDS + SHAPES + 1
@@ -73,9 +73,9 @@ class Vocabulary:
         self.n = (totals.n or 0) + documents
         self.v = totals.v + (documents > 0)
         self.end = documents
-        shapes = counts.groupBy((F.col("key").bitwiseAND(SHAPES - 1)).alias("s")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).toPandas()
-        top = counts.orderBy(F.desc("n"), "key").limit(heavy).toPandas().sort_values(["n", "key"], ascending=[False, True])
-        key, n = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+        shapes = counts.groupBy((F.col("key").bitwiseAND(SHAPES - 1)).alias("s")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).toArrow()
+        top = counts.orderBy(F.desc("n"), "key").limit(heavy).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+        key, n = top["key"].to_numpy(), top["n"].to_numpy()
         order = np.argsort(key)
         rank = np.arange(len(key))
         shape = (key & (SHAPES - 1)).astype(np.int64)
@@ -83,7 +83,7 @@ class Vocabulary:
         cls = np.where(own, rank, CLASS_WORDS + shape)
         self.key, self.count, self.cls = key[order], n[order].astype(np.int64), cls[order].astype(np.int16)
         self.shape_n, self.shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
-        self.shape_n[shapes["s"].to_numpy(int)], self.shape_v[shapes["s"].to_numpy(int)] = shapes["n"], shapes["v"]
+        self.shape_n[shapes["s"].to_numpy()], self.shape_v[shapes["s"].to_numpy()] = shapes["n"].to_numpy(), shapes["v"].to_numpy()
         np.subtract.at(self.shape_n, shape[own], n[own])
         np.subtract.at(self.shape_v, shape[own], 1)
         self.class_counts = np.concatenate([np.zeros(CLASS_WORDS), self.shape_n, [documents]])
@@ -242,7 +242,7 @@ def train(encoded: DataFrame, first: Model, rounds: int = ROUNDS) -> Model:
     model, states = first, len(first.start)
     sc = encoded.sparkSession.sparkContext
     for _ in range(rounds):
-        sums = encoded.select("classes").mapInArrow(_expect(sc.broadcast(model)), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        sums = encoded.select("classes").mapInArrow(_expect(sc.broadcast(model)), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if len(sums):
             counts = np.zeros(states + states**2 + first.emit.size)
             counts[sums["at"].to_numpy()] = sums["x"].to_numpy()

@@ -263,7 +263,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keyed = S.keyed(docs)
     sc = docs.sparkSession.sparkContext
     hot = keyed.mapInArrow(_hot, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
-    hot = np.sort(hot.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    hot = np.sort(hot.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     sketch = written(rows.mapInArrow(_sketch(sc.broadcast(hot)), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix array<long>"), "sketch")
     same = ["n", "d1", "d2"]
