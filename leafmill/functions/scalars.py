@@ -66,24 +66,32 @@ def single(values: Column) -> Column:
     return F.when(F.size(values) == 1, F.element_at(values, 1))
 
 
+def bound(x: Column, use) -> Column:
+    """``use(x)`` with x evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def hocr_properties(title: Column) -> Column:
     """The properties of a title, name to numbers: entries are parted by ';', names and numbers by spaces; entries without numbers are left out and
-    the last of a name counts. Null if a value isn't a number. Needs spark.sql.mapKeyDedupPolicy=LAST_WIN only where names repeat within a title;
-    here the last is picked by hand, so it doesn't."""
-    entries = F.transform(F.split(title, ";"), lambda e: F.filter(F.split(F.trim(e), " +"), lambda p: p != ""))
-    entries = F.filter(entries, lambda e: F.size(e) > 1)
-    pairs = F.transform(entries, lambda e: F.struct(e[0].alias("name"), F.transform(F.slice(e, 2, 1_000_000), lambda v: v.try_cast("double")).alias("numbers")))
-    bad = F.exists(pairs, lambda p: F.exists(p.numbers, lambda v: v.isNull()))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda q: q["name"] == p["name"]))
-    return F.when(~bad, F.map_from_entries(last))
+    the last of a name counts. Null if a value isn't a number."""
+
+    def entry(e):
+        return bound(F.split(F.trim(e), " +"), lambda p: F.struct(p[0].alias("name"), F.transform(F.slice(p, 2, 1_000_000), lambda v: v.try_cast("double")).alias("numbers")))
+
+    def chosen(pairs):
+        bad = F.exists(pairs, lambda p: F.exists(p.numbers, lambda v: v.isNull()))
+        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda q: q["name"] == p["name"]))
+        return F.when(~bad, F.map_from_entries(last))
+
+    # entries without numbers go before names are compared
+    return bound(F.filter(F.transform(F.split(title, ";"), entry), lambda p: F.size(p.numbers) > 0), chosen)
 
 
 def numbers(properties: Column, name: str, count: int) -> Column:
     """The numbers of a property if it has so many, else null."""
-    found = F.try_element_at(properties, F.lit(name))
-    return F.when(F.size(found) == count, found)
+    return bound(F.try_element_at(properties, F.lit(name)), lambda x: F.when(F.size(x) == count, x))
 
 
 def box_of(values: Column) -> Column:
     """Four numbers as a box, truncated; null from null."""
-    return F.when(values.isNotNull(), F.struct(*(values[i].cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2")))))
+    return bound(values, lambda v: F.when(v.isNotNull(), F.struct(*(v[i].cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))))

@@ -31,6 +31,11 @@ def r(column, digits: int = 6):
     return F.round(column, digits) + F.lit(0.0)
 
 
+def level_only(column, digits: int = 4):
+    """Rounded; null where a text stands upright, so that its slope has no bound."""
+    return F.when(F.abs(column) < 1e9, F.round(column, digits) + F.lit(0.0))
+
+
 def _words(spark, d) -> DataFrame:
     return L.words(L.table(spark, d, "documents"))
 
@@ -185,7 +190,7 @@ def hocr_export(spark, d):
 def hocr_ingest(spark, d):
     """Export, then read again: every page goes through both."""
     w = hocr.words(hocr.parsed(hocr_export(spark, d)))
-    return w.select(F.col("doc").alias("page_id"), "par_no", "content", "box.x1", "box.y1", "box.x2", "box.y2", F.round("confidence", 6).alias("confidence"), "font_size", F.size("char_boxes").alias("n_boxes"), r("baseline.y").alias("base_y"))
+    return w.select(F.col("doc").alias("page_id"), "par_no", "content", "box.x1", "box.y1", "box.x2", "box.y2", F.round("confidence", 6).alias("confidence"), "font_size", F.size("char_boxes").alias("n_boxes"), level_only(F.col("baseline.y"), 3).alias("base_y"))
 
 
 @query
@@ -208,7 +213,7 @@ def symbols_nest(spark, d):
 def word_baseline_hocr(spark, d):
     b = lambda *c: F.struct(*(F.col(x).alias(n) for x, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)))
     w = _lined(spark, d).withColumns({"b": b("x1", "y1", "x2", "y2"), "l": b("lx1", "ly1", "lx2", "ly2")})
-    return w.select(*WORD_ID, F.round(G.word_baseline_y(F.col("b"), F.col("l"), F.col("line_y"), F.col("angle")), 6).alias("word_y"))
+    return w.select(*WORD_ID, level_only(G.word_baseline_y(F.col("b"), F.col("l"), F.col("line_y"), F.col("angle")), 6).alias("word_y"))
 
 
 @query
@@ -240,7 +245,7 @@ def line_matrix(spark, d):
 
 @query
 def word_pen(spark, d):
-    return T.word_pens(_level(spark, d)).select(*WORD_ID, r("dx", 4).alias("dx"), r("dy", 4).alias("dy"))
+    return T.word_pens(_level(spark, d)).select(*WORD_ID, level_only(F.col("dx")).alias("dx"), level_only(F.col("dy")).alias("dy"))
 
 
 @query
@@ -250,7 +255,7 @@ def char_advance(spark, d):
 
 @query
 def rotated_pen(spark, d):
-    return T.glyph_pens(_level(spark, d)).select(*WORD_ID, "char_no", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return T.glyph_pens(_level(spark, d)).select(*WORD_ID, "char_no", F.round("x", 4).alias("x"), level_only(F.col("y")).alias("y"))
 
 
 @query

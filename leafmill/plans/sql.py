@@ -111,6 +111,12 @@ _AREA = ", ".join(_NULLED.format(c) for c in "xyw") + ", h"
 
 RESOLUTIONS = "b AS (SELECT s_suppkey AS device_id, s_suppkey % 4 AS kind, 50 + 25 * (s_suppkey % 5) AS base FROM supplier)"
 
+
+
+def level_only(x: str, digits: int = 4) -> str:
+    return f"CASE WHEN abs({x}) < 1e9 THEN round({x}, {digits}) + 0.0 END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "flatten_words": f"WITH {WORDS} SELECT page_id, par_no, line_no, word_no, content, x1, y1, x2, y2, n_chars FROM w",
     "flatten_chars": f"WITH {WORDS} SELECT page_id, par_no, line_no, word_no, i AS char_no, x1 + 10 * i AS x1, x1 + 10 * i + 10 AS x2 FROM (SELECT *, unnest(range(n_chars)) AS i FROM w)",
@@ -131,17 +137,17 @@ ORACLE_SQL: dict[str, str] = {
     "hist255": f"WITH {BLUR} SELECT page_id, cell, bucket, n FROM hv",
     "quantile_index": f"WITH {BLUR}, lo5 AS (SELECT page_id, cell, 0 AS q0 FROM hv GROUP BY ALL) SELECT page_id, cell, q0, lo.at AS q05, hi.at AS q95 FROM lo5 JOIN lo USING (page_id, cell) JOIN hi USING (page_id, cell)",
     "hocr_props": f"WITH {WORDS} SELECT page_id, line_no, word_no, x1, y1::INT AS y1, x2, y2::INT AS y2, confidence AS wconf FROM w",
-    "hocr_ingest": f"WITH {LINES}, k AS (SELECT w.*, lx1, ly1, lx2, ly2 FROM w JOIN lines USING (page_id, par_no, line_no) WHERE n_chars > 0) SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY par_no) - 1 AS par_no, content, x1, y1::INT AS y1, x2, y2::INT AS y2, confidence, font_size, length(content) AS n_boxes, round((y2 - ly2) - 5.0 + tan(radians(angle_deg)) * (x1 - lx1), 6) AS base_y FROM k",
+    "hocr_ingest": f"WITH {LINES}, k AS (SELECT w.*, lx1, ly1, lx2, ly2 FROM w JOIN lines USING (page_id, par_no, line_no) WHERE n_chars > 0) SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY par_no) - 1 AS par_no, content, x1, y1::INT AS y1, x2, y2::INT AS y2, confidence, font_size, length(content) AS n_boxes, {level_only('(y2 - ly2) - 5.0 + tan(radians(angle_deg)) * (x1 - lx1)', 3)} AS base_y FROM k",
     "symbols_nest": f"WITH {SYMBOLS} SELECT page_id, p AS par_no, l AS line_no, wn AS word_no, string_agg(text, '' ORDER BY char_no) AS content, min(x1 + 10 * char_no) AS x1, max(x1 + 10 * char_no + 10) AS x2, count(*) AS n_chars, round(avg(confidence), 6) AS confidence FROM nw GROUP BY page_id, p, l, wn",
-    "word_baseline_hocr": f"WITH {LEVEL} SELECT page_id, line_no, word_no, round(word_y, 6) AS word_y FROM lw",
+    "word_baseline_hocr": f"WITH {LEVEL} SELECT page_id, line_no, word_no, {level_only('word_y', 6)} AS word_y FROM lw",
     "baseline_transfer": f"WITH {LEVEL}, m AS (SELECT *, lx1 - x1 AS dx, ly2 + line_y - y2 AS dy FROM lw) SELECT page_id, line_no, word_no, round(CASE WHEN abs(angle) > pi() / 4 THEN dx + dy / tan(angle) ELSE 0.0 END, 4) + 0.0 AS bx, round(CASE WHEN abs(angle) > pi() / 4 THEN 0.0 ELSE dy + dx * tan(angle) END, 6) + 0.0 AS b_y FROM m",
     "baseline_from_points": f"""WITH {LINES}, m AS (SELECT *, atan(((ly1 - ly2) + (line_no % 5) * 3) / (lx2 - lx1)::DOUBLE) AS s, CASE page_id % 4 WHEN 0 THEN -pi() / 2 WHEN 1 THEN 0.0 WHEN 2 THEN pi() / 2 ELSE pi() END AS low FROM lines), n AS (SELECT *, CASE WHEN s < low THEN s + pi() ELSE s END AS t FROM m)
       SELECT page_id, line_no, 0.0::DOUBLE AS bx, 0.0::DOUBLE AS b_y, round(CASE WHEN t < low THEN t + pi() ELSE t END, 6) + 0.0 AS angle FROM n""",
     "flat_line_level": f"WITH {LEVEL} SELECT page_id, line_no, word_no, round(line_angle, 6) + 0.0 AS line_angle, round(font, 6) AS font, round(start_y, 6) AS start_y FROM lev",
     "line_matrix": f"WITH {LEVEL} SELECT DISTINCT page_id, line_no, round(cos(-line_angle), 6) AS a, round(sin(-line_angle), 6) + 0.0 AS b, round(start_x, 6) AS x, round(100000.0 - start_y, 6) AS y FROM lev",
-    "word_pen": f"WITH {LEVEL}, m AS (SELECT *, x1 - coalesce(lag(x1) OVER o, start_x) AS mx, y2 + word_y - coalesce(lag(y2 + word_y) OVER o, start_y) AS my FROM lev WINDOW o AS (PARTITION BY page_id, par_no, line_no ORDER BY word_no)) SELECT page_id, line_no, word_no, round(mx * cos(line_angle) + my * sin(line_angle), 4) + 0.0 AS dx, round(my * cos(line_angle) - mx * sin(line_angle), 4) + 0.0 AS dy FROM m",
+    "word_pen": f"WITH {LEVEL}, m AS (SELECT *, x1 - coalesce(lag(x1) OVER o, start_x) AS mx, y2 + word_y - coalesce(lag(y2 + word_y) OVER o, start_y) AS my FROM lev WINDOW o AS (PARTITION BY page_id, par_no, line_no ORDER BY word_no)) SELECT page_id, line_no, word_no, {level_only('mx * cos(line_angle) + my * sin(line_angle)')} AS dx, {level_only('my * cos(line_angle) - mx * sin(line_angle)')} AS dy FROM m",
     "char_advance": f"WITH {WORDS} SELECT page_id, line_no, word_no, char_no, 10 AS advance FROM (SELECT *, unnest(range(length(content))) AS char_no FROM w WHERE length(content) = n_chars)",
-    "rotated_pen": f"WITH {LEVEL} SELECT page_id, line_no, word_no, char_no, round(x1 + cos(line_angle) * 10 * char_no, 4) AS x, round(y2 + word_y + sin(line_angle) * 10 * char_no, 4) AS y FROM (SELECT *, unnest(range(length(content))) AS char_no FROM lev WHERE length(content) = n_chars)",
+    "rotated_pen": f"WITH {LEVEL} SELECT page_id, line_no, word_no, char_no, round(x1 + cos(line_angle) * 10 * char_no, 4) AS x, {level_only('y2 + word_y + sin(line_angle) * 10 * char_no')} AS y FROM (SELECT *, unnest(range(length(content))) AS char_no FROM lev WHERE length(content) = n_chars)",
     "stretch": f"WITH {LEVEL}, m AS (SELECT *, 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) AS s FROM lev WHERE length(content) <> n_chars) SELECT page_id, line_no, word_no, round(s, 4) AS stretch, round(s * 0.2, 4) AS space FROM m",
     "page_text": f"WITH {WORDS} SELECT page_id, string_agg(content, ' ' ORDER BY par_no, line_no, word_no) || ' ' AS text FROM w GROUP BY ALL",
     "text_layer": f"WITH {LEVEL} SELECT page_id, count(*) FILTER (length(content) <> n_chars) AS n_whole, sum(CASE WHEN length(content) = n_chars THEN length(content) ELSE 1 END)::BIGINT AS n_rows, round(sum(CASE WHEN length(content) = n_chars THEN 1000 / (font / 2) * length(content) ELSE 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) END), 1) AS stretch FROM lev GROUP BY ALL",
