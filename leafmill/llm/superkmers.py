@@ -125,7 +125,7 @@ def cut(source: Source, batches, hot: np.ndarray | None = None, texts: bool = Tr
     """The super-k-mers of a task, block by block."""
     for batch in batches:
         doc = K.column(batch, "doc").to_numpy(zero_copy_only=False)
-        th = K.column(batch, "text_hash").to_numpy(zero_copy_only=False)
+        th = (K.column(batch, "text_hash").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
         for block in K.blocks(K.column(batch, "text")):
             sums, rows, heads, spans = source.units(block)
             first, count, key, twice = runs(sums, rows, source.k, source.m)
@@ -170,7 +170,6 @@ def _flush(parts: list[Cut], buckets: int):
     first, later = _once(content, doc, th, at)
     bucket = (K.mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
     first = first[np.lexsort((content[first], key[first], bucket[first]))]
-    th = (th.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
     key = (key >> np.uint64(32)).astype(np.uint32)
     later = later[np.argsort(bucket[later], kind="stable")]
     i32 = lambda x: x.astype(np.int32)
