@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,15 +15,14 @@ from pyspark.sql import functions as F
 ANGLE, LEAST_LINES, LEAST_FONT, MOST_FONTS, PER_FONT, WINDOW = 2.0, 3, 10.0, 200.0, 10, 5
 
 
-def _peel(group: pd.DataFrame) -> pd.DataFrame:
-    """The cluster key of each line: the densest window of buckets is taken again and again, with the lines around it."""
-    y, font = group["y"].to_numpy(), float(group["font"].iloc[0])
+def _peel(y: np.ndarray, font: float) -> np.ndarray:
+    """The cluster key of each line of a paragraph: the densest window of buckets is taken again and again, with the lines around it."""
     size = font / PER_FONT
     spread = y.max() - y.min()
     key = np.full(len(y), np.nan)
     if spread <= 0 or spread < size * WINDOW:
         key[:] = (y.max() + y.min()) / 2
-        return group.assign(key=key)[["page_id", "par_no", "line_at", "key"]]
+        return key
     at = np.minimum(((y - y.min()) / size).astype(int), int(spread / size))
     counts = np.bincount(at)
     while np.isnan(key).any():
@@ -37,14 +39,33 @@ def _peel(group: pd.DataFrame) -> pd.DataFrame:
         take = np.isnan(key) & (y >= low_y) & (y <= high_y)
         key[take] = (low_y + high_y) / 2
         counts[low:high] = 0
-    return group.assign(key=key)[["page_id", "par_no", "line_at", "key"]]
+    return key
+
+
+def _peel_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paragraphs in a row, each whole: one that a batch cuts waits for the next batch."""
+    rest = None
+    for frame in itertools.chain(frames, [None]):
+        if frame is None:
+            whole, rest = rest, None
+        else:
+            both = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            last = (both["page_id"] == both["page_id"].iloc[-1]) & (both["par_no"] == both["par_no"].iloc[-1]) if len(both) else []
+            cut = int((~last).sum()) if len(both) else 0  # sorted, so the last paragraph is the tail
+            whole, rest = both.iloc[:cut], both.iloc[cut:]
+        if whole is None or not len(whole):
+            continue
+        page, par, y, font = (whole[c].to_numpy() for c in ("page_id", "par_no", "y", "font"))
+        heads = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (par[1:] != par[:-1])]))
+        keys = [_peel(y[a:b], float(font[a])) for a, b in zip(heads, np.append(heads[1:], len(y)), strict=True)]
+        yield pd.DataFrame({"page_id": page, "par_no": par, "line_at": whole["line_at"].to_numpy(), "key": np.concatenate(keys)})
 
 
 def sorted_lines(lines: DataFrame) -> DataFrame:
     """Lines (page_id, par_no, line_at, x1.., angle, base_y, font) with place, their order in the paragraph.
 
     Lines off the paragraph's mean angle go by their own height; paragraphs with fewer than three good lines, small fonts or a wide spread stay as they are. Only the good lines of the other
-    paragraphs pass through Python, as (ordinal, y, font); a group is one paragraph. Ties keep the given order.
+    paragraphs pass through Python, as (ordinal, y, font), batch by batch. Ties keep the given order.
     """
     par = W.partitionBy("page_id", "par_no")
     middle = (F.min("x1").over(par) + F.max("x2").over(par)) / 2
@@ -54,7 +75,8 @@ def sorted_lines(lines: DataFrame) -> DataFrame:
     each = each.withColumns({"n_good": F.count(good).over(par), "spread": F.max(good).over(par) - F.min(good).over(par), "mean_font": F.avg("font").over(par)})
     use = (F.col("n_good") >= LEAST_LINES) & (F.col("mean_font") >= LEAST_FONT) & (F.col("spread") / F.col("mean_font") <= MOST_FONTS)
     each = each.withColumn("use", use)
-    keys = each.filter("use and good").select("page_id", "par_no", "line_at", "y", F.col("mean_font").alias("font")).groupBy("page_id", "par_no").applyInPandas(_peel, "page_id long, par_no int, line_at int, key double")
+    keys = each.filter("use and good").select("page_id", "par_no", "line_at", "y", F.col("mean_font").alias("font")).repartition("page_id", "par_no").sortWithinPartitions("page_id", "par_no", "line_at")
+    keys = keys.mapInPandas(_peel_all, "page_id long, par_no int, line_at int, key double")
     each = each.join(keys, ["page_id", "par_no", "line_at"], "left")
     key = F.when(F.col("use"), F.coalesce("key", "y"))
     place = F.row_number().over(par.orderBy(key, F.when(F.col("use") & F.col("good"), F.col("x1")), "line_at")) - 1
