@@ -8,6 +8,7 @@ from .packing import op5_packing
 from .quality_fm import op2_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
+from .sql import OP1_SQL, OP3_SQL, OP7_SQL, OP10_SQL
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
@@ -25,5 +26,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op7_decontaminate": OP7_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
