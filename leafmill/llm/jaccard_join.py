@@ -8,7 +8,7 @@ and distances are measured exactly. The steps:
 2. Voronoi regions: a class belongs to the nearest pivot at most 0.2 away (so linked with it), else to itself; a region's
    radius is the largest distance of its members.
 3. Two linked classes share a shingle among the first fifth of either's set, in any one order of all shingles; the order
-   puts shingles of many texts last. Regions whose members share such a shingle are measured, pivot to pivot. If the pivots
+   puts shingles of many texts last. Regions whose members share such a shingle, and whose pivots' parity maps don't rule it out, are measured, pivot to pivot. If the pivots
    are linked, so are the regions; if they are further apart than both radii and 0.2, by the triangle inequality no members are
    linked.
 4. Regions in between that aren't connected yet are joined recursively: each member within the other region's radius and 0.2 of
@@ -42,6 +42,10 @@ CHUNK = 3_000_000
 BUCKET_KEYS = 400_000
 _SEEDS = K.mix(np.arange(1, HASHES + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SLACK = 1e-9
+#: Bits of a shingle's hash that travel as a key, and of the filter of texts to be fetched (2 MB); a full filter saves nothing, but loses nothing either.
+KEY_BITS, FILTER_BITS = 40, 24
+#: Bits of a set's parity map, a lower bound of how many shingles two sets don't share.
+MAP_BITS = 2048
 
 
 def sets(block: K.Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,15 +103,22 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (n * PERCENT + 99) // 100 + 1, 0)
 
 
+def _parity(row: np.ndarray, value: np.ndarray, n: int) -> list[bytes]:
+    """Per set the parity of how many shingles fall on each of MAP_BITS bits: bits that differ between two sets need a shingle that only one has."""
+    odd = np.bincount(row * MAP_BITS + (value % np.uint64(MAP_BITS)).astype(np.int64), minlength=n * MAP_BITS).astype(np.uint8) & 1
+    return [x.tobytes() for x in np.packbits(odd.reshape(n, MAP_BITS), axis=1)]
+
+
 def _sketch(shared):
     """Of each set: size, digests, minimum hashes, and its first shingles in the common order."""
 
     def run(batches):
         hot = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for block in K.blocks(K.column(batch, "text"), lower=True):
                 row, value, begins = sets(block)
+                out[5] += _parity(row, value, block.n)
                 n = np.diff(begins)
                 out[0].append(n)
                 out[1].append(_digests(value, begins, HASHES))
@@ -125,14 +136,16 @@ def _sketch(shared):
                 order = np.argsort(row * 2 + late, kind="stable")
                 size = prefix_size(n)
                 keep = np.arange(len(value)) - begins[row] < size[row]
-                out[4].append((value[order][keep], size))
+                out[4].append((value[order][keep] >> np.uint64(64 - KEY_BITS), size))
             if not out[0]:
                 continue
             n, d1, d2, least = (np.concatenate(x) for x in out[:4])
             prefix, size = np.concatenate([p for p, _ in out[4]]), np.concatenate([s for _, s in out[4]])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            arrays = [pa.array(n, pa.int64()), pa.array(K.as_long(d1)), pa.array(K.as_long(d2)), pa.FixedSizeListArray.from_arrays(pa.array(K.as_long(least.ravel())), HASHES).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(K.as_long(prefix)))]
-            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in ("rid", "doc_id", "doc", "text_hash")), *arrays], ["rid", "doc_id", "doc", "text_hash", "n", "d1", "d2", "least", "prefix"])
+            # keys as 5 bytes each: a false match costs a measurement, no more
+            raw = prefix.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            ends = (5 * np.concatenate([[0], np.cumsum(size)])).tolist()
+            arrays = [pa.array(n, pa.int64()), pa.array(K.as_long(d1)), pa.array(K.as_long(d2)), pa.FixedSizeListArray.from_arrays(pa.array(K.as_long(least.ravel())), HASHES).cast(pa.list_(pa.int64())), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array(out[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in ("rid", "doc_id", "doc", "text_hash")), *arrays], ["rid", "doc_id", "doc", "text_hash", "n", "d1", "d2", "least", "prefix", "parity"])
 
     return run
 
@@ -156,13 +169,55 @@ def _measure(batches):
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(both, pa.int64()), pa.array(total, pa.int64())], [*(part.schema.names[i] for i in rest), "shared", "total"])
 
 
+def _bounded(batches):
+    """Pairs whose parity maps allow their sets to be within ``within`` of each other: a distance of d leaves d * (n_a + n_b) / (2 - d) shingles unshared."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(K.column(batch, c).to_pylist()), np.uint8).reshape(-1, MAP_BITS // 8) for c in ("map_a", "map_b"))
+        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        d = np.minimum(K.column(batch, "within").to_numpy(), 1.0)
+        keep = apart <= d * K.column(batch, "size").to_numpy() / (2 - d) + _SLACK
+        out = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([K.column(out, "a"), K.column(out, "b")], ["a", "b"])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, within) that may be within that distance, by their parity maps alone; written."""
+    side = lambda x: classes.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"map_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "within", (F.col("n_a") + F.col("n_b")).alias("size"), "map_a", "map_b")
+    return written(both.mapInArrow(K.tidy(_bounded), "a long, b long"), "possible")
+
+
+def _filter(need: DataFrame):
+    """The text hashes of ``need`` as a Bloom filter of fixed size, broadcast; two probes a hash."""
+    at = [F.col("text_hash").bitwiseAND((1 << FILTER_BITS) - 1), F.shiftrightunsigned("text_hash", 64 - FILTER_BITS)]
+    bits = need.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return need.sparkSession.sparkContext.broadcast(words)
+
+
+def _needed(shared):
+    """Compressed texts of the rows whose hash passes the filter."""
+
+    def run(batches):
+        words, one = shared.value, np.uint64(1)
+        for batch in batches:
+            th = K.column(batch, "text_hash").to_numpy().view(np.uint64)
+            keep = np.ones(len(th), bool)
+            for at in (th & np.uint64((1 << FILTER_BITS) - 1), th >> np.uint64(64 - FILTER_BITS)):
+                keep &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & one).astype(bool)
+            yield from S._zip([batch.filter(pa.array(keep))])
+
+    return run
+
+
 def _measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with shared, total and distance, from the texts of the classes; written."""
     need = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(classes.select("rid", "doc", "text_hash"), "rid")
-    zipped = docs.select("doc", "text_hash", "text").mapInArrow(S._zip, "doc long, text_hash long, text binary")
-    texts = written(zipped.join(need, ["doc", "text_hash"]).select("rid", "text"), "texts")
+    need = written(need, "need")
+    texts = docs.select("doc", "text_hash", "text").mapInArrow(K.tidy(_needed(_filter(need))), "doc long, text_hash long, text binary").join(need, ["doc", "text_hash"]).select("rid", "text")
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    out = both.select("a", "b", "text_a", "text_b").mapInArrow(_measure, "a long, b long, shared long, total long")
+    out = both.select("a", "b", "text_a", "text_b").mapInArrow(K.tidy(_measure), "a long, b long, shared long, total long")
     return written(out.withColumn("distance", 1 - F.col("shared") / F.col("total")), "measured")
 
 
@@ -189,19 +244,19 @@ def _deal(buckets: int):
         key, region, n, bucket = key[order], region[order], n[order], bucket[order]
         names, head = np.unique(bucket, return_index=True)
         for b, x, y in zip(names, head, np.append(head[1:], len(bucket)), strict=True):
-            # sorted keys go as steps, 40 bits of them: a false match costs a measurement, no more
-            short = key[x:y] >> np.uint64(24)
-            short = np.sort(short)
-            step = np.diff(np.concatenate([[np.uint64(0)], short]))
+            step = np.diff(np.concatenate([[np.uint64(0)], key[x:y]]))  # sorted keys go as steps
             blob = S.packed(step, region[x:y], n[x:y].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            prefix = K.column(batch, "prefix")
-            size = prefix.value_lengths().to_numpy()
-            key = prefix.flatten().to_numpy().view(np.uint64)
+            prefix = K.column(batch, "prefix").to_pylist()
+            size = np.array([len(x) // 5 for x in prefix], np.int64)
+            raw = np.frombuffer(b"".join(prefix), np.uint8).reshape(-1, 5)
+            key = np.zeros((len(raw), 8), np.uint8)
+            key[:, :5] = raw
+            key = key.view(np.uint64).ravel()
             parts.append((key, np.repeat(K.column(batch, "region").to_numpy(), size), np.repeat(K.column(batch, "n").to_numpy(), size)))
             held += len(key)
             if held > CHUNK:
@@ -244,11 +299,9 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """``members`` (region, n, prefix) -> distinct pairs (a, b) of regions to be measured, a < b; written."""
-    keys = members.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = max(1, -(-keys // BUCKET_KEYS))
-    dealt = members.select("region", "n", "prefix").mapInArrow(_deal(buckets), "bucket long, blob binary")
+def _meetings(members: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
+    """``members`` (rid, region) -> distinct pairs (a, b) of regions to be measured, a < b; written."""
+    dealt = sketch.select("rid", "n", "prefix").join(members.select("rid", "region"), "rid").select("region", "n", "prefix").mapInArrow(K.tidy(_deal(buckets)), "bucket long, blob binary")
     return written(dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "meetings")
 
 
@@ -262,30 +315,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = S.keyed(docs)
     sc = docs.sparkSession.sparkContext
-    hot = keyed.mapInArrow(_hot, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
+    hot = keyed.mapInArrow(K.tidy(_hot), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
     hot = np.sort(hot.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    sketch = written(rows.mapInArrow(_sketch(sc.broadcast(hot)), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix array<long>"), "sketch")
+    sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix binary, parity binary"), "sketch")
     same = ["n", "d1", "d2"]
     ids = written(sketch.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id")), "classes")
-    classes = sketch.join(ids.select(F.col("class").alias("rid")), "rid", "left_semi")
+    classes = written(sketch.select("rid", "doc", "text_hash", "n", "least", "parity").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes")
+    keys = sketch.agg(F.sum(F.octet_length("prefix") / 5)).first()[0] or 0
+    buckets = max(1, -(-int(keys) // BUCKET_KEYS))
 
     # 2. regions
     near = _measured(_pivot_pairs(classes), classes, keyed).filter(LINKED)
     pivots = near.select(F.col("b").alias("a")).distinct()
     home = near.join(pivots, "a", "left_anti").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("p")).select(F.col("a").alias("rid"), F.col("p.b").alias("region"), F.col("p.distance").alias("distance"))
-    members = written(classes.select("rid", "n", "prefix").join(home, "rid", "left").select("rid", "n", "prefix", F.coalesce("region", "rid").alias("region"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "members")
+    members = written(classes.select("rid").join(home, "rid", "left").select("rid", F.coalesce("region", "rid").alias("region"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "members")
     radius = members.groupBy("region").agg(F.max("distance").alias("radius")).filter("radius > 0")
 
     # 3. pairs of regions
-    measured = _measured(_meetings(members), classes, keyed)
-    links = near.select("a", "b").union(measured.filter(LINKED).select("a", "b"))
     side = lambda x: radius.select(F.col("region").alias(x), F.col("radius").alias(f"radius_{x}"))
-    open_ = measured.filter(f"not ({LINKED})").join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0.0, ["radius_a", "radius_b"])
+    reach = lambda df: df.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0.0, ["radius_a", "radius_b"])
+    met = reach(_meetings(members, sketch, buckets)).select("a", "b", (F.col("radius_a") + F.col("radius_b") + LIMIT + _SLACK).alias("within"))
+    measured = _measured(_possible(met, classes), classes, keyed)
+    links = near.select("a", "b").union(measured.filter(LINKED).select("a", "b"))
+    open_ = reach(measured.filter(f"not ({LINKED})"))
     open_ = open_.filter((F.col("radius_a") + F.col("radius_b") > 0) & (F.col("distance") <= F.col("radius_a") + F.col("radius_b") + LIMIT + _SLACK))
     open_ = written(open_.select("a", "b", "radius_a", "radius_b"), "open")
     if not open_.isEmpty():
-        links = links.union(_windows(open_, links, members, classes, keyed))
+        links = links.union(_windows(open_, links, members, classes, keyed, sketch, buckets))
 
     # 5. components
     roots = components(links)
@@ -296,7 +353,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _windows(open_: DataFrame, links: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _windows(open_: DataFrame, links: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
     """4. Links between members of regions that may be linked though their pivots aren't."""
     roots = components(links)
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -309,15 +366,17 @@ def _windows(open_: DataFrame, links: DataFrame, members: DataFrame, classes: Da
     one = left.join(inside.withColumnRenamed("region", "a"), "a").select(F.col("rid"), F.col("a").alias("own"), F.col("b").alias("other"), F.col("radius_b").alias("radius"))
     two = left.join(inside.withColumnRenamed("region", "b"), "b").select(F.col("rid"), F.col("b").alias("own"), F.col("a").alias("other"), F.col("radius_a").alias("radius"))
     reach = one.union(two)
-    measured = _measured(reach.select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct(), classes, docs)
+    near = reach.groupBy(F.col("rid").alias("a"), F.col("other").alias("b")).agg((F.max("radius") + LIMIT + _SLACK).alias("within"))
+    measured = _measured(_possible(near, classes), classes, docs)
     window = measured.join(reach.select(F.col("rid").alias("a"), F.col("other").alias("b"), "own", "radius"), ["a", "b"]).filter(F.col("distance") <= F.col("radius") + LIMIT + _SLACK)
     window = written(window.select(F.col("a").alias("rid"), "own", F.col("b").alias("other"), "shared", "total"), "window")
     found = window.filter(LINKED).select(F.col("rid").alias("a"), F.col("other").alias("b"))
     # the windows, as regions of radius 0
-    alone = members.join(window.select("rid").distinct(), "rid", "left_semi").select("rid", "n", "prefix", F.col("rid").alias("region"))
-    pairs = _meetings(alone)
+    alone = window.select("rid", F.col("rid").alias("region")).distinct()
+    pairs = _meetings(alone, sketch, buckets)
     at = lambda x: window.select(F.col("rid").alias(x), F.col("own").alias(f"own_{x}"), F.col("other").alias(f"other_{x}"))
     pairs = pairs.join(at("a"), "a").join(at("b"), "b").filter("own_a = other_b and own_b = other_a").select("a", "b").distinct()
+    pairs = _possible(pairs.withColumn("within", F.lit(LIMIT + _SLACK)), classes)
     return found.union(_measured(pairs, classes, docs).filter(LINKED).select("a", "b"))
 
 
