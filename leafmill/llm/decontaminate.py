@@ -133,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
                 span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
                 yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(span)), pa.array(bits, pa.binary())], [*names, *added, "_hit"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(K.tidy(run), schema)
     return out.drop("_hit")
 
 

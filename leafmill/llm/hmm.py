@@ -242,7 +242,7 @@ def train(encoded: DataFrame, first: Model, rounds: int = ROUNDS) -> Model:
     model, states = first, len(first.start)
     sc = encoded.sparkSession.sparkContext
     for _ in range(rounds):
-        sums = encoded.select("classes").mapInArrow(_expect(sc.broadcast(model)), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        sums = encoded.select("classes").mapInArrow(K.tidy(_expect(sc.broadcast(model))), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
         if len(sums):
             counts = np.zeros(states + states**2 + first.emit.size)
             counts[sums["at"].to_numpy()] = sums["x"].to_numpy()
@@ -270,12 +270,12 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS, heavy: int = H
     spark = docs.sparkSession
     docs = docs.select("doc_id", held_out("doc_id", folds).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.filter("not held_out")
-    counts = written(known.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "tokens")
+    counts = written(known.select("text").mapInArrow(K.tidy(_count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "tokens")
     vocab = Vocabulary(counts, known.count(), heavy)
     shared = spark.sparkContext.broadcast(vocab)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, classes binary, known long, base double, rare double, tail array<long>"
-    encoded = written(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_encode(shared), schema), "encoded")
+    encoded = written(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(K.tidy(_encode(shared)), schema), "encoded")
     model = train(encoded.filter("not held_out"), Model.first(vocab.class_counts), rounds)
 
     # words beyond the heavy ones: their counts by a join
@@ -285,7 +285,7 @@ def score(docs: DataFrame, folds: int = 10, rounds: int = ROUNDS, heavy: int = H
     log = lambda below: F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / below))
     light = light.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"), log(F.lit(vocab.n + ALPHA * (vocab.v + 1))).alias("base2"), log(below).alias("rare2"))
 
-    scored = encoded.drop("tail").mapInArrow(_likelihood(spark.sparkContext.broadcast(model)), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare double, forward double")
+    scored = encoded.drop("tail").mapInArrow(K.tidy(_likelihood(spark.sparkContext.broadcast(model))), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare double, forward double")
     both = scored.join(light, "rid", "left")
     plus = lambda *names: sum((F.coalesce(x, F.lit(0)) for x in names[1:]), F.col(names[0]))
     return both.select("doc_id", "held_out", "n_tokens", plus("known", "known2").alias("n_known"), F.lit(int(vocab.n)).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("forward", "rare", "rare2").alias("score"))

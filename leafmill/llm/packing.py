@@ -22,8 +22,8 @@ LENGTH = 2048
 END_ID = 0
 SHARD_PIECES = 100_000
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 3_000_000
-TOKEN_BLOCK = 4 << 20
+CACHE_WORDS = 1_000_000
+TOKEN_BLOCK = 2 << 20
 
 
 class WordIds:
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: i
                 columns = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(out, pa.list_(pa.int32()))] * with_ids, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(K.tidy(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str =
     # the ids first, a few thousand longs; then the texts of these alone
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    table = texts.mapInArrow(_featurise, "label double, feature array<int>, value array<float>").toArrow()
+    table = texts.mapInArrow(K.tidy(_featurise), "label double, feature array<int>, value array<float>").toArrow()
     label_of = np.array(table["label"].to_pylist(), float)
     pairs = [(np.asarray(f.values, np.int64), np.asarray(v.values, np.float64)) for f, v in zip(table["feature"], table["value"], strict=True)]
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), pairs[i][0][:4].tolist(), float(pairs[i][1].sum())))  # not as tasks end
@@ -149,7 +149,7 @@ def classify(docs: DataFrame, model: FM, threshold: float = THRESHOLD) -> DataFr
             score = np.concatenate([np.zeros(0), *(shared.value.score(*features(b)) for b in K.blocks(K.column(batch, "text")))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
+    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

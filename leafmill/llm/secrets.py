@@ -112,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + literal_spans(text, base))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", secrets {SPAN}")
+    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", secrets {SPAN}")
 
 
 def redact(text, secrets) -> F.Column:

@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -> DataF
                 kept += [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([S.doc_ids(K.column(batch, "doc")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return S.with_marks(docs, marks).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return S.with_marks(docs, marks).mapInArrow(K.tidy(run), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def remove_repeated_bytes(docs: DataFrame, bucket_bytes: int = S.BUCKET_BYTES) -
                     kept.append(block.data[a:b][~gone[a:b]].tobytes())
             yield pa.RecordBatch.from_arrays([S.doc_ids(K.column(batch, "doc")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return S.with_marks(docs, marks).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return S.with_marks(docs, marks).mapInArrow(K.tidy(run), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -231,7 +231,10 @@ def _find(source: Source):
             place, of = at[own[row]] + within, own[row]
             _, hit = _once(contents[0], doc[of], th[of], place, *contents[1:])
             marks.append((doc[of[hit]], th[of[hit]], place[hit].astype(np.int32), np.ones(len(hit), np.int32)))
-        return _joined(*(np.concatenate([m[i] for m in marks]) for i in range(4)))
+        out = _joined(*(np.concatenate([m[i] for m in marks]) for i in range(4)))
+        del text, marks
+        K.release()
+        return out
 
     return run
 
@@ -288,9 +291,9 @@ def repeated_windows(docs: DataFrame, source: Source, bucket_bytes: int = BUCKET
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     most = max(1000, bucket_bytes // 100)
-    hot = docs.mapInArrow(_hot(source), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).orderBy(F.desc("n"), "key").limit(HOT_MOST)
+    hot = docs.mapInArrow(K.tidy(_hot(source)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).orderBy(F.desc("n"), "key").limit(HOT_MOST)
     hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
-    found = docs.mapInArrow(_deal(source, hot, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_find(source), MARKS)
+    found = docs.mapInArrow(K.tidy(_deal(source, hot, buckets)), "bucket long, blob binary").groupBy("bucket").applyInArrow(_find(source), MARKS)
     return found.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("n")).alias("n"))
 
 
@@ -303,7 +306,7 @@ def _zip(batches):
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """doc, text (compressed, as it travels; see ``texts``), first and n; no marks are null lists."""
-    travelling = docs.select("doc", half("text_hash"), "text").mapInArrow(_zip, "doc long, text_hash int, text binary")
+    travelling = docs.select("doc", half("text_hash"), "text").mapInArrow(K.tidy(_zip), "doc long, text_hash int, text binary")
     return travelling.join(marks, ["doc", "text_hash"], "left").select("doc", "text", "first", "n")
 
 
