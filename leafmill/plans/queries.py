@@ -271,7 +271,7 @@ def page_text(spark, d):
 @query
 def text_layer(spark, d):
     t = T.text_layer(_level(spark, d))
-    return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") < 0, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.sum("stretch"), 1).alias("stretch"))
+    return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") < 0, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.max("stretch"), 3).alias("stretch"))
 
 
 @query

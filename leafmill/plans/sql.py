@@ -150,7 +150,7 @@ ORACLE_SQL: dict[str, str] = {
     "rotated_pen": f"WITH {LEVEL} SELECT page_id, line_no, word_no, char_no, round(x1 + cos(line_angle) * 10 * char_no, 4) AS x, {level_only('y2 + word_y + sin(line_angle) * 10 * char_no')} AS y FROM (SELECT *, unnest(range(length(content))) AS char_no FROM lev WHERE length(content) = n_chars)",
     "stretch": f"WITH {LEVEL}, m AS (SELECT *, 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) AS s FROM lev WHERE length(content) <> n_chars) SELECT page_id, line_no, word_no, round(s, 4) AS stretch, round(s * 0.2, 4) AS space FROM m",
     "page_text": f"WITH {WORDS} SELECT page_id, string_agg(content, ' ' ORDER BY par_no, line_no, word_no) || ' ' AS text FROM w GROUP BY ALL",
-    "text_layer": f"WITH {LEVEL} SELECT page_id, count(*) FILTER (length(content) <> n_chars) AS n_whole, sum(CASE WHEN length(content) = n_chars THEN length(content) ELSE 1 END)::BIGINT AS n_rows, round(sum(CASE WHEN length(content) = n_chars THEN 1000 / (font / 2) * length(content) ELSE 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) END), 1) AS stretch FROM lev GROUP BY ALL",
+    "text_layer": f"WITH {LEVEL} SELECT page_id, count(*) FILTER (length(content) <> n_chars) AS n_whole, sum(CASE WHEN length(content) = n_chars THEN length(content) ELSE 1 END)::BIGINT AS n_rows, round(max(CASE WHEN length(content) = n_chars THEN 1000 / (font / 2) ELSE 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) END), 3) AS stretch FROM lev GROUP BY ALL",
     "export_manifest": "SELECT doc_id AS page_id, 'scan-' || n || '.png' AS file, 'adjusted' AS image, true AS with_text FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) WHERE n < total",
     "sobel": f"WITH {SOBEL} SELECT page_id, y, x, round(g, 6) + 0.0 AS g FROM g",
     "word_pixels": f"WITH {BLUR} SELECT page_id, cell, count(*) AS n, sum(v)::BIGINT AS total FROM part GROUP BY ALL",
