@@ -2,13 +2,15 @@
 
 Base patterns find assignments to sensitive names, access keys and long hex strings. Beside them a small lexer reads
 source and configuration syntax into assignments of a name to literals and other names, follows constants to the
-literal that they were given, and scores each literal by the names that it reaches and by its own form.
+literal that they were given, above the use or else below it, and scores each literal by the names that it reaches and by its
+own form; literals that are joined are scored as one value too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -31,10 +33,19 @@ NAME_SCORES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "p
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|change_?me.*|your[-_ ].*|example.*|placeholder.*|dummy.*|todo|none|null|true|false|undefined|redacted)$")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 8
 
-# name (with quotes or brackets around it), operator, then literals and names joined by + or .
-_TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9_$][A-Za-z0-9_$/+=-]*+)"""
-_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*+)["'\]]{{0,2}}[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+({_TERM}(?:[ \t]*+(?:\+|\.\.)[ \t]*+{_TERM})*+)""")
+# name (with quotes or brackets around it), type, operator, then literals and names joined by + or ..
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+_TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\$\{[A-Za-z_][A-Za-z0-9_.-]*+\}|[A-Za-z0-9_$](?:[A-Za-z0-9_$/+=-]|\.(?=[A-Za-z0-9_$]))*+)"""
+_ONE_TYPE = r"""(?:[&*][ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:(?:mut|dyn|readonly)[ \t]++)?[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:[<\[][^=\n"]{0,100}[>\]])?[?!*]?"""
+_TYPE = rf"(?:[?!]?[ \t]*+:[ \t]*+(?P<type>{_ONE_TYPE}(?:[ \t]*+\|[ \t]*+{_ONE_TYPE})*+)|[ \t]++\*?string|(?:[ \t]*+\[[0-9]*+\])+)[ \t]*+(?==(?![=~>]))"
+_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_])(?P<name>{_NAME})["'\]]{{0,2}}(?:{_TYPE})?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?P<terms>{_TERM}(?:[ \t]*+(?:\+|\.\.)[ \t]*+{_TERM})*+)""")
 _PART = re.compile(_TERM)
+_ASSIGNED = re.compile(r"[ \t]*+=(?![=~>])")
+_SIMPLE_NAME = re.compile(_NAME)
+# in double quotes
+_INSERTED = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.-]*+)\}|([A-Za-z_][A-Za-z0-9_]*+))")
+#: Pieces of one value beyond which a literal that comes again is listed once; repeated doubling would have no bound.
+MOST_PIECES = 1000
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -67,29 +78,107 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _statements(text: str):
+    """(names, terms) of each assignment, terms as (start, end). A name that is itself assigned (a = b = ...) begins the next one."""
+    at = 0
+    while m := _STATEMENT.search(text, at):
+        terms = [t.span() for t in _PART.finditer(text, m.start("terms"), m.end("terms"))]
+        names = [m["name"]]
+        if m["type"] and _SIMPLE_NAME.fullmatch(m["type"]) and name_score(m["type"]):
+            names.append(m["type"])  # ``note: token = "..."`` reads like a type
+        yield names, terms
+        a, at = terms[-1][0], m.end()
+        if text[a] not in "\"'$" and _ASSIGNED.match(text, at):
+            at = a
+
+
+def _pieces(text: str, a: int, b: int, defined) -> list[tuple[int, int, str | None, bool]]:
+    """A term's literals and names: (start, end, name if it is one that is defined, whether quoted)."""
+    term = text[a:b]
+    if term[0] == '"' and "$" in term:
+        out, at = [], a + 1
+        for m in _INSERTED.finditer(text, a + 1, b - 1):
+            if (name := m[1] or m[2]) in defined:
+                out += [(at, m.start(), None, True)] * (m.start() > at) + [(*m.span(), name, True)]
+                at = m.end()
+        return out + [(at, b - 1, None, True)] * (at < b - 1 or not out)
+    if term[0] in "\"'":
+        return [(a + 1, b - 1, None, True)]
+    name = term.removeprefix("$")
+    if name[:1] == "{":
+        name = name[1:-1]
+    if name in defined or term in defined:
+        return [(a, b, name if name in defined else term, False)]
+    if "+" in term and all(x.removeprefix("$") in defined for x in term.split("+")):
+        out, at = [], a
+        for x in term.split("+"):
+            out.append((at, at + len(x), x.removeprefix("$"), False))
+            at += len(x) + 1
+        return out
+    # dots join the members of an object, unless the parts look random (signed tokens)
+    if "." in term and not all(re.search(x, term) for x in ("[a-z]", "[A-Z]", "[0-9]")):
+        b = a + term.index(".")
+    return [(a, b, None, False)]
+
+
+def _values(text: str, statements) -> list[list[tuple[int, int, bool]]]:
+    """The literals (start, end, whether known to be one) that make up each statement's value. A name stands for what it was last given above, or else first below."""
+    defined: dict[str, list[int]] = {}
+    for i, (names, _) in enumerate(statements):
+        for name in names:
+            defined.setdefault(name, []).append(i)
+    parts = []
+    for i, (_, terms) in enumerate(statements):
+        own = []
+        for a, b in terms:
+            for x, y, name, quoted in _pieces(text, a, b, defined):
+                given = -1
+                if name is not None:
+                    all_ = defined[name]
+                    k = bisect_left(all_, i)
+                    given = all_[k - 1] if k else next((j for j in all_[:2] if j > i), -1)
+                own.append((x, y, quoted, given))
+        parts.append(own)
+    values: list = [None] * len(parts)
+    for i in range(len(parts)):
+        stack, active = [i], {i}
+        while stack:
+            j = stack[-1]
+            ask = next((g for *_, g in parts[j] if g >= 0 and values[g] is None and g not in active), None) if values[j] is None else None
+            if ask is not None:
+                stack.append(ask)
+                active.add(ask)
+                continue
+            if values[j] is None:
+                out = []
+                for x, y, quoted, g in parts[j]:
+                    out += [(x, y, quoted)] if g < 0 or values[g] is None else [(p, q, True) for p, q, _ in values[g]]
+                values[j] = out if len(out) <= MOST_PIECES else list(dict.fromkeys(out))
+            active.discard(stack.pop())
+    return values
+
+
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Literals that reach a sensitive name, by assignment or through constants, and lie in no base span."""
+    """Literals that reach a sensitive name, by assignment or through constants, and lie in no base span.
+
+    Of literals that are joined, those count that score alone and, if the joined value scores, those of LEAST_LENGTH or more; all of them if none scores alone.
+    """
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list[tuple[int, int]]] = {}  # constants, and the literals that make them up
-    best: dict[tuple[int, int], float] = {}
-    for m in _STATEMENT.finditer(text):
-        literals: list[tuple[int, int]] = []
-        for t in _PART.finditer(text, m.start(2), m.end(2)):
-            term = t.group()
-            if term[0] in "\"'":
-                literals.append((t.start() + 1, t.end() - 1))
-            elif term in known:
-                literals += known[term]
-            else:
-                literals.append((t.start(), t.end()))
-        known[m.group(1)] = literals
-        score = name_score(m.group(1))
-        if score:
-            for a, b in literals:
-                best[a, b] = max(best.get((a, b), 0.0), score * literal_score(text[a:b]))
-    found = sorted((a, b) for (a, b), s in best.items() if s >= LEAST_SCORE)
-    return [(a, 3, b) for a, b in found if not any(x <= a and b <= y for x, _, y in base)]
+    statements = list(_statements(text))
+    scores = [max(map(name_score, names)) for names, _ in statements]
+    if not any(scores):
+        return []
+    found = set()
+    for score, value in zip(scores, _values(text, statements), strict=True):
+        if not score:
+            continue
+        alone = {(a, b) for a, b, _ in value if score * literal_score(text[a:b]) >= LEAST_SCORE}
+        found |= alone
+        sure = [(a, b) for a, b, known in value if known and a < b]
+        if len(sure) > 1 and score * literal_score("".join(text[a:b] for a, b in sure)) >= LEAST_SCORE:
+            found |= {(a, b) for a, b in sure if not alone or b - a >= LEAST_LENGTH}
+    return [(a, 3, b) for a, b in sorted(found) if not any(x <= a and b <= y for x, _, y in base)]
 
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"

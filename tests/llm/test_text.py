@@ -98,6 +98,30 @@ def test_secrets(corpus):
     assert not any("hunter2hunter2" in (r.red or "") or "AKIAABC" in (r.red or "") for r in red)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password: str = "{}"', 'const apiKey: string = "{}";', 'const apiKey: string | null = "{}"', "let password: &'static str = \"{}\";", 'val apiKey: String? = "{}"', 'token: Optional[Dict[str, str]] = "{}"', 'var password string = "{}"', 'char password[] = "{}";',
+        "K={}\nDB_PASSWORD=$K", "K={}\nDB_PASSWORD=${{K}}", 'K={}\nDB_PASSWORD="$K"', 'cfg.k = "{}"\npassword = cfg.k', 'password = k\nk = "{}"', 'password = k\nk = j\nj = "{}"', 'password = k = "{}"', 'k = password = "{}"',
+    ],
+)
+def test_assignment_forms(text):
+    text = text.format("hT7kQ2mZx9Lw")
+    base = secrets.base_spans(text)
+    got = [text[a:b] for a, _, b in base + secrets.literal_spans(text, base)]
+    assert any("hT7kQ2mZx9Lw" in x for x in got)
+    assert all(text[a:b] == "hT7kQ2mZx9Lw" for a, _, b in secrets.literal_spans(text, base))
+
+
+def test_joined_literals():
+    add = lambda t: [t[a:b] for a, _, b in secrets.literal_spans(t, secrets.base_spans(t))]
+    assert add('password = "hT7k" + "Q2mZ" + "x9Lw"') == ["hT7k", "Q2mZ", "x9Lw"]
+    assert add('a = "hT7kQ2"\nDB_PASSWORD="${a}mZx9Lw"') == ["hT7kQ2", "mZx9Lw"]
+    assert add("password = os.environ.get('K')") == add("token = k\nk = token") == []
+    deep = "".join(f"k{i} = k{i + 1} + k{i + 1}\n" for i in range(40)) + 'k40 = "hT7kQ2mZx9Lw"\npassword = k0'
+    assert add(deep) == ["hT7kQ2mZx9Lw"]
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
