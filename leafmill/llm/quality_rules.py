@@ -3,8 +3,10 @@
 Each document's histogram of character classes and its histogram of the corpus's common words are compared with
 references per language by Jensen-Shannon distance. The references come from three passes over all documents:
 words that reach a share of any task's words in a language become candidates, their counts and those of the character
-classes are then summed exactly over the corpus, and the documents are scored. A document is compared with every
-reference and the nearest counts, so a wrong or null ``lang`` does no harm. Plain counting rules come beside it.
+classes are then summed exactly over the corpus, and the documents are scored. A label has a reference of its own from
+REF_DOCS documents and REF_WORDS words on; no label, and smaller ones, count in the pooled reference alone. A document is compared
+with every reference, its own counts left out of those that hold them, and the nearest counts, so a wrong or null ``lang`` does no harm
+and no document passes by likeness to itself. Plain counting rules come beside it.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 
 #: Least share of a language's words in some task for a word to be a candidate; so a task gives 1 / SHARE at most.
 SHARE = 0.002
-#: Words of a reference, and languages with a reference of their own (the largest by characters).
-COMMON, LANGUAGES = 100, 32
+#: Words of a reference; candidates of a language for them.
+COMMON, CANDIDATES = 100, round(1 / SHARE)
+#: Least documents and words of a label with a reference of its own.
+REF_DOCS, REF_WORDS = 10, 1000
 #: Largest distance to the nearest reference, and least words for the comparison to count.
 CHAR_LIMIT, WORD_LIMIT = 0.32, 0.42
 CHAR_MIN_WORDS, WORD_MIN_WORDS = 50, 200
@@ -53,13 +58,20 @@ def _class_counts(block: K.Block) -> np.ndarray:
     return np.bincount(row[use] * N_CLASSES + kind[use], minlength=block.n * N_CLASSES).reshape(block.n, N_CLASSES)
 
 
-def _common_counts(hashes: np.ndarray, words: K.Words, n: int, common: np.ndarray) -> np.ndarray:
-    """Counts of each common word, other words last."""
+def _common_kinds(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Place of each word among the common words, which are followed by all others."""
     at = np.searchsorted(common, hashes)
     at[at == len(common)] = 0
-    kind = np.where(common[at] == hashes, at, len(common)) if len(common) else np.zeros(len(hashes), np.int64)
-    size = len(common) + 1
-    return np.bincount(words.row * size + kind, minlength=n * size).reshape(n, size)
+    return np.where(common[at] == hashes, at, len(common)) if len(common) else np.zeros(len(hashes), np.int64)
+
+
+def _cells(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (below ``most``) and their counts."""
+    if most > max(1 << 16, 4 * len(key)):
+        return np.unique(key, return_counts=True)
+    count = np.bincount(key, minlength=most)
+    at = np.flatnonzero(count)
+    return at, count[at]
 
 
 def _lower(block: K.Block) -> K.Block:
@@ -67,13 +79,14 @@ def _lower(block: K.Block) -> K.Block:
 
 
 def _languages(batch: pa.RecordBatch) -> np.ndarray:
-    return K.column(batch, "lang").fill_null("").to_numpy(zero_copy_only=False)
+    return K.column(batch, "lang").cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False)
 
 
 def _candidates(batches):
-    """Words with at least SHARE of the words that this task has in a language."""
+    """Words with at least SHARE of the words that this task has in a language; and each language's words and documents, beside a null word."""
     seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     total: dict[str, int] = {}
+    docs: dict[str, int] = {}
     for batch in batches:
         lang = _languages(batch)
         for block in K.blocks(K.column(batch, "text")):
@@ -85,52 +98,67 @@ def _candidates(batches):
             for code, name in enumerate(names):
                 own = hashes[kind == code]
                 total[name] = total.get(name, 0) + len(own)
+                docs[name] = docs.get(name, 0) + int((codes == code).sum())
                 value, count = np.unique(own, return_counts=True)
                 big = count >= max(2, SHARE / 4 * len(own))  # below that in every block: below SHARE in the task
                 seen.setdefault(name, []).append((value[big], count[big]))
     for name, parts in seen.items():
         found = pd.Series(np.concatenate([c for _, c in parts])).groupby(np.concatenate([v for v, _ in parts])).sum()
         found = found[found >= SHARE * total[name]]
-        yield pa.RecordBatch.from_arrays([pa.array(K.as_long(found.index.to_numpy())), pa.array(found.to_numpy(), pa.int64())], ["word", "n"])
+        n = len(found)
+        word = pa.array([*K.as_long(found.index.to_numpy()).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), word, pa.array([*found.tolist(), total[name]], pa.int64()), pa.array([0] * n + [docs[name]], pa.int64())], ["lang", "word", "n", "docs"])
+
+
+def _codes(batch: pa.RecordBatch, labels: list[str]) -> np.ndarray:
+    """Place of each row's label among ``labels``, -1 for others."""
+    return pd.Index(labels, dtype=object).get_indexer(_languages(batch))
 
 
-def _sums(common: np.ndarray):
+def _sums(common: np.ndarray, labels: list[str]):
+    size = N_CLASSES + len(common) + 1
+
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        total = np.zeros((len(labels) + 1) * size, np.int64)  # other labels last
         for batch in batches:
-            lang = _languages(batch)
+            codes = _codes(batch, labels)
             for block in K.blocks(K.column(batch, "text")):
+                code = codes[block.first : block.first + block.n]
+                code = np.where(code < 0, len(labels), code)
                 chars = _class_counts(block)
+                for c in np.unique(code):
+                    total[c * size : c * size + N_CLASSES] += chars[code == c].sum(axis=0)
                 block = _lower(block)
                 words = K.tokens(block)
-                both = np.hstack([chars, _common_counts(K.word_hashes(block, words), words, block.n, common)])
-                codes, names = pd.factorize(lang[block.first : block.first + block.n])
-                for code, name in enumerate(names):
-                    total[name] = total.get(name, 0) + both[codes == code].sum(axis=0)
-        for name, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums)), pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.int64())], ["lang", "at", "n"])
+                at, n = _cells(code[words.row] * size + N_CLASSES + _common_kinds(K.word_hashes(block, words), common), len(total))
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
     return run
 
 
 def references(docs: DataFrame) -> dict:
-    """Reference histograms per language, from all documents: word hashes, and rows of class and word shares.
+    """Reference histograms, from all documents: labels with one of their own, word hashes, and rows of class and word counts: one for each label, and the pooled one last.
 
-    What reaches the driver is bounded: COMMON * LANGUAGES words, and as many rows of sums."""
+    What reaches the driver grows with the labels only: CANDIDATES words for each, and their counts for each label."""
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    top = docs.mapInArrow(K.tidy(_candidates), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON * LANGUAGES)
-    common = np.sort(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
-    sums = docs.mapInArrow(K.tidy(_sums(common)), "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sum(F.when(F.col("at") < N_CLASSES, F.col("n"))).alias("size"))
-    rows = [r.m for r in sums.orderBy(F.desc("size"), "lang").limit(LANGUAGES).collect()]
-    table = np.array([[m.get(i, 0) for i in range(N_CLASSES + len(common) + 1)] for m in rows], float).reshape(len(rows), N_CLASSES + len(common) + 1)
-    if len(table):
-        table = np.vstack([table, table.sum(axis=0)])  # and all languages together
-        keep = np.unique(np.argsort(-table[:, N_CLASSES:-1], axis=1, kind="stable")[:, :COMMON]) if len(common) else []
-        rest = table[:, -1:] + np.delete(table[:, N_CLASSES:-1], keep, axis=1).sum(axis=1, keepdims=True)
-        table = np.hstack([table[:, :N_CLASSES], table[:, N_CLASSES:-1][:, keep], rest])
-        common = common[keep]
-    share = lambda x: x / np.maximum(x.sum(axis=1, keepdims=True), 1)
-    return {"words": common, "chars": share(table[:, :N_CLASSES]), "common": share(table[:, N_CLASSES:])}
+    found = docs.mapInArrow(K.tidy(_candidates), "lang string, word long, n long, docs long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = W.partitionBy("lang")
+    large = (F.trim("lang") != "") & (F.max("docs").over(whole) >= REF_DOCS) & (F.max(F.when(F.col("word").isNull(), F.col("n"))).over(whole) >= REF_WORDS)
+    found = found.withColumn("large", large).groupBy(F.when(F.col("large"), F.col("lang")).alias("label"), "word").agg(F.sum("n").alias("n"))
+    found = found.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))).filter(F.col("at") <= CANDIDATES + 1).select("label", "word").toArrow()
+    labels = sorted(found["label"].drop_null().unique().to_pylist())
+    common = np.unique(found["word"].drop_null().to_numpy().view(np.uint64))
+    sums = docs.mapInArrow(K.tidy(_sums(common, labels)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    size = N_CLASSES + len(common) + 1
+    table = np.zeros((len(labels) + 1) * size)
+    table[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    table = table.reshape(len(labels) + 1, size)
+    table[-1] = table.sum(axis=0)  # all together
+    keep = np.unique(np.argsort(-table[:, N_CLASSES:-1], axis=1, kind="stable")[:, :COMMON]) if len(common) else np.zeros(0, np.int64)
+    rest = table[:, N_CLASSES:].sum(axis=1, keepdims=True) - table[:, N_CLASSES:-1][:, keep].sum(axis=1, keepdims=True)
+    return {"labels": labels, "words": common[keep], "chars": table[:, :N_CLASSES], "common": np.hstack([table[:, N_CLASSES:-1][:, keep], rest])}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -142,14 +170,43 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=1) > 0, out, 0.0)
 
 
-def _nearest(counts: np.ndarray, against: np.ndarray) -> np.ndarray:
-    if not len(against):
-        return np.zeros(len(counts))
-    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    return np.min([js_distance(p, q) for q in against], axis=0)
+def _held(own: np.ndarray | None, r: int, refs: int, n: int) -> np.ndarray:
+    """Whether reference ``r`` holds each row's own counts: that of its label, and the pooled one; none does if ``own`` is None."""
+    if own is None:
+        return np.zeros(n, bool)
+    return (own == r) | (r == refs - 1)
 
 
-def _measure(block: K.Block, ref: dict) -> dict[str, np.ndarray]:
+def _nearest_chars(counts: np.ndarray, table: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Distance of each row of counts to the nearest reference; 0 if all are empty."""
+    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    best = np.full(len(counts), np.inf)
+    for r, ref in enumerate(table):
+        left = np.maximum(ref - counts * _held(own, r, len(table), len(counts))[:, None], 0)
+        total = left.sum(axis=1)
+        best = np.where(total > 0, np.minimum(best, js_distance(p, left / np.maximum(total, 1)[:, None])), best)
+    return np.where(np.isfinite(best), best, 0.0)
+
+
+def _nearest_words(row: np.ndarray, kind: np.ndarray, n: int, table: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """The same of words given by row and kind; only kinds that a row has are visited, all others of a reference count whole."""
+    at, count = _cells(row * table.shape[1] + kind, n * table.shape[1])
+    row, kind = np.divmod(at, table.shape[1])
+    total = np.bincount(row, count, minlength=n)
+    p = count / total[row]
+    best = np.full(n, np.inf)
+    for r, ref in enumerate(table):
+        held = _held(own, r, len(table), n)
+        left = np.maximum(ref.sum() - total * held, 0)
+        q = np.maximum(ref[kind] - count * held[row], 0) / np.maximum(left, 1)[row]
+        m = (p + q) / 2
+        part = p * np.log2(p / m) + q * np.log2(np.where(q > 0, q, m) / m) - q  # what isn't visited adds 1 less the sum of q
+        found = np.sqrt(np.clip((np.bincount(row, part, minlength=n) + 1) / 2, 0, 1))
+        best = np.where(left > 0, np.minimum(best, found), best)
+    return np.where(np.isfinite(best) & (total > 0), best, 0.0)
+
+
+def _measure(block: K.Block, ref: dict, own: np.ndarray | None) -> dict[str, np.ndarray]:
     n, data = block.n, block.data
     per_row = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[block.offsets])
     words = K.tokens(block)
@@ -176,26 +233,28 @@ def _measure(block: K.Block, ref: dict) -> dict[str, np.ndarray]:
     else:
         out["n_repeat_words"] = np.zeros(n, np.int64)
     low = _lower(block)
-    out["char_distance"] = _nearest(_class_counts(block), ref["chars"])
-    out["word_distance"] = _nearest(_common_counts(K.word_hashes(low, words), words, n, ref["words"]), ref["common"])
+    out["char_distance"] = _nearest_chars(_class_counts(block), ref["chars"], own)
+    out["word_distance"] = _nearest_words(words.row, _common_kinds(K.word_hashes(low, words), ref["words"]), n, ref["common"], own)
     return out
 
 
 def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """``docs`` (text, lang; other columns stay) with the columns of REPORT; ``ref`` as ``references`` gives it, from ``docs`` itself if None.
+    """``docs`` (text, lang; other columns stay) with the columns of REPORT; ``ref`` as ``references`` gives it of another corpus; if None, it is that of ``docs``, and each document's own counts are left out of it.
 
     Null and empty texts have no words and fail the base rules. ``kept`` is false too where, with enough words
     (CHAR_MIN_WORDS, WORD_MIN_WORDS), a distance to the nearest reference is above its limit. Columns of ``docs`` named like those added are replaced. Each row
     is judged by itself, so repeated rows and ids have equal results.
     """
-    ref = references(docs) if ref is None else ref
+    within = ref is None
+    ref = references(docs) if within else ref
     added = [x.split()[0] for x in REPORT.split(", ")]
     docs = docs.drop(*added)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            parts = [_measure(b, ref) for b in K.blocks(K.column(batch, "text"))]
+            own = _codes(batch, ref["labels"]) if within else None
+            parts = [_measure(b, ref, own[b.first : b.first + b.n] if within else None) for b in K.blocks(K.column(batch, "text"))]
             if not parts:
                 continue
             m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -210,5 +269,4 @@ def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float =
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    ref = references(docs)
-    return quality_rules(docs, ref).drop("text", "lang")
+    return quality_rules(docs).drop("text", "lang")

@@ -36,6 +36,38 @@ def test_quality_rules(corpus, rows):
     assert loud["LOUD"] is False
 
 
+def test_references_of_labels(spark):
+    rng = random.Random(11)
+    spell = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = []
+    for k in range(40):  # languages of equal size
+        vocab = [spell(rng.randint(2, 8)) for _ in range(60)]
+        docs += [(f"l{k}", " ".join(rng.choice(vocab) for _ in range(250))) for _ in range(12)]
+    junk = lambda: " ".join("#" * rng.randint(1, 9) + str(rng.randrange(10**9)) for _ in range(80))
+    strange = lambda: " ".join(spell(6) for _ in range(250))
+    docs += [("zz", junk()), ("zy", junk()), *((None, junk()) for _ in range(20)), ("zx", strange()), ("l0", junk()), (" ", strange())]
+    got = quality_rules.quality_rules(spark.createDataFrame(docs, "lang string, text string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.lang for r in got if r.kept} == {f"l{k}" for k in range(40)}
+    assert [r.lang for r in got if not r.kept and "#" in r.text].count("l0") == 1
+    assert sum(r.kept for r in got) == 480
+
+
+def test_nearest_words_is_the_dense_distance():
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 50, (4, 9)).astype(float)
+    counts = rng.integers(0, 4, (6, 9)) * rng.integers(0, 2, (6, 9))
+    row, kind = (np.repeat(x, counts.ravel()) for x in np.divmod(np.arange(counts.size), 9))
+    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    want = np.min([quality_rules.js_distance(p, q / q.sum()) for q in table], axis=0)
+    assert quality_rules._nearest_words(row, kind, 6, table, None) == pytest.approx(want)
+    table[1] += counts[2]
+    table[3] = table[:3].sum(axis=0)
+    less = [table[0], table[1] - counts[2], table[2], table[3] - counts[2]]
+    want = min(quality_rules.js_distance(p[2:3], q / q.sum())[0] for q in less)
+    assert quality_rules._nearest_words(row, kind, 6, table, np.array([-1, -1, 1, -1, -1, -1]))[2] == pytest.approx(want)
+
+
 def test_js_distance():
     p = np.array([[1.0, 0], [0.5, 0.5], [0, 0]])
     half = math.sqrt((0.5 * math.log2(2) + 0.5 * math.log2(2 / 3) + math.log2(4 / 3)) / 2)
