@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.decontaminate import decontaminate
-from leafmill.llm.jaccard_join import jaccard_components
+from leafmill.llm.jaccard_join import representatives
 from leafmill.llm.line_dedup import remove_boilerplate
 from leafmill.llm.packing import pack, token_pieces, tokenizer_path
 from leafmill.llm.quality_rules import quality_rules
 from leafmill.llm.shared import checkpoint_dir, written
+from leafmill.llm.superkmers import row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,9 +29,13 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents without words stay."""
-    first = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first.select(F.col("doc_id").alias("first")), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    """One document of each component: of the smallest id (nulls last), then the smallest text hash, and one of rows equal in both; documents without words stay."""
+    docs = docs.select(*COLUMNS)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    keys = ["doc", "text_hash"]
+    keyed = docs.filter(words).withColumns({"doc": row_key("doc_id"), "text_hash": F.xxhash64("text")})
+    first = keyed.join(representatives(docs), keys, "left_semi").dropDuplicates(keys)
+    return first.select(*COLUMNS).unionByName(docs.filter(~words))
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

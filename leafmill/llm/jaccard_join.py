@@ -33,6 +33,8 @@ SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 LIMIT = 1 - PERCENT / 100
+#: What tells sets apart: size and two digests.
+SAME = ["n", "d1", "d2"]
 #: Minimum hashes of a set; the first PIVOT_GROUPS choose pivots, and a pivot is measured if AGREE of all agree.
 HASHES, PIVOT_GROUPS, AGREE = 8, 4, 3
 #: Shingles that come last in the order: of the texts of a task's chunk at least HOT_CHUNK have it, of all at least HOT_ALL; HOT_MOST at most. It only decides the order.
@@ -305,13 +307,8 @@ def _meetings(members: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
     return written(dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "meetings")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, an integer, and text).
-
-    A text with fewer than SHINGLE words is one shingle; one without words (or null) has none, is linked with nothing and is its own component.
-    component_id is the smallest doc_id of the component, nulls apart (null if there is no other). Rows that share a doc_id are
-    documents of their own. Other columns are ignored. An empty table gives no rows.
-    """
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the steps give: a row for each row of ``docs`` with its set's key (n, d1, d2), and a row for each key but that of the empty set, with its component's root, smallest id and first text."""
     text = F.coalesce("text", F.lit(""))
     keyed = S.keyed(docs)
     sc = docs.sparkSession.sparkContext
@@ -319,8 +316,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot = np.sort(hot.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix binary, parity binary"), "sketch")
-    same = ["n", "d1", "d2"]
-    ids = written(sketch.filter("n > 0").groupBy(*same).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id")), "classes")
+    ids = written(sketch.filter("n > 0").groupBy(*SAME).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc", "text_hash")).alias("first")), "classes")
     classes = written(sketch.select("rid", "doc", "text_hash", "n", "least", "parity").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes")
     keys = sketch.agg(F.sum(F.octet_length("prefix") / 5)).first()[0] or 0
     buckets = max(1, -(-int(keys) // BUCKET_KEYS))
@@ -346,13 +342,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # 5. components
     roots = components(links)
-    labelled = ids.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(*same, "least_id", F.coalesce("root", "class").alias("root"))
+    labelled = ids.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(*SAME, "least_id", "first", F.coalesce("root", "class").alias("root"))
+    return sketch, labelled
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, an integer, and text).
+
+    A text with fewer than SHINGLE words is one shingle; one without words (or null) has none, is linked with nothing and is its own component.
+    component_id is the smallest doc_id of the component, nulls apart (null if there is no other). Rows that share a doc_id are
+    documents of their own. Other columns are ignored. An empty table gives no rows.
+    """
+    sketch, labelled = _joined(docs)
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least, "root").select(*same, "component_id")
-    out = sketch.select("doc_id", *same).join(named, same, "left")
+    named = labelled.join(least, "root").select(*SAME, "component_id")
+    out = sketch.select("doc_id", *SAME).join(named, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc and text_hash (as ``superkmers.keyed`` has them) of the first text of each component: that of the smallest doc_id, nulls last, then of the smallest hash.
+
+    Rows that share both are equal texts of one id; texts without words are in no component."""
+    return _joined(docs)[1].groupBy("root").agg(F.min("first").alias("first")).select("first.doc", "first.text_hash")
+
+
 def _windows(open_: DataFrame, links: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
     """4. Links between members of regions that may be linked though their pivots aren't."""
     roots = components(links)

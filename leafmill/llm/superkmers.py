@@ -270,10 +270,15 @@ def _joined(doc, th, at, count) -> pa.Table:
 Block = K.Block
 
 
+def row_key(doc_id: str) -> F.Column:
+    """An id as a long that is never null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc and text_hash, which tell documents apart even where ids are null or repeated, and the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(row_key("doc_id").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def half(text_hash) -> F.Column:

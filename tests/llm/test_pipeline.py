@@ -82,6 +82,21 @@ def test_stages(spark, unique, tmp_path):
         docs, before = out, ({} if name == "packing" else after)
 
 
+def test_one_row_of_each_component(spark, corpus, rows):
+    docs = corpus.select(*P.COLUMNS)
+    docs = written(docs.union(docs.filter("doc_id is null or doc_id % 2 = 0")).repartition(5), "twice")
+    every = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    words = {i: r for i, r in enumerate(every) if WORD.search(r.text or "")}
+    kept = plain_kept({i: r.text for i, r in words.items()})
+    got = P.near_duplicates(spark, docs, "").collect()
+    ids = Counter(r.doc_id for r in got)
+    assert ids == Counter(r.doc_id for i, r in enumerate(every) if i in kept or i not in words)
+    assert set(got) <= set(every)
+    # no two of those left are linked
+    left = {i: r.text for i, r in enumerate(got) if WORD.search(r.text or "")}
+    assert plain_kept(left) == set(left)
+
+
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
