@@ -43,11 +43,11 @@ def word_pens(words: DataFrame) -> DataFrame:
 
 
 def char_advances(words: DataFrame) -> DataFrame:
-    """A row per glyph of placeable words: from where it starts to where the next does; the first starts with the word, the last ends with it."""
-    each = words.filter(placeable(words)).select(*LINE, "word_no", "x1", "x2", "font", F.posexplode(F.split("content", "")).alias("char_no", "text")).filter("text <> ''")
-    start = lambda i: F.col("x1") + 10 * i
-    last = F.col("char_no") == F.floor((F.col("x2") - F.col("x1")) / 10) - 1
-    return each.select(*LINE, "word_no", "char_no", "text", "font", "x1", (F.when(last, F.col("x2")).otherwise(start(F.col("char_no") + 1)) - start(F.col("char_no"))).alias("advance"))
+    """A row per glyph of placeable words (with char_boxes): from where its box starts to where the next one's does; the first starts with the word, the last ends with it."""
+    start = lambda i: F.when(i == 0, F.col("x1")).otherwise(F.get("char_boxes", i).x1)
+    glyph = lambda c, i: F.struct(c.alias("text"), (F.when(i + 1 < F.size("char_boxes"), start(i + 1)).otherwise(F.col("x2")) - start(i)).alias("advance"))
+    glyphs = F.transform(F.filter(F.split("content", ""), lambda c: c != ""), glyph)
+    return words.filter(placeable(words)).select(*LINE, "word_no", "x1", "font", F.posexplode(glyphs).alias("char_no", "glyph")).select(*LINE, "word_no", "char_no", "glyph.text", "font", "x1", "glyph.advance")
 
 
 def glyph_pens(words: DataFrame, ascent: float = 0.0) -> DataFrame:

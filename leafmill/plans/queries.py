@@ -53,6 +53,11 @@ def _level(spark, d) -> DataFrame:
     return T.leveled_lines(_lined(spark, d))
 
 
+def _glyphed(spark, d) -> DataFrame:
+    """``_level`` with char boxes, added after the windows so that they needn't be sorted along."""
+    return _level(spark, d).withColumn("char_boxes", L.char_boxes())
+
+
 def _angles(spark, d) -> DataFrame:
     return _words(spark, d).select("page_id", F.col("angle_deg").alias("angle"), F.col("n_chars").alias("weight"))
 
@@ -250,12 +255,12 @@ def word_pen(spark, d):
 
 @query
 def char_advance(spark, d):
-    return T.char_advances(_level(spark, d)).select(*WORD_ID, "char_no", F.col("advance").cast("int").alias("advance"))
+    return T.char_advances(_glyphed(spark, d)).select(*WORD_ID, "char_no", F.col("advance").cast("int").alias("advance"))
 
 
 @query
 def rotated_pen(spark, d):
-    return T.glyph_pens(_level(spark, d)).select(*WORD_ID, "char_no", F.round("x", 4).alias("x"), level_only(F.col("y")).alias("y"))
+    return T.glyph_pens(_glyphed(spark, d)).select(*WORD_ID, "char_no", F.round("x", 4).alias("x"), level_only(F.col("y")).alias("y"))
 
 
 @query
@@ -270,7 +275,7 @@ def page_text(spark, d):
 
 @query
 def text_layer(spark, d):
-    t = T.text_layer(_level(spark, d))
+    t = T.text_layer(_glyphed(spark, d))
     return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") < 0, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.max("stretch"), 3).alias("stretch"))
 
 

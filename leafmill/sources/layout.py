@@ -39,15 +39,19 @@ def line_boxes(word: DataFrame) -> DataFrame:
 
 
 def with_lines(word: DataFrame) -> DataFrame:
-    """Words with their line's box (lx1, ly1, lx2, ly2) and baseline y (line_y), by a window on the page's exchange."""
+    """Words with their line's box (lx1, ly1, lx2, ly2) and baseline y (line_y), by a window on the page's exchange. Other columns stay, among them char_boxes, which glyphs are placed by."""
     line = W.partitionBy("page_id", "par_no", "line_no")
     return word.withColumns({"lx1": F.min("x1").over(line), "ly1": F.min("y1").over(line), "lx2": F.max("x2").over(line), "ly2": F.max("y2").over(line), "line_y": F.lit(-5.0)})
 
 
+def char_boxes() -> F.Column:
+    """The char boxes of words without their own: every char is 10 wide."""
+    return F.when(F.col("n_chars") > 0, F.transform(F.sequence(F.lit(0), F.col("n_chars") - 1), lambda i: F.struct((F.col("x1") + 10 * i).alias("x1"), F.col("y1").alias("y1"), (F.col("x1") + 10 * i + 10).alias("x2"), F.col("y2").alias("y2"))))
+
+
 def structured(word: DataFrame) -> DataFrame:
     """Words as the canonical ocr_word table has them, with the line's box and char boxes."""
-    chars = F.when(F.col("n_chars") > 0, F.transform(F.sequence(F.lit(0), F.col("n_chars") - 1), lambda i: F.struct((F.col("x1") + 10 * i).alias("x1"), F.col("y1").alias("y1"), (F.col("x1") + 10 * i + 10).alias("x2"), F.col("y2").alias("y2"))))
-    return with_lines(word).select("page_id", "par_no", "line_no", "word_no", box("x1", "y1", "x2", "y2").alias("box"), F.struct(F.lit(0.0).alias("x"), ((F.col("y2") - F.col("ly2")) + F.col("line_y") + F.tan(F.radians("angle_deg")) * (F.col("x1") - F.col("lx1"))).alias("y"), F.radians("angle_deg").alias("angle")).alias("baseline"), "confidence", "font_size", "content", chars.alias("char_boxes"), box("lx1", "ly1", "lx2", "ly2").alias("line_box"), F.struct(F.lit(0.0).alias("x"), F.col("line_y").alias("y"), F.radians("angle_deg").alias("angle")).alias("line_baseline"))
+    return with_lines(word).select("page_id", "par_no", "line_no", "word_no", box("x1", "y1", "x2", "y2").alias("box"), F.struct(F.lit(0.0).alias("x"), ((F.col("y2") - F.col("ly2")) + F.col("line_y") + F.tan(F.radians("angle_deg")) * (F.col("x1") - F.col("lx1"))).alias("y"), F.radians("angle_deg").alias("angle")).alias("baseline"), "confidence", "font_size", "content", char_boxes().alias("char_boxes"), box("lx1", "ly1", "lx2", "ly2").alias("line_box"), F.struct(F.lit(0.0).alias("x"), F.col("line_y").alias("y"), F.radians("angle_deg").alias("angle")).alias("line_baseline"))
 
 
 def fragments(word: DataFrame) -> DataFrame:

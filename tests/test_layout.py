@@ -11,6 +11,7 @@ from leafmill.operators import angles as A
 from leafmill.operators import blur as B
 from leafmill.operators import hierarchy as H
 from leafmill.operators import reading_order as R
+from leafmill.operators import textlayer as T
 from leafmill.sources import hocr, layout
 
 
@@ -150,3 +151,21 @@ def test_reading_order_is_a_permutation_and_sorts_columns(spark):
     frag = layout.fragments(layout.words(docs))
     places = R.sorted_lines(frag).groupBy("page_id", "par_no").agg(F.array_sort(F.collect_list("place")).alias("p"), F.count("*").alias("n")).collect()
     assert all(r.p == list(range(r.n)) for r in places)
+
+
+def test_glyphs_of_unequal_widths(spark):
+    edges = {"Wil": [30, 52, 57, 63], "mm": [70, 91, 108]}
+    char = lambda a, b, c: f'<span class="ocrx_cinfo" title="x_bboxes {a} 10 {b} 30">{c}</span>'
+    spans = "".join(f'<span class="ocrx_word" title="bbox {e[0]} 10 {e[-1]} 30; x_wconf 90">' + "".join(char(a + (i > 0), b, c) for i, (a, b, c) in enumerate(zip(e, e[1:], w, strict=False))) + "</span>" for w, e in edges.items())
+    text = f'<html><body><div class="ocr_page"><div class="ocr_carea"><p class="ocr_par"><span class="ocr_line" title="bbox 30 10 108 30; baseline 0 -4; x_size 20">{spans}</span></p></div></div></body></html>'
+    words = hocr.words(hocr.parsed(spark.createDataFrame([(1, text)], "page_id int, content string")), "page_id")
+    flat = words.select("page_id", "par_no", "line_no", "word_no", "box.*", F.degrees("baseline.angle").alias("angle_deg"), F.col("baseline.angle").alias("angle"), F.col("baseline.y").alias("word_y"), "font_size", "content", "char_boxes", F.size("char_boxes").alias("n_chars"))
+    level = T.leveled_lines(layout.with_lines(flat)).cache()
+    starts = {w: [e[0], *(x + 1 for x in e[1:-1]), e[-1]] for w, e in edges.items()}
+    want = {w: [b - a for a, b in zip(x, x[1:], strict=False)] for w, x in starts.items()}
+    got = [(r.word_no, r.char_no, r.text, r.advance) for r in T.char_advances(level).collect()]
+    assert sorted(got) == [(n, i, w[i], x) for n, w in enumerate(edges) for i, x in enumerate(want[w])]
+    pens = {(r.word_no, r.char_no): r.x for r in T.glyph_pens(level).collect()}
+    assert pens == {(n, i): x for n, w in enumerate(edges) for i, x in enumerate(starts[w][:-1])}
+    font = level.first().font
+    assert {(r.word_no, r.char_no): r.stretch for r in T.text_layer(level).collect()} == pytest.approx({(n, i): 100 * x / (font / 2) for n, w in enumerate(edges) for i, x in enumerate(want[w])}, abs=1e-5)
