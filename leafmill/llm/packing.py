@@ -142,10 +142,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
     """``pieces`` (length; other columns stay) with sequence_id and offset: each piece's place, gapless from 0 in its sequence.
 
     Within a shard longer pieces come first; ties are in order of key and piece. No rows give no rows. The pieces are
-    checkpointed once, so that counting them does not tokenise them again. Columns named sequence_id or offset are replaced.
+    checkpointed once, so that counting them does not tokenise them again, with a number for each row, so that rows of one key are dealt to all shards. Columns named sequence_id or offset are replaced.
     """
-    pieces = pieces.drop("sequence_id", "offset").checkpoint()
-    shards = max(1, -(-pieces.count() // shard_pieces))
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
@@ -155,7 +154,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
         sequence, offset = sum_of_squares(table["length"].to_numpy(), length)
         return table.append_column("sequence_id", pa.array(sequence + (shard[0].as_py() << 40))).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)))
+    pieces = pieces.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    dealt = pieces.select(*names, F.pmod(F.xxhash64(key, "piece", "_row"), F.lit(shards)).alias("_shard"))
     return dealt.groupBy("_shard").applyInArrow(place, schema)
 
 

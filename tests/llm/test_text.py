@@ -185,6 +185,14 @@ def test_packing(spark, corpus):
     assert packing.pack(packing.token_pieces(corpus.limit(0), path)).count() == 0
 
 
+def test_pieces_of_one_key_are_dealt_to_all_shards(spark):
+    checkpoint_dir(spark)
+    pieces = spark.range(1000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1 + id % 9 as length", "7L as ids_crc32")
+    shard = Counter(r.sequence_id >> 40 for r in packing.pack(pieces, shard_pieces=50).collect())
+    assert sum(shard.values()) == 1000
+    assert len(shard) == 20 and max(shard.values()) <= 100
+
+
 def test_packing_is_tight():
     sizes = np.sort(np.random.default_rng(0).integers(1, 1500, 4000))[::-1]
     sequence, _ = packing.sum_of_squares(sizes, 2048)
