@@ -1,18 +1,20 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-The distance 1 - |x & y| / |x | y| is a metric. Most texts are at distance 1 from each other, so pivots drawn at random
-would part nothing: pivots are instead drawn where texts are alike (the first of each group that shares a minimum hash),
-and distances are measured exactly. The steps:
+Texts x and y link when 1 - |x & y| / |x | y| is 0.2 at most. Then the sets differ in a quarter of the shingles of either at
+most, and |x ^ y|, the count of shingles that only one has, is a metric too; a parity map (the parity of a set's shingles on each of some
+bits) bounds it from below, and the Hamming distance of maps is itself a metric. The steps:
 
 1. Texts with equal sets form a class; all else runs on classes.
-2. Voronoi regions: a class belongs to the nearest pivot at most 0.2 away (so linked with it), else to itself; a region's
-   radius is the largest distance of its members.
-3. Two linked classes share a shingle among the first fifth of either's set, in any one order of all shingles; the order
-   puts shingles of many texts last. Regions whose members share such a shingle, and whose pivots' parity maps don't rule it out, are measured, pivot to pivot. If the pivots
-   are linked, so are the regions; if they are further apart than both radii and 0.2, by the triangle inequality no members are
-   linked.
-4. Regions in between that aren't connected yet are joined recursively: each member within the other region's radius and 0.2 of
-   the other pivot (the window) is replicated to it, and the windows are joined as regions of their own, of radius 0.
+2. Two linked classes share a shingle among the first fifth of either's set, in any one order of all shingles; the order puts
+   shingles of many texts last. Most texts are as far from each other as can be, so pivots are drawn where texts meet: each shared
+   shingle names one of its classes, and a class takes the pivot that its shingles name most, if their maps are near. That
+   makes Voronoi regions of near copies; a class without a pivot near is a region of its own.
+3. Windows: a class that shares such a shingle with another region is replicated to it, unless by the triangle inequality (the map
+   distance to its pivot is above the region's radius and what links may differ by) it has no link there.
+4. Regions are joined exactly, each in a task, from whole sets; of a region's links those come out that connect it, so what comes
+   out never outgrows what goes in. Regions too large for a task are parted around their pivot: members linked with it are connected
+   already, only those further out but within twice the limit (the window) can have links to them, and the outer part is joined
+   recursively around a pivot of its own.
 5. Links connect classes to components.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +35,24 @@ from .shared import written
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-LIMIT = 1 - PERCENT / 100
 #: What tells sets apart: size and two digests.
 SAME = ["n", "d1", "d2"]
-#: Minimum hashes of a set; the first PIVOT_GROUPS choose pivots, and a pivot is measured if AGREE of all agree.
-HASHES, PIVOT_GROUPS, AGREE = 8, 4, 3
 #: Shingles that come last in the order: of the texts of a task's chunk at least HOT_CHUNK have it, of all at least HOT_ALL; HOT_MOST at most. It only decides the order.
 HOT_CHUNK, HOT_ALL, HOT_MOST = 3, 24, 1 << 20
 CHUNK = 3_000_000
-#: Bytes of keys per bucket of step 3.
+#: Bytes of keys per bucket of step 2.
 BUCKET_KEYS = 400_000
-_SEEDS = K.mix(np.arange(1, HASHES + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SLACK = 1e-9
-#: Bits of a shingle's hash that travel as a key, and of the filter of texts to be fetched (2 MB); a full filter saves nothing, but loses nothing either.
-KEY_BITS, FILTER_BITS = 40, 24
-#: Bits of a set's parity map, a lower bound of how many shingles two sets don't share.
-MAP_BITS = 2048
+_SEEDS = K.mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bits of a shingle's hash that travel as a key.
+KEY_BITS = 40
+#: A class is in a pivot's region if their maps differ by this share of the smaller set at most. It only decides how well regions fit.
+NEAR = 0.5
+#: Regions that meet in one shingle beyond which its classes meet in a region of that shingle instead of in each other's.
+MEETING = 32
+#: Members and shingles of a region that a task joins; and how often a larger one is parted before its parts are joined pair by pair.
+REGION_ROWS, REGION_SHINGLES, ROUNDS = 4096, 2_000_000, 6
+#: Bits of the filter of texts to be fetched: 16 for each text, so many at most (16 MB); beyond that more texts pass, and none is lost.
+FILTER_BITS = 27
 
 
 def sets(block: K.Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +66,12 @@ def sets(block: K.Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.n
     if len(short):
         row = np.concatenate([row, short])
         value = np.concatenate([value, K.span_hash(K.running(hashes), words.first[short], words.first[short + 1])])
-    order = np.lexsort((value, row))
+    # by row and the upper bits first, which one sort of numbers does; equal there, yet not equal, is next to impossible
+    bits = np.uint64(max(1, block.n.bit_length()))
+    order = np.argsort(row.astype(np.uint64) << np.uint64(64) - bits | value >> bits)
+    same = (value[order[1:]] >> bits == value[order[:-1]] >> bits) & (row[order[1:]] == row[order[:-1]])
+    if (value[order[1:]] != value[order[:-1]])[same].any():
+        order = np.lexsort((value, row))
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
@@ -78,15 +88,17 @@ def _hot(batches):
     """Shingles that several texts of a chunk have, equal sets counted once."""
 
     def common(parts):
-        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        value = np.sort(np.concatenate(parts))
+        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        count = np.diff(np.append(head, len(value)))
         big = count >= HOT_CHUNK
-        return pa.RecordBatch.from_arrays([pa.array(K.as_long(value[big])), pa.array(count[big], pa.int64())], ["shingle", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(K.as_long(value[head[big]])), pa.array(count[big], pa.int64())], ["shingle", "n"])
 
     parts, held, seen = [], 0, np.zeros(0, np.uint64)
     for batch in batches:
         for block in K.blocks(K.column(batch, "text"), lower=True):
             row, value, begins = sets(block)
-            digest = _digests(value, begins, HASHES)
+            digest = _digests(value, begins, 0)
             fresh = np.zeros(block.n, bool)
             fresh[np.unique(digest, return_index=True)[1]] = True
             fresh &= ~np.isin(digest, seen)
@@ -96,7 +108,7 @@ def _hot(batches):
             if held > CHUNK:
                 yield common(parts)
                 parts, held, seen = [], 0, np.zeros(0, np.uint64)
-    if parts:
+    if held:
         yield common(parts)
 
 
@@ -105,149 +117,89 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (n * PERCENT + 99) // 100 + 1, 0)
 
 
-def _parity(row: np.ndarray, value: np.ndarray, n: int) -> list[bytes]:
-    """Per set the parity of how many shingles fall on each of MAP_BITS bits: bits that differ between two sets need a shingle that only one has."""
-    odd = np.bincount(row * MAP_BITS + (value % np.uint64(MAP_BITS)).astype(np.int64), minlength=n * MAP_BITS).astype(np.uint8) & 1
-    return [x.tobytes() for x in np.packbits(odd.reshape(n, MAP_BITS), axis=1)]
+def map_level(n: np.ndarray) -> np.ndarray:
+    """A set of n has a map of 2**level bits: two to four a shingle, within bounds."""
+    return np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 6, 17)
+
+
+def parity_maps(row: np.ndarray, value: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maps of sets, end to end, and where each begins (in bytes). A map of one bit less is its two halves, one upon the other."""
+    begins = np.concatenate([[0], np.cumsum(1 << level)])
+    bit = begins[row] + (value & ((1 << level[row]) - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=begins[-1]).astype(np.uint8) & 1), begins // 8
+
+
+def _folded(maps: np.ndarray, to: int) -> np.ndarray:
+    """Maps, one a row, of 2**to bits."""
+    while maps.shape[1] > (1 << to) // 8:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def map_distances(a: pa.Array, b: pa.Array, most: np.ndarray) -> np.ndarray:
+    """Hamming distances of pairs of maps, at the level of the smaller one and at ``most``."""
+    size = np.stack([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (a, b)]) * 8
+    kind = np.concatenate([np.log2(size).astype(np.int64), [most]])
+    out = np.zeros(len(a), np.int64)
+    sides = [x.to_pylist() for x in (a, b)]
+    distinct, back = np.unique(kind, axis=1, return_inverse=True)
+    for i, (ka, kb, to) in enumerate(distinct.T.tolist()):
+        at = np.flatnonzero(back.ravel() == i)
+        to = min(ka, kb, to)
+        left, right = (_folded(np.frombuffer(b"".join(side[j] for j in at.tolist()), np.uint8).reshape(len(at), -1), to) for side in sides)
+        out[at] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def differ(n: np.ndarray) -> np.ndarray:
+    """Most shingles by which a set linked with one of n differs from it: it is 20 % of the union, which is n / 0.8 at most."""
+    return n * (100 - PERCENT) // PERCENT
 
 
 def _sketch(shared):
-    """Of each set: size, digests, minimum hashes, and its first shingles in the common order."""
+    """Of each set: size, digests, its first shingles in the common order, and its map."""
 
     def run(batches):
         hot = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for block in K.blocks(K.column(batch, "text"), lower=True):
                 row, value, begins = sets(block)
-                out[5] += _parity(row, value, block.n)
                 n = np.diff(begins)
-                out[0].append(n)
-                out[1].append(_digests(value, begins, HASHES))
-                out[2].append(_digests(value, begins, HASHES + 1))
-                some = np.flatnonzero(n)
-                least = np.zeros((block.n, HASHES), np.uint64)
-                if len(some):
-                    for i in range(HASHES):
-                        least[some, i] = np.minimum.reduceat(K.mix(value ^ _SEEDS[i]), begins[some])
-                out[3].append(least)
                 late = np.zeros(len(value), np.int64)
                 if len(hot) and len(value):
                     at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
                     late = (hot[at] == value).astype(np.int64)
-                order = np.argsort(row * 2 + late, kind="stable")
                 size = prefix_size(n)
-                keep = np.arange(len(value)) - begins[row] < size[row]
-                out[4].append((value[order][keep] >> np.uint64(64 - KEY_BITS), size))
-            if not out[0]:
-                continue
-            n, d1, d2, least = (np.concatenate(x) for x in out[:4])
-            prefix, size = np.concatenate([p for p, _ in out[4]]), np.concatenate([s for _, s in out[4]])
-            # keys as 5 bytes each: a false match costs a measurement, no more
-            raw = prefix.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            ends = (5 * np.concatenate([[0], np.cumsum(size)])).tolist()
-            arrays = [pa.array(n, pa.int64()), pa.array(K.as_long(d1)), pa.array(K.as_long(d2)), pa.FixedSizeListArray.from_arrays(pa.array(K.as_long(least.ravel())), HASHES).cast(pa.list_(pa.int64())), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array(out[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in ("rid", "doc_id", "doc", "text_hash")), *arrays], ["rid", "doc_id", "doc", "text_hash", "n", "d1", "d2", "least", "prefix", "parity"])
+                early = np.cumsum(1 - late)
+                early = early - np.concatenate([[0], early])[begins[:-1]][row]  # place among the row's early ones, from 1
+                count = np.bincount(row, 1 - late, block.n).astype(np.int64)
+                rank = np.where(late == 0, early - 1, count[row] + np.arange(len(value)) - begins[row] - early)
+                keep = rank < size[row]
+                # keys as 5 bytes each: a false match costs a comparison, no more
+                raw = (value[keep] >> np.uint64(64 - KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                ends = (5 * np.concatenate([[0], np.cumsum(size)])).tolist()
+                maps, at = parity_maps(row, value, map_level(n))
+                maps, at = maps.tobytes(), at.tolist()
+                arrays = [pa.array(n, pa.int64()), pa.array(K.as_long(_digests(value, begins, 0))), pa.array(K.as_long(_digests(value, begins, 1))), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([maps[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())]
+                rest = [K.column(batch, c).slice(block.first, block.n) for c in ("rid", "doc_id", "doc", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*rest, *arrays], ["rid", "doc_id", "doc", "text_hash", *SAME, "prefix", "map"])
 
     return run
 
 
-def _measure(batches):
-    """Intersection and union of the sets of text_a and text_b."""
-    whole = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            found = []
-            for side in ("text_a", "text_b"):
-                text = pa.array([whole(x.as_buffer()) for x in K.column(part, side)], pa.large_binary())
-                found.append(sets(next(K.blocks(text, lower=True, limit=1 << 60))))
-            (row_a, a, from_a), (row_b, b, from_b) = found
-            salt = K.mix(np.arange(len(part), dtype=np.uint64) + np.uint64(7))
-            _, where, _ = np.intersect1d(a ^ salt[row_a], b ^ salt[row_b], assume_unique=True, return_indices=True)
-            both = np.bincount(row_a[where], minlength=len(part))
-            total = np.diff(from_a) + np.diff(from_b) - both
-            rest = [i for i, c in enumerate(part.schema.names) if not c.startswith("text_")]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(both, pa.int64()), pa.array(total, pa.int64())], [*(part.schema.names[i] for i in rest), "shared", "total"])
-
-
-def _bounded(batches):
-    """Pairs whose parity maps allow their sets to be within ``within`` of each other: a distance of d leaves d * (n_a + n_b) / (2 - d) shingles unshared."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(K.column(batch, c).to_pylist()), np.uint8).reshape(-1, MAP_BITS // 8) for c in ("map_a", "map_b"))
-        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-        d = np.minimum(K.column(batch, "within").to_numpy(), 1.0)
-        keep = apart <= d * K.column(batch, "size").to_numpy() / (2 - d) + _SLACK
-        out = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([K.column(out, "a"), K.column(out, "b")], ["a", "b"])
-
-
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, within) that may be within that distance, by their parity maps alone; written."""
-    side = lambda x: classes.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"map_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "within", (F.col("n_a") + F.col("n_b")).alias("size"), "map_a", "map_b")
-    return written(both.mapInArrow(K.tidy(_bounded), "a long, b long"), "possible")
-
-
-def _filter(need: DataFrame):
-    """The text hashes of ``need`` as a Bloom filter of fixed size, broadcast; two probes a hash."""
-    at = [F.col("text_hash").bitwiseAND((1 << FILTER_BITS) - 1), F.shiftrightunsigned("text_hash", 64 - FILTER_BITS)]
-    bits = need.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    return need.sparkSession.sparkContext.broadcast(words)
-
-
-def _needed(shared):
-    """Compressed texts of the rows whose hash passes the filter."""
-
-    def run(batches):
-        words, one = shared.value, np.uint64(1)
-        for batch in batches:
-            th = K.column(batch, "text_hash").to_numpy().view(np.uint64)
-            keep = np.ones(len(th), bool)
-            for at in (th & np.uint64((1 << FILTER_BITS) - 1), th >> np.uint64(64 - FILTER_BITS)):
-                keep &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & one).astype(bool)
-            yield from S._zip([batch.filter(pa.array(keep))])
-
-    return run
-
-
-def _measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with shared, total and distance, from the texts of the classes; written."""
-    need = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(classes.select("rid", "doc", "text_hash"), "rid")
-    need = written(need, "need")
-    texts = docs.select("doc", "text_hash", "text").mapInArrow(K.tidy(_needed(_filter(need))), "doc long, text_hash long, text binary").join(need, ["doc", "text_hash"]).select("rid", "text")
-    both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    out = both.select("a", "b", "text_a", "text_b").mapInArrow(K.tidy(_measure), "a long, b long, shared long, total long")
-    return written(out.withColumn("distance", 1 - F.col("shared") / F.col("total")), "measured")
-
-
-LINKED = f"100 * shared >= {PERCENT} * total"
-
-
-def _pivot_pairs(classes: DataFrame) -> DataFrame:
-    """Classes with the first of each group that shares a minimum hash, if enough of their minimum hashes agree."""
-    each = classes.select("rid", "least", F.posexplode(F.slice("least", 1, PIVOT_GROUPS)).alias("i", "hash"))
-    # whole rows of a group's first come through a small aggregate, not a window over the group
-    first = each.groupBy("i", "hash").agg(F.min(F.struct("rid", "least")).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    pairs = each.join(first, ["i", "hash"]).filter(F.col("rid") != F.col("p.rid"))
-    agree = F.size(F.filter(F.zip_with("least", "p.least", lambda x, y: x == y), lambda t: t))
-    return pairs.filter(agree >= AGREE).select(F.col("rid").alias("a"), F.col("p.rid").alias("b")).distinct()
-
-
 def _deal(buckets: int):
     """The keys of classes, as blobs by bucket."""
 
     def flush(parts):
-        key, region, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        key, rid, home, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((key, bucket))
-        key, region, n, bucket = key[order], region[order], n[order], bucket[order]
+        key, rid, home, n, bucket = key[order], rid[order], home[order], n[order], bucket[order]
         names, head = np.unique(bucket, return_index=True)
         for b, x, y in zip(names, head, np.append(head[1:], len(bucket)), strict=True):
             step = np.diff(np.concatenate([[np.uint64(0)], key[x:y]]))  # sorted keys go as steps
-            blob = S.packed(step, region[x:y], n[x:y].astype(np.int32))
+            blob = S.packed(step, rid[x:y], home[x:y] - rid[x:y], n[x:y].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     def run(batches):
@@ -258,8 +210,7 @@ def _deal(buckets: int):
             raw = np.frombuffer(b"".join(prefix), np.uint8).reshape(-1, 5)
             key = np.zeros((len(raw), 8), np.uint8)
             key[:, :5] = raw
-            key = key.view(np.uint64).ravel()
-            parts.append((key, np.repeat(K.column(batch, "region").to_numpy(), size), np.repeat(K.column(batch, "n").to_numpy(), size)))
+            parts.append((key.view(np.uint64).ravel(), *(np.repeat(K.column(batch, c).to_numpy(), size) for c in ("rid", "home", "n"))))
             held += len(key)
             if held > CHUNK:
                 yield from flush(parts)
@@ -270,44 +221,303 @@ def _deal(buckets: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of regions with members that share a key and are near enough in size."""
+def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A bucket's keys, classes, homes and sizes, by key and size: those with a neighbour in the same key that is near enough in size, as others have no link there."""
     blobs = [S.unpacked(b.as_py()) for b in table["blob"]]
     key = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
-    region, n = (np.concatenate([b[i] for b in blobs]) for i in (1, 2))
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    keep = times[back] > 1
-    key, region, n = back[keep], region[keep], n[keep].astype(np.int64)
-    order = np.lexsort((n, region, key))
-    key, region, n = key[order], region[order], n[order]
+    rid, home = np.concatenate([b[1] for b in blobs]), np.concatenate([b[1] + b[2] for b in blobs])
+    n = np.concatenate([b[3] for b in blobs]).astype(np.int64)
+    order = np.lexsort((n, key))
+    key, rid, home, n = key[order], rid[order], home[order], n[order]
+    pair = (key[1:] == key[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+    keep = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
+    return key[keep], rid[keep], home[keep], n[keep]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each comes."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = np.flatnonzero(new)
+    return a[head], b[head], np.diff(np.append(head, len(a)))
+
+
+def _votes(table: pa.Table) -> pa.Table:
+    """How many of a class's keys name which class as pivot: of each key, that of the smallest hash."""
+    key, rid, _, _ = _entries(table)
+    order = np.lexsort((K.mix(rid.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), key))
+    key, rid = key[order], rid[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    named = rid[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else rid
+    rid, named, votes = _distinct(rid, named)
+    return pa.table([pa.array(rid), pa.array(named), pa.array(votes, pa.int64())], ["rid", "named", "votes"])
+
+
+def _windows(meeting: int):
+    """Regions other than its own that a class meets in a key, of each two the larger's class going to the smaller; where more than ``meeting`` meet, all go to a region of the key."""
+    return lambda table: _meet(table, meeting)
+
+
+def _meet(table: pa.Table, meeting: int) -> pa.Table:
+    key, rid, home, n = _entries(table)
+    order = np.lexsort((n, home, key))
+    key, rid, home, n = key[order], rid[order], home[order], n[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (region[1:] != region[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1])
     head = np.flatnonzero(new)
-    least, most = (n[head], n[np.append(head[1:], len(n)) - 1]) if len(n) else (n, n)
-    key, region = key[head], region[head]
-    found = [np.zeros((2, 0), np.int64)]
+    size = np.diff(np.append(head, len(key)))
+    least, most = (n[head], n[head + size - 1]) if len(n) else (n, n)
+    keys, homes = key[head], home[head]
+    _, back, regions = np.unique(keys, return_inverse=True, return_counts=True)
+    crowd = regions[back] > meeting if len(keys) else np.zeros(0, bool)
+    own = np.repeat(crowd, size)
+    found = [(rid[own], -1 - key[own].view(np.int64))]
+    open_ = np.flatnonzero(~crowd)
     gap = 1
-    while True:  # each entry with the one ``gap`` further on in the same key
-        left = np.flatnonzero(key[gap:] == key[:-gap]) if gap < len(key) else []
-        if not len(left):
+    while gap < meeting and gap < len(open_):  # each region with the one ``gap`` further on in the same key
+        a, b = open_[:-gap], open_[gap:]
+        keep = (keys[a] == keys[b]) & (100 * most[a] >= PERCENT * least[b]) & (100 * most[b] >= PERCENT * least[a])
+        if not (keys[a] == keys[b]).any():
             break
-        right = left + gap
-        near = (100 * most[left] >= PERCENT * least[right]) & (100 * most[right] >= PERCENT * least[left])
-        found.append(np.stack([region[left[near]], region[right[near]]]))
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+        a, b = a[keep], b[keep]
+        member = np.repeat(head[b] - (np.cumsum(size[b]) - size[b]), size[b]) + np.arange(size[b].sum())
+        to = np.repeat(a, size[b])
+        fits = (100 * most[to] >= PERCENT * n[member]) & (100 * n[member] >= PERCENT * least[to])
+        found.append((rid[member[fits]], homes[to[fits]]))
+        if len(found) > 8:
+            found = [_distinct(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))[:2]]
         gap += 1
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.table([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+    rid, region, _ = _distinct(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+    return pa.table([pa.array(rid), pa.array(region)], ["rid", "region"])
+
+
+def _near(batches):
+    """Classes whose map is near that of the pivot they name: with the distance, and the smaller level."""
+    for batch in batches:
+        far = map_distances(K.column(batch, "map"), K.column(batch, "pivot_map"), np.full(len(batch), 99))
+        n, pivot_n = K.column(batch, "n").to_numpy(), K.column(batch, "pivot_n").to_numpy()
+        keep = far <= NEAR * np.minimum(n, pivot_n)
+        out = batch.filter(pa.array(keep))
+        level = np.minimum(map_level(n), map_level(pivot_n))[keep]
+        yield pa.RecordBatch.from_arrays([K.column(out, "rid"), K.column(out, "pivot"), pa.array(far[keep]), pa.array(level)], ["rid", "pivot", "far", "level"])
+
+
+def _inside(batches):
+    """Windows whose class may, by the triangle inequality, have a link in the region."""
+    for batch in batches:
+        far = map_distances(K.column(batch, "map"), K.column(batch, "pivot_map"), K.column(batch, "level").to_numpy())
+        n, pivot_n, radius = (K.column(batch, c).to_numpy() for c in ("n", "pivot_n", "radius"))
+        alone = (100 - PERCENT) * (n + pivot_n) // (100 + PERCENT)  # of two sets: 20 % of the union, which is less than their sum by the other 80 %
+        keep = far <= np.where(radius >= 0, radius + differ(n), alone)
+        out = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([K.column(out, "rid"), K.column(out, "region")], ["rid", "region"])
+
+
+def _shares(value: np.ndarray, begins: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """How many shingles set i shares with each of the others."""
+    own = value[begins[i] : begins[i + 1]]
+    size = begins[others + 1] - begins[others]
+    ends = np.cumsum(size)
+    them = value[np.repeat(begins[others] - (ends - size), size) + np.arange(ends[-1])]
+    hit = own[np.minimum(np.searchsorted(own, them), len(own) - 1)] == them
+    return np.add.reduceat(hit.astype(np.int64), ends - size)
+
+
+def region_links(value: np.ndarray, begins: np.ndarray, own: np.ndarray, home: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect a region's members, by place: of those that are ``own`` (which come first), with each other and with the rest, where ``home`` differs.
+    ``part``: members known to be connected have equal numbers."""
+    m = len(own)
+    n = begins[1:] - begins[:-1]
+    links: list[tuple[int, int]] = []
+    part = np.unique(part, return_inverse=True)[1]
+    maps = None
+    if m > 4:
+        level = int(map_level(n).min())
+        raw, _ = parity_maps(np.repeat(np.arange(m), n), value, np.full(m, level))
+        maps = raw.reshape(m, -1).view(np.uint64)
+    for i in range(min(m - 1, int(own.sum()))):
+        others = np.arange(i + 1, m)
+        others = others[(part[others] != part[i]) & (home[others] != home[i])]
+        others = others[(100 * n[others] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[others])]
+        if maps is not None and len(others):
+            far = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            others = others[far * (100 + PERCENT) <= (100 - PERCENT) * (n[others] + n[i])]
+        # one of each part is enough where it links; so a part goes once it does
+        while len(others):
+            now, others = others[:256], others[256:]
+            both = _shares(value, begins, i, now)
+            for j in now[100 * both >= PERCENT * (n[now] + n[i] - both)].tolist():
+                if part[j] != part[i]:
+                    links.append((i, j))
+                    part[part == part[j]] = part[i]
+            others = others[part[others] != part[i]]
+        if (part == part[0]).all():
+            break
+    return links
+
+
+def _join(batches):
+    """Links of regions; the rows come by region, those that are own first."""
+    whole = zstandard.ZstdDecompressor().decompress
+
+    def joined(table: pa.Table):
+        out = [[], []]
+        region = table["region"].to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        tail = np.append(head[1:], len(region))
+        size = table["n"].to_numpy()
+        rid, own, home, part = (table[c].to_numpy() for c in ("rid", "own", "home", "part"))
+        done = 0
+        while done < len(head):  # regions together, up to a bound of shingles
+            upto = done + 1
+            total = size[head[done] : tail[done]].sum()
+            while upto < len(head) and total + size[head[upto] : tail[upto]].sum() < 500_000:
+                total += size[head[upto] : tail[upto]].sum()
+                upto += 1
+            a, b = head[done], tail[upto - 1]
+            text = pa.array([whole(x.as_buffer()) for x in table["text"].slice(a, b - a)], pa.large_binary())
+            _, value, begins = sets(next(K.blocks(text, lower=True, limit=1 << 60)))
+            for x, y in zip(head[done:upto], tail[done:upto], strict=True):
+                if y - x < 2:
+                    continue
+                v = begins[x - a : y - a + 1]
+                for i, j in region_links(value[v[0] : v[-1]], v - v[0], own[x:y], home[x:y], part[x:y]):
+                    out[0].append(rid[x + i])
+                    out[1].append(rid[x + j])
+            done = upto
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = K.column(batch, "region")[-1].as_py()
+        region = K.column(batch, "region").to_numpy()
+        open_from = int(np.searchsorted(region == last, True))
+        if open_from or (held and K.column(held[-1], "region")[-1].as_py() != last):
+            held.append(batch.slice(0, open_from))
+            yield joined(pa.Table.from_batches([h for h in held if len(h)]))
+            held = []
+        held.append(batch.slice(open_from))
+    if held:
+        yield joined(pa.Table.from_batches(held))
+
+
+def _measure(batches):
+    """Shared shingles and union of text and pivot_text."""
+    whole = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            found = [sets(next(K.blocks(pa.array([whole(x.as_buffer()) for x in K.column(part, side)], pa.large_binary()), lower=True, limit=1 << 60))) for side in ("text", "pivot_text")]
+            (row_a, a, from_a), (row_b, b, from_b) = found
+            salt = K.mix(np.arange(len(part), dtype=np.uint64) + np.uint64(7))
+            _, where, _ = np.intersect1d(a ^ salt[row_a], b ^ salt[row_b], assume_unique=True, return_indices=True)
+            both = np.bincount(row_a[where], minlength=len(part))
+            rest = [i for i, c in enumerate(part.schema.names) if c != "pivot_text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(both, pa.int64()), pa.array(np.diff(from_a) + np.diff(from_b) - both, pa.int64())], [*(part.schema.names[i] for i in rest), "shared", "total"])
+
+
+def _filter(need: DataFrame, texts: int):
+    """The text hashes of ``need`` as a Bloom filter, broadcast; two probes a hash."""
+    bits = min(FILTER_BITS, max(16, int(16 * texts).bit_length()))
+    at = [F.col("text_hash").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("text_hash", 64 - bits)]
+    found = need.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return need.sparkSession.sparkContext.broadcast((bits, words))
+
+
+def _needed(shared):
+    """Compressed texts of the rows whose hash passes the filter."""
 
+    def run(batches):
+        (bits, words), one = shared.value, np.uint64(1)
+        for batch in batches:
+            th = K.column(batch, "text_hash").to_numpy().view(np.uint64)
+            keep = np.ones(len(th), bool)
+            for at in (th & np.uint64((1 << bits) - 1), th >> np.uint64(64 - bits)):
+                keep &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & one).astype(bool)
+            yield from S._zip([batch.filter(pa.array(keep))])
 
-def _meetings(members: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
-    """``members`` (rid, region) -> distinct pairs (a, b) of regions to be measured, a < b; written."""
-    dealt = sketch.select("rid", "n", "prefix").join(members.select("rid", "region"), "rid").select("region", "n", "prefix").mapInArrow(K.tidy(_deal(buckets)), "bucket long, blob binary")
-    return written(dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "meetings")
+    return run
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+LINKED = f"100 * shared >= {PERCENT} * total"
+_MEMBER = "region long, rid long, own boolean, home long, part long, n long"
+
+
+def _parts(df: DataFrame, total: int) -> int:
+    """Partitions for so many shingles."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // REGION_SHINGLES))
+
+
+def _joined_regions(members: DataFrame, total: int) -> DataFrame:
+    """``members`` (of _MEMBER, and text) -> links (a, b)."""
+    dealt = members.repartition(_parts(members, total), "region").sortWithinPartitions("region", F.desc("own"), "rid")
+    return dealt.mapInArrow(K.tidy(_join), "a long, b long")
+
+
+def _too_large(region_rows: int) -> F.Column:
+    return (F.col("rows") > region_rows) | (F.col("shingles") > REGION_SHINGLES)
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.max("own").alias("any"))
+
+
+def _chunks(prefix: str, region_rows: int) -> F.Column:
+    """Parts of a side, half a task's bound each."""
+    return F.ceil(F.greatest(F.col(f"{prefix}rows") / (region_rows / 2), F.col(f"{prefix}shingles") / (REGION_SHINGLES / 2))).cast("int")
+
+
+def _parted(large: DataFrame, region_rows: int, rounds: int) -> DataFrame:
+    """Links of regions too large for a task; ``large`` as ``_joined_regions`` takes it, written."""
+    links = None
+    chunk = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n)
+    named = lambda *parts: -1 - F.shiftrightunsigned(F.xxhash64("region", *parts), 1)
+    for round_ in range(rounds):
+        # the pivot: a region's own, or else one of its own members by a hash; copies of its text go to all the tasks that measure
+        first = F.struct(~F.col("own"), F.col("rid") != F.col("region"), F.xxhash64("rid", F.lit(round_)))
+        pivot = large.groupBy("region").agg(F.min_by(F.struct("rid", "text"), first).alias("p"))
+        spread = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pivot = pivot.select("region", F.col("p.rid").alias("pivot"), F.col("p.text").alias("pivot_text"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+        both = large.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(spread)).cast("int")).join(pivot, ["region", "salt"]).drop("salt")
+        both = written(both.select(*large.columns, "pivot", "pivot_text").mapInArrow(K.tidy(_measure), f"{_MEMBER}, text binary, pivot long, shared long, total long"), "measured")
+        inner = F.expr(LINKED)
+        found = both.filter(inner & (F.col("rid") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
+        # outer members within twice the limit of the pivot may have links with inner ones: chunks of either side meet
+        limit = 2 * (1 - PERCENT / 100)
+        side = F.when(inner, "i").when(1 - F.col("shared") / F.col("total") <= limit + 1e-9, "w")
+        sides = both.withColumn("side", side)
+        size = sides.groupBy("region").pivot("side", ["i", "w"]).agg(F.count("rid").alias("rows"), F.sum("n").alias("shingles"))
+        size = size.select("region", _chunks("i_", region_rows).alias("ni"), _chunks("w_", region_rows).alias("nw")).filter("ni > 0 and nw > 0")
+        meet = sides.filter("side is not null").join(size, "region")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        meet = meet.withColumn("i", F.when(F.col("side") == "i", F.array(chunk(F.col("ni")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("i", F.explode("i"))
+        meet = meet.withColumn("w", F.when(F.col("side") == "w", F.array(chunk(F.col("nw")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nw") - 1))).withColumn("w", F.explode("w"))
+        meet = meet.select(named(F.lit(round_), "i", "w").alias("region"), "rid", (F.col("side") == "i").alias("own"), F.col("rid").alias("home"), F.when(F.col("side") == "i", F.col("pivot")).otherwise(F.col("rid")).alias("part"), "n", "text")
+        found = found.union(_joined_regions(meet, both.agg(F.sum("n")).first()[0] or 0))
+        # the outer part goes on by itself
+        outer = both.filter(~inner).select(*large.columns).withColumn("region", named(F.lit(round_)))
+        size = _sizes(outer).filter("rows > 1 and any")
+        outer = written(outer.join(size.select("region", _too_large(region_rows).alias("large")), "region"), "outer")
+        found = found.union(_joined_regions(outer.filter("not large").drop("large"), outer.agg(F.sum("n")).first()[0] or 0))
+        links = written(found if links is None else links.union(found), "links")
+        large = outer.filter("large").drop("large")
+        if large.isEmpty():
+            return links
+    # what no pivot parts: chunk by chunk, each pair of chunks a region
+    size = _sizes(large).select("region", _chunks("", region_rows).alias("parts"))
+    each = large.join(size, "region").withColumn("x", chunk(F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = each.select(named(F.least("x", "y"), F.greatest("x", "y")).alias("region"), "rid", F.lit(True).alias("own"), F.col("rid").alias("home"), "part", "n", "text")
+    return links.union(_joined_regions(pair, each.agg(F.sum("n")).first()[0] or 0))
+
+
+def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEETING, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """What the steps give: a row for each row of ``docs`` with its set's key (n, d1, d2), and a row for each key but that of the empty set, with its component's root, smallest id and first text."""
     text = F.coalesce("text", F.lit(""))
     keyed = S.keyed(docs)
@@ -315,30 +525,47 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = keyed.mapInArrow(K.tidy(_hot), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
     hot = np.sort(hot.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix binary, parity binary"), "sketch")
+    sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, prefix binary, map binary"), "sketch")
     ids = written(sketch.filter("n > 0").groupBy(*SAME).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc", "text_hash")).alias("first")), "classes")
-    classes = written(sketch.select("rid", "doc", "text_hash", "n", "least", "parity").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes")
-    keys = sketch.agg(F.sum(F.octet_length("prefix") / 5)).first()[0] or 0
+    classes = written(sketch.select("rid", "doc", "text_hash", "n", "prefix", "map").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes")
+    keys = classes.agg(F.sum(F.octet_length("prefix") / 5)).first()[0] or 0
     buckets = max(1, -(-int(keys) // BUCKET_KEYS))
+    dealt = lambda df: df.select("rid", "home", "n", "prefix").mapInArrow(K.tidy(_deal(buckets)), "bucket long, blob binary").groupBy("bucket")
 
     # 2. regions
-    near = _measured(_pivot_pairs(classes), classes, keyed).filter(LINKED)
-    pivots = near.select(F.col("b").alias("a")).distinct()
-    home = near.join(pivots, "a", "left_anti").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("p")).select(F.col("a").alias("rid"), F.col("p.b").alias("region"), F.col("p.distance").alias("distance"))
-    members = written(classes.select("rid").join(home, "rid", "left").select("rid", F.coalesce("region", "rid").alias("region"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "members")
-    radius = members.groupBy("region").agg(F.max("distance").alias("radius")).filter("radius > 0")
-
-    # 3. pairs of regions
-    side = lambda x: radius.select(F.col("region").alias(x), F.col("radius").alias(f"radius_{x}"))
-    reach = lambda df: df.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0.0, ["radius_a", "radius_b"])
-    met = reach(_meetings(members, sketch, buckets)).select("a", "b", (F.col("radius_a") + F.col("radius_b") + LIMIT + _SLACK).alias("within"))
-    measured = _measured(_possible(met, classes), classes, keyed)
-    links = near.select("a", "b").union(measured.filter(LINKED).select("a", "b"))
-    open_ = reach(measured.filter(f"not ({LINKED})"))
-    open_ = open_.filter((F.col("radius_a") + F.col("radius_b") > 0) & (F.col("distance") <= F.col("radius_a") + F.col("radius_b") + LIMIT + _SLACK))
-    open_ = written(open_.select("a", "b", "radius_a", "radius_b"), "open")
-    if not open_.isEmpty():
-        links = links.union(_windows(open_, links, members, classes, keyed, sketch, buckets))
+    votes = dealt(classes.withColumn("home", F.col("rid"))).applyInArrow(_votes, "rid long, named long, votes long")
+    votes = votes.groupBy("rid", "named").agg(F.sum("votes").alias("votes")).groupBy("rid").agg(F.max(F.struct("votes", "named")).named.alias("pivot"))
+    active = written(votes.join(classes.select("rid", "n", "map"), "rid"), "active")
+    pivots = active.select(F.col("rid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("map").alias("pivot_map"))
+    near = active.filter("rid <> pivot").join(pivots, "pivot").select("rid", "n", "map", "pivot", "pivot_n", "pivot_map")
+    near = written(near.mapInArrow(K.tidy(_near), "rid long, pivot long, far long, level long"), "near")
+    near = near.join(near.select(F.col("pivot").alias("rid")).distinct(), "rid", "left_anti")
+    homes = written(active.select("rid", "n").join(near, "rid", "left").select("rid", "n", F.coalesce("pivot", "rid").alias("home"), F.coalesce("far", F.lit(-1)).alias("far"), F.coalesce("level", F.lit(99)).alias("level")), "homes")
+    # a region of one has radius -1
+    radius = homes.groupBy(F.col("home").alias("region")).agg(F.max("far").alias("radius"), F.min("level").alias("level"))
+
+    # 3. windows
+    window = dealt(classes.select("rid", "prefix").join(homes, "rid")).applyInArrow(_windows(meeting), "rid long, region long").distinct()
+    window = written(window, "window")
+    bounds = radius.join(pivots.withColumnRenamed("pivot", "region"), "region")
+    inside = window.filter("region >= 0").join(active.select("rid", "n", "map"), "rid").join(bounds, "region").select("rid", "n", "map", "region", "pivot_n", "pivot_map", "radius", "level")
+    inside = inside.mapInArrow(K.tidy(_inside), "rid long, region long").union(window.filter("region < 0"))
+    guests = inside.join(homes.select("rid", "n", "home"), "rid").select("region", "rid", (F.col("region") < 0).alias("own"), F.when(F.col("region") < 0, F.col("home")).otherwise(F.col("rid")).alias("home"), F.col("rid").alias("part"), "n")
+    hosts = homes.select(F.col("home").alias("region"), "rid", F.lit(True).alias("own"), F.col("rid").alias("home"), F.col("rid").alias("part"), "n")
+    members = written(hosts.union(guests), "members")
+    size = _sizes(members).filter("rows > 1").select("region", _too_large(region_rows).alias("large"))
+    members = members.join(size, "region").join(classes.select("rid", "doc", "text_hash"), "rid")
+    members = written(members, "members")
+
+    # 4. links
+    need = members.select("doc", "text_hash").distinct()
+    some = members.agg(F.count_distinct("rid"), F.sum("n"), F.max("large")).first()
+    texts = keyed.mapInArrow(K.tidy(_needed(_filter(need, some[0]))), "doc long, text_hash long, text binary").dropDuplicates(["doc", "text_hash"])
+    members = members.join(texts, ["doc", "text_hash"]).select("region", "rid", "own", "home", "part", "n", "text", "large")
+    links = _joined_regions(members.filter("not large").drop("large"), some[1] or 0)
+    if some[2]:
+        links = links.union(_parted(written(members.filter("large").drop("large"), "large"), region_rows, rounds))
+    links = written(links, "links")
 
     # 5. components
     roots = components(links)
@@ -346,14 +573,14 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sketch, labelled
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, an integer, and text).
 
     A text with fewer than SHINGLE words is one shingle; one without words (or null) has none, is linked with nothing and is its own component.
     component_id is the smallest doc_id of the component, nulls apart (null if there is no other). Rows that share a doc_id are
-    documents of their own. Other columns are ignored. An empty table gives no rows.
+    documents of their own. Other columns are ignored. An empty table gives no rows. ``bounds``: region_rows, meeting and rounds, as the constants REGION_ROWS, MEETING and ROUNDS.
     """
-    sketch, labelled = _joined(docs)
+    sketch, labelled = _joined(docs, **bounds)
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(least, "root").select(*SAME, "component_id")
     out = sketch.select("doc_id", *SAME).join(named, SAME, "left")
@@ -367,32 +594,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     return _joined(docs)[1].groupBy("root").agg(F.min("first").alias("first")).select("first.doc", "first.text_hash")
 
 
-def _windows(open_: DataFrame, links: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, sketch: DataFrame, buckets: int) -> DataFrame:
-    """4. Links between members of regions that may be linked though their pivots aren't."""
-    roots = components(links)
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    left = open_.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    left = written(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")), "open")
-    if left.isEmpty():
-        return links.limit(0)
-    # members against the other pivot
-    inside = members.select("rid", "region")
-    one = left.join(inside.withColumnRenamed("region", "a"), "a").select(F.col("rid"), F.col("a").alias("own"), F.col("b").alias("other"), F.col("radius_b").alias("radius"))
-    two = left.join(inside.withColumnRenamed("region", "b"), "b").select(F.col("rid"), F.col("b").alias("own"), F.col("a").alias("other"), F.col("radius_a").alias("radius"))
-    reach = one.union(two)
-    near = reach.groupBy(F.col("rid").alias("a"), F.col("other").alias("b")).agg((F.max("radius") + LIMIT + _SLACK).alias("within"))
-    measured = _measured(_possible(near, classes), classes, docs)
-    window = measured.join(reach.select(F.col("rid").alias("a"), F.col("other").alias("b"), "own", "radius"), ["a", "b"]).filter(F.col("distance") <= F.col("radius") + LIMIT + _SLACK)
-    window = written(window.select(F.col("a").alias("rid"), "own", F.col("b").alias("other"), "shared", "total"), "window")
-    found = window.filter(LINKED).select(F.col("rid").alias("a"), F.col("other").alias("b"))
-    # the windows, as regions of radius 0
-    alone = window.select("rid", F.col("rid").alias("region")).distinct()
-    pairs = _meetings(alone, sketch, buckets)
-    at = lambda x: window.select(F.col("rid").alias(x), F.col("own").alias(f"own_{x}"), F.col("other").alias(f"other_{x}"))
-    pairs = pairs.join(at("a"), "a").join(at("b"), "b").filter("own_a = other_b and own_b = other_a").select("a", "b").distinct()
-    pairs = _possible(pairs.withColumn("within", F.lit(LIMIT + _SLACK)), classes)
-    return found.union(_measured(pairs, classes, docs).filter(LINKED).select("a", "b"))
-
-
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -44,7 +44,7 @@ def _structure(block: K.Block, words: K.Words, hashes: np.ndarray) -> np.ndarray
     starts = np.unique(np.concatenate([block.offsets[:-1][np.diff(block.offsets) > 0], breaks[breaks + 1 < len(block.data)] + 1])).astype(np.int64)
     ends = np.append(starts[1:], len(block.data))
     row = np.searchsorted(block.offsets, starts, "right") - 1
-    line = K.span_hash(K.running_bytes(block.data), starts, ends) ^ salt[row] if len(starts) else np.zeros(0, np.uint64)
+    line = K.string_hashes(block.data, starts, ends) ^ salt[row]
     once = np.bincount(row[np.unique(line, return_index=True)[1]], minlength=n) if len(starts) else np.zeros(n)
     first = block.data[words.start] if len(words.start) else np.zeros(0, np.uint8)
     capital = per((first >= 65) & (first <= 90))

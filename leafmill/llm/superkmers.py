@@ -147,7 +147,8 @@ def cut(source: Source, batches, hot: np.ndarray | None = None, texts: bool = Tr
                 if texts:
                     data, start, size = spans(first, length)
                     text = gather(data, start, size)
-                yield Cut(doc[row + block.first], th[row + block.first], first - heads[row], count, key, twice.astype(np.uint8), K.span_hash(sums, first, first + length), size, text)
+                content = _contents(text, size) if texts else K.span_hash(sums, first, first + length)  # without texts, only to count
+                yield Cut(doc[row + block.first], th[row + block.first], first - heads[row], count, key, twice.astype(np.uint8), content, size, text)
 
 
 def _hot(source: Source):
@@ -246,7 +247,7 @@ def _contents(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     for part in np.array_split(np.arange(len(size)), max(1, len(text) // K.BLOCK_BYTES)):
         if len(part):
             a, b = ends[part[0]] - size[part[0]], ends[part[-1]]
-            out.append(K.span_hash(K.running_bytes(text[a:b]), ends[part] - size[part] - a, ends[part] - a))
+            out.append(K.string_hashes(text[a:b], ends[part] - size[part] - a, ends[part] - a))
     return np.concatenate(out)
 
 
@@ -324,7 +325,4 @@ def covered_units(first: pa.ListArray, n: pa.ListArray, heads: np.ndarray, k: in
     """Which units the marked windows of a block's rows cover; ``heads``: first unit of each row."""
     size = first.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = first.flatten().to_numpy() + np.repeat(heads[: len(size)], size)
-    edge = np.zeros(units + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + n.flatten().to_numpy() + k - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return K.covered(units, start, n.flatten().to_numpy() + k - 1)

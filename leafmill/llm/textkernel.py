@@ -108,6 +108,37 @@ class Powers:
 _powers = Powers()
 
 
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer strings are hashed one by one, as weighed sums.
+LONG_STRING = 1024
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time go through ``mix``, or, in strings above LONG_STRING bytes, are each
+    weighed by a random number of their own place. Neither has powers of one base, so regular texts (such as Thue-Morse words) don't collide."""
+    size = end - start
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+    out = mix(out ^ eight[start] & _FIRST_BYTES[np.minimum(size, 8)])
+    live = np.flatnonzero((size > 8) & (size <= LONG_STRING))
+    done = 8
+    while len(live):
+        chunk = eight[start[live] + done] & _FIRST_BYTES[np.minimum(size[live] - done, 8)]
+        out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ chunk)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_STRING).tolist():
+        n = -(-int(size[i]) // 8)
+        words = np.zeros(8 * n, np.uint8)
+        words[: size[i]] = data[start[i] : end[i]]
+        place = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out[i] = mix(out[i : i + 1] ^ mix(words.view(np.uint64) ^ mix(place)).sum(keepdims=True))[0]
+    return out
+
+
 def running(values: np.ndarray) -> np.ndarray:
     """Prefix sums that give the hash of any span: see ``span_hash``."""
     up, _ = _powers.upto(len(values) + 1)
@@ -121,13 +152,14 @@ def running_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans: equal content and length give equal hashes wherever the span stands."""
+    """64-bit hashes of the spans: equal content and length give equal hashes wherever the span stands. For windows of a few units; long spans of
+    regular texts collide, so where a result rests on long spans it is ``string_hashes`` that tells them apart."""
     _, down = _powers.upto(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(block: Block, words: Words) -> np.ndarray:
-    return span_hash(running_bytes(block.data), words.start, words.end)
+    return string_hashes(block.data, words.start, words.end)
 
 
 def window_hashes(hashes: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +179,12 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def hash_text(text: str) -> int:
     """The hash of one word, as ``word_hashes`` has it."""
     data = np.frombuffer(text.encode(), np.uint8)
-    return int(span_hash(running_bytes(data), np.array([0]), np.array([len(data)]))[0])
+    return int(string_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
-def covered(n: int, start: np.ndarray, length: int) -> np.ndarray:
-    """Which of n places are covered by the spans of that length."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(start + length, n), -1)
+def covered(n: int, start: np.ndarray, length) -> np.ndarray:
+    """Which of n places are covered by the spans of that length (one for all, or one each)."""
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(np.minimum(start + length, n), minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 

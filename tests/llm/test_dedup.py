@@ -72,7 +72,8 @@ def test_prefix_doubling():
     assert sorted(found.values()) == sorted(v for v in windows.values() if len(v) > 1)
 
 
-def test_jaccard(corpus, rows):
+@pytest.mark.parametrize("bounds", [{}, {"meeting": 1}, {"region_rows": 4, "rounds": 1}, {"region_rows": 3, "meeting": 1, "rounds": 3}])
+def test_jaccard(corpus, rows, bounds):
     sets = []
     for r in rows:
         w = WORD.findall(low(r[1]))
@@ -92,7 +93,7 @@ def test_jaccard(corpus, rows):
         least[root(i)].append(r[0])
     least = {k: min((x for x in v if x is not None), default=None) for k, v in least.items()}
     want = sorted((str(r[0]), len(sets[i]), str(least[root(i)])) for i, r in enumerate(rows))
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(corpus).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(corpus, **bounds).collect())
     assert got == want
     assert len({g[2] for g in got}) < len(rows) - 12
 
