@@ -8,6 +8,8 @@ handful of part-filled sequences at most, so the number of shards, which grows w
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 
 import numpy as np
@@ -21,52 +23,154 @@ from . import textkernel as K
 LENGTH = 2048
 END_ID = 0
 SHARD_PIECES = 100_000
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+#: Units whose ids a Python worker remembers; beyond that it starts anew.
+CACHE_UNITS = 1_000_000
+#: New units are merged into the sorted ones when they are this share of them.
+MERGE_SHARE = 0.25
 TOKEN_BLOCK = 2 << 20
+#: Units that are encoded as one text.
+JOINED = 512
+
+# The pre-tokeniser's pattern that the units below are cut for. Classes of bytes: white space, letter, digit, apostrophe, other ASCII, beyond ASCII.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KIND = np.full(256, 4, np.uint8)
+_KIND[K.SPACES] = 0
+_KIND[ord("a") : ord("z") + 1] = _KIND[ord("A") : ord("Z") + 1] = 1
+_KIND[ord("0") : ord("9") + 1] = 2
+_KIND[ord("'")] = 3
+_KIND[0x80:] = 5
+#: Whether the pattern always parts a byte of one class from a next one of another: ASCII letters from digits and marks, digits from all; an apostrophe stays with what follows.
+_PARTS = np.zeros((6, 6), bool)
+_PARTS[1, 2:5] = _PARTS[2, 1:5] = _PARTS[4, 1:3] = _PARTS[3, 2] = True
+
+
+def units(block: K.Block) -> K.Words:
+    """Parts of words between which no token reaches, by SPLIT_PATTERN."""
+    kind = _KIND[block.data]
+    word = kind > 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | _PARTS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    cut = block.offsets[:-1][np.diff(block.offsets) > 0]
+    begins[cut] |= word[cut]
+    ends = word.copy()
+    ends[:-1] &= ~word[1:] | begins[1:]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    first = np.searchsorted(start, block.offsets)
+    return K.Words(start, end, np.repeat(np.arange(block.n), np.diff(first)), first)
 
 
 class WordIds:
-    """Ids of texts by way of their words: the tokenizer never joins characters across ASCII white space, so a text's
-    ids are those of its words, one after the other, and each distinct word is encoded once per worker."""
+    """Ids of texts by way of their units, each encoded once per worker: the tokenizer never joins characters across ASCII white space nor, if it
+    splits by SPLIT_PATTERN, across the ends of ``units``; with another one, or in a block with a special token's text, words are the units."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        with open(path) as f:
+            form = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t["content"].encode() for t in form.get("added_tokens") or []]
+        self.fine = SPLIT_PATTERN in json.dumps(form.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") and "Lowercase" in json.dumps(form.get("normalizer"))
+        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.reset()
 
     def reset(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables = [none, none]  # the merged ones, and the latest: hashes in order, place of the ids, how many
+        self.parts: list[np.ndarray] = []
+        self.ids, self.n = np.zeros(0, np.uint32), 0
+
+    def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *encoded]), np.array([len(e) for e in encoded], np.int64)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, end to end, and how many each has. Many are encoded as one, with a digit of its own between them; those with a digit alone."""
+        if self.mark is None or not self.fine:
+            return self.one_by_one(texts)
+        plain = [i for i, t in enumerate(texts) if not any(map(str.isdigit, t))]
+        rest = sorted(set(range(len(texts))) - set(plain))
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        whole = self.tokenizer.encode_batch_fast([" 0 ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+        ids, size, order = [], [], []
+        for g, e in zip(groups, whole, strict=True):
+            found = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(found == self.mark)
+            if len(at) == len(g) - 1:
+                size.append(np.diff(np.concatenate([[-1], at, [len(found)]])) - 1)
+                ids.append(np.delete(found, at))
+            else:  # an id that isn't the mark's alone
+                one, n = self.one_by_one([texts[i] for i in g])
+                ids.append(one)
+                size.append(n)
+            order += g
+        one, n = self.one_by_one([texts[i] for i in rest])
+        ids, size, order = np.concatenate([*ids, one]), np.concatenate([*size, n]), np.array(order + rest, np.int64)
+        begin = np.cumsum(size) - size
+        back = np.argsort(order)
+        return ids[spans(begin[back], size[back])], size[back]
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, int(size.sum()))])
-        both = np.concatenate([self.hashes, hashes])
-        order = np.argsort(both, kind="stable")
-        self.hashes, self.at, self.size = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        """``hashes`` in order, of ``texts``."""
+        ids, size = self.encoded(texts)
+        at = self.n + np.cumsum(size) - size
+        self.parts.append(ids)
+        self.n += len(ids)
+        merge = lambda a, b: tuple(np.concatenate(x) for x in zip(a, b, strict=True))
+        in_order = lambda t: tuple(x[o] for o in [np.argsort(t[0])] for x in t)
+        self.tables[1] = in_order(merge(self.tables[1], (hashes, at, size)))
+        if len(self.tables[1][0]) > MERGE_SHARE * len(self.tables[0][0]):
+            self.tables = [in_order(merge(*self.tables)), tuple(x[:0] for x in self.tables[1])]
+        self.ids = np.concatenate([self.ids, *self.parts])
+        self.parts = []
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each; -1 where a hash isn't known."""
+        at, size = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, place, n in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[i] == hashes
+                at[hit], size[hit] = place[i[hit]], n[i[hit]]
+        return at, size
 
     def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's rows, end to end, and where each row begins."""
-        words = K.tokens(block)
-        hashes = K.word_hashes(block, words)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > CACHE_WORDS:
+        raw = block.data.tobytes()
+        fine = self.fine and not any(t in raw for t in self.special)
+        words = units(block) if fine else K.tokens(block)
+        data = block.data
+        if fine:  # units of ASCII alone are the same in lower case
+            data = K.LOWER[data]
+            other = np.concatenate([[0], np.cumsum(block.data >= 0x80)])
+            keep = other[words.end] > other[words.start]
+            at = spans(words.start[keep], words.end[keep] - words.start[keep])
+            data[at] = block.data[at]
+            raw = data.tobytes()
+        hashes = K.string_hashes(data, words.start, words.end)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        first = order[new]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        distinct = hashes[first]
+        if sum(len(t[0]) for t in self.tables) > CACHE_UNITS:
             self.reset()
-        found = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool) if not len(self.hashes) else self.hashes[np.minimum(found, len(self.hashes) - 1)] == distinct
-        if not known.all():
-            raw = block.data.tobytes()
-            new = first[~known]
-            self.learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
-            found = np.searchsorted(self.hashes, distinct)
-        at, size = self.at[found][back], self.size[found][back]
-        begins = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(at - begins[:-1], size) + np.arange(begins[-1])]
-        return ids, begins[words.first]
+        at, size = self.find(distinct)
+        if (at < 0).any():
+            some = first[at < 0]
+            self.learn(distinct[at < 0], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)])
+            at, size = self.find(distinct)
+        at, size = at[back], size[back]
+        ids = self.ids[spans(at, size)]
+        return ids, np.concatenate([[0], np.cumsum(size)])[words.first]
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _encoders: dict[str, WordIds] = {}
@@ -92,20 +196,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: i
             keys = K.column(batch, key)
             for block in K.blocks(K.column(batch, "text"), limit=TOKEN_BLOCK):
                 ids, begins = own.encode(block)
-                row, piece, start, size, crc, out = [], [], [], [], [], []
-                for i in range(block.n):
-                    doc = np.append(ids[begins[i] : begins[i + 1]], np.uint32(END_ID)).astype("<u4")
-                    for p, a in enumerate(range(0, len(doc), length)):
-                        part = doc[a : a + length]
-                        row.append(block.first + i)
-                        piece.append(p)
-                        start.append(a)
-                        size.append(len(part))
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            out.append(part.astype(np.int32))
-                columns = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(out, pa.list_(pa.int32()))] * with_ids, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                ids = np.insert(ids, begins[1:], END_ID).astype("<u4")
+                begins = begins + np.arange(block.n + 1)
+                size = np.diff(begins)
+                pieces = -(-size // length)
+                row = np.repeat(np.arange(block.n), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * length
+                long = np.minimum(length, size[row] - start)
+                ends = np.concatenate([[0], np.cumsum(long)]).tolist()
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
+                columns = [keys.take(pa.array(row + block.first)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(crc, pa.int64())]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays(columns + lists, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.mapInArrow(K.tidy(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

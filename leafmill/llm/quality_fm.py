@@ -30,6 +30,7 @@ def _structure(block: K.Block, words: K.Words, hashes: np.ndarray) -> np.ndarray
     """Shares (0 to 1) of each row, in the order of STRUCTURE."""
     n = block.n
     kinds = _class_counts(block)
+    kinds = np.hstack([kinds[:, :7], kinds[:, 7:].sum(axis=1, keepdims=True)])
     chars = kinds.sum(1)
     share = kinds / np.maximum(chars, 1)[:, None]
     count = np.diff(words.first)
@@ -136,23 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str =
     return FM().fit([pairs[i] for i in order], label_of[order])
 
 
-def classify(docs: DataFrame, model: FM, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (text; other columns stay) with score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold``).
+def classify(docs: DataFrame, model: FM, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (text; other columns stay, or only those of ``carry``) with score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold``).
 
     A null text is scored as the empty one. Columns of ``docs`` named like those added are replaced; the label, lang, source and ids are never looked at.
     """
     docs = docs.drop("score", "predicted")
+    names = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             score = np.concatenate([np.zeros(0), *(shared.value.score(*features(b)) for b in K.blocks(K.column(batch, "text")))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int")
+    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double, predicted int")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classify(docs, model).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
+    return classify(docs, model, carry=["doc_id"]).select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")

@@ -1,9 +1,9 @@
 """Quality rules by distribution divergence.
 
 Each document's histogram of character classes and its histogram of the corpus's common words are compared with
-references per language by Jensen-Shannon distance. The references come from three passes over all documents:
-words that reach a share of any task's words in a language become candidates, their counts and those of the character
-classes are then summed exactly over the corpus, and the documents are scored. A label has a reference of its own from
+references per language by Jensen-Shannon distance. The references come from three passes over all documents: mergeable
+frequency summaries give a superset of the words that reach a share of a language's words, the counts of these words and of the character
+classes are then summed exactly over the corpus, and the documents are scored. However the documents are split among tasks, the references are the same. A label has a reference of its own from
 REF_DOCS documents and REF_WORDS words on; no label, and smaller ones, count in the pooled reference alone. A document is compared
 with every reference, its own counts left out of those that hold them, and the nearest counts, so a wrong or null ``lang`` does no harm
 and no document passes by likeness to itself. Plain counting rules come beside it.
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 
-#: Least share of a language's words in some task for a word to be a candidate; so a task gives 1 / SHARE at most.
-SHARE = 0.002
-#: Words of a reference; candidates of a language for them.
-COMMON, CANDIDATES = 100, round(1 / SHARE)
+#: Least share of a language's words for a word to be common; counters of a summary, which misses 1 / COUNTERS of the words at most.
+SHARE, COUNTERS = 0.001, 4000
+#: Words of a reference.
+COMMON = 100
 #: Least documents and words of a label with a reference of its own.
 REF_DOCS, REF_WORDS = 10, 1000
 #: Largest distance to the nearest reference, and least words for the comparison to count.
@@ -32,10 +32,15 @@ CHAR_MIN_WORDS, WORD_MIN_WORDS = 50, 200
 #: Base rules.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
-# The symbols counted, and the character classes (lower, upper, digit, space, stop, symbol, other mark,
-# beyond ASCII); bytes that continue a character have no class.
+# The symbols counted, and the character classes (lower, upper, digit, space, stop, symbol, other mark, and beyond ASCII
+# by first byte: Latin, Greek to Cyrillic, Armenian to Arabic and on, Indic and signs, Far Eastern, others); bytes that continue a character have no class.
 SYMBOLS = b"#*$%&|<>"
 _CLASS = np.full(256, 7, np.int64)
+_CLASS[0xCB:0xD4] = 8
+_CLASS[0xD4:0xE0] = 9
+_CLASS[0xE0:0xE3] = 10
+_CLASS[0xE3:0xF0] = 11
+_CLASS[0xF0:] = 12
 _CLASS[0x80:0xC0] = -1
 _CLASS[:0x80] = 6
 _CLASS[ord("a") : ord("z") + 1] = 0
@@ -44,11 +49,11 @@ _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[K.SPACES] = 3
 _CLASS[list(b".,;:!?'\"()-")] = 4
 _CLASS[list(SYMBOLS)] = 5
-N_CLASSES = 8
+N_CLASSES = 13
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
-REPORT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
+REPORT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
 def _class_counts(block: K.Block) -> np.ndarray:
@@ -82,9 +87,24 @@ def _languages(batch: pa.RecordBatch) -> np.ndarray:
     return K.column(batch, "lang").cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False)
 
 
+def _summed(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(value)
+    value, count = value[order], count[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
+    return value[head], np.add.reduceat(count, head) if len(head) else count
+
+
+def _bounded(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most COUNTERS words: if there are more, all counts go down by that of the next one, so that each is short by 1 / COUNTERS of the words at most."""
+    if len(value) <= COUNTERS:
+        return value, count
+    count = count - np.partition(count, -COUNTERS - 1)[-COUNTERS - 1]
+    return value[count > 0], count[count > 0]
+
+
 def _candidates(batches):
-    """Words with at least SHARE of the words that this task has in a language; and each language's words and documents, beside a null word."""
-    seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """Summaries of this task's words by language; and each language's words and documents, beside a null word."""
+    seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     total: dict[str, int] = {}
     docs: dict[str, int] = {}
     for batch in batches:
@@ -99,15 +119,14 @@ def _candidates(batches):
                 own = hashes[kind == code]
                 total[name] = total.get(name, 0) + len(own)
                 docs[name] = docs.get(name, 0) + int((codes == code).sum())
-                value, count = np.unique(own, return_counts=True)
-                big = count >= max(2, SHARE / 4 * len(own))  # below that in every block: below SHARE in the task
-                seen.setdefault(name, []).append((value[big], count[big]))
-    for name, parts in seen.items():
-        found = pd.Series(np.concatenate([c for _, c in parts])).groupby(np.concatenate([v for v, _ in parts])).sum()
-        found = found[found >= SHARE * total[name]]
-        n = len(found)
-        word = pa.array([*K.as_long(found.index.to_numpy()).tolist(), None], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), word, pa.array([*found.tolist(), total[name]], pa.int64()), pa.array([0] * n + [docs[name]], pa.int64())], ["lang", "word", "n", "docs"])
+                both = _summed(own, np.ones(len(own), np.int64))
+                if name in seen:
+                    both = _summed(*(np.concatenate(x) for x in zip(seen[name], both, strict=True)))
+                seen[name] = _bounded(*both)
+    for name, (value, count) in seen.items():
+        n = len(value)
+        word = pa.array([*K.as_long(value).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), word, pa.array([*count.tolist(), total[name]], pa.int64()), pa.array([0] * n + [docs[name]], pa.int64())], ["lang", "word", "n", "docs"])
 
 
 def _codes(batch: pa.RecordBatch, labels: list[str]) -> np.ndarray:
@@ -141,13 +160,15 @@ def _sums(common: np.ndarray, labels: list[str]):
 def references(docs: DataFrame) -> dict:
     """Reference histograms, from all documents: labels with one of their own, word hashes, and rows of class and word counts: one for each label, and the pooled one last.
 
-    What reaches the driver grows with the labels only: CANDIDATES words for each, and their counts for each label."""
+    What reaches the driver grows with the labels only: fewer than 2 / SHARE words for each, and their counts for each label."""
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
     found = docs.mapInArrow(K.tidy(_candidates), "lang string, word long, n long, docs long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = W.partitionBy("lang")
     large = (F.trim("lang") != "") & (F.max("docs").over(whole) >= REF_DOCS) & (F.max(F.when(F.col("word").isNull(), F.col("n"))).over(whole) >= REF_WORDS)
     found = found.withColumn("large", large).groupBy(F.when(F.col("large"), F.col("lang")).alias("label"), "word").agg(F.sum("n").alias("n"))
-    found = found.withColumn("at", F.row_number().over(W.partitionBy("label").orderBy(F.col("word").isNotNull(), F.desc("n"), "word"))).filter(F.col("at") <= CANDIDATES + 1).select("label", "word").toArrow()
+    # counts of the summaries are too small by 1 / COUNTERS of the words, no more; so this holds all words of the share, and 1 / (SHARE - 1 / COUNTERS) at most
+    words = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(W.partitionBy("label"))
+    found = found.withColumn("words", words).filter(F.col("word").isNull() | (F.col("n") >= (SHARE - 1 / COUNTERS) * F.col("words"))).select("label", "word").toArrow()
     labels = sorted(found["label"].drop_null().unique().to_pylist())
     common = np.unique(found["word"].drop_null().to_numpy().view(np.uint64))
     sums = docs.mapInArrow(K.tidy(_sums(common, labels)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
@@ -156,7 +177,10 @@ def references(docs: DataFrame) -> dict:
     table[sums["at"].to_numpy()] = sums["n"].to_numpy()
     table = table.reshape(len(labels) + 1, size)
     table[-1] = table.sum(axis=0)  # all together
-    keep = np.unique(np.argsort(-table[:, N_CLASSES:-1], axis=1, kind="stable")[:, :COMMON]) if len(common) else np.zeros(0, np.int64)
+    count = table[:, N_CLASSES:-1]
+    first = np.argsort(-count, axis=1, kind="stable")[:, :COMMON]  # ties in order of the hash
+    often = np.take_along_axis(count, first, axis=1) >= np.maximum(SHARE * table[:, N_CLASSES:].sum(axis=1, keepdims=True), 1)
+    keep = np.unique(first[often])
     rest = table[:, N_CLASSES:].sum(axis=1, keepdims=True) - table[:, N_CLASSES:-1][:, keep].sum(axis=1, keepdims=True)
     return {"labels": labels, "words": common[keep], "chars": table[:, :N_CLASSES], "common": np.hstack([table[:, N_CLASSES:-1][:, keep], rest])}
 
@@ -211,20 +235,18 @@ def _measure(block: K.Block, ref: dict, own: np.ndarray | None) -> dict[str, np.
     per_row = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[block.offsets])
     words = K.tokens(block)
     out = {"n_words": np.diff(words.first), "word_chars": per_row(~K.SPACES[data] & ((data & 0xC0) != 0x80)), "n_symbols": per_row(_SYMBOL[data])}
-    sums = K.running_bytes(data)
-    # lines: within a row, equal to an earlier one
-    ends = np.unique(np.concatenate([np.flatnonzero(data == 10), block.offsets[1:]]))
-    starts = np.unique(np.concatenate([[0], np.flatnonzero(data == 10) + 1, block.offsets[1:-1]]))
-    starts = starts[starts < len(data)]
-    ends = ends[np.searchsorted(ends, starts)] if len(starts) else starts
+    # lines: within a row, with a word, equal to an earlier one
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([block.offsets[:-1], breaks + 1]))
+    ends = np.sort(np.concatenate([breaks, block.offsets[1:]]))
+    row = np.repeat(np.arange(n), per_row(data == 10) + 1)
     held = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
-    starts, ends = starts[held], ends[held]
-    row = np.searchsorted(block.offsets, starts, "right") - 1
+    starts, ends, row = starts[held], ends[held], row[held]
     salt = K.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
-    distinct = np.unique(K.span_hash(sums, starts, ends) ^ salt[row], return_index=True)[1] if len(starts) else starts
+    distinct = np.unique(K.string_hashes(data, starts, ends) ^ salt[row], return_index=True)[1]
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[distinct], minlength=n)
     # words in windows of three that come twice
-    hashes = K.span_hash(sums, words.start, words.end)
+    hashes = K.word_hashes(block, words)
     at, window = K.window_hashes(hashes, words, 3)
     if len(at):
         _, back, count = np.unique(window ^ salt[words.row[at]], return_inverse=True, return_counts=True)
@@ -238,8 +260,8 @@ def _measure(block: K.Block, ref: dict, own: np.ndarray | None) -> dict[str, np.
     return out
 
 
-def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """``docs`` (text, lang; other columns stay) with the columns of REPORT; ``ref`` as ``references`` gives it of another corpus; if None, it is that of ``docs``, and each document's own counts are left out of it.
+def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, lang; other columns stay, or only those of ``carry``) with the columns of REPORT; ``ref`` as ``references`` gives it of another corpus; if None, it is that of ``docs``, and each document's own counts are left out of it.
 
     Null and empty texts have no words and fail the base rules. ``kept`` is false too where, with enough words
     (CHAR_MIN_WORDS, WORD_MIN_WORDS), a distance to the nearest reference is above its limit. Columns of ``docs`` named like those added are replaced. Each row
@@ -249,7 +271,7 @@ def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float =
     ref = references(docs) if within else ref
     added = [x.split()[0] for x in REPORT.split(", ")]
     docs = docs.drop(*added)
-    names = docs.columns
+    names = docs.columns if carry is None else carry
 
     def run(batches):
         for batch in batches:
@@ -261,12 +283,12 @@ def quality_rules(docs: DataFrame, ref: dict | None = None, char_limit: float =
             m["base_failed"] = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
             far = (m["n_words"] >= CHAR_MIN_WORDS) & (m["char_distance"] > char_limit) | (m["n_words"] >= WORD_MIN_WORDS) & (m["word_distance"] > word_limit)
             m["kept"] = ~m["base_failed"] & ~far
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m[k]) for k in added)], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in names), *(pa.array(m[k]) for k in added)], [*names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + REPORT
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", " + REPORT
     return docs.mapInArrow(K.tidy(run), schema)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return quality_rules(docs).drop("text", "lang")
+    return quality_rules(docs, carry=["doc_id"])

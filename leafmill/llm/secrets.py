@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +39,15 @@ _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
 _TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\$\{[A-Za-z_][A-Za-z0-9_.-]*+\}|[A-Za-z0-9_$](?:[A-Za-z0-9_$/+=-]|\.(?=[A-Za-z0-9_$]))*+)"""
 _ONE_TYPE = r"""(?:[&*][ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:(?:mut|dyn|readonly)[ \t]++)?[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:[<\[][^=\n"]{0,100}[>\]])?[?!*]?"""
 _TYPE = rf"(?:[?!]?[ \t]*+:[ \t]*+(?P<type>{_ONE_TYPE}(?:[ \t]*+\|[ \t]*+{_ONE_TYPE})*+)|[ \t]++\*?string|(?:[ \t]*+\[[0-9]*+\])+)[ \t]*+(?==(?![=~>]))"
-_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_])(?P<name>{_NAME})["'\]]{{0,2}}(?:{_TYPE})?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?P<terms>{_TERM}(?:[ \t]*+(?:\+|\.\.)[ \t]*+{_TERM})*+)""")
+# a name is looked for once in a run of its characters, after what can't begin it
+_STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.-])[.-]*+(?:[0-9][A-Za-z0-9_]*+[.-]++)*+(?P<name>{_NAME})["'\]]{{0,2}}(?:{_TYPE})?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?P<terms>{_TERM}(?:[ \t]*+(?:\+|\.\.)[ \t]*+{_TERM})*+)""")
 _PART = re.compile(_TERM)
 _ASSIGNED = re.compile(r"[ \t]*+=(?![=~>])")
 _SIMPLE_NAME = re.compile(_NAME)
 # in double quotes
 _INSERTED = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.-]*+)\}|([A-Za-z_][A-Za-z0-9_]*+))")
-#: Pieces of one value beyond which a literal that comes again is listed once; repeated doubling would have no bound.
-MOST_PIECES = 1000
+#: Characters of joined literals beyond which they are no longer compared with placeholders.
+JOINED_CHARS = 4096
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -56,14 +58,19 @@ def name_score(name: str) -> float:
     return min(1.0, sum(NAME_SCORES.get(p, 0.0) for p in parts) or (1.0 if "apikey" in whole else 0.0))
 
 
+def _form_score(chars: dict[str, float]) -> float:
+    """How random a literal of these characters looks; 0 for prose and for few characters."""
+    n = sum(chars.values())
+    if " " in chars or len(chars) < 4 or n < LEAST_LENGTH:
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in chars.values())
+    kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in chars}
+    return min(1.0, entropy / 4 + 0.1 * (len(kinds) - 1))
+
+
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: its length and the entropy of its characters, 0 for placeholders and prose."""
-    if len(value) < LEAST_LENGTH or PLACEHOLDER.match(value) or " " in value or len(set(value)) < 4:
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4 + 0.1 * (mixed - 1))
+    return 0.0 if len(value) < LEAST_LENGTH or PLACEHOLDER.match(value) else _form_score(Counter(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,8 +128,36 @@ def _pieces(text: str, a: int, b: int, defined) -> list[tuple[int, int, str | No
     return [(a, b, None, False)]
 
 
-def _values(text: str, statements) -> list[list[tuple[int, int, bool]]]:
-    """The literals (start, end, whether known to be one) that make up each statement's value. A name stands for what it was last given above, or else first below."""
+class Joined:
+    """What literals give when they are joined: how many, their characters, and the text itself while it is short. Counts are scaled down where doubling would let them grow without bound."""
+
+    __slots__ = ("best", "chars", "pieces", "text")
+
+    def __init__(self) -> None:
+        self.pieces, self.chars, self.text, self.best = 0, {}, "", 0.0
+
+    def add(self, other: Joined) -> None:
+        self.pieces = min(self.pieces + other.pieces, 1 << 30)
+        for c, k in other.chars.items():
+            self.chars[c] = self.chars.get(c, 0) + k
+        if sum(self.chars.values()) > 1e12:
+            self.chars = {c: k * 1e-6 for c, k in self.chars.items()}
+        self.text = None if self.text is None or other.text is None or len(self.text) + len(other.text) > JOINED_CHARS else self.text + other.text
+        self.best = max(self.best, other.best)
+
+    @classmethod
+    def of(cls, value: str) -> Joined:
+        out = cls()
+        out.pieces, out.chars, out.best = 1, dict(Counter(value)), literal_score(value)
+        out.text = value if len(value) <= JOINED_CHARS else None
+        return out
+
+    def score(self) -> float:
+        return literal_score(self.text) if self.text is not None else _form_score(self.chars)
+
+
+def _parts(text: str, statements) -> list[list[tuple[int, int, bool, int]]]:
+    """Literals and names of each statement's value: (start, end, whether known to be a literal, the statement that a name stands for or -1): what it was last given above, or else first below."""
     defined: dict[str, list[int]] = {}
     for i, (names, _) in enumerate(statements):
         for name in names:
@@ -139,29 +174,36 @@ def _values(text: str, statements) -> list[list[tuple[int, int, bool]]]:
                     given = all_[k - 1] if k else next((j for j in all_[:2] if j > i), -1)
                 own.append((x, y, quoted, given))
         parts.append(own)
-    values: list = [None] * len(parts)
+    return parts
+
+
+def _order(parts) -> tuple[list[int], list[list[tuple[int, int, bool, int]]]]:
+    """Statements, each after those that its names stand for, and their parts; a name that leads round to its own statement is a literal."""
+    order, state = [], [0] * len(parts)  # 1: begun, 2: done
+    kept: list = [None] * len(parts)
     for i in range(len(parts)):
-        stack, active = [i], {i}
+        stack = [] if state[i] else [(i, iter(parts[i]))]
+        state[i] = state[i] or 1
         while stack:
-            j = stack[-1]
-            ask = next((g for *_, g in parts[j] if g >= 0 and values[g] is None and g not in active), None) if values[j] is None else None
-            if ask is not None:
-                stack.append(ask)
-                active.add(ask)
-                continue
-            if values[j] is None:
-                out = []
-                for x, y, quoted, g in parts[j]:
-                    out += [(x, y, quoted)] if g < 0 or values[g] is None else [(p, q, True) for p, q, _ in values[g]]
-                values[j] = out if len(out) <= MOST_PIECES else list(dict.fromkeys(out))
-            active.discard(stack.pop())
-    return values
+            j, rest = stack[-1]
+            for *_, g in rest:
+                if g >= 0 and not state[g]:
+                    state[g] = 1
+                    stack.append((g, iter(parts[g])))
+                    break
+            else:
+                kept[j] = [(x, y, quoted, g if g >= 0 and state[g] == 2 else -1) for x, y, quoted, g in parts[j]]
+                state[j] = 2
+                order.append(j)
+                stack.pop()
+    return order, kept
 
 
 def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name, by assignment or through constants, and lie in no base span.
 
     Of literals that are joined, those count that score alone and, if the joined value scores, those of LEAST_LENGTH or more; all of them if none scores alone.
+    Values are summed up from constants to names and scores handed down from names to literals, so the work grows with the text whatever refers to what.
     """
     if "=" not in text and ":" not in text:
         return []
@@ -169,27 +211,50 @@ def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     scores = [max(map(name_score, names)) for names, _ in statements]
     if not any(scores):
         return []
+    order, parts = _order(_parts(text, statements))
+    whole: list = [None] * len(parts)  # of all literals, as names above see the value
+    sure: list = [None] * len(parts)  # of those known to be literals, as the statement itself sees it
+    for j in order:
+        whole[j], sure[j] = Joined(), Joined()
+        for x, y, quoted, g in parts[j]:
+            if g < 0 and x == y:
+                continue
+            piece = Joined.of(text[x:y]) if g < 0 else whole[g]
+            whole[j].add(piece)
+            if quoted or g >= 0:
+                sure[j].add(piece)
+    # by statement: the highest score that it reaches, and whether a joined value that holds it lists pieces of LEAST_LENGTH (1) or all (2)
+    reach, lists = list(scores), [0] * len(parts)
     found = set()
-    for score, value in zip(scores, _values(text, statements), strict=True):
-        if not score:
-            continue
-        alone = {(a, b) for a, b, _ in value if score * literal_score(text[a:b]) >= LEAST_SCORE}
-        found |= alone
-        sure = [(a, b) for a, b, known in value if known and a < b]
-        if len(sure) > 1 and score * literal_score("".join(text[a:b] for a, b in sure)) >= LEAST_SCORE:
-            found |= {(a, b) for a, b in sure if not alone or b - a >= LEAST_LENGTH}
-    return [(a, 3, b) for a, b in sorted(found) if not any(x <= a and b <= y for x, _, y in base)]
+    for j in reversed(order):
+        listed = lists[j]
+        own = 0
+        if scores[j] and sure[j].pieces > 1 and scores[j] * sure[j].score() >= LEAST_SCORE:
+            own = 1 if scores[j] * whole[j].best >= LEAST_SCORE else 2
+        for x, y, quoted, g in parts[j]:
+            if g >= 0:
+                reach[g] = max(reach[g], reach[j])
+                lists[g] = max(lists[g], listed, own)
+                continue
+            here = max(listed, own if quoted else 0)
+            if x < y and (here == 2 or here == 1 and y - x >= LEAST_LENGTH or reach[j] and reach[j] * literal_score(text[x:y]) >= LEAST_SCORE):
+                found.add((x, y))
+    starts = [x for x, _, _ in base]
+    furthest = list(accumulate((y for _, _, y in base), max))
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and furthest[k - 1] >= b
+    return [(a, 3, b) for a, b in sorted(found) if not inside(a, b)]
 
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` (text; other columns stay) with secrets: kind, start and end (code points of the text, end exclusive), by start and order of kind.
+def scan(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (text; other columns stay, or only those of ``carry``) with secrets: kind, start and end (code points of the text, end exclusive), by start and order of kind.
 
     A null or empty text has none. Rows are judged one by one, so repeated rows have equal results. A column of ``docs`` named secrets is replaced.
     """
     docs = docs.drop("secrets")
+    names = docs.columns if carry is None else carry
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -199,9 +264,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 base = base_spans(text)
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + literal_spans(text, base))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in names), pa.array(out, kind)], [*names, "secrets"])
 
-    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", secrets {SPAN}")
+    return docs.mapInArrow(K.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + f", secrets {SPAN}")
 
 
 def redact(text, secrets) -> F.Column:
@@ -212,7 +277,7 @@ def redact(text, secrets) -> F.Column:
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("secrets", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(listed(F.filter("secrets", lambda s: s.kind != "literal")), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))

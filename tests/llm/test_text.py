@@ -12,30 +12,68 @@ from plain import WORD, low
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, hmm, packing, quality_fm, quality_rules, secrets
+from leafmill.llm import textkernel as K
 from leafmill.llm.shared import checkpoint_dir
 
+SF = "/root/testdata/sf0.001"
+
+
+def thue_morse(units, n):
+    """Two unlike strings of n units, equal under sums with powers of one odd base from 1,024 units on."""
+    turn = [bin(i).count("1") & 1 for i in range(n)]
+    return [units[x] for x in turn], [units[1 - x] for x in turn]
+
+
+def test_hashes_of_regular_texts():
+    for n in (8, 100, 1024, 2048, 5000):
+        a, b = ("".join(x) for x in thue_morse("ab", n))
+        assert K.hash_text(a) != K.hash_text(b)
+        assert K.hash_text("x" * n) != K.hash_text("x" * (n + 1)) != K.hash_text("x" * n + chr(0))
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def plain_rules(text):
+    t = text or ""
+    w = WORD.findall(t)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = set()
+    for i in range(len(w) - 2):
+        if grams[tuple(w[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    lines = Counter(x for x in t.split("\n") if WORD.search(x))
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), sum(lines.values()) - len(lines), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
 
 def test_quality_rules(corpus, rows):
     got = quality_rules.quality_rules(corpus)
     assert set(corpus.columns) < set(got.columns)
-    found = Counter((r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.collect())
-    want = Counter()
-    for r in rows:
-        t = r[1] or ""
-        w = WORD.findall(t)
-        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-        hit = set()
-        for i in range(len(w) - 2):
-            if grams[tuple(w[i : i + 3])] > 1:
-                hit |= {i, i + 1, i + 2}
-        lines = Counter(x for x in t.split("\n") if WORD.search(x))
-        want[r[1], len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), sum(lines.values()) - len(lines), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)] += 1
-    assert found == want
+    assert Counter((r.text, *(r[c] for c in BASE)) for r in got.collect()) == Counter((r[1], *plain_rules(r[1])) for r in rows)
     assert not any(r.kept and r.base_failed for r in got.collect())
     loud = {r.text[:4]: r.kept for r in got.collect() if r.text and r.n_words > 60 and not r.base_failed}
     assert loud["LOUD"] is False
 
 
+def test_quality_rules_lines(spark):
+    texts = ["x y", "abc\nabc", "abc\n\nabc\n", "\nabc\nabc", "", "\n", "abc", "abc\nab\nabc\nab", " \nabc\n abc", None, "ab\n" * 5]
+    got = quality_rules.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)).collect()
+    assert {r.doc_id: tuple(r[c] for c in BASE) for r in got} == {i: plain_rules(t) for i, t in enumerate(texts)}
+
+
+def test_quality_query_and_layout(spark):
+    """The query over a whole table against the plain rules; however the rows are split, all columns are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = quality_rules.op8_quality_rules(spark, SF)
+    assert got.columns[:8] == ["doc_id", *BASE[:5], "base_failed", "kept"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert {d: tuple(r[c] for c in BASE) for d, r in rows.items()} == {d: plain_rules(t) for d, t in text.items()}
+    for n in (1, 16):
+        again = quality_rules.quality_rules(docs.select("doc_id", "text", "lang").repartition(n), carry=["doc_id"]).collect()
+        assert {r.doc_id: tuple(r) for r in again} == {d: tuple(r) for d, r in rows.items()}
+
+
 def test_references_of_labels(spark):
     rng = random.Random(11)
     spell = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -160,6 +198,8 @@ def test_packing(spark, corpus):
     path = packing.tokenizer_path()
     checkpoint_dir(spark)
     odd = [(1, "İstanbul ΣΑΣ x y <|endoftext|>z é 'tis we'll 12\x1c34"), (2, "mot " * 5000), (3, "")]
+    odd += [(6, "x'y don't DON'T '' !'s 's, a'1 J̌, é≠ a≠b ²3 ½ ٣4 0 00 a0b 0,0 c'0 '0 ,'x ́a K ﬁ 中文。ab,cd"), (7, "wörd,and more. " * 90_000)]
+    odd += [(8 + i, "".join(x)) for i, x in enumerate(thue_morse("ab", 2048))]
     docs = corpus.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     pieces = packing.token_pieces(docs, path, with_ids=True)
     tok = Tokenizer.from_file(path)
