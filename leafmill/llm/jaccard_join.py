@@ -37,11 +37,12 @@ SHINGLE = 5
 PERCENT = 80
 #: What tells sets apart: size and two digests.
 SAME = ["n", "d1", "d2"]
-#: Shingles that come last in the order: of the texts of a task's chunk at least HOT_CHUNK have it, of all at least HOT_ALL; HOT_MOST at most. It only decides the order.
-HOT_CHUNK, HOT_ALL, HOT_MOST = 3, 24, 1 << 20
+#: Shingles that come last in the order: HOT_TEXTS texts have them, repeated sets of a task's chunk counted once; HOT_MOST at most. It only decides the order, in which those of
+#: the smallest hashes come first, so only hashes in this share of all are counted.
+HOT_TEXTS, HOT_MOST, COUNTED = 8, 1 << 20, 0.22
 CHUNK = 3_000_000
-#: Bytes of keys per bucket of step 2.
-BUCKET_KEYS = 400_000
+#: Keys per bucket of step 2, and bytes of text per bucket of counts.
+BUCKET_KEYS, COUNT_BYTES = 500_000, 32 << 20
 _SEEDS = K.mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Bits of a shingle's hash that travel as a key.
 KEY_BITS = 40
@@ -49,8 +50,8 @@ KEY_BITS = 40
 NEAR = 0.5
 #: Regions that meet in one shingle beyond which its classes meet in a region of that shingle instead of in each other's.
 MEETING = 32
-#: Members and shingles of a region that a task joins; and how often a larger one is parted before its parts are joined pair by pair.
-REGION_ROWS, REGION_SHINGLES, ROUNDS = 4096, 2_000_000, 6
+#: Members and shingles of a region that a task joins; how often a larger one is parted before its parts are joined pair by pair, and the least share of members that must be linked with pivots for another time.
+REGION_ROWS, REGION_SHINGLES, ROUNDS, PROGRESS = 4096, 2_000_000, 6, 0.05
 #: Bits of the filter of texts to be fetched: 16 for each text, so many at most (16 MB); beyond that more texts pass, and none is lost.
 FILTER_BITS = 27
 
@@ -84,32 +85,56 @@ def _digests(value: np.ndarray, begins: np.ndarray, seed: int) -> np.ndarray:
     return total[begins[1:]] - total[begins[:-1]]
 
 
-def _hot(batches):
-    """Shingles that several texts of a chunk have, equal sets counted once."""
+def _dealt(key: np.ndarray, buckets: int, *more: np.ndarray):
+    """Blobs of keys and what goes with them, by bucket."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(KEY_BITS) | key)
+    key, bucket, more = key[order], bucket[order], [x[order] for x in more]
+    names, head = np.unique(bucket, return_index=True)
+    for b, x, y in zip(names, head, np.append(head[1:], len(bucket)), strict=True):
+        blob = S.packed(np.diff(np.concatenate([[np.uint64(0)], key[x:y]])), *(m[x:y] for m in more))  # sorted keys go as steps
+        yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-    def common(parts):
-        value = np.sort(np.concatenate(parts))
-        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        count = np.diff(np.append(head, len(value)))
-        big = count >= HOT_CHUNK
-        return pa.RecordBatch.from_arrays([pa.array(K.as_long(value[head[big]])), pa.array(count[big], pa.int64())], ["shingle", "n"])
 
-    parts, held, seen = [], 0, np.zeros(0, np.uint64)
-    for batch in batches:
-        for block in K.blocks(K.column(batch, "text"), lower=True):
-            row, value, begins = sets(block)
-            digest = _digests(value, begins, 0)
-            fresh = np.zeros(block.n, bool)
-            fresh[np.unique(digest, return_index=True)[1]] = True
-            fresh &= ~np.isin(digest, seen)
-            seen = np.concatenate([seen, digest[fresh]])
-            parts.append(value[fresh[row]])
-            held += len(parts[-1])
-            if held > CHUNK:
-                yield common(parts)
-                parts, held, seen = [], 0, np.zeros(0, np.uint64)
-    if held:
-        yield common(parts)
+def _counted(buckets: int):
+    """Keys of small hashes and in how many texts each is, by bucket."""
+    most = np.uint64(int(COUNTED * 2**64))
+
+    def counts(parts):
+        key = np.sort(np.concatenate(parts))
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        return _dealt(key[head], buckets, np.diff(np.append(head, len(key))).astype(np.int32))
+
+    def run(batches):
+        parts, held, seen = [], 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            for block in K.blocks(K.column(batch, "text"), lower=True):
+                row, value, begins = sets(block)
+                digest = _digests(value, begins, 0)
+                fresh = np.zeros(block.n, bool)
+                fresh[np.unique(digest, return_index=True)[1]] = True
+                fresh &= ~np.isin(digest, seen)
+                seen = np.concatenate([seen, digest[fresh]])
+                parts.append(value[fresh[row] & (value < most)] >> np.uint64(64 - KEY_BITS))
+                held += len(parts[-1])
+                if held > CHUNK:
+                    yield from counts(parts)
+                    parts, held, seen = [], 0, np.zeros(0, np.uint64)
+        if held:
+            yield from counts(parts)
+
+    return run
+
+
+def _hot(table: pa.Table) -> pa.Table:
+    blobs = [S.unpacked(b.as_py()) for b in table["blob"]]
+    key, n = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs]), np.concatenate([b[1] for b in blobs])
+    order = np.argsort(key)
+    key, n = key[order], n[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    total = np.add.reduceat(n, head) if len(head) else n
+    big = total >= HOT_TEXTS
+    return pa.table([pa.array(K.as_long(key[head[big]])), pa.array(total[big])], ["key", "n"])
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -168,17 +193,21 @@ def _sketch(shared):
                 n = np.diff(begins)
                 late = np.zeros(len(value), np.int64)
                 if len(hot) and len(value):
-                    at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-                    late = (hot[at] == value).astype(np.int64)
+                    key = value >> np.uint64(64 - KEY_BITS)
+                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                    late = (hot[at] == key).astype(np.int64)
                 size = prefix_size(n)
                 early = np.cumsum(1 - late)
                 early = early - np.concatenate([[0], early])[begins[:-1]][row]  # place among the row's early ones, from 1
                 count = np.bincount(row, 1 - late, block.n).astype(np.int64)
                 rank = np.where(late == 0, early - 1, count[row] + np.arange(len(value)) - begins[row] - early)
                 keep = rank < size[row]
-                # keys as 5 bytes each: a false match costs a comparison, no more
-                raw = (value[keep] >> np.uint64(64 - KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                ends = (5 * np.concatenate([[0], np.cumsum(size)])).tolist()
+                # keys in order, as 5 bytes each: a false match costs a comparison, no more
+                ends = np.concatenate([[0], np.cumsum(size)])
+                first = np.zeros(ends[-1], np.uint64)
+                first[ends[row[keep]] + rank[keep]] = value[keep] >> np.uint64(64 - KEY_BITS)
+                raw = first.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                ends = (5 * ends).tolist()
                 maps, at = parity_maps(row, value, map_level(n))
                 maps, at = maps.tobytes(), at.tolist()
                 arrays = [pa.array(n, pa.int64()), pa.array(K.as_long(_digests(value, begins, 0))), pa.array(K.as_long(_digests(value, begins, 1))), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([maps[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())]
@@ -192,15 +221,8 @@ def _deal(buckets: int):
     """The keys of classes, as blobs by bucket."""
 
     def flush(parts):
-        key, rid, home, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        key, rid, home, n, bucket = key[order], rid[order], home[order], n[order], bucket[order]
-        names, head = np.unique(bucket, return_index=True)
-        for b, x, y in zip(names, head, np.append(head[1:], len(bucket)), strict=True):
-            step = np.diff(np.concatenate([[np.uint64(0)], key[x:y]]))  # sorted keys go as steps
-            blob = S.packed(step, rid[x:y], home[x:y] - rid[x:y], n[x:y].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+        key, rid, home, n, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        return _dealt(key, buckets, rid, home - rid, n.astype(np.int32), place.astype(np.int32))
 
     def run(batches):
         parts, held = [], 0
@@ -210,7 +232,8 @@ def _deal(buckets: int):
             raw = np.frombuffer(b"".join(prefix), np.uint8).reshape(-1, 5)
             key = np.zeros((len(raw), 8), np.uint8)
             key[:, :5] = raw
-            parts.append((key.view(np.uint64).ravel(), *(np.repeat(K.column(batch, c).to_numpy(), size) for c in ("rid", "home", "n"))))
+            place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+            parts.append((key.view(np.uint64).ravel(), *(np.repeat(K.column(batch, c).to_numpy(), size) for c in ("rid", "home", "n")), place))
             held += len(key)
             if held > CHUNK:
                 yield from flush(parts)
@@ -222,16 +245,16 @@ def _deal(buckets: int):
 
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """A bucket's keys, classes, homes and sizes, by key and size: those with a neighbour in the same key that is near enough in size, as others have no link there."""
+    """A bucket's keys, classes, homes, sizes and places (in the class's order), by key and size: those with a neighbour in the same key that is near enough in size, as others have no link there."""
     blobs = [S.unpacked(b.as_py()) for b in table["blob"]]
     key = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
     rid, home = np.concatenate([b[1] for b in blobs]), np.concatenate([b[1] + b[2] for b in blobs])
-    n = np.concatenate([b[3] for b in blobs]).astype(np.int64)
+    n, place = (np.concatenate([b[i] for b in blobs]).astype(np.int64) for i in (3, 4))
     order = np.lexsort((n, key))
-    key, rid, home, n = key[order], rid[order], home[order], n[order]
+    key, rid, home, n, place = key[order], rid[order], home[order], n[order], place[order]
     pair = (key[1:] == key[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
     keep = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
-    return key[keep], rid[keep], home[keep], n[keep]
+    return key[keep], rid[keep], home[keep], n[keep], place[keep]
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +269,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _votes(table: pa.Table) -> pa.Table:
     """How many of a class's keys name which class as pivot: of each key, that of the smallest hash."""
-    key, rid, _, _ = _entries(table)
+    key, rid, _, _, _ = _entries(table)
     order = np.lexsort((K.mix(rid.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), key))
     key, rid = key[order], rid[order]
     new = np.ones(len(key), bool)
@@ -262,14 +285,15 @@ def _windows(meeting: int):
 
 
 def _meet(table: pa.Table, meeting: int) -> pa.Table:
-    key, rid, home, n = _entries(table)
+    key, rid, home, n, place = _entries(table)
     order = np.lexsort((n, home, key))
-    key, rid, home, n = key[order], rid[order], home[order], n[order]
+    key, rid, home, n, place = key[order], rid[order], home[order], n[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1])
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(key)))
     least, most = (n[head], n[head + size - 1]) if len(n) else (n, n)
+    early = np.minimum.reduceat(place, head) if len(n) else n
     keys, homes = key[head], home[head]
     _, back, regions = np.unique(keys, return_inverse=True, return_counts=True)
     crowd = regions[back] > meeting if len(keys) else np.zeros(0, bool)
@@ -285,7 +309,9 @@ def _meet(table: pa.Table, meeting: int) -> pa.Table:
         a, b = a[keep], b[keep]
         member = np.repeat(head[b] - (np.cumsum(size[b]) - size[b]), size[b]) + np.arange(size[b].sum())
         to = np.repeat(a, size[b])
-        fits = (100 * most[to] >= PERCENT * n[member]) & (100 * n[member] >= PERCENT * least[to])
+        # a link's first shared key has only unshared ones before it on either side, and those are bounded
+        fits = (place[member] + early[to]) * (100 + PERCENT) <= (100 - PERCENT) * (n[member] + most[to])
+        fits &= (100 * most[to] >= PERCENT * n[member]) & (100 * n[member] >= PERCENT * least[to])
         found.append((rid[member[fits]], homes[to[fits]]))
         if len(found) > 8:
             found = [_distinct(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))[:2]]
@@ -507,9 +533,12 @@ def _parted(large: DataFrame, region_rows: int, rounds: int) -> DataFrame:
         outer = written(outer.join(size.select("region", _too_large(region_rows).alias("large")), "region"), "outer")
         found = found.union(_joined_regions(outer.filter("not large").drop("large"), outer.agg(F.sum("n")).first()[0] or 0))
         links = written(found if links is None else links.union(found), "links")
-        large = outer.filter("large").drop("large")
-        if large.isEmpty():
+        before, large = both.count(), outer.filter("large").drop("large")
+        left = large.count()
+        if not left:
             return links
+        if left > (1 - PROGRESS) * before:
+            break
     # what no pivot parts: chunk by chunk, each pair of chunks a region
     size = _sizes(large).select("region", _chunks("", region_rows).alias("parts"))
     each = large.join(size, "region").withColumn("x", chunk(F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -522,8 +551,10 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     text = F.coalesce("text", F.lit(""))
     keyed = S.keyed(docs)
     sc = docs.sparkSession.sparkContext
-    hot = keyed.mapInArrow(K.tidy(_hot), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
-    hot = np.sort(hot.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = keyed.mapInArrow(K.tidy(_counted(max(1, -(-size // COUNT_BYTES)))), "bucket long, blob binary")
+    hot = counted.groupBy("bucket").applyInArrow(_hot, "key long, n long").orderBy(F.desc("n"), "key").limit(HOT_MOST)
+    hot = np.sort(hot.select("key").toArrow()["key"].to_numpy().view(np.uint64))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, prefix binary, map binary"), "sketch")
     ids = written(sketch.filter("n > 0").groupBy(*SAME).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc", "text_hash")).alias("first")), "classes")
