@@ -76,11 +76,11 @@ def hocr_properties(title: Column) -> Column:
     the last of a name counts. Null if a value isn't a number."""
 
     def entry(e):
-        return bound(F.split(F.trim(e), " +"), lambda p: F.struct(p[0].alias("name"), F.transform(F.slice(p, 2, 1_000_000), lambda v: v.try_cast("double")).alias("numbers")))
+        return bound(F.split(F.trim(e), " +"), lambda p: F.struct(p[0].alias("name"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda v: v.try_cast("double")).alias("numbers")))
 
     def chosen(pairs):
         bad = F.exists(pairs, lambda p: F.exists(p.numbers, lambda v: v.isNull()))
-        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda q: q["name"] == p["name"]))
+        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
         return F.when(~bad, F.map_from_entries(last))
 
     # entries without numbers go before names are compared

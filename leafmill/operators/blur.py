@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import bound
+
 BUCKETS = 255
 
 
@@ -48,15 +50,40 @@ def quantile_index(counts: DataFrame, keys: list[str], q: float) -> DataFrame:
     return upto.groupBy(*keys).agg((at if q > 0 else F.lit(0)).cast("int").alias("at"))
 
 
-def blurred(cells: DataFrame, pixels: DataFrame, coef: float = 0.1) -> DataFrame:
-    """Each word's char_width, contrast, sharpness and whether it is blurred: contrast >= char_width * coef * q85 of its gradients without the background's."""
+def quantile_of(counts: F.Column, q: float) -> F.Column:
+    """``quantile_index`` of one histogram: an array of (bucket, n), in order of buckets."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x.n)
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("at"))
+    step = lambda total: lambda s, x: F.struct((s.upto + x.n).alias("upto"), F.coalesce(s["at"], F.when(s.upto + x.n >= q * total, x.bucket)).alias("at"))
+    return bound(total, lambda t: F.aggregate(counts, start, step(t), lambda s: s["at"]))
+
+
+def measures(cells: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Each word's char_width, contrast and sharpness (0 without gradients). Both histograms of a word are counted in one pass and meet as arrays of 255 buckets at most."""
     keys = ["page_id", "cell"]
-    part = inside(cells, gradients(pixels))
-    light = histogram(part, keys, "v")
-    contrast = quantile_index(light, keys, 0.95).withColumnRenamed("at", "high").join(quantile_index(light, keys, 0.05).withColumnRenamed("at", "low"), keys)
+    part = inside(cells, gradients(pixels)).select(*keys, F.explode(F.array(F.struct(F.lit("v").alias("kind"), F.col("v").cast("double").alias("x")), F.struct(F.lit("g").alias("kind"), F.col("g").cast("double").alias("x")))).alias("p"))
+    counts = histogram(part.select(*keys, "p.kind", "p.x"), [*keys, "kind"], "x")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("bucket", "n")))).alias(kind)
+    both = counts.groupBy(*keys).agg(of("v"), of("g"))
     side = F.greatest(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1"))
-    words = cells.join(contrast, keys, "left").select(*keys, F.when(F.col("n_chars") > 0, F.nullif(F.floor(side / F.col("n_chars")).cast("int"), F.lit(0))).alias("char_width"), (F.coalesce("high", F.lit(0)) - F.coalesce("low", F.lit(0))).alias("contrast"))
-    steep = histogram(part, keys, "g").join(words, keys).filter(F.col("bucket") >= F.floor(F.col("contrast") / F.col("char_width")))
-    q85 = quantile_index(steep.select(*keys, "bucket", "n"), keys, 0.85)
-    sharp = F.coalesce("at", F.lit(0))
-    return words.join(q85, keys, "left").select(*keys, "char_width", "contrast", sharp.alias("sharpness"), (F.col("contrast") >= F.col("char_width") * F.lit(coef) * sharp).alias("blurred"))
+    words = cells.join(both, keys, "left").select(*keys, "box", "g", F.when(F.col("n_chars") > 0, F.nullif(F.floor(side / F.col("n_chars")).cast("int"), F.lit(0))).alias("char_width"), (F.coalesce(quantile_of(F.col("v"), 0.95), F.lit(0)) - F.coalesce(quantile_of(F.col("v"), 0.05), F.lit(0))).alias("contrast"))
+    least = F.floor(F.col("contrast") / F.col("char_width"))
+    sharp = F.coalesce(quantile_of(F.filter("g", lambda x: x.bucket >= least), 0.85), F.lit(0))
+    return words.select(*keys, "box", "char_width", "contrast", sharp.alias("sharpness"))
+
+
+def flagged(measured: DataFrame, coef: float | F.Column = 0.1) -> DataFrame:
+    """``measures`` with blurred: contrast >= char_width * coef * sharpness. The measures don't depend on the coefficient, so another one needs no pixels."""
+    coef = coef if isinstance(coef, F.Column) else F.lit(coef)
+    return measured.withColumn("blurred", F.col("contrast") >= F.col("char_width") * coef * F.col("sharpness"))
+
+
+def blurred(cells: DataFrame, pixels: DataFrame, coef: float = 0.1) -> DataFrame:
+    """Each word's char_width, contrast, sharpness and whether it is blurred: contrast >= char_width * coef * q85 of its gradients without the background's."""
+    return flagged(measures(cells, pixels), coef).drop("box")
+
+
+def blurred_boxes(words: DataFrame) -> DataFrame:
+    """The boxes of each page's blurred words (``flagged``), in order."""
+    found = words.filter("blurred").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cell", "box"))).alias("b"))
+    return found.select("page_id", F.transform("b", lambda x: x.box).alias("boxes"))

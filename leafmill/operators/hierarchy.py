@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions.geometry import baseline_from_points, moved_baseline
+
 LEVELS = ["page_id", "par_no", "line_no", "word_no"]
 WORD = ["box", "baseline", "confidence", "font_size", "content", "char_boxes"]
 
@@ -34,16 +36,45 @@ def flat_chars(words: DataFrame) -> DataFrame:
     return words.select(*LEVELS, F.posexplode("char_boxes").alias("char_no", "box"))
 
 
-def symbols_to_words(symbols: DataFrame) -> DataFrame:
-    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish."""
+#: Kinds of blocks that hold no text.
+NOT_TEXT = ("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VERT_LINE", "NOISE")
+
+
+def symbols_to_words(symbols: DataFrame, boxes: bool = False) -> DataFrame:
+    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes."""
     order = W.partitionBy("page_id").orderBy("seq")
     level = lambda flag: F.sum(F.col(flag).cast("int")).over(order)
-    text = symbols.filter(~F.col("block_type").isin("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VERT_LINE", "NOISE"))
+    text = symbols.filter(~F.col("block_type").isin(*NOT_TEXT))
     each = text.withColumns({"par_no": level("par_start") - 1, "line_no": level("line_start") - 1, "word_no": level("word_start") - 1}).filter("text <> ''")
-    out = each.groupBy("page_id", "par_no", "line_no", "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s.text), "").alias("content"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.avg("conf").alias("confidence"), F.max("row_height").alias("font_size"), F.count("*").alias("n_chars"))
+    # words are numbered by page, so their other numbers go along
+    text_of = lambda x: F.array_join(F.transform(F.array_sort(x), lambda s: s.text), "")
+    symbol = F.struct("seq", "text", F.struct("x1", "y1", "x2", "y2").alias("box")) if boxes else F.struct("seq", "text")
+    out = each.groupBy("page_id", "word_no").agg(F.min("par_no").alias("par_no"), F.min("line_no").alias("line_no"), F.collect_list(symbol).alias("symbols"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.avg("conf").alias("confidence"), F.max("row_height").alias("font_size"), F.count("*").alias("n_chars"))
+    out = out.select("page_id", "par_no", "line_no", "word_no", text_of(F.col("symbols")).alias("content"), "x1", "y1", "x2", "y2", "confidence", "font_size", "n_chars", *([F.transform(F.array_sort("symbols"), lambda s: s.box).alias("char_boxes")] if boxes else []))
     return out.filter("content <> ''")
 
 
+def symbols_to_pages(symbols: DataFrame) -> DataFrame:
+    """A stream of recognised symbols -> nested pages as ``nest`` gives them: the boxes of lines and paragraphs hold their words', a line's baseline runs through its points
+    (base_x1, base_y1, base_x2, base_y2 and orientation, if there are such columns; else along its lower edge), and words have it moved to their own box."""
+    points = {"base_x1", "base_y1", "base_x2", "base_y2", "orientation"} <= set(symbols.columns)
+    words = symbols_to_words(symbols, boxes=True)
+    line = W.partitionBy("page_id", "line_no")
+    box = F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    around = F.struct(F.min("x1").over(line).cast("int").alias("x1"), F.min("y1").over(line).cast("int").alias("y1"), F.max("x2").over(line).cast("int").alias("x2"), F.max("y2").over(line).cast("int").alias("y2"))
+    words = words.withColumns({"line_box": around, "box": box})
+    if points:
+        text = symbols.filter(~F.col("block_type").isin(*NOT_TEXT)).withColumn("line_no", F.sum(F.col("line_start").cast("int")).over(W.partitionBy("page_id").orderBy("seq")) - 1)
+        rows = text.groupBy("page_id", "line_no").agg(*(F.min_by(c, "seq").alias(c) for c in ("base_x1", "base_y1", "base_x2", "base_y2", "orientation")))
+        words = words.join(rows, ["page_id", "line_no"])
+        base = baseline_from_points(F.col("line_box"), F.col("base_x1"), F.col("base_y1"), F.col("base_x2"), F.col("base_y2"), F.col("orientation"))
+    else:
+        base = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("angle"))
+    words = words.withColumn("line_baseline", base)
+    own = moved_baseline(F.col("line_baseline.x"), F.col("line_baseline.y"), F.col("line_baseline.angle"), F.col("line_box"), F.col("box"))
+    return nest(words.withColumn("baseline", own))
+
+
 def confident(words: DataFrame, least: float) -> DataFrame:
     """Words of at least that confidence; NaN stays."""
     return words.filter(F.col("confidence") >= least)

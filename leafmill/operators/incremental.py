@@ -32,6 +32,12 @@ def recompute_mode(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(before, new.page_id == before.before, "left").select("page_id", mode.alias("mode"))
 
 
+def reused(words: DataFrame, modes: DataFrame, options: DataFrame) -> DataFrame:
+    """The recognised words of pages that need ONLY_PARAGRAPHS, cleaned again by their new min_word_confidence, with blur_coef for their blur flags; pages of other modes give none."""
+    again = modes.filter("mode = 'ONLY_PARAGRAPHS'").join(options.select("page_id", "min_word_confidence", "blur_coef"), "page_id").drop("mode")
+    return words.join(again, "page_id").filter("confidence >= min_word_confidence")
+
+
 def option_changes(options: DataFrame) -> DataFrame:
     """Versions that differ from the page's version before; equal options cause no work."""
     order = W.partitionBy("page_id").orderBy("version")

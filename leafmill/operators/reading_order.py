@@ -55,17 +55,24 @@ def _peel_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole, rest = both.iloc[:cut], both.iloc[cut:]
         if whole is None or not len(whole):
             continue
-        page, par, y, font = (whole[c].to_numpy() for c in ("page_id", "par_no", "y", "font"))
+        page, par, at, x, y, font, use, good = (whole[c].to_numpy() for c in ("page_id", "par_no", "line_at", "x1", "y", "font", "use", "good"))
         heads = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (par[1:] != par[:-1])]))
-        keys = [_peel(y[a:b], float(font[a])) for a, b in zip(heads, np.append(heads[1:], len(y)), strict=True)]
-        yield pd.DataFrame({"page_id": page, "par_no": par, "line_at": whole["line_at"].to_numpy(), "key": np.concatenate(keys)})
+        place = np.empty(len(y), np.int64)
+        for a, b in zip(heads, np.append(heads[1:], len(y)), strict=True):
+            if not use[a]:
+                place[a:b] = np.arange(b - a)
+                continue
+            key, fine = y[a:b].copy(), good[a:b]
+            key[fine] = _peel(key[fine], float(font[a]))
+            place[a + np.lexsort((at[a:b], np.where(fine, x[a:b], -np.inf), key))] = np.arange(b - a)
+        yield pd.DataFrame({"page_id": page, "par_no": par, "line_at": at, "place": place})
 
 
 def sorted_lines(lines: DataFrame) -> DataFrame:
     """Lines (page_id, par_no, line_at, x1.., angle, base_y, font) with place, their order in the paragraph.
 
-    Lines off the paragraph's mean angle go by their own height; paragraphs with fewer than three good lines, small fonts or a wide spread stay as they are. Only the good lines of the other
-    paragraphs pass through Python, as (ordinal, y, font), batch by batch. Ties keep the given order.
+    Lines off the paragraph's mean angle go by their own height; paragraphs with fewer than three good lines, small fonts or a wide spread stay as they are. Lines pass through Python
+    batch by batch where the windows left them, a paragraph's together, and bring their place along: no exchange or join comes after. Ties keep the given order.
     """
     par = W.partitionBy("page_id", "par_no")
     middle = (F.min("x1").over(par) + F.max("x2").over(par)) / 2
@@ -74,10 +81,5 @@ def sorted_lines(lines: DataFrame) -> DataFrame:
     good = F.when(F.col("good"), F.col("y"))
     each = each.withColumns({"n_good": F.count(good).over(par), "spread": F.max(good).over(par) - F.min(good).over(par), "mean_font": F.avg("font").over(par)})
     use = (F.col("n_good") >= LEAST_LINES) & (F.col("mean_font") >= LEAST_FONT) & (F.col("spread") / F.col("mean_font") <= MOST_FONTS)
-    each = each.withColumn("use", use)
-    keys = each.filter("use and good").select("page_id", "par_no", "line_at", "y", F.col("mean_font").alias("font")).repartition("page_id", "par_no").sortWithinPartitions("page_id", "par_no", "line_at")
-    keys = keys.mapInPandas(_peel_all, "page_id long, par_no int, line_at int, key double")
-    each = each.join(keys, ["page_id", "par_no", "line_at"], "left")
-    key = F.when(F.col("use"), F.coalesce("key", "y"))
-    place = F.row_number().over(par.orderBy(key, F.when(F.col("use") & F.col("good"), F.col("x1")), "line_at")) - 1
-    return each.select("page_id", "par_no", "line_at", place.alias("place"))
+    each = each.select("page_id", "par_no", F.col("line_at").cast("int").alias("line_at"), F.col("x1").cast("double").alias("x1"), "y", F.col("mean_font").alias("font"), F.coalesce(use, F.lit(False)).alias("use"), F.coalesce("good", F.lit(False)).alias("good"))
+    return each.sortWithinPartitions("page_id", "par_no", "line_at").mapInPandas(_peel_all, "page_id long, par_no int, line_at int, place int")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.functions.scalars import prec6
+from leafmill.functions.scalars import bound, prec6
 
 #: Pages numbered together by the export.
 MANIFEST_RANGE = 10_000
@@ -42,43 +42,72 @@ def word_pens(words: DataFrame) -> DataFrame:
     return out.withColumns({"dx": F.col("mx") * cos + F.col("my") * sin, "dy": F.col("my") * cos - F.col("mx") * sin}).drop("mx", "my")
 
 
+def _starts() -> F.Column:
+    """Where the glyphs of a placeable word start: the first with the word, others with their boxes; and where the word ends."""
+    boxes = F.transform("char_boxes", lambda b, i: F.when(i == 0, F.col("x1")).otherwise(b.x1))
+    return F.concat(boxes, F.array(F.col("x2")))
+
+
+def _glyphs() -> F.Column:
+    """(text, from, advance) of each glyph of a placeable word, from counted from the word's start."""
+    chars = F.filter(F.split("content", ""), lambda c: c != "")
+    return bound(_starts(), lambda at: F.transform(chars, lambda c, i: F.struct(c.alias("text"), (at[i] - F.col("x1")).alias("from"), (at[i + 1] - at[i]).alias("advance"))))
+
+
 def char_advances(words: DataFrame) -> DataFrame:
     """A row per glyph of placeable words (with char_boxes): from where its box starts to where the next one's does; the first starts with the word, the last ends with it."""
-    start = lambda i: F.when(i == 0, F.col("x1")).otherwise(F.get("char_boxes", i).x1)
-    glyph = lambda c, i: F.struct(c.alias("text"), (F.when(i + 1 < F.size("char_boxes"), start(i + 1)).otherwise(F.col("x2")) - start(i)).alias("advance"))
-    glyphs = F.transform(F.filter(F.split("content", ""), lambda c: c != ""), glyph)
-    return words.filter(placeable(words)).select(*LINE, "word_no", "x1", "font", F.posexplode(glyphs).alias("char_no", "glyph")).select(*LINE, "word_no", "char_no", "glyph.text", "font", "x1", "glyph.advance")
+    return words.filter(placeable(words)).select(*LINE, "word_no", "x1", "font", F.posexplode(_glyphs()).alias("char_no", "glyph")).select(*LINE, "word_no", "char_no", "glyph.text", "font", "x1", "glyph.advance")
 
 
 def glyph_pens(words: DataFrame, ascent: float = 0.0) -> DataFrame:
-    """The pen of each glyph along its word's turned baseline: x += cos * advance, y += sin * advance."""
-    each = char_advances(words).join(words.select(*LINE, "word_no", "y2", "word_y", "line_angle"), [*LINE, "word_no"])
-    before = F.coalesce(F.sum("advance").over(W.partitionBy(*LINE, "word_no").orderBy("char_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    """The pen of each glyph along its word's turned baseline: x += cos * advance, y += sin * advance, from a word's own row."""
+    each = words.filter(placeable(words)).select(*LINE, "word_no", "x1", "y2", "word_y", "line_angle", F.posexplode(_glyphs()).alias("char_no", "glyph"))
+    before = F.col("glyph.from")
     return each.select(*LINE, "word_no", "char_no", (F.col("x1") + F.cos("line_angle") * before).alias("x"), (F.col("y2") + F.col("word_y") + ascent + F.sin("line_angle") * before).alias("y"))
 
 
+def _whole_stretch() -> F.Column:
+    """Stretch of a word whose glyphs can't be placed: its baseline's length shared among its code points."""
+    n = F.nullif(F.length("content"), F.lit(0))
+    return G.stretch(F.hypot(F.col("x2") - F.col("x1"), (F.col("x2") - F.col("x1")) * F.tan("line_angle")) / n, F.col("font"))
+
+
 def stretches(words: DataFrame) -> DataFrame:
     """Whole-word stretch for words that can't be placed by glyph, with that of their trailing space."""
-    n = F.nullif(F.col("n_chars"), F.lit(0))
-    long = F.hypot(F.col("x2") - F.col("x1"), (F.col("x2") - F.col("x1")) * F.tan("line_angle")) / n
-    s = G.stretch(long, F.col("font"))
-    return words.filter(~placeable(words)).select(*LINE, "word_no", s.alias("stretch"), (s * G.SPACE_SHARE).alias("space"))
-
-
-def text_layer(words: DataFrame) -> DataFrame:
-    """A row per glyph, or per word where glyphs can't be placed: pen of the word, font, stretch in percent and text."""
-    pens = word_pens(words).filter("content <> ''").select(*LINE, "word_no", "dx", "dy", "line_angle")
-    glyphs = char_advances(words).select(*LINE, "word_no", "char_no", "text", "font", G.stretch(F.col("advance"), F.col("font")).alias("stretch"))
-    whole = stretches(words).join(words.select(*LINE, "word_no", "content", "font"), [*LINE, "word_no"]).select(*LINE, "word_no", F.lit(-1).alias("char_no"), F.col("content").alias("text"), "font", "stretch")
-    each = glyphs.unionByName(whole).join(pens, [*LINE, "word_no"])
-    return each.select(*LINE, "word_no", "char_no", "text", *(prec6(F.col(c)).alias(c) for c in ("line_angle", "dx", "dy", "font", "stretch")))
-
-
-def export_manifest(pages: DataFrame, mode: str = "WITH_OCR", stem: str = "scan") -> DataFrame:
-    """Names of exported images in page order, without the last page, which is still in progress. ``pages``: page_id."""
-    # two levels, so no task has all pages: ranks within ranges of ids, and the counts of the ranges before
-    ranged = pages.select("page_id", F.floor(F.col("page_id") / MANIFEST_RANGE).alias("part"))
-    before = ranged.groupBy("part").agg(F.count("*").alias("own")).select("part", (F.sum("own").over(W.orderBy("part")) - F.col("own")).alias("before"), F.sum("own").over(W.partitionBy()).alias("total"))
+    return words.filter(~placeable(words)).select(*LINE, "word_no", _whole_stretch().alias("stretch"), (_whole_stretch() * G.SPACE_SHARE).alias("space"))
+
+
+def text_layer(words: DataFrame, page_height: float = 0.0) -> DataFrame:
+    """A row per glyph, or per word where glyphs can't be placed (char_no -1), and one for the space after each word: the line's text matrix and start (a, b, c, d,
+    line_x, line_y), the word's pen (dx, dy), font, stretch in percent and text. One window per line and one explode; words meet their glyphs in their own row.
+    """
+    row = lambda no, text, stretch: F.struct(no.cast("int").alias("char_no"), text.alias("text"), stretch.cast("double").alias("stretch"))
+    space = F.lit(" ")
+    placed = F.concat(F.transform(_glyphs(), lambda g, i: row(i, g.text, G.stretch(g.advance, F.col("font")))), F.array(row(F.length("content"), space, F.lit(100.0 * G.SPACE_SHARE))))
+    whole = F.array(row(F.lit(-1), F.col("content"), _whole_stretch()), row(F.lit(-2), space, _whole_stretch() * G.SPACE_SHARE))
+    a = -F.col("line_angle")
+    each = word_pens(words).filter("content <> ''").select(
+        *LINE, "word_no", F.cos(a).alias("a"), F.sin(a).alias("b"), (-F.sin(a)).alias("c"), F.cos(a).alias("d"), F.col("start_x").alias("line_x"), (page_height - F.col("start_y")).alias("line_y"),
+        "line_angle", "dx", "dy", "font", F.explode(F.when(placeable(words), placed).otherwise(whole)).alias("g"),
+    )
+    return each.select(*LINE, "word_no", "g.char_no", "g.text", *(prec6(F.col(c)).alias(c) for c in ("a", "b", "c", "d", "line_x", "line_y", "line_angle", "dx", "dy", "font")), prec6(F.col("g.stretch")).alias("stretch"))
+
+
+def export_manifest(pages: DataFrame, mode: str = "WITH_OCR", stem: str = "scan", form: str = "images") -> DataFrame:
+    """Names of exported images in page order, without the last page, which is still in progress; with form "pdf" all pages are in one file, page by page.
+
+    ``pages``: page_id, and if there are such columns, has_image and has_result: error then tells what a page lacks for the export. Pages are numbered in three levels of ranges of
+    ids, so a task sees a range of pages, or of ranges, or the few ranges of ranges.
+    """
+    part, whole = F.floor(F.col("page_id") / MANIFEST_RANGE), F.floor(F.col("page_id") / MANIFEST_RANGE**2)
+    lacks = [F.when(~F.col(c), text) for c, text in (("has_image", "no image"), ("has_result", "no result")) if c in pages.columns and (c == "has_image" or mode != "RAW")]
+    ranged = pages.select("page_id", part.alias("part"), whole.alias("whole"), *([F.coalesce(*lacks).alias("error")] if lacks else []))
+    counts = ranged.groupBy("whole", "part").agg(F.count("*").alias("own"))
+    inner = counts.withColumn("inner", F.sum("own").over(W.partitionBy("whole").orderBy("part")) - F.col("own"))
+    outer = counts.groupBy("whole").agg(F.sum("own").alias("own")).select("whole", (F.sum("own").over(W.orderBy("whole")) - F.col("own")).alias("outer"), F.sum("own").over(W.partitionBy()).alias("total"))
+    before = inner.join(outer, "whole").select("part", (F.col("inner") + F.col("outer")).alias("before"), "total")
     within = F.row_number().over(W.partitionBy("part").orderBy("page_id"))
-    counted = ranged.withColumn("at", within).join(before, "part").select("page_id", (F.col("at") + F.col("before")).alias("n"), "total")
-    return counted.filter("n < total").select("page_id", F.concat(F.lit(f"{stem}-"), F.col("n").cast("string"), F.lit(".png")).alias("file"), F.lit("source" if mode == "RAW" else "adjusted").alias("image"), F.lit(mode != "RAW").alias("with_text"))
+    n = F.col("at") + F.col("before")
+    file = F.lit(f"{stem}.pdf") if form == "pdf" else F.concat(F.lit(f"{stem}-"), n.cast("string"), F.lit(".png"))
+    counted = ranged.withColumn("at", within).join(before, "part").filter(n < F.col("total"))
+    return counted.select("page_id", file.alias("file"), *([n.alias("file_page")] if form == "pdf" else []), F.lit("source" if mode == "RAW" else "adjusted").alias("image"), F.lit(mode != "RAW").alias("with_text"), *(["error"] if lacks else []))

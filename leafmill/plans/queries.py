@@ -198,6 +198,12 @@ def hocr_ingest(spark, d):
     return w.select(F.col("doc").alias("page_id"), "par_no", "content", "box.x1", "box.y1", "box.x2", "box.y2", F.round("confidence", 6).alias("confidence"), "font_size", F.size("char_boxes").alias("n_boxes"), level_only(F.col("baseline.y"), 3).alias("base_y"))
 
 
+@query
+def hocr_paragraphs(spark, d):
+    p = hocr.paragraphs(hocr.parsed(hocr_export(spark, d)))
+    return p.select(F.col("doc").alias("page_id"), "par_no", "box.x1", "box.y1", "box.x2", "box.y2", "n_lines", "n_words")
+
+
 @query
 def hocr_errors(spark, d):
     """Documents broken by rules on their id, by kind of error."""
@@ -214,6 +220,14 @@ def symbols_nest(spark, d):
     return H.symbols_to_words(L.symbols(_words(spark, d))).select("page_id", "par_no", "line_no", "word_no", "content", "x1", "x2", "n_chars", F.round("confidence", 6).alias("confidence"))
 
 
+@query
+def symbols_pages(spark, d):
+    """The whole hierarchy from symbols: line boxes, words and their baselines."""
+    w = H.flat_words(H.symbols_to_pages(L.symbols(_words(spark, d))))
+    b = F.col("line_box")
+    return w.groupBy("page_id", "line_no").agg(F.max(b.x1).alias("x1"), F.max(b.y1).alias("y1"), F.max(b.x2).alias("x2"), F.max(b.y2).alias("y2"), F.count("*").alias("n_words"), F.sum(F.size("char_boxes")).alias("n_chars"), F.round(F.sum("baseline.y"), 3).alias("base_y"))
+
+
 @query
 def word_baseline_hocr(spark, d):
     b = lambda *c: F.struct(*(F.col(x).alias(n) for x, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)))
@@ -276,7 +290,19 @@ def page_text(spark, d):
 @query
 def text_layer(spark, d):
     t = T.text_layer(_glyphed(spark, d))
-    return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") < 0, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.max("stretch"), 3).alias("stretch"))
+    return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") == -1, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.max("stretch"), 3).alias("stretch"))
+
+
+@query
+def text_layer_rows(spark, d):
+    """The rows of each line of the text layer: its matrix and start, spaces and the least stretch."""
+    t = T.text_layer(_glyphed(spark, d), 100000.0)
+    return t.groupBy("page_id", "line_no").agg(F.count("*").alias("n_rows"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("line_x").alias("line_x"), F.max("line_y").alias("line_y"), F.count(F.when(F.col("text") == " ", 1)).alias("n_spaces"), F.round(F.min("stretch"), 3).alias("least"))
+
+
+@query
+def export_manifest_pdf(spark, d):
+    return T.export_manifest(L.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 9 != 0).alias("has_image"), (F.col("doc_id") % 7 != 0).alias("has_result")), form="pdf").drop("image", "with_text")
 
 
 @query
@@ -295,6 +321,13 @@ def word_pixels(spark, d):
     return B.inside(L.cells(px), px).groupBy("page_id", "cell").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+@query
+def blurred_boxes(spark, d):
+    px = _pixels(spark, d)
+    found = B.blurred_boxes(B.flagged(B.measures(L.cells(px), px)))
+    return found.select("page_id", F.size("boxes").alias("n"), F.array_join(F.transform("boxes", S.box_text), ",").alias("boxes"))
+
+
 @query
 def word_blur(spark, d):
     px = _pixels(spark, d)
@@ -317,6 +350,16 @@ def recompute_mode(spark, d):
     return I.recompute_mode(o.filter("version = 2"), o.filter("version = 1"))
 
 
+@query
+def recompute_words(spark, d):
+    """What a run after cheap option changes gives: the old words, cleaned anew."""
+    docs = L.table(spark, d, "documents")
+    o = L.options(docs)
+    new = o.filter("version = 2")
+    again = I.reused(L.words(docs), I.recompute_mode(new, o.filter("version = 1")), new)
+    return again.groupBy("page_id").agg(F.count("*").alias("n_words"), F.sum("x1").cast("long").alias("sum_x1"), F.max("blur_coef").alias("blur_coef"))
+
+
 @query
 def option_change_suppress(spark, d):
     return I.option_changes(L.options(L.table(spark, d, "documents")))

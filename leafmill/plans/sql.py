@@ -148,9 +148,15 @@ ORACLE_SQL: dict[str, str] = {
     "word_pen": f"WITH {LEVEL}, m AS (SELECT *, x1 - coalesce(lag(x1) OVER o, start_x) AS mx, y2 + word_y - coalesce(lag(y2 + word_y) OVER o, start_y) AS my FROM lev WINDOW o AS (PARTITION BY page_id, par_no, line_no ORDER BY word_no)) SELECT page_id, line_no, word_no, {level_only('mx * cos(line_angle) + my * sin(line_angle)')} AS dx, {level_only('my * cos(line_angle) - mx * sin(line_angle)')} AS dy FROM m",
     "char_advance": f"WITH {WORDS} SELECT page_id, line_no, word_no, char_no, 10 AS advance FROM (SELECT *, unnest(range(length(content))) AS char_no FROM w WHERE length(content) = n_chars)",
     "rotated_pen": f"WITH {LEVEL} SELECT page_id, line_no, word_no, char_no, round(x1 + cos(line_angle) * 10 * char_no, 4) AS x, {level_only('y2 + word_y + sin(line_angle) * 10 * char_no')} AS y FROM (SELECT *, unnest(range(length(content))) AS char_no FROM lev WHERE length(content) = n_chars)",
-    "stretch": f"WITH {LEVEL}, m AS (SELECT *, 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) AS s FROM lev WHERE length(content) <> n_chars) SELECT page_id, line_no, word_no, round(s, 4) AS stretch, round(s * 0.2, 4) AS space FROM m",
+    "stretch": f"WITH {LEVEL}, m AS (SELECT *, 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(length(content), 0)) / (font / 2) AS s FROM lev WHERE length(content) <> n_chars) SELECT page_id, line_no, word_no, round(s, 4) AS stretch, round(s * 0.2, 4) AS space FROM m",
     "page_text": f"WITH {WORDS} SELECT page_id, string_agg(content, ' ' ORDER BY par_no, line_no, word_no) || ' ' AS text FROM w GROUP BY ALL",
-    "text_layer": f"WITH {LEVEL} SELECT page_id, count(*) FILTER (length(content) <> n_chars) AS n_whole, sum(CASE WHEN length(content) = n_chars THEN length(content) ELSE 1 END)::BIGINT AS n_rows, round(max(CASE WHEN length(content) = n_chars THEN 1000 / (font / 2) ELSE 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(n_chars, 0)) / (font / 2) END), 3) AS stretch FROM lev GROUP BY ALL",
+    "text_layer": f"WITH {LEVEL} SELECT page_id, count(*) FILTER (length(content) <> n_chars) AS n_whole, sum(CASE WHEN length(content) = n_chars THEN length(content) + 1 ELSE 2 END)::BIGINT AS n_rows, round(max(CASE WHEN length(content) = n_chars THEN 1000 / (font / 2) ELSE 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / nullif(length(content), 0)) / (font / 2) END), 3) AS stretch FROM lev GROUP BY ALL",
+    "text_layer_rows": f"WITH {LEVEL}, s AS (SELECT *, length(content) = n_chars AS ok, 100 * (sqrt((x2 - x1) ** 2 + ((x2 - x1) * tan(line_angle)) ** 2) / length(content)) / (font / 2) AS whole FROM lev) SELECT page_id, line_no, sum(CASE WHEN ok THEN length(content) + 1 ELSE 2 END)::BIGINT AS n_rows, round(max(cos(line_angle)), 6) + 0.0 AS a, round(max(-sin(line_angle)), 6) + 0.0 AS b, max(start_x) AS line_x, round(max(100000.0 - start_y), 6) AS line_y, count(*) AS n_spaces, round(min(CASE WHEN ok THEN least(20.0, 1000 / (font / 2)) ELSE whole * 0.2 END), 3) AS least FROM s GROUP BY page_id, line_no",
+    "export_manifest_pdf": "SELECT doc_id AS page_id, 'scan.pdf' AS file, n AS file_page, CASE WHEN doc_id % 9 = 0 THEN 'no image' WHEN doc_id % 7 = 0 THEN 'no result' END AS error FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) WHERE n < total",
+    "blurred_boxes": f"WITH {BLUR} SELECT page_id, count(*) AS n, string_agg(concat_ws(' ', x1, y1, x2, y2), ',' ORDER BY cell) AS boxes FROM ws JOIN cells USING (page_id, cell) LEFT JOIN q85 USING (page_id, cell) WHERE ws.contrast >= ws.char_width * 0.1 * coalesce(q85.at, 0) GROUP BY page_id",
+    "recompute_words": f"WITH {OPTIONS}, {WORDS} SELECT page_id, count(*) AS n_words, sum(x1)::BIGINT AS sum_x1, max(blur) AS blur_coef FROM w JOIN o2 USING (page_id) WHERE page_id % 7 <> 0 AND diff = 5 AND (conf <> 0.3 OR blur <> 0.1) AND confidence >= conf GROUP BY page_id",
+    "symbols_pages": f"WITH {SYMBOLS}, wd AS (SELECT page_id, l, wn, min(x1 + 10 * char_no) AS a, min(y1) AS b, max(x1 + 10 * char_no + 10) AS c, max(y2) AS d, count(*) AS k FROM nw GROUP BY ALL) SELECT page_id, l AS line_no, min(a) AS x1, min(b)::INT AS y1, max(c) AS x2, max(d)::INT AS y2, count(*) AS n_words, sum(k)::BIGINT AS n_chars, round(max(d) * count(*) - sum(d), 3)::DOUBLE AS base_y FROM wd GROUP BY page_id, l",
+    "hocr_paragraphs": f"WITH {LINES}, c AS (SELECT page_id, par_no, count(*) AS n_words FROM w GROUP BY ALL) SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY par_no) - 1 AS par_no, x1, y1::INT AS y1, x2, y2::INT AS y2, n_lines, n_words FROM (SELECT page_id, par_no, min(lx1) AS x1, min(ly1) AS y1, max(lx2) AS x2, max(ly2) AS y2, count(*) AS n_lines FROM lines GROUP BY ALL) JOIN c USING (page_id, par_no)",
     "export_manifest": "SELECT doc_id AS page_id, 'scan-' || n || '.png' AS file, 'adjusted' AS image, true AS with_text FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents) WHERE n < total",
     "sobel": f"WITH {SOBEL} SELECT page_id, y, x, round(g, 6) + 0.0 AS g FROM g",
     "word_pixels": f"WITH {BLUR} SELECT page_id, cell, count(*) AS n, sum(v)::BIGINT AS total FROM part GROUP BY ALL",

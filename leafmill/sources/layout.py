@@ -78,12 +78,16 @@ def cells(pixel: DataFrame) -> DataFrame:
 
 def symbols(word: DataFrame) -> DataFrame:
     """Recognised characters in reading order, with flags where a level begins; every 50th line is a rule, every 70th an image."""
-    each = word.select("page_id", "par_no", "line_no", "word_no", "content", "x1", "y1", "y2", "confidence", "n_chars", F.posexplode(F.split("content", "")).alias("char_no", "text")).filter("text <> ''")
-    order = W.partitionBy("page_id").orderBy("line_no", "word_no", "char_no")
-    new = lambda *keys: F.coalesce(F.lag(F.struct(*keys)).over(order) != F.struct(*keys), F.lit(True))
+    # numbers and flags come from windows over words, a fifth of the rows
+    order = W.partitionBy("page_id").orderBy("line_no", "word_no")
+    before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    new_word = lambda key: F.coalesce(F.lag(key).over(order) != F.col(key), F.lit(True))
+    each = word.withColumns({"before": before, "new_par": new_word("par_no"), "new_line": new_word("line_no")})
+    each = each.select("page_id", "line_no", "x1", "y1", "y2", "confidence", "before", "new_par", "new_line", F.posexplode(F.filter(F.split("content", ""), lambda c: c != "")).alias("char_no", "text"))
+    first = F.col("char_no") == 0
     kind = F.when(F.col("line_no") % 50 == 49, "HORZ_LINE").when(F.col("line_no") % 70 == 69, "FLOWING_IMAGE").otherwise("TEXT")
     x = F.col("x1") + 10 * F.col("char_no")
-    return each.select("page_id", F.row_number().over(order).alias("seq"), kind.alias("block_type"), new("par_no").alias("par_start"), new("line_no").alias("line_start"), new("line_no", "word_no").alias("word_start"), "text", x.alias("x1"), "y1", (x + 10).alias("x2"), "y2", F.col("confidence").alias("conf"), F.lit(20.0).alias("row_height"))
+    return each.select("page_id", (F.col("before") + F.col("char_no") + 1).cast("int").alias("seq"), kind.alias("block_type"), (first & F.col("new_par")).alias("par_start"), (first & F.col("new_line")).alias("line_start"), first.alias("word_start"), "text", x.alias("x1"), "y1", (x + 10).alias("x2"), "y2", F.col("confidence").alias("conf"), F.lit(20.0).alias("row_height"))
 
 
 def jobs(events: DataFrame) -> DataFrame:

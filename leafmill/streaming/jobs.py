@@ -36,7 +36,10 @@ DAYS, LATE = 30, "1 hour"
 
 
 def published(jobs: DataFrame) -> DataFrame:
-    """A stream of jobs (JOBS) -> completions that were current when they came. The state of a page is one number; the rows of a micro-batch are handled in order of seq."""
+    """A stream of jobs (JOBS) -> completions that were current when they came. The state of a page is one number; the rows of a micro-batch are handled in order of seq.
+
+    Between micro-batches the order is the source's, so a page's jobs must arrive in order, as they do from a log partitioned by page or from files in order of their times: a
+    completion that comes before the submission that overtakes it was current when it came."""
     return jobs.withWatermark("ts", LATE).groupBy("page_id").applyInPandasWithState(_latest, "page_id long, seq long, job_id int", "last int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -50,3 +53,8 @@ def arriving(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> D
 def finished_scans(scans: DataFrame) -> DataFrame:
     """Scans (page_id, scan_type, ...) that go to recognition: normal ones, not previews."""
     return scans.filter("scan_type = 'NORMAL'")
+
+
+def recognised(scans: DataFrame) -> DataFrame:
+    """A stream (or table) of finished scans with their hOCR document (page_id, scan_type, content) -> words of the normal ones, as they come; no state."""
+    return hocr.words(hocr.parsed(finished_scans(scans)), "page_id")

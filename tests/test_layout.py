@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from leafmill.operators import blur as B
 from leafmill.operators import hierarchy as H
 from leafmill.operators import reading_order as R
 from leafmill.operators import textlayer as T
-from leafmill.sources import hocr, layout
+from leafmill.sources import hocr, layout, results
 
 
 def dominant(spark, rows, wrap=360.0, window=5.0):
@@ -168,4 +170,68 @@ def test_glyphs_of_unequal_widths(spark):
     pens = {(r.word_no, r.char_no): r.x for r in T.glyph_pens(level).collect()}
     assert pens == {(n, i): x for n, w in enumerate(edges) for i, x in enumerate(starts[w][:-1])}
     font = level.first().font
-    assert {(r.word_no, r.char_no): r.stretch for r in T.text_layer(level).collect()} == pytest.approx({(n, i): 100 * x / (font / 2) for n, w in enumerate(edges) for i, x in enumerate(want[w])}, abs=1e-5)
+    rows = T.text_layer(level, 500.0).collect()
+    assert {(r.word_no, r.char_no): r.stretch for r in rows if r.text != " "} == pytest.approx({(n, i): 100 * x / (font / 2) for n, w in enumerate(edges) for i, x in enumerate(want[w])}, abs=1e-5)
+    assert [(r.word_no, r.char_no, r.stretch) for r in rows if r.text == " "] == [(0, 3, 20.0), (1, 2, 20.0)]
+    assert {(r.a, r.b, r.c, r.d, r.line_x, r.line_y) for r in rows} == {(1.0, 0.0, 0.0, 1.0, 30.0, 500.0 - 25)}
+    odd = T.text_layer(level.filter("word_no = 0").withColumn("char_boxes", F.slice("char_boxes", 1, 2)).withColumn("n_chars", F.lit(2))).collect()
+    whole = 100 * (63 - 30) / 3 / (font / 2)  # by code points, not by boxes
+    assert [(r.char_no, r.text, r.stretch) for r in odd] == [(-1, "Wil", pytest.approx(whole, abs=1e-5)), (-2, " ", pytest.approx(whole * 0.2, abs=1e-5))]
+
+
+def test_hocr_paragraphs_sizes_and_strict_mode(spark):
+    good = DOC.format(words=word("22 4 30 24", 85, "A"))
+    docs = {"own": good.replace("bbox 22 4 634 28", "bbox 1 2 700 90", 1), "none": good.replace(' title="bbox 22 4 634 28"', "", 1), "empty": DOC.format(words=word("22 4 30 24", 85, ""))}
+    got = hocr.paragraphs(hocr.parsed(spark.createDataFrame(list(docs.items()), "doc string, content string"))).collect()
+    assert {r.doc: tuple(r.box) for r in got} == {"own": (1, 2, 700, 90), "none": (22, 4, 634, 28)}
+    sizes = {"missing": good.replace("; x_size 20", ""), "two": good.replace("x_size 20", "x_size 20 3"), "word": good.replace("x_size 20", "x_size big")}
+    words = hocr.words(hocr.parsed(spark.createDataFrame(list(sizes.items()), "doc string, content string")))
+    assert {r.doc: r.error for r in words.collect()} == dict.fromkeys(sizes, "line")
+    fine = hocr.words(hocr.parsed(spark.createDataFrame([("d", good)], "doc string, content string")))
+    assert hocr.strict(fine).count() == 1
+    with pytest.raises(Exception, match="bad line in document"):
+        hocr.strict(words).collect()
+
+
+def test_symbols_to_pages(spark):
+    rows = [(1, 1, True, True, True, "a", 10, 20, 18, 40), (1, 2, False, False, False, "b", 18, 22, 25, 41), (1, 3, False, False, True, "c", 40, 25, 48, 44), (1, 4, True, True, True, "d", 10, 60, 18, 80)]
+    schema = "page_id long, seq int, par_start boolean, line_start boolean, word_start boolean, text string, x1 int, y1 int, x2 int, y2 int"
+    df = spark.createDataFrame(rows, schema).withColumns({"block_type": F.lit("TEXT"), "conf": F.lit(0.5), "row_height": F.lit(20.0)})
+    page = H.symbols_to_pages(df).first()
+    assert [tuple(p.box) for p in page.paragraphs] == [(10, 20, 48, 44), (10, 60, 18, 80)]
+    line = page.paragraphs[0].lines[0]
+    assert [(w.content, tuple(w.box), w.baseline.y, [tuple(b) for b in w.char_boxes]) for w in line["words"]] == [("ab", (10, 20, 25, 41), 3.0, [(10, 20, 18, 40), (18, 22, 25, 41)]), ("c", (40, 25, 48, 44), 0.0, [(40, 25, 48, 44)])]
+    sloped = df.withColumns({"base_x1": F.lit(10), "base_y1": F.lit(38), "base_x2": F.lit(48), "base_y2": F.lit(42), "orientation": F.lit("UP")})
+    line = H.symbols_to_pages(sloped.filter("seq < 4")).first().paragraphs[0].lines[0]
+    slope = 4 / 38
+    assert (line.baseline.x, line.baseline.y, line.baseline.angle) == pytest.approx((0, -6, np.arctan(slope)))
+    assert [w.baseline.y for w in line["words"]] == pytest.approx([38 - 41, 38 - slope * 30 - 44])
+
+
+def test_manifest_forms(spark):
+    pages = spark.createDataFrame([(i * 40_000_000, i != 1, i != 2) for i in range(5)], "page_id long, has_image boolean, has_result boolean")
+    got = T.export_manifest(pages).orderBy("page_id").collect()
+    assert [(r.file, r.error) for r in got] == [("scan-1.png", None), ("scan-2.png", "no image"), ("scan-3.png", "no result"), ("scan-4.png", None)]
+    assert [r.error for r in T.export_manifest(pages, mode="RAW").orderBy("page_id").collect()] == [None, "no image", None, None]
+    assert [(r.file, r.file_page) for r in T.export_manifest(pages, form="pdf").orderBy("page_id").collect()] == [("scan.pdf", i) for i in (1, 2, 3, 4)]
+
+
+def test_quantiles_of_arrays_and_blur_of_other_coefficients(spark):
+    rng = np.random.default_rng(3)
+    px = spark.createDataFrame([(1, y, x, int(v)) for y in range(20) for x in range(64) for v in [rng.integers(0, 255)]], "page_id long, y int, x int, v int")
+    cells = layout.cells(px)
+    hist = B.histogram(B.inside(cells, px), ["page_id", "cell"], "v")
+    arrays = hist.groupBy("page_id", "cell").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("h"))
+    for q in (0.05, 0.5, 0.95, 1.0):
+        want = {r.cell: r["at"] for r in B.quantile_index(hist, ["page_id", "cell"], q).collect()}
+        assert {r.cell: r["at"] for r in arrays.select("cell", B.quantile_of(F.col("h"), q).alias("at")).collect()} == want
+    measured = B.measures(cells, px).cache()
+    for coef in (0.01, 0.5):
+        assert {(r.cell, r.blurred) for r in B.flagged(measured, coef).collect()} == {(r.cell, r.blurred) for r in B.blurred(cells, px, coef).collect()}
+
+
+def test_result_tables(spark, tmp_path):
+    words = spark.createDataFrame([(5, 1, "a"), (10_007, 1, "b")], "page_id long, word_no int, content string")
+    results.write(words, str(tmp_path / "words"))
+    assert sorted(p.name for p in (tmp_path / "words").glob("part=*")) == ["part=0", "part=1"]
+    assert sorted(r.content for r in results.read(spark, str(tmp_path / "words"), 10_007).collect()) == ["b"]

@@ -1,6 +1,9 @@
 """Streaming forms against their batch forms."""
 
 import json
+import os
+
+from pyspark.sql import functions as F
 
 from leafmill.operators import incremental as I
 from leafmill.sources import hocr, layout
@@ -14,7 +17,9 @@ BATCHES = [ROWS[:2], ROWS[2:5], ROWS[5:]]
 def test_latest_submission_wins(spark, tmp_path):
     for i, rows in enumerate(BATCHES):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"page_id": p, "seq": s, "ts": f"2024-01-01T00:00:{s:02}", "kind": k, "job_id": j}) for p, s, k, j in rows))
+        file = tmp_path / "in" / f"{i}.json"
+        file.write_text("\n".join(json.dumps({"page_id": p, "seq": s, "ts": f"2024-01-01T00:00:{s:02}", "kind": k, "job_id": j}) for p, s, k, j in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # a file stream reads in the order of these
     stream = spark.readStream.schema(J.JOBS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     out = J.published(stream).writeStream.format("memory").queryName("published").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert out.awaitTermination(90)
@@ -32,3 +37,14 @@ def test_arriving_documents(spark, tmp_path):
     assert out.awaitTermination(90)
     assert sorted(r.content for r in spark.table("arrived").collect()) == ["and", "here", "some", "there", "words"]
     assert hocr.manifest(spark, str(tmp_path / "docs" / "*")).count() == 2
+
+
+def test_finished_scans_go_to_recognition(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words"), (2, "not these"), (3, "and these")], "doc_id long, text string")
+    pages = hocr.documents(H.nest(layout.structured(layout.words(docs)))).withColumnsRenamed({"doc": "page_id"})
+    kind = F.when(F.col("page_id") == 2, "PREVIEW").otherwise("NORMAL")
+    pages.withColumn("scan_type", kind).write.parquet(str(tmp_path / "scans"))
+    stream = spark.readStream.schema("page_id long, content string, scan_type string").parquet(str(tmp_path / "scans"))
+    out = J.recognised(stream).select("page_id", "content").writeStream.format("memory").queryName("recognised").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert out.awaitTermination(90)
+    assert sorted((r.page_id, r.content) for r in spark.table("recognised").collect()) == [(1, "some"), (1, "words"), (3, "and"), (3, "these")]
