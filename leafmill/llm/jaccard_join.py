@@ -40,7 +40,7 @@ SAME = ["n", "d1", "d2"]
 #: Shingles that come last in the order: HOT_TEXTS texts have them, repeated sets of a task's chunk counted once; HOT_MOST at most. It only decides the order, in which those of
 #: the smallest hashes come first, so only hashes in this share of all are counted.
 HOT_TEXTS, HOT_MOST, COUNTED = 8, 1 << 20, 0.22
-CHUNK = 3_000_000
+CHUNK, DEALT = 3_000_000, 1_000_000
 #: Keys per bucket of step 2, and bytes of text per bucket of counts.
 BUCKET_KEYS, COUNT_BYTES = 500_000, 32 << 20
 _SEEDS = K.mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -235,7 +235,7 @@ def _deal(buckets: int):
             place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
             parts.append((key.view(np.uint64).ravel(), *(np.repeat(K.column(batch, c).to_numpy(), size) for c in ("rid", "home", "n")), place))
             held += len(key)
-            if held > CHUNK:
+            if held > DEALT:
                 yield from flush(parts)
                 parts, held = [], 0
         if parts:
@@ -268,14 +268,18 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _votes(table: pa.Table) -> pa.Table:
-    """How many of a class's keys name which class as pivot: of each key, that of the smallest hash."""
+    """The other class that most of a class's keys name as pivot, and how many do: each key names that of the smallest hash."""
     key, rid, _, _, _ = _entries(table)
     order = np.lexsort((K.mix(rid.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), key))
     key, rid = key[order], rid[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     named = rid[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(key) else rid
-    rid, named, votes = _distinct(rid, named)
+    other = rid != named
+    rid, named, votes = _distinct(rid[other], named[other])
+    order = np.lexsort((named, -votes, rid))
+    best = order[np.concatenate([np.ones(min(1, len(rid)), bool), rid[order][1:] != rid[order][:-1]])]
+    rid, named, votes = rid[best], named[best], votes[best]
     return pa.table([pa.array(rid), pa.array(named), pa.array(votes, pa.int64())], ["rid", "named", "votes"])
 
 
@@ -566,9 +570,11 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     # 2. regions
     votes = dealt(classes.withColumn("home", F.col("rid"))).applyInArrow(_votes, "rid long, named long, votes long")
     votes = votes.groupBy("rid", "named").agg(F.sum("votes").alias("votes")).groupBy("rid").agg(F.max(F.struct("votes", "named")).named.alias("pivot"))
+    votes = written(votes, "votes")
+    votes = votes.select("rid").union(votes.select("pivot")).distinct().join(votes, "rid", "left")
     active = written(votes.join(classes.select("rid", "n", "map"), "rid"), "active")
     pivots = active.select(F.col("rid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("map").alias("pivot_map"))
-    near = active.filter("rid <> pivot").join(pivots, "pivot").select("rid", "n", "map", "pivot", "pivot_n", "pivot_map")
+    near = active.filter("pivot is not null").join(pivots, "pivot").select("rid", "n", "map", "pivot", "pivot_n", "pivot_map")
     near = written(near.mapInArrow(K.tidy(_near), "rid long, pivot long, far long, level long"), "near")
     near = near.join(near.select(F.col("pivot").alias("rid")).distinct(), "rid", "left_anti")
     homes = written(active.select("rid", "n").join(near, "rid", "left").select("rid", "n", F.coalesce("pivot", "rid").alias("home"), F.coalesce("far", F.lit(-1)).alias("far"), F.coalesce("level", F.lit(99)).alias("level")), "homes")
