@@ -346,6 +346,50 @@ def _inside(batches):
         yield pa.RecordBatch.from_arrays([K.column(out, "rid"), K.column(out, "region")], ["rid", "region"])
 
 
+def _whole_regions(batches):
+    """Rows that come by region, as tables of whole regions."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        region = K.column(batch, "region").to_numpy()
+        last = region[-1]
+        open_from = int(np.searchsorted(region == last, True))
+        if open_from or (held and K.column(held[-1], "region")[-1].as_py() != last):
+            held.append(batch.slice(0, open_from))
+            yield pa.Table.from_batches([h for h in held if len(h)])
+            held = []
+        held.append(batch.slice(open_from))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _partnered(maps: list[bytes], n: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Which sets may, by their maps and sizes, be linked with another one of another home."""
+    level, found = map_level(n), np.zeros(len(n), bool)
+    for to in np.unique(level).tolist():  # linked sets differ by one level at most
+        at = np.flatnonzero((level == to) | (level == to + 1))
+        rows = np.concatenate([_folded(np.frombuffer(maps[i], np.uint8).reshape(1, -1), to) for i in at.tolist()]).view(np.uint64)
+        for i in np.flatnonzero(level[at] == to).tolist():
+            far = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
+            a = at[i]
+            fits = (far * (100 + PERCENT) <= (100 - PERCENT) * (n[at] + n[a])) & (home[at] != home[a]) & (100 * n[at] >= PERCENT * n[a]) & (100 * n[a] >= PERCENT * n[at])
+            if fits.any():
+                found[a] = True
+                found[at[fits]] = True
+    return found
+
+
+def _sift(batches):
+    """Classes that meet in a shingle's region, those without a possible link there left out; the rows come by region."""
+    for table in _whole_regions(batches):
+        region, n, home = (table[c].to_numpy() for c in ("region", "n", "home"))
+        maps = table["map"].to_pylist()
+        head = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])).tolist()
+        keep = np.concatenate([_partnered(maps[a:b], n[a:b], home[a:b]) for a, b in zip(head, [*head[1:], len(n)], strict=True)])
+        yield from table.select(["rid", "region"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _shares(value: np.ndarray, begins: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     """How many shingles set i shares with each of the others."""
     own = value[begins[i] : begins[i + 1]]
@@ -420,20 +464,8 @@ def _join(batches):
             done = upto
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        last = K.column(batch, "region")[-1].as_py()
-        region = K.column(batch, "region").to_numpy()
-        open_from = int(np.searchsorted(region == last, True))
-        if open_from or (held and K.column(held[-1], "region")[-1].as_py() != last):
-            held.append(batch.slice(0, open_from))
-            yield joined(pa.Table.from_batches([h for h in held if len(h)]))
-            held = []
-        held.append(batch.slice(open_from))
-    if held:
-        yield joined(pa.Table.from_batches(held))
+    for table in _whole_regions(batches):
+        yield joined(table)
 
 
 def _measure(batches):
@@ -586,7 +618,13 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     window = written(window, "window")
     bounds = radius.join(pivots.withColumnRenamed("pivot", "region"), "region")
     inside = window.filter("region >= 0").join(active.select("rid", "n", "map"), "rid").join(bounds, "region").select("rid", "n", "map", "region", "pivot_n", "pivot_map", "radius", "level")
-    inside = inside.mapInArrow(K.tidy(_inside), "rid long, region long").union(window.filter("region < 0"))
+    inside = inside.mapInArrow(K.tidy(_inside), "rid long, region long")
+    # regions of a shingle: within a task's bound, maps tell who may have a link there
+    crowd = window.filter("region < 0").join(active.select("rid", "n", "map"), "rid").join(homes.select("rid", "home"), "rid")
+    size = crowd.groupBy("region").agg(F.count("*").alias("rows")).select("region", (F.col("rows") > region_rows).alias("crowded"))
+    crowd = crowd.join(size, "region")
+    sifted = crowd.filter("not crowded").select("region", "rid", "n", "home", "map").repartition("region").sortWithinPartitions("region").mapInArrow(K.tidy(_sift), "rid long, region long")
+    inside = inside.union(sifted).union(crowd.filter("crowded").select("rid", "region"))
     guests = inside.join(homes.select("rid", "n", "home"), "rid").select("region", "rid", (F.col("region") < 0).alias("own"), F.when(F.col("region") < 0, F.col("home")).otherwise(F.col("rid")).alias("home"), F.col("rid").alias("part"), "n")
     hosts = homes.select(F.col("home").alias("region"), "rid", F.lit(True).alias("own"), F.col("rid").alias("home"), F.col("rid").alias("part"), "n")
     members = written(hosts.union(guests), "members")
