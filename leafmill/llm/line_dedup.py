@@ -17,7 +17,7 @@ MIN_SITES = 6
 #: Sketches have 2**LG_K registers; an estimate is off by more than BAND of itself in fewer than one line in 10,000 (4 standard errors of 1.04 / sqrt(2**LG_K)), and at few sites sketches are exact.
 LG_K = 10
 BAND = 4 * 1.04 / 2 ** (LG_K / 2)
-#: The boilerplate lines are broadcast up to so many (16 bytes each); beyond that they are joined by shuffle.
+#: Lines are broadcast up to so many (some 50 bytes each); beyond that they are joined by shuffle, where AQE splits a line that stands everywhere.
 BROADCAST_LINES = 500_000
 
 
@@ -28,13 +28,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.filter(line != "").select("doc", "text_hash", "site", "line_no", F.xxhash64(line).alias("line"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines that stand on ``min_sites`` sites or more; null sites count as none."""
-    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    maybe = spread.filter(F.col("sites") >= min_sites * (1 - BAND) - 1)
-    near = maybe.filter(F.col("sites") <= min_sites * (1 + BAND) + 1).select("line")
-    exact = lines.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    return maybe.filter(F.col("sites") > min_sites * (1 + BAND) + 1).select("line").union(exact.select("line"))
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """Lines (as hashes) that stand on ``min_sites`` sites or more, with the place that stays (kept: doc, text_hash, line_no); null sites count as none. Written.
+
+    One aggregation, combined before its shuffle, gives sketch and first place of each line, so a line that stands everywhere is a row of each task."""
+    each = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc", "text_hash", "line_no")).alias("kept"))
+    maybe = written(each.filter(F.col("sites") >= min_sites * (1 - BAND) - 1), "lines")
+    sure = F.col("sites") > min_sites * (1 + BAND) + 1
+    near = maybe.filter(~sure).select("line")
+    # lines far above the threshold take no part here: few near ones are looked up where lines are read; else sites are made distinct before lines meet
+    if near.count() <= broadcast_lines:
+        pairs = lines.select("line", "site").join(F.broadcast(near), "line").distinct()
+    else:
+        pairs = lines.select("line", "site").distinct().join(near, "line")
+    exact = pairs.groupBy("line").agg(F.count("site").alias("n")).filter(F.col("n") >= min_sites).select("line")
+    return written(maybe.filter(sure).select("line", "kept").union(maybe.join(exact, "line").select("line", "kept")), "boilerplate")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -49,15 +57,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_li
     own = docs.select(F.struct(*names).alias("row"), "doc_id", "text", F.col("source").alias("site"))
     own = own.select("row", "site", keyed_columns(own)[0], keyed_columns(own)[1], F.coalesce("text", F.lit("")).alias("text"))
     lines = _lines(own)
-    found = written(boilerplate(lines, min_sites), "boilerplate")
-    small = found.count() <= broadcast_lines
-    hit = lines.join(F.broadcast(found) if small else found, "line")
-    first = hit.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "line_no")).alias("kept"))
-    gone = hit.join(F.broadcast(first) if small else first, "line").filter(F.struct("doc", "text_hash", "line_no") != F.col("kept"))
+    found = boilerplate(lines, min_sites, broadcast_lines)
+    hit = lines.select("doc", "text_hash", "line_no", "line").join(F.broadcast(found) if found.count() <= broadcast_lines else found, "line")
+    gone = hit.filter(F.struct("doc", "text_hash", "line_no") != F.col("kept"))
     marks = gone.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     parts = F.split("text", "\n", -1)
     out = own.join(marks, ["doc", "text_hash"], "left")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     return out.select("row.*", F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
