@@ -1,8 +1,8 @@
 """LM scoring with a hidden Markov model.
 
-Every training token is counted over the whole corpus. The states of the model emit classes: the CLASS_WORDS most
-frequent words are classes of their own, other words fall into SHAPES classes by length and last byte, and within such
-a class a word has its smoothed share of the class's training tokens. Baum-Welch counts come from all training documents, are
+Every training token is counted over the whole corpus. The states of the model emit classes: the most
+frequent words are classes of their own, as many as the square root of the vocabulary (within CLASS_WORDS), other words fall into SHAPES classes by length and last byte, and within such
+a class a word has its smoothed share of the class's training tokens. Baum-Welch counts come from all training documents, whole, are
 summed across partitions, and give the next parameters; the scaled forward recursion then gives the exact likelihood of
 whole texts. Counts of the HEAVY most frequent words reach the tasks by broadcast (so many words at most); those of all other words by a join.
 """
@@ -18,12 +18,13 @@ from . import textkernel as K
 from .shared import written
 
 STATES, ROUNDS, SEED = 8, 3, 11
-CLASS_WORDS, SHAPES = 1000, 64
+#: Least and most words with a class of their own; classes of the others.
+CLASS_WORDS, SHAPES = (1000, 8000), 64
 HEAVY = 300_000
-#: Baum-Welch reads its training texts in pieces of so many tokens, each a sequence; scoring doesn't cut.
-TRAIN_PIECE = 128
-CLASSES = CLASS_WORDS + SHAPES + 1
-END = CLASSES - 1
+#: Baum-Welch reads training texts whole up to so many tokens, longer ones in pieces of that size, of which the first alone counts as a start; scoring doesn't cut.
+TRAIN_TOKENS = 1_000_000
+#: Tokens, with padding, that it holds at once; a longer text is alone.
+TOGETHER = 200_000
 ALPHA = 0.1  # of the base score, and of words within a class
 _MASK = np.uint64(SHAPES - 1)
 
@@ -73,20 +74,21 @@ class Vocabulary:
         self.n = (totals.n or 0) + documents
         self.v = totals.v + (documents > 0)
         self.end = documents
+        self.class_words = min(max(CLASS_WORDS[0], int(totals.v**0.5)), CLASS_WORDS[1])
         shapes = counts.groupBy((F.col("key").bitwiseAND(SHAPES - 1)).alias("s")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).toArrow()
         top = counts.orderBy(F.desc("n"), "key").limit(heavy).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
         key, n = top["key"].to_numpy(), top["n"].to_numpy()
         order = np.argsort(key)
         rank = np.arange(len(key))
         shape = (key & (SHAPES - 1)).astype(np.int64)
-        own = rank < CLASS_WORDS
-        cls = np.where(own, rank, CLASS_WORDS + shape)
+        own = rank < self.class_words
+        cls = np.where(own, rank, self.class_words + shape)
         self.key, self.count, self.cls = key[order], n[order].astype(np.int64), cls[order].astype(np.int16)
         self.shape_n, self.shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
         self.shape_n[shapes["s"].to_numpy()], self.shape_v[shapes["s"].to_numpy()] = shapes["n"].to_numpy(), shapes["v"].to_numpy()
         np.subtract.at(self.shape_n, shape[own], n[own])
         np.subtract.at(self.shape_v, shape[own], 1)
-        self.class_counts = np.concatenate([np.zeros(CLASS_WORDS), self.shape_n, [documents]])
+        self.class_counts = np.concatenate([np.zeros(self.class_words), self.shape_n, [documents]])
         self.class_counts[: own.sum()] = n[own]
 
     def base(self, c):
@@ -109,13 +111,13 @@ def _encode(shared):
                 at[at == len(vocab.key)] = 0
                 known = vocab.key[at] == key if len(vocab.key) else np.zeros(len(key), bool)
                 shape = key & (SHAPES - 1)
-                cls = np.where(known, vocab.cls[at] if len(vocab.key) else 0, CLASS_WORDS + shape).astype(np.int16)
+                cls = np.where(known, vocab.cls[at] if len(vocab.key) else 0, vocab.class_words + shape).astype(np.int16)
                 c = np.where(known, vocab.count[at] if len(vocab.key) else 0, 0)
                 base = np.where(known, vocab.base(c), 0.0)
-                rare = np.where(known & (cls >= CLASS_WORDS), vocab.rare(c, shape), 0.0)
+                rare = np.where(known & (cls >= vocab.class_words), vocab.rare(c, shape), 0.0)
                 add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])
                 tail, tail_at = key[~known], np.concatenate([[0], np.cumsum(~known)])[words.first]
-                classes = np.insert(cls, words.first[1:], np.int16(END))
+                classes = np.insert(cls, words.first[1:], np.int16(vocab.class_words + SHAPES))
                 ends = words.first + np.arange(block.n + 1)
                 out[0] += np.diff(ends).tolist()
                 out[1] += [classes[a:b].astype("<i2").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
@@ -184,9 +186,11 @@ def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch counts of start, moves and emissions over texts of TRAIN_PIECE tokens at most."""
-    texts = sorted(texts, key=len, reverse=True)
+def expected_counts(model: Model, texts: list[np.ndarray], begins: list[bool] | None = None) -> np.ndarray:
+    """Baum-Welch counts of start, moves and emissions over texts of at least a token, side by side; ``begins``: whether each is the begin of its text (all, if None)."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    head = np.ones(len(texts)) if begins is None else np.array([begins[i] for i in order], float)
+    texts = [texts[i] for i in order]
     obs, live = _padded(texts)
     T, n, k = len(obs), len(texts), len(model.start)
     emit = np.ascontiguousarray(model.emit.T)
@@ -211,25 +215,36 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     flat = (np.arange(T)[:, None] * 0 + obs).ravel()
     c = model.emit.shape[1]
     counts = np.stack([np.bincount(flat, alpha[:, :, j].ravel(), c) for j in range(k)])
-    return np.concatenate([alpha[0].sum(0), (move * model.move).ravel(), counts.ravel()])
+    return np.concatenate([head @ alpha[0], (move * model.move).ravel(), counts.ravel()])
 
 
 def _expect(shared):
     def run(batches):
         model: Model = shared.value
         total, pieces, held = None, [], 0
+
+        def add():
+            nonlocal total
+            pieces.sort(key=lambda p: -len(p[0]))
+            at = 0
+            while at < len(pieces):  # texts of like length together, so that padding stays small
+                most = len(pieces[at][0])
+                n = max(1, TOGETHER // most)
+                few = next((i for i in range(at + n // 8 + 1, min(at + n, len(pieces))) if len(pieces[i][0]) < 0.7 * most), at + n)
+                part = expected_counts(model, *zip(*pieces[at:few], strict=True))
+                total = part if total is None else total + part
+                at = few
+
         for batch in batches:
             for raw in K.column(batch, "classes"):
                 text = np.frombuffer(raw.as_buffer(), "<i2")
-                for a in range(0, len(text), TRAIN_PIECE):
-                    pieces.append(text[a : a + TRAIN_PIECE])
+                pieces += [(text[a : a + TRAIN_TOKENS], a == 0) for a in range(0, len(text), TRAIN_TOKENS)]
                 held += len(text)
-                if held > 150_000:
-                    part = expected_counts(model, pieces)
-                    total, pieces, held = part if total is None else total + part, [], 0
+                if held > 10 * TOGETHER:
+                    add()
+                    pieces, held = [], 0
         if pieces:
-            part = expected_counts(model, pieces)
-            total = part if total is None else total + part
+            add()
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "x"])
