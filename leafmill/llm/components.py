@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, labels.node == near.x).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = step.select(F.col("node").alias("via"), F.col("root").alias("to"))
         new = written(step.join(jump, step.root == jump.via, "left").select("node", "old", F.coalesce("to", "root").alias("root")), "labels")
+        forget(labels)
         if new.filter("old <> root").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

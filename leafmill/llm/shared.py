@@ -21,8 +21,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and is computed once."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and is computed once. It stays until ``forget`` or ``forget_written``."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table that ``written`` gave and no plan reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        own = [p for p in _written if file.endswith(p.split("://")[-1].removeprefix("file:").lstrip("/"))]
+        for path in own:
+            _delete(table.sparkSession, path)
+            _written.remove(path)
+
+
+def forget_written(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` gave in this process; results that still read them must be saved before."""
+    while _written:
+        _delete(spark, _written.pop())

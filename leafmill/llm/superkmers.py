@@ -21,8 +21,8 @@ from . import textkernel as K
 
 #: Bytes of text per bucket, and bytes of packed strings a task gathers before it gives them out.
 BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
-#: A minimiser is hot from this share of its task's distinct super-k-mers and of a bucket's; so many at most.
-HOT_SHARE, HOT_MOST = 0.001, 4096
+#: A minimiser is hot if it heads a large part of a bucket's super-k-mers; so many at most, those with the most (8 MB).
+HOT_MOST = 1 << 20
 
 _LEAST = -(2**63)
 MARKS = "doc long, text_hash int, first array<int>, n array<int>"
@@ -151,15 +151,15 @@ def cut(source: Source, batches, hot: np.ndarray | None = None, texts: bool = Tr
                 yield Cut(doc[row + block.first], th[row + block.first], first - heads[row], count, key, twice.astype(np.uint8), content, size, text)
 
 
-def _hot(source: Source):
-    """Minimisers that head a large share of a task's distinct super-k-mers."""
+def _hot(source: Source, least: int):
+    """Minimisers that head ``least`` of a task's distinct super-k-mers or more."""
 
     def run(batches):
         parts = [np.unique(np.stack([c.key, c.content]), axis=1) for c in cut(source, batches, texts=False)]
         if not parts:
             return
         value, count = np.unique(np.unique(np.concatenate(parts, axis=1), axis=1)[0], return_counts=True)
-        big = count >= max(50, HOT_SHARE * count.sum())
+        big = count >= least
         yield pa.RecordBatch.from_arrays([pa.array(K.as_long(value[big])), pa.array(count[big], pa.int64())], ["key", "n"])
 
     return run
@@ -294,12 +294,16 @@ def doc_ids(doc: pa.Array) -> pa.Array:
 
 def repeated_windows(docs: DataFrame, source: Source, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` as ``keyed`` gives it -> rows of MARKS: for documents with windows that start earlier too, all runs of such windows (first window, windows)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    total, tasks = docs.select(F.octet_length("text").alias("n"), F.spark_partition_id().alias("task")).agg(F.sum("n"), F.max("task") + 1).first()
+    buckets = max(1, -(-(total or 0) // bucket_bytes))
+    # what heads ``most`` of all super-k-mers has that share of it in some task, and half of it at least in those that report it
     most = max(1000, bucket_bytes // 100)
-    hot = docs.mapInArrow(K.tidy(_hot(source)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).orderBy(F.desc("n"), "key").limit(HOT_MOST)
-    hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
-    found = docs.mapInArrow(K.tidy(_deal(source, hot, buckets)), "bucket long, blob binary").groupBy("bucket").applyInArrow(_find(source), MARKS)
+    least = max(2, most // (2 * (tasks or 1)))
+    hot = docs.mapInArrow(K.tidy(_hot(source, least)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= most / 2).orderBy(F.desc("n"), "key").limit(HOT_MOST)
+    hot = np.sort(hot.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+    # partitions in proportion to the buckets, so a task's share doesn't grow with the input
+    dealt = docs.mapInArrow(K.tidy(_deal(source, hot, buckets)), "bucket long, blob binary").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets), "bucket")
+    found = dealt.groupBy("bucket").applyInArrow(_find(source), MARKS)
     return found.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("n")).alias("n"))
 
 
