@@ -88,8 +88,8 @@ def _spans(block: K.Block, row: int, starts: np.ndarray, ends: np.ndarray, hit:
     return [{"start": int(points[a - base]), "end": int(points[b - base])} for a, b in zip(first, last, strict=True)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """``docs`` (text; other columns stay) with the columns of FOUND: words, words inside a benchmark window, the items
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (text; other columns stay, or only those of ``carry``) with the columns of FOUND: words, words inside a benchmark window, the items
     (as strings, sorted) and the merged spans as code points of the original text.
 
     A null or empty text, or one without words, has no hits; so has every text if the benchmark is empty. Benchmark rows with a null text are
@@ -98,11 +98,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     """
     added = [x.split()[0] for x in FOUND.split(", ", 3)]
     docs = docs.drop(*added, "_hit")
-    names = docs.columns
     items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + FOUND + ", _hit binary"
+    # further passes need the texts, the last one doesn't
+    names = docs.columns if carry is None or parts > 1 else carry
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", " + FOUND + ", _hit binary"
     out = docs
     for part in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
@@ -134,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
                 yield pa.RecordBatch.from_arrays([*(K.column(batch, c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(span)), pa.array(bits, pa.binary())], [*names, *added, "_hit"])
 
         out = out.mapInArrow(K.tidy(run), schema)
-    return out.drop("_hit")
+    return out.select(*(names if carry is None else carry), *added)
 
 
 def items_digest(ids) -> F.Column:
@@ -143,5 +144,5 @@ def items_digest(ids) -> F.Column:
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items_digest("item_ids").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -24,6 +24,9 @@ BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
 #: A minimiser is hot if it heads a large part of a bucket's super-k-mers; so many at most, those with the most (8 MB).
 HOT_MOST = 1 << 20
 
+#: Buckets for each group of settled marks.
+MARK_SHARE = 4
+
 _LEAST = -(2**63)
 MARKS = "doc long, text_hash int, first array<int>, n array<int>"
 
@@ -172,13 +175,27 @@ def _flush(parts: list[Cut], buckets: int):
     bucket = (K.mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
     first = first[np.lexsort((content[first], key[first], bucket[first]))]
     key = (key >> np.uint64(32)).astype(np.uint32)
-    later = later[np.argsort(bucket[later], kind="stable")]
     i32 = lambda x: x.astype(np.int32)
-    for b in np.unique(bucket):
-        f = first[slice(*np.searchsorted(bucket[first], [b, b + 1]))]
-        t = later[slice(*np.searchsorted(bucket[later], [b, b + 1]))]
-        blob = packed(doc[f], th[f], i32(at[f]), i32(count[f]), key[f], twice[f], i32(size[f]), gather(text, where[f], size[f]), doc[t], th[t], i32(at[t]), i32(count[t]))
-        yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+    def blob(b: int, f: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        made = packed(doc[f], th[f], i32(at[f]), i32(count[f]), key[f], twice[f], i32(size[f]), gather(text, where[f], size[f]), doc[t], th[t], i32(at[t]), i32(count[t]))
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([made], pa.binary())], ["bucket", "blob"])
+
+    none = first[:0]
+    for b, f in _by(bucket[first], first):
+        yield blob(b, f, none)
+    # marks are settled here, so they go by document to groups of their own (below 0): a passage of very many documents burdens no bucket
+    for b, t in _by((K.mix(doc[later].view(np.uint64)) % np.uint64(-(-buckets // MARK_SHARE))).astype(np.int64), later):
+        yield blob(-1 - b, none, t)
+
+
+def _by(kind: np.ndarray, rows: np.ndarray):
+    """Rows by kind, in their order."""
+    order = np.argsort(kind, kind="stable")
+    kind, rows = kind[order], rows[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(kind)), bool), kind[1:] != kind[:-1]]))
+    for a, b in zip(head, np.append(head[1:], len(kind)), strict=False):
+        yield int(kind[a]), rows[a:b]
 
 
 def _once(content: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +211,7 @@ def _once(content: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray,
 
 
 def _deal(source: Source, hot: np.ndarray, buckets: int):
-    """Blobs of distinct super-k-mers by bucket; places of the others go along as marks."""
+    """Blobs of distinct super-k-mers by bucket, and of the places of the others, as marks."""
 
     def run(batches):
         parts, held = [], 0
@@ -211,7 +228,7 @@ def _deal(source: Source, hot: np.ndarray, buckets: int):
 
 
 def _find(source: Source):
-    """A bucket's marks: for each document the runs of windows that start earlier too."""
+    """A bucket's marks: for each document the runs of windows that start earlier too. A group of marks alone is only joined."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs = [unpacked(b.as_py()) for b in table["blob"]]
