@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+Every stage takes nulls in any column, repeated rows and ids, and tables without rows (which give none); it returns the columns of ``documents`` (packing its own) and leaves others out, whatever
+their names.
+"""
 
 from __future__ import annotations
 
@@ -17,12 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null or empty text goes, as do all texts under 50 words; repeated rows stay or go together; a null lang is judged by the pooled references."""
     return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many sites share but for the first place of each."""
+    """Every document, without the lines that many sites share but for the first place of each. A null text stays null, a null source is no site, and fully repeated rows share their places. n_chars follows the text where lines went."""
     found = remove_boilerplate(docs.select(*COLUMNS))
     changed = F.col("n_removed") > 0
     return found.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -39,13 +43,13 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. A null text holds none; repeated rows stay or go together; with no benchmark all stay."""
     found = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter("n_hit = 0").select(*COLUMNS)
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of 2048 tokens."""
+    """Places of all pieces of all documents in sequences of 2048 tokens. A null text is the end id alone; repeated rows are packed as often as they come."""
     checkpoint_dir(spark)
     return pack(token_pieces(docs, tokenizer_path()))
 
