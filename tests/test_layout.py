@@ -235,3 +235,34 @@ def test_result_tables(spark, tmp_path):
     results.write(words, str(tmp_path / "words"))
     assert sorted(p.name for p in (tmp_path / "words").glob("part=*")) == ["part=0", "part=1"]
     assert sorted(r.content for r in results.read(spark, str(tmp_path / "words"), 10_007).collect()) == ["b"]
+
+
+def test_single_values_and_units(spark):
+    row = spark.range(1).select(S.single(F.array(F.lit(2.5))).alias("one"), S.single(F.array(F.lit(1.0), F.lit(2.0))).alias("two"), S.single(F.array().cast("array<double>")).alias("none"), S.mm_to_inch(S.inch_to_mm(F.lit(3.0))).alias("back")).first()
+    assert (row.one, row.two, row.none) == (2.5, None, None)
+    assert row.back == pytest.approx(3)
+
+
+def test_reading_order_against_a_plain_version(spark):
+    """Paragraphs of skewed lines with strays: clusters by where baselines meet the middle, then from left to right."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for page in range(6):
+        for i in range(40):
+            row, part = divmod(i, 4)
+            angle = np.radians(0.5 if i % 13 else 8)
+            rows.append((page, 0, i, int(100 + 300 * ((part * 7 + page) % 4)), int(100 + 40 * row + rng.integers(-2, 3)), int(380 + 300 * ((part * 7 + page) % 4)), int(120 + 40 * row), float(angle), -5.0, 20.0))
+    order = rng.permutation(len(rows))
+    rows = [rows[i][:2] + (int(n % 40),) + rows[i][3:] for n, i in enumerate(sorted(order, key=lambda i: rows[i][0]))]
+    df = spark.createDataFrame(rows, "page_id long, par_no int, line_at int, x1 int, y1 int, x2 int, y2 int, angle double, base_y double, font double")
+    got = {(r.page_id, r.line_at): r.place for r in R.sorted_lines(df.repartition(5)).collect()}
+    for page in range(6):
+        own = [r for r in rows if r[0] == page]
+        mean = sum(r[7] for r in own) / len(own)
+        middle = (min(r[3] for r in own) + max(r[5] for r in own)) / 2
+        good = {r[2]: abs(r[7] - mean) < np.radians(2) for r in own}
+        y = {r[2]: r[6] + r[8] + (np.tan(r[7]) * (middle - r[3]) if good[r[2]] else 0) for r in own}
+        at = [r[2] for r in own if good[r[2]]]
+        key = dict(zip(at, R._peel(np.array([y[i] for i in at]), 20.0), strict=True))
+        want = sorted(own, key=lambda r: (key.get(r[2], y[r[2]]), r[3] if good[r[2]] else -1e9, r[2]))
+        assert [got[page, r[2]] for r in want] == list(range(len(own)))
