@@ -102,3 +102,19 @@ def test_registered():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_tables(spark, corpus, tmp_path):
+    """Nulls in any column, repeated rows and ids, clashing columns; and no rows at all."""
+    spark.createDataFrame([("q", ITEM), (None, None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    start = corpus.union(corpus.filter("doc_id is null or doc_id % 2 = 0"))
+    for docs in (written(start, "odd"), written(start.limit(0), "none")):
+        for name, stage in P.STAGES:
+            before = docs.count()
+            docs = written(stage(spark, docs, str(tmp_path)), name)
+            if name == "packing":
+                assert docs.count() >= before
+            else:
+                assert docs.columns == P.COLUMNS
+                assert docs.count() <= before
+                assert docs.select(*P.COLUMNS).subtract(start.select(*P.COLUMNS)).isEmpty() or name != "quality_rules"

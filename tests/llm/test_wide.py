@@ -256,3 +256,17 @@ def test_written_tables_can_be_dropped(spark, corpus):
     assert len(sketches() - before) == 1
     forget_written(spark)
     assert sketches() == before
+
+
+def test_sequences_hold_the_ids(spark, long_docs):
+    """Exact round trip: the ids of the packed sequences are those of the pieces, in their places."""
+    checkpoint_dir(spark)
+    path = packing.tokenizer_path()
+    docs = long_docs.filter("doc_id > 1")
+    pieces = packing.token_pieces(docs, path, with_ids=True)
+    placed = packing.pack(packing.token_pieces(docs, path))
+    ids = {r.sequence_id: r.ids for r in packing.sequences(pieces, placed).collect()}
+    of = {(r.doc_id, r.piece): r.ids for r in pieces.collect()}
+    rows = placed.collect()
+    assert all(ids[r.sequence_id][r.offset : r.offset + r.length] == of[r.doc_id, r.piece] for r in rows)
+    assert sum(map(len, ids.values())) == sum(r.length for r in rows)
