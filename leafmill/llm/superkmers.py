@@ -21,6 +21,8 @@ from . import textkernel as K
 
 #: Bytes of text per bucket, and bytes of packed strings a task gathers before it gives them out.
 BUCKET_BYTES, FLUSH_BYTES = 6 << 20, 64 << 20
+#: Bytes cut at once: arrays of numbers for each byte stay in a core's cache.
+CUT_BLOCK = 256 << 10
 #: A minimiser is hot if it heads a large part of a bucket's super-k-mers; so many at most, those with the most (8 MB).
 HOT_MOST = 1 << 20
 
@@ -129,7 +131,7 @@ def cut(source: Source, batches, hot: np.ndarray | None = None, texts: bool = Tr
     for batch in batches:
         doc = K.column(batch, "doc").to_numpy(zero_copy_only=False)
         th = (K.column(batch, "text_hash").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-        for block in K.blocks(K.column(batch, "text")):
+        for block in K.blocks(K.column(batch, "text"), limit=CUT_BLOCK):
             sums, rows, heads, spans = source.units(block)
             first, count, key, twice = runs(sums, rows, source.k, source.m)
             if hot is not None and len(hot) and len(key):

@@ -84,10 +84,11 @@ def tokens(block: Block, space: np.ndarray = SPACES) -> Words:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 class Powers:
@@ -109,13 +110,26 @@ _powers = Powers()
 
 
 _FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-#: Longer strings are hashed one by one, as weighed sums.
-LONG_STRING = 1024
+
+
+class Places:
+    """A random number for each place in a string, by eight bytes."""
+
+    def __init__(self) -> None:
+        self.of = np.zeros(0, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.of):
+            self.of = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self.of
+
+
+_places = Places()
 
 
 def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes: eight bytes at a time go through ``mix``, or, in strings above LONG_STRING bytes, are each
-    weighed by a random number of their own place. Neither has powers of one base, so regular texts (such as Thue-Morse words) don't collide."""
+    """64-bit hashes of spans of bytes: every eight bytes go through ``mix`` together with a random number of their place. There are no powers
+    of one base, so regular texts (such as Thue-Morse words) don't collide."""
     size = end - start
     out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     if not len(size):
@@ -123,19 +137,15 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
     out = mix(out ^ eight[start] & _FIRST_BYTES[np.minimum(size, 8)])
-    live = np.flatnonzero((size > 8) & (size <= LONG_STRING))
-    done = 8
-    while len(live):
-        chunk = eight[start[live] + done] & _FIRST_BYTES[np.minimum(size[live] - done, 8)]
-        out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ chunk)
-        done += 8
-        live = live[size[live] > done]
-    for i in np.flatnonzero(size > LONG_STRING).tolist():
-        n = -(-int(size[i]) // 8)
-        words = np.zeros(8 * n, np.uint8)
-        words[: size[i]] = data[start[i] : end[i]]
-        place = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out[i] = mix(out[i : i + 1] ^ mix(words.view(np.uint64) ^ mix(place)).sum(keepdims=True))[0]
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        n = -(-size[more] // 8)
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        words = eight[np.repeat(start[more], n) + 8 * place]
+        words[ends - 1] &= _FIRST_BYTES[size[more] - 8 * (n - 1)]
+        words ^= _places.upto(int(n.max()))[place]
+        out[more] = mix(out[more] ^ np.add.reduceat(mix(words), ends - n))
     return out
 
 
