@@ -48,7 +48,7 @@ _SEEDS = K.mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 KEY_BITS = 40
 #: A class is in a pivot's region if their maps differ by this share of the smaller set at most. It only decides how well regions fit.
 NEAR = 0.5
-#: Regions that meet in one shingle beyond which its classes meet in a region of that shingle instead of in each other's.
+#: Regions that meet in one shingle beyond which its classes meet in one more region instead of in each other's.
 MEETING = 32
 #: Members and shingles of a region that a task joins; how often a larger one is parted before its parts are joined pair by pair, and the least share of members that must be linked with pivots for another time.
 REGION_ROWS, REGION_SHINGLES, ROUNDS, PROGRESS = 4096, 2_000_000, 6, 0.05
@@ -284,7 +284,7 @@ def _votes(table: pa.Table) -> pa.Table:
 
 
 def _windows(meeting: int):
-    """Regions other than its own that a class meets in a key, of each two the larger's class going to the smaller; where more than ``meeting`` meet, all go to a region of the key."""
+    """Regions other than its own that a class meets in a key, of each two the larger's class going to the smaller; where more than ``meeting`` meet, all go to a region named by the smallest."""
     return lambda table: _meet(table, meeting)
 
 
@@ -302,7 +302,10 @@ def _meet(table: pa.Table, meeting: int) -> pa.Table:
     _, back, regions = np.unique(keys, return_inverse=True, return_counts=True)
     crowd = regions[back] > meeting if len(keys) else np.zeros(0, bool)
     own = np.repeat(crowd, size)
-    found = [(rid[own], -1 - key[own].view(np.int64))]
+    # the group's smallest home names the region: near copies share it in most of their keys, so they meet there once
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    smallest = np.repeat(homes[begin], np.diff(np.append(begin, len(keys))))
+    found = [(rid[own], -1 - np.repeat(smallest, size)[own])]
     open_ = np.flatnonzero(~crowd)
     gap = 1
     while gap < meeting and gap < len(open_):  # each region with the one ``gap`` further on in the same key
@@ -381,7 +384,7 @@ def _partnered(maps: list[bytes], n: np.ndarray, home: np.ndarray) -> np.ndarray
 
 
 def _sift(batches):
-    """Classes that meet in a shingle's region, those without a possible link there left out; the rows come by region."""
+    """Classes that meet where many regions do, those without a possible link there left out; the rows come by region."""
     for table in _whole_regions(batches):
         region, n, home = (table[c].to_numpy() for c in ("region", "n", "home"))
         maps = table["map"].to_pylist()
@@ -619,7 +622,7 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     bounds = radius.join(pivots.withColumnRenamed("pivot", "region"), "region")
     inside = window.filter("region >= 0").join(active.select("rid", "n", "map"), "rid").join(bounds, "region").select("rid", "n", "map", "region", "pivot_n", "pivot_map", "radius", "level")
     inside = inside.mapInArrow(K.tidy(_inside), "rid long, region long")
-    # regions of a shingle: within a task's bound, maps tell who may have a link there
+    # where many regions met: within a task's bound, maps tell who may have a link there
     crowd = window.filter("region < 0").join(active.select("rid", "n", "map"), "rid").join(homes.select("rid", "home"), "rid")
     size = crowd.groupBy("region").agg(F.count("*").alias("rows")).select("region", (F.col("rows") > region_rows).alias("crowded"))
     crowd = crowd.join(size, "region")
