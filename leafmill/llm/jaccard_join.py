@@ -51,7 +51,7 @@ NEAR = 0.5
 #: Regions that meet in one shingle beyond which its classes meet in one more region instead of in each other's.
 MEETING = 32
 #: Members and shingles of a region that a task joins; how often a larger one is parted before its parts are joined pair by pair, and the least share of members that must be linked with pivots for another time.
-REGION_ROWS, REGION_SHINGLES, ROUNDS, PROGRESS = 4096, 2_000_000, 6, 0.05
+REGION_ROWS, REGION_SHINGLES, ROUNDS, PROGRESS = 8192, 2_000_000, 6, 0.05
 #: Bits of the filter of texts to be fetched: 16 for each text, so many at most (16 MB); beyond that more texts pass, and none is lost.
 FILTER_BITS = 27
 
