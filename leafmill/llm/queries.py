@@ -8,6 +8,7 @@ from .packing import op5_packing
 from .quality_fm import op2_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
+from .simhash_join import op12_simhash_dedup
 from .source_divergence import OP13_SQL, op13_source_divergence
 from .sql import OP1_SQL, OP3_SQL, OP7_SQL, OP10_SQL
 from .substring_dedup import op3_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_simhash_dedup": op12_simhash_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
