@@ -2,6 +2,7 @@
 
 from .decontaminate import op7_decontaminate
 from .hmm import op9_lm_score
+from .importance_resample import OP11_SQL, op11_importance_resample
 from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op5_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_importance_resample": op11_importance_resample,
     "op12_simhash_dedup": op12_simhash_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op7_decontaminate": OP7_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op11_importance_resample": OP11_SQL,
     "op13_source_divergence": OP13_SQL,
 }

@@ -33,18 +33,6 @@ _ALL = np.uint64(2**64 - 1)
 _LINKS = "a long, b long"
 
 
-def joined_words(block: K.Block, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a block with one space after each, and where each starts and ends there."""
-    size = words.end - words.start
-    end = np.cumsum(size + 1) - 1
-    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
-    held = np.ones(len(out), bool)
-    held[end] = False
-    inside = np.cumsum(np.bincount(words.start, minlength=len(block.data) + 1) - np.bincount(words.end, minlength=len(block.data) + 1))[:-1] > 0
-    out[held] = block.data[inside]
-    return out, end - size, end
-
-
 def _shingles(words: K.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last word of each shingle, and its row; a row with fewer words is one shingle."""
     n = np.diff(words.first)
@@ -59,7 +47,7 @@ def _print_block(block: K.Block) -> np.ndarray:
     words = K.tokens(block)
     counts, total = np.zeros((block.n, 64), np.int64), np.zeros(block.n, np.int64)
     if len(words.start):
-        data, start, end = joined_words(block, words)
+        data, start, end = K.joined(block, words)
         first, last, row = _shingles(words, SHINGLE)
         text, digest = data.tobytes(), xxhash.xxh64_intdigest
         for at in range(0, len(row), BITS_AT_ONCE):

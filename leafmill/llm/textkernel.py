@@ -81,6 +81,18 @@ def tokens(block: Block, space: np.ndarray = SPACES) -> Words:
     return Words(start, end, np.repeat(np.arange(block.n), np.diff(first)), first)
 
 
+def joined(block: Block, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block with one space after each, and where each starts and ends there."""
+    size = words.end - words.start
+    end = np.cumsum(size + 1) - 1
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    held = np.ones(len(out), bool)
+    held[end] = False
+    inside = np.cumsum(np.bincount(words.start, minlength=len(block.data) + 1) - np.bincount(words.end, minlength=len(block.data) + 1))[:-1] > 0
+    out[held] = block.data[inside]
+    return out, end - size, end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
