@@ -25,7 +25,7 @@ from .shared import forget, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 #: Children of a node, fingerprints of a top node before it is parted and how often it may be (what is left is joined in its task all the same), fingerprints of a task.
-FAN, NODE_ROWS, LEVELS, BUCKET_ROWS = 8, 16_384, 3, 50_000
+FAN, NODE_ROWS, LEVELS, BUCKET_ROWS = 8, 16_384, 3, 8_192
 #: Hashes turned to bits at once, and pairs of a fingerprint and a node expanded at once.
 BITS_AT_ONCE, PAIRS_AT_ONCE = 1 << 15, 1 << 16
 
