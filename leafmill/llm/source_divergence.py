@@ -76,6 +76,7 @@ def _share(n: Column, total: Column, terms: Column) -> Column:
 
 def _cell(slices: pa.Table) -> pa.Table:
     """The partial sums of a cell: |p - q| over its terms, for each pair of its groups. Slices of the first group block have side 0, of the second side 1; in a cell on the diagonal there is one side."""
+    slices = slices.sort_by("source")  # a pair has one order in all cells
     side = slices["side"].to_numpy()
     source = np.array(slices["source"].to_pylist(), object)
     rest = slices["rest"].to_numpy()
