@@ -33,8 +33,8 @@ def _peel(y: np.ndarray, font: float) -> np.ndarray:
         if not weight:  # lines on the rounding of a range's edge
             key[np.isnan(key)] = y[np.isnan(key)]
             break
-        centre = int(np.rint((held * counts[held]).sum() / weight))
-        low, high = max(centre - WINDOW, 0), min(centre + WINDOW + 1, len(counts))
+        centre = int(np.floor((held * counts[held]).sum() / weight + 0.5))  # halves go away from zero
+        low, high = max(centre - WINDOW, 0), min(centre + WINDOW + 1, len(counts) + 1)  # the last bucket ends a bucket beyond the topmost line's
         low_y, high_y = y.min() + low * size, y.min() + high * size
         take = np.isnan(key) & (y >= low_y) & (y <= high_y)
         key[take] = (low_y + high_y) / 2

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
-from leafmill.functions.scalars import bound, prec6
+from leafmill.functions.scalars import prec6
 
 #: Pages numbered together by the export.
 MANIFEST_RANGE = 10_000
@@ -42,28 +42,27 @@ def word_pens(words: DataFrame) -> DataFrame:
     return out.withColumns({"dx": F.col("mx") * cos + F.col("my") * sin, "dy": F.col("my") * cos - F.col("mx") * sin}).drop("mx", "my")
 
 
-def _starts() -> F.Column:
-    """Where the glyphs of a placeable word start: the first with the word, others with their boxes; and where the word ends."""
-    boxes = F.transform("char_boxes", lambda b, i: F.when(i == 0, F.col("x1")).otherwise(b.x1))
-    return F.concat(boxes, F.array(F.col("x2")))
-
-
-def _glyphs() -> F.Column:
-    """(text, from, advance) of each glyph of a placeable word, from counted from the word's start."""
-    chars = F.filter(F.split("content", ""), lambda c: c != "")
-    return bound(_starts(), lambda at: F.transform(chars, lambda c, i: F.struct(c.alias("text"), (at[i] - F.col("x1")).alias("from"), (at[i + 1] - at[i]).alias("advance"))))
+def _glyphs(words: DataFrame, *keep: str | F.Column, last: F.Column | None = None) -> DataFrame:
+    """``keep`` with a row for each code point of each word, its char_no, and for those of placeable words from (counted from the word's start) and advance: the first glyph starts with the word, others
+    with their boxes, and the last ends with the word. ``last`` is the last char_no, if not that of the last code point. Element access in generated code; no function of higher order runs per glyph."""
+    n = F.length("content")
+    each = words.filter("content <> ''").select(*keep, n.alias("_n"), "content", F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("char_boxes.x1").alias("_starts"), F.explode(F.sequence(F.lit(0), n - 1 if last is None else last)).alias("char_no"))
+    start = F.when(F.col("char_no") == 0, F.col("_x1")).otherwise(F.get("_starts", F.col("char_no")))
+    after = F.when(F.col("char_no") == F.col("_n") - 1, F.col("_x2")).otherwise(F.get("_starts", F.col("char_no") + 1))
+    names = [c for c in each.columns if not c.startswith("_")]
+    return each.select(*names, F.col("_n").alias("n"), (start - F.col("_x1")).alias("from"), (after - start).alias("advance"), F.substring("content", F.col("char_no") + 1, F.lit(1)).alias("text"))
 
 
 def char_advances(words: DataFrame) -> DataFrame:
     """A row per glyph of placeable words (with char_boxes): from where its box starts to where the next one's does; the first starts with the word, the last ends with it."""
-    return words.filter(placeable(words)).select(*LINE, "word_no", "x1", "font", F.posexplode(_glyphs()).alias("char_no", "glyph")).select(*LINE, "word_no", "char_no", "glyph.text", "font", "x1", "glyph.advance")
+    return _glyphs(words.filter(placeable(words)), *LINE, "word_no", "x1", "font").select(*LINE, "word_no", "char_no", "text", "font", "x1", "advance")
 
 
 def glyph_pens(words: DataFrame, ascent: float = 0.0) -> DataFrame:
     """The pen of each glyph along its word's turned baseline: x += cos * advance, y += sin * advance, from a word's own row."""
-    each = words.filter(placeable(words)).select(*LINE, "word_no", "x1", "y2", "word_y", "line_angle", F.posexplode(_glyphs()).alias("char_no", "glyph"))
-    before = F.col("glyph.from")
-    return each.select(*LINE, "word_no", "char_no", (F.col("x1") + F.cos("line_angle") * before).alias("x"), (F.col("y2") + F.col("word_y") + ascent + F.sin("line_angle") * before).alias("y"))
+    pen = [F.col("x1").alias("pen_x"), (F.col("y2") + F.col("word_y") + ascent).alias("pen_y"), F.cos("line_angle").alias("cos"), F.sin("line_angle").alias("sin")]
+    each = _glyphs(words.filter(placeable(words)), *LINE, "word_no", *pen)
+    return each.select(*LINE, "word_no", "char_no", (F.col("pen_x") + F.col("cos") * F.col("from")).alias("x"), (F.col("pen_y") + F.col("sin") * F.col("from")).alias("y"))
 
 
 def _whole_stretch() -> F.Column:
@@ -77,20 +76,21 @@ def stretches(words: DataFrame) -> DataFrame:
     return words.filter(~placeable(words)).select(*LINE, "word_no", _whole_stretch().alias("stretch"), (_whole_stretch() * G.SPACE_SHARE).alias("space"))
 
 
-def text_layer(words: DataFrame, page_height: float = 0.0) -> DataFrame:
-    """A row per glyph, or per word where glyphs can't be placed (char_no -1), and one for the space after each word: the line's text matrix and start (a, b, c, d,
-    line_x, line_y), the word's pen (dx, dy), font, stretch in percent and text. One window per line and one explode; words meet their glyphs in their own row.
+def text_layer(words: DataFrame, page_height: float = 0.0, digits: bool = True) -> DataFrame:
+    """A row per glyph, or per word where glyphs can't be placed (char_no -1), and one for the space after each word (char_no one after the last glyph, or -2): the line's text matrix and start
+    (a, b, c, d, line_x, line_y), the word's pen (dx, dy), font, stretch in percent and text, in six decimals or, without ``digits``, unrounded. One window per line and one explode; what belongs to lines and words is
+    worked out and rounded before it, and words meet their glyphs in their own row.
     """
-    row = lambda no, text, stretch: F.struct(no.cast("int").alias("char_no"), text.alias("text"), stretch.cast("double").alias("stretch"))
-    space = F.lit(" ")
-    placed = F.concat(F.transform(_glyphs(), lambda g, i: row(i, g.text, G.stretch(g.advance, F.col("font")))), F.array(row(F.length("content"), space, F.lit(100.0 * G.SPACE_SHARE))))
-    whole = F.array(row(F.lit(-1), F.col("content"), _whole_stretch()), row(F.lit(-2), space, _whole_stretch() * G.SPACE_SHARE))
+    exact = prec6 if digits else lambda x: x
     a = -F.col("line_angle")
-    each = word_pens(words).filter("content <> ''").select(
-        *LINE, "word_no", F.cos(a).alias("a"), F.sin(a).alias("b"), (-F.sin(a)).alias("c"), F.cos(a).alias("d"), F.col("start_x").alias("line_x"), (page_height - F.col("start_y")).alias("line_y"),
-        "line_angle", "dx", "dy", "font", F.explode(F.when(placeable(words), placed).otherwise(whole)).alias("g"),
-    )
-    return each.select(*LINE, "word_no", "g.char_no", "g.text", *(prec6(F.col(c)).alias(c) for c in ("a", "b", "c", "d", "line_x", "line_y", "line_angle", "dx", "dy", "font")), prec6(F.col("g.stretch")).alias("stretch"))
+    of_word = {"a": F.cos(a), "b": F.sin(a), "c": -F.sin(a), "d": F.cos(a), "line_x": F.col("start_x"), "line_y": page_height - F.col("start_y"), "line_angle": F.col("line_angle"), "dx": F.col("dx"), "dy": F.col("dy"), "font": F.col("font")}
+    word = [*LINE, "word_no", *(exact(x).alias(c) for c, x in of_word.items())]
+    own = [placeable(words).alias("placed"), _whole_stretch().alias("whole"), F.col("font").alias("size")]
+    each = _glyphs(word_pens(words), *word, *own, last=F.when(placeable(words), F.length("content")).otherwise(1))
+    placed, space = F.col("placed"), F.col("char_no") == F.when(F.col("placed"), F.col("n")).otherwise(1)
+    stretch = F.when(placed & space, 100.0 * G.SPACE_SHARE).when(placed, G.stretch(F.col("advance"), F.col("size"))).when(space, F.col("whole") * G.SPACE_SHARE).otherwise(F.col("whole"))
+    text = F.when(space, " ").when(placed, F.col("text")).otherwise(F.col("content"))
+    return each.select(*LINE, "word_no", F.when(placed, F.col("char_no")).otherwise(-1 - F.col("char_no")).alias("char_no"), text.alias("text"), *of_word, exact(stretch).alias("stretch"))
 
 
 def export_manifest(pages: DataFrame, mode: str = "WITH_OCR", stem: str = "scan", form: str = "images") -> DataFrame:

@@ -289,15 +289,15 @@ def page_text(spark, d):
 
 @query
 def text_layer(spark, d):
-    t = T.text_layer(_glyphed(spark, d))
+    t = T.text_layer(_glyphed(spark, d), digits=False)
     return t.groupBy("page_id").agg(F.count(F.when(F.col("char_no") == -1, 1)).alias("n_whole"), F.count("*").alias("n_rows"), F.round(F.max("stretch"), 3).alias("stretch"))
 
 
 @query
 def text_layer_rows(spark, d):
     """The rows of each line of the text layer: its matrix and start, spaces and the least stretch."""
-    t = T.text_layer(_glyphed(spark, d), 100000.0)
-    return t.groupBy("page_id", "line_no").agg(F.count("*").alias("n_rows"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("line_x").alias("line_x"), F.max("line_y").alias("line_y"), F.count(F.when(F.col("text") == " ", 1)).alias("n_spaces"), F.round(F.min("stretch"), 3).alias("least"))
+    t = T.text_layer(_glyphed(spark, d), 100000.0, digits=False)
+    return t.groupBy("page_id", "line_no").agg(F.count("*").alias("n_rows"), r(F.max("a")).alias("a"), r(F.max("b")).alias("b"), r(F.max("line_x")).alias("line_x"), r(F.max("line_y")).alias("line_y"), F.count(F.when(F.col("text") == " ", 1)).alias("n_spaces"), F.round(F.min("stretch"), 3).alias("least"))
 
 
 @query

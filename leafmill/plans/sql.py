@@ -113,6 +113,30 @@ RESOLUTIONS = "b AS (SELECT s_suppkey AS device_id, s_suppkey % 4 AS kind, 50 +
 
 
 
+#: Lines of 8 tokens in reading order: the densest window of buckets is peeled off again and again, one step of the recursion for all paragraphs.
+READING = (
+    WORDS
+    + """, frag AS (
+  SELECT page_id, par_no, line_no, word_no // 8 AS part, min(x1) AS x1, max(x2) AS x2, max(y2) AS y2, any_value(radians(angle_deg)) AS angle, arg_min(y1, word_no) AS top, avg(font_size) AS font FROM w GROUP BY page_id, par_no, line_no, word_no // 8
+), ln AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, par_no ORDER BY top, line_no, part) - 1 AS line_at, abs(angle - avg(angle) OVER p) < radians(2) AS good, (min(x1) OVER p + max(x2) OVER p) / 2 AS mid, avg(font) OVER p AS mean_font
+  FROM frag WINDOW p AS (PARTITION BY page_id, par_no)
+), gl AS (SELECT *, y2 - 5.0 + CASE WHEN good THEN tan(angle) * (mid - x1) ELSE 0.0 END AS y FROM ln),
+par AS (SELECT page_id, par_no, count(*) FILTER (good) AS n, min(y) FILTER (good) AS lo, max(y) FILTER (good) AS hi, any_value(mean_font) AS font, any_value(mean_font) / 10 AS size FROM gl GROUP BY ALL),
+used AS (SELECT *, hi - lo <= 0 OR hi - lo < 5 * size AS one FROM par WHERE n >= 3 AND font >= 10 AND (hi - lo) / font <= 200),
+counts AS (SELECT page_id, par_no, lo, size, floor((hi - lo) / size) AS last, least(floor((y - lo) / size), floor((hi - lo) / size)) AS bucket, count(*) AS n FROM gl JOIN used USING (page_id, par_no) WHERE good AND NOT one GROUP BY ALL),
+hist AS (SELECT page_id, par_no, lo, size, list_transform(range(last::INT + 1), lambda i: coalesce(m[i], 0)) AS h FROM (SELECT page_id, par_no, lo, size, last, map_from_entries(list((bucket::BIGINT, n))) AS m FROM counts GROUP BY ALL)),
+peel AS (
+  SELECT page_id, par_no, lo, size, h, 0 AS step, NULL::BIGINT AS a, NULL::BIGINT AS b FROM hist
+  UNION ALL
+  SELECT page_id, par_no, lo, size, list_transform(h, lambda x, i: CASE WHEN i > greatest(c - 5, 0) AND i <= c + 6 THEN 0 ELSE x END), step + 1, greatest(c - 5, 0), least(c + 6, len(h) + 1)
+  FROM (SELECT *, floor(list_sum(list_transform(range(s, s + 5), lambda i: i * h[i + 1])) / list_sum(h[s + 1 : s + 5]) + 0.5)::BIGINT AS c
+    FROM (SELECT *, list_position(sums, list_max(sums)) - 1 AS s FROM (SELECT *, list_transform(range(len(h) - 4), lambda i: list_sum(h[i + 1 : i + 5])) AS sums FROM peel WHERE list_sum(h) > 0)))
+), cluster AS (SELECT g.page_id, g.par_no, g.line_at, arg_min((p.lo + a * p.size + p.lo + b * p.size) / 2, step) AS key FROM gl g JOIN peel p ON p.page_id = g.page_id AND p.par_no = g.par_no AND g.good AND step > 0 AND y >= p.lo + a * p.size AND y <= p.lo + b * p.size GROUP BY ALL),
+keyed AS (SELECT g.*, used.page_id IS NOT NULL AS used, CASE WHEN NOT good THEN y WHEN one THEN (hi + lo) / 2 ELSE key END AS key FROM gl g LEFT JOIN used USING (page_id, par_no) LEFT JOIN cluster USING (page_id, par_no, line_at))"""
+)
+
+
 def level_only(x: str, digits: int = 4) -> str:
     return f"CASE WHEN abs({x}) < 1e9 THEN round({x}, {digits}) + 0.0 END"
 
@@ -177,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "missing_devices": "SELECT s_name || '-b' AS name FROM supplier WHERE s_suppkey % 9 = 0",
     "scalar_angles": f"WITH {WORDS} SELECT page_id, line_no, word_no, round({near_zero('angle_deg * (word_no - 3)', 90.0)}, 6) + 0.0 AS near, round(CASE WHEN (angle_deg * (word_no - 3)) % 90 < 0 THEN (angle_deg * (word_no - 3)) % 90 + 90 ELSE (angle_deg * (word_no - 3)) % 90 END, 6) + 0.0 AS positive, round(radians(angle_deg), 6) + 0.0 AS rad, round(x1 / 25.4, 6) AS inches FROM w",
     "almost_equal_boxes": f"WITH {LINES} SELECT page_id, line_no, word_no, abs(x1 - lx1) <= 40 AND abs(y1 - ly1) <= 40 AND abs(x2 - lx2) <= 40 AND abs(y2 - ly2) <= 40 AS near FROM w JOIN lines USING (page_id, par_no, line_no)",
+    "reading_order": f"WITH RECURSIVE {READING} SELECT page_id, par_no, line_at, row_number() OVER (PARTITION BY page_id, par_no ORDER BY CASE WHEN used THEN key END, CASE WHEN used THEN CASE WHEN good THEN x1 ELSE -1e300 END END, line_at) - 1 AS place FROM keyed",
 }
