@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 CHEAP = ["min_word_confidence", "blur_coef"]
 OTHER = ["fix_text_rotation", "text_min_fraction", "text_max_diff", "keep_size", "fix_page_orientation", "page_min_fraction", "page_max_diff"]
 
+SUBMISSION = "page_id long, version int, has_image boolean, fix_text_rotation boolean, text_min_fraction double, text_max_diff double, keep_size boolean, fix_page_orientation boolean, page_min_fraction double, page_max_diff double, min_word_confidence double, blur_coef double"
+STARTED = "page_id long, version int, job_id int, mode string, error string"
+
 
 def published(jobs: DataFrame) -> DataFrame:
     """Completions (page_id, seq, job_id) whose job was the page's last submission when they came; others are stale."""
@@ -43,3 +46,19 @@ def option_changes(options: DataFrame) -> DataFrame:
     order = W.partitionBy("page_id").orderBy("version")
     all_ = F.struct(*OTHER, *CHEAP)
     return options.withColumn("same", F.lag(all_).over(order).eqNullSafe(all_)).filter("not same").select("page_id", "version")
+
+
+def started(submissions: DataFrame) -> DataFrame:
+    """What submitted options (SUBMISSION) start (STARTED): nothing where they equal the page's last accepted ones, an error where they differ and the page has no image, else a job with the page's
+    next number: FULL for the first one or where an option of recognition changed, ONLY_PARAGRAPHS otherwise. A submission with an error leaves the accepted options as they were.
+
+    After a submission with an image its options are the accepted ones either way, so those before a row are those of the last earlier row with an image: one window by page."""
+    order = W.partitionBy("page_id").orderBy("version")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    has_image = F.coalesce(F.col("has_image"), F.lit(False))
+    own = F.struct(*OTHER, *CHEAP)
+    rows = submissions.withColumn("old", F.last(F.when(has_image, own), ignorenulls=True).over(earlier)).filter(~F.col("old").eqNullSafe(own))
+    differs = F.col("old").isNull() | ~F.struct(*(F.col(f"old.{c}") for c in OTHER)).eqNullSafe(F.struct(*OTHER))
+    job = F.count(F.when(has_image, 1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
+    mode = F.when(differs, "FULL").otherwise("ONLY_PARAGRAPHS")
+    return rows.select("page_id", "version", F.when(has_image, job).alias("job_id"), F.when(has_image, mode).alias("mode"), F.when(~has_image, "no image").alias("error"))

@@ -365,6 +365,12 @@ def option_change_suppress(spark, d):
     return I.option_changes(L.options(L.table(spark, d, "documents")))
 
 
+@query
+def option_submissions(spark, d):
+    """The jobs and errors that four submissions of each page start."""
+    return I.started(L.submissions(L.table(spark, d, "documents")))
+
+
 @query
 def option_groups(spark, d):
     return D.grouped(_devices(spark, d))

@@ -92,6 +92,12 @@ jobs AS (SELECT page_id, seq, submit, CASE WHEN submit THEN so_far ELSE so_far -
 
 OPTIONS = """o2 AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0.3 END AS conf, CASE WHEN doc_id % 3 = 1 THEN 0.2 ELSE 0.1 END AS blur, CASE WHEN doc_id % 5 = 0 THEN 4.0 ELSE 5.0 END AS diff FROM documents)"""
 
+#: Options as one text each, those of recognition and the cheap ones; a page's accepted options are those of its last submission with an image.
+SUBMISSIONS = """sub AS (SELECT doc_id AS page_id, v AS version, (doc_id + v) % 4 <> 0 AS has_image, concat_ws(' ', (doc_id + v) % 9 <> 0, CASE WHEN doc_id % 5 = v THEN 4 ELSE 5 END, doc_id % 11 = 0) AS other,
+  concat_ws(' ', CASE WHEN doc_id % 3 = 0 AND v > 2 THEN 5 ELSE 3 END, CASE WHEN doc_id % 3 = 1 THEN v // 2 ELSE 1 END) AS cheap FROM documents, (SELECT unnest([1, 2, 3, 4]) AS v)),
+was AS (SELECT s.*, max(o.version) AS at FROM sub s LEFT JOIN sub o ON o.page_id = s.page_id AND o.version < s.version AND o.has_image GROUP BY ALL),
+changed AS (SELECT w.*, o.other AS old_other, o.cheap AS old_cheap FROM was w LEFT JOIN sub o ON o.page_id = w.page_id AND o.version = w.at WHERE o.page_id IS NULL OR o.other <> w.other OR o.cheap <> w.cheap)"""
+
 DEVICES = """s AS (SELECT s_suppkey AS device_id, (s_suppkey % 5)::DOUBLE AS k, 100.0 + 10.0 * (s_suppkey % 5) AS top FROM supplier),
 opt AS (SELECT * FROM (
   SELECT device_id, 1 AS idx, 'resolution' AS name, 'INT' AS type, 1 AS cap, NULL::DOUBLE AS range_min, NULL::DOUBLE AS range_max, 300.0::DOUBLE AS value, 'group standard' AS grp FROM s
@@ -202,4 +208,5 @@ ORACLE_SQL: dict[str, str] = {
     "scalar_angles": f"WITH {WORDS} SELECT page_id, line_no, word_no, round({near_zero('angle_deg * (word_no - 3)', 90.0)}, 6) + 0.0 AS near, round(CASE WHEN (angle_deg * (word_no - 3)) % 90 < 0 THEN (angle_deg * (word_no - 3)) % 90 + 90 ELSE (angle_deg * (word_no - 3)) % 90 END, 6) + 0.0 AS positive, round(radians(angle_deg), 6) + 0.0 AS rad, round(x1 / 25.4, 6) AS inches FROM w",
     "almost_equal_boxes": f"WITH {LINES} SELECT page_id, line_no, word_no, abs(x1 - lx1) <= 40 AND abs(y1 - ly1) <= 40 AND abs(x2 - lx2) <= 40 AND abs(y2 - ly2) <= 40 AS near FROM w JOIN lines USING (page_id, par_no, line_no)",
     "reading_order": f"WITH RECURSIVE {READING} SELECT page_id, par_no, line_at, row_number() OVER (PARTITION BY page_id, par_no ORDER BY CASE WHEN used THEN key END, CASE WHEN used THEN CASE WHEN good THEN x1 ELSE -1e300 END END, line_at) - 1 AS place FROM keyed",
+    "option_submissions": f"WITH {SUBMISSIONS} SELECT page_id, version::INT AS version, CASE WHEN has_image THEN (SELECT count(*) FROM changed c WHERE c.page_id = x.page_id AND c.has_image AND c.version <= x.version) END::INT AS job_id, CASE WHEN has_image THEN CASE WHEN old_other IS NULL OR old_other <> other THEN 'FULL' ELSE 'ONLY_PARAGRAPHS' END END AS mode, CASE WHEN NOT has_image THEN 'no image' END AS error FROM changed x",
 }

@@ -107,6 +107,16 @@ def options(docs: DataFrame) -> DataFrame:
     return first.unionByName(row(2, F.when(d % 3 == 0, 0.5).otherwise(0.3), F.when(d % 3 == 1, 0.2).otherwise(0.1), F.when(d % 5 == 0, 4.0).otherwise(5.0)))
 
 
+def submissions(docs: DataFrame) -> DataFrame:
+    """Four submissions of options for each page, by rules on id and version; some repeat the ones before, some come before their page has an image."""
+    d, v = F.col("doc_id"), F.col("version")
+    each = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("version"))
+    return each.select(
+        d.alias("page_id"), v, ((d + v) % 4 != 0).alias("has_image"), ((d + v) % 9 != 0).alias("fix_text_rotation"), F.lit(0.95).alias("text_min_fraction"), F.when(d % 5 == v, 4.0).otherwise(5.0).alias("text_max_diff"), F.lit(False).alias("keep_size"),
+        F.lit(True).alias("fix_page_orientation"), F.when(d % 11 == 0, F.lit(None).cast("double")).otherwise(0.95).alias("page_min_fraction"), F.lit(5.0).alias("page_max_diff"), F.when((d % 3 == 0) & (v > 2), 0.5).otherwise(0.3).alias("min_word_confidence"), F.when(d % 3 == 1, 0.1 * F.floor(v / 2)).otherwise(0.1).alias("blur_coef"),
+    )
+
+
 def device_options(supplier: DataFrame) -> DataFrame:
     """Option descriptors and values of a scanner for each supplier: groups, resolution, four edges of the scan area, mode, a button and an empty group."""
     s = F.col("s_suppkey")
