@@ -13,9 +13,11 @@ from leafmill.operators import devices as D
 from leafmill.operators import hierarchy as H
 from leafmill.operators import incremental as I
 from leafmill.operators import reading_order as R
+from leafmill.operators import recompute as RC
 from leafmill.operators import textlayer as T
 from leafmill.sources import hocr
 from leafmill.sources import layout as L
+from leafmill.sources import results
 
 Q: dict = {}
 WORD_ID = ["page_id", "line_no", "word_no"]
@@ -365,6 +367,20 @@ def option_change_suppress(spark, d):
     return I.option_changes(L.options(L.table(spark, d, "documents")))
 
 
+@query
+def recompute_store(spark, d):
+    """A store made with the first options of each page and brought to the second ones: what it then holds."""
+    docs, px = L.table(spark, d, "documents"), _pixels(spark, d)
+    o = L.options(docs)
+    ours = lambda table, pages: table.join(pages, "page_id", "left_semi")
+    recognise = lambda pages: L.words(docs.join(pages.withColumnRenamed("page_id", "doc_id"), "doc_id", "left_semi")).select(*H.LEVELS, "content", "confidence")
+    measure = lambda pages: B.measures(L.cells(ours(px, pages)), ours(px, pages))
+    path = results.folder(spark, "store")
+    RC.create(o.filter("version = 1"), recognise, measure, path)
+    RC.recompute(o.filter("version = 2"), recognise, measure, path)
+    return RC.summary(spark, path)
+
+
 @query
 def option_submissions(spark, d):
     """The jobs and errors that four submissions of each page start."""

@@ -209,4 +209,5 @@ ORACLE_SQL: dict[str, str] = {
     "almost_equal_boxes": f"WITH {LINES} SELECT page_id, line_no, word_no, abs(x1 - lx1) <= 40 AND abs(y1 - ly1) <= 40 AND abs(x2 - lx2) <= 40 AND abs(y2 - ly2) <= 40 AS near FROM w JOIN lines USING (page_id, par_no, line_no)",
     "reading_order": f"WITH RECURSIVE {READING} SELECT page_id, par_no, line_at, row_number() OVER (PARTITION BY page_id, par_no ORDER BY CASE WHEN used THEN key END, CASE WHEN used THEN CASE WHEN good THEN x1 ELSE -1e300 END END, line_at) - 1 AS place FROM keyed",
     "option_submissions": f"WITH {SUBMISSIONS} SELECT page_id, version::INT AS version, CASE WHEN has_image THEN (SELECT count(*) FROM changed c WHERE c.page_id = x.page_id AND c.has_image AND c.version <= x.version) END::INT AS job_id, CASE WHEN has_image THEN CASE WHEN old_other IS NULL OR old_other <> other THEN 'FULL' ELSE 'ONLY_PARAGRAPHS' END END AS mode, CASE WHEN NOT has_image THEN 'no image' END AS error FROM changed x",
+    "recompute_store": f"WITH {OPTIONS}, {WORDS}, {BLUR}, kw AS (SELECT page_id, count(*) AS n_words, sum(line_no * 31 + word_no)::BIGINT AS places FROM w JOIN o2 USING (page_id) WHERE confidence >= conf GROUP BY ALL), kb AS (SELECT ws.page_id, count(*) AS n_blurred FROM ws JOIN o2 USING (page_id) LEFT JOIN q85 USING (page_id, cell) WHERE ws.contrast >= ws.char_width * blur * coalesce(q85.at, 0) GROUP BY ALL) SELECT page_id, conf::DOUBLE AS min_word_confidence, blur::DOUBLE AS blur_coef, coalesce(n_words, 0) AS n_words, coalesce(places, 0) AS places, coalesce(n_blurred, 0) AS n_blurred FROM o2 LEFT JOIN kw USING (page_id) LEFT JOIN kb USING (page_id)",
 }
