@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.geometry import baseline_from_points, moved_baseline
+from leafmill.operators import control_break
 
 LEVELS = ["page_id", "par_no", "line_no", "word_no"]
 WORD = ["box", "baseline", "confidence", "font_size", "content", "char_boxes"]
@@ -41,17 +42,8 @@ NOT_TEXT = ("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VER
 
 
 def symbols_to_words(symbols: DataFrame, boxes: bool = False) -> DataFrame:
-    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes."""
-    order = W.partitionBy("page_id").orderBy("seq")
-    level = lambda flag: F.sum(F.col(flag).cast("int")).over(order)
-    text = symbols.filter(~F.col("block_type").isin(*NOT_TEXT))
-    each = text.withColumns({"par_no": level("par_start") - 1, "line_no": level("line_start") - 1, "word_no": level("word_start") - 1}).filter("text <> ''")
-    # words are numbered by page, so their other numbers go along
-    text_of = lambda x: F.array_join(F.transform(F.array_sort(x), lambda s: s.text), "")
-    symbol = F.struct("seq", "text", F.struct("x1", "y1", "x2", "y2").alias("box")) if boxes else F.struct("seq", "text")
-    out = each.groupBy("page_id", "word_no").agg(F.min("par_no").alias("par_no"), F.min("line_no").alias("line_no"), F.collect_list(symbol).alias("symbols"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.avg("conf").alias("confidence"), F.max("row_height").alias("font_size"), F.count("*").alias("n_chars"))
-    out = out.select("page_id", "par_no", "line_no", "word_no", text_of(F.col("symbols")).alias("content"), "x1", "y1", "x2", "y2", "confidence", "font_size", "n_chars", *([F.transform(F.array_sort("symbols"), lambda s: s.box).alias("char_boxes")] if boxes else []))
-    return out.filter("content <> ''")
+    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes. One sort and one pass (``control_break``)."""
+    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes)
 
 
 def symbols_to_pages(symbols: DataFrame) -> DataFrame:
