@@ -11,22 +11,28 @@ from leafmill.functions.scalars import bound
 BUCKETS = 255
 
 
-def gradients(pixels: DataFrame) -> DataFrame:
-    """pixels with g = half of each 3 x 3 Sobel derivative, signed; borders mirror without repeating the edge.
+def gradients(pixels: DataFrame, keys: tuple[str, ...] = ("page_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """pixels with g = half of each 3 x 3 Sobel derivative, signed; borders mirror without repeating the edge. ``keys`` name an image (or a patch of one); columns of ``keep`` stay.
 
-    Rows and columns are windows within a page, so one exchange by page_id serves both.
+    Rows and columns are windows within an image, so one exchange by its keys serves both.
     """
-    row, column = W.partitionBy("page_id", "y").orderBy("x"), W.partitionBy("page_id", "x").orderBy("y")
+    row, column = W.partitionBy(*keys, "y").orderBy("x"), W.partitionBy(*keys, "x").orderBy("y")
 
     def near(c: str, order) -> tuple:
         before, after = F.lag(c).over(order), F.lead(c).over(order)
         return F.coalesce(before, after, F.col(c)), F.coalesce(after, before, F.col(c))
 
     left, right = near("v", row)
-    out = pixels.repartition("page_id").withColumns({"dx": right - left, "sx": left + 2 * F.col("v") + right})
+    out = pixels.repartition(*keys).withColumns({"dx": right - left, "sx": left + 2 * F.col("v") + right})
     up, down = near("dx", column)
     over, under = near("sx", column)
-    return out.select("page_id", "y", "x", "v", (0.5 * (up + 2 * F.col("dx") + down) + 0.5 * (under - over)).alias("g"))
+    return out.select(*keys, *keep, "y", "x", "v", (0.5 * (up + 2 * F.col("dx") + down) + 0.5 * (under - over)).alias("g"))
+
+
+def patches(cells: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The pixels of each word's box and of a border one pixel wide around it, as far as the image goes: all that gradients inside the box depend on. Boxes are dealt to image rows, so the join is an equi-join."""
+    rows = cells.filter("box.y2 > box.y1 and box.x2 > box.x1").select("page_id", "cell", "box", F.explode(F.sequence(F.col("box.y1") - 1, F.col("box.y2"))).alias("y"))
+    return rows.join(pixels, ["page_id", "y"]).filter("x >= box.x1 - 1 and x <= box.x2").select("page_id", "cell", "box", "y", "x", "v")
 
 
 def inside(cells: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -59,9 +65,11 @@ def quantile_of(counts: F.Column, q: float) -> F.Column:
 
 
 def measures(cells: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Each word's char_width, contrast and sharpness (0 without gradients). Both histograms of a word are counted in one pass and meet as arrays of 255 buckets at most."""
+    """Each word's char_width, contrast and sharpness (0 without gradients). Gradients are taken on the words' patches alone, so pixels away from words leave before any window; where a patch ends
+    inside the image, only gradients of its border are wrong, and they are left out. One exchange brings a word's patch together, for the gradients and for its two
+    histograms, which meet as arrays of 255 buckets at most."""
     keys = ["page_id", "cell"]
-    part = inside(cells, gradients(pixels)).select(*keys, F.explode(F.array(F.struct(F.lit("v").alias("kind"), F.col("v").cast("double").alias("x")), F.struct(F.lit("g").alias("kind"), F.col("g").cast("double").alias("x")))).alias("p"))
+    part = gradients(patches(cells, pixels), tuple(keys), ("box",)).filter("x >= box.x1 and x < box.x2 and y >= box.y1 and y < box.y2").select(*keys, F.explode(F.array(F.struct(F.lit("v").alias("kind"), F.col("v").cast("double").alias("x")), F.struct(F.lit("g").alias("kind"), F.col("g").cast("double").alias("x")))).alias("p"))
     counts = histogram(part.select(*keys, "p.kind", "p.x"), [*keys, "kind"], "x")
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("bucket", "n")))).alias(kind)
     both = counts.groupBy(*keys).agg(of("v"), of("g"))
