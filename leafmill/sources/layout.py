@@ -13,10 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """Words with boxes, angles and confidences. One exchange, on page_id, which all that follows by page shares."""
+def words(docs: DataFrame, finer: int = 1) -> DataFrame:
+    """Words with boxes, angles and confidences. One exchange, on page_id, which all that follows by page shares; ``finer`` times the session's partitions, for what makes many rows of each word and sorts them."""
     lines = docs.filter("text is not null").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    each = lines.repartition("page_id").select("page_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_no", "content"))
+    deal = ("page_id",) if finer == 1 else (finer * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    each = lines.repartition(*deal).select("page_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_no", "content"))
     size = F.length("content")
     before = F.sum(size + 1).over(W.partitionBy("page_id", "line_no").orderBy("word_no").rowsBetween(W.unboundedPreceding, -1))
     each = each.withColumn("x1", (50 + 10 * F.coalesce(before, F.lit(0))).cast("int")).filter("content <> ''")
