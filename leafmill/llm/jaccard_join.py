@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import superkmers as S
 from . import textkernel as K
 from .components import components
-from .shared import written
+from .shared import forget, written
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -605,14 +605,16 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     # 2. regions
     votes = dealt(classes.withColumn("home", F.col("rid"))).applyInArrow(_votes, "rid long, named long, votes long")
     votes = votes.groupBy("rid", "named").agg(F.sum("votes").alias("votes")).groupBy("rid").agg(F.max(F.struct("votes", "named")).named.alias("pivot"))
-    votes = written(votes, "votes")
-    votes = votes.select("rid").union(votes.select("pivot")).distinct().join(votes, "rid", "left")
+    voted = written(votes, "votes")
+    votes = voted.select("rid").union(voted.select("pivot")).distinct().join(voted, "rid", "left")
     active = written(votes.join(classes.select("rid", "n", "map"), "rid"), "active")
+    forget(voted)
     pivots = active.select(F.col("rid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("map").alias("pivot_map"))
     near = active.filter("pivot is not null").join(pivots, "pivot").select("rid", "n", "map", "pivot", "pivot_n", "pivot_map")
-    near = written(near.mapInArrow(K.tidy(_near), "rid long, pivot long, far long, level long"), "near")
-    near = near.join(near.select(F.col("pivot").alias("rid")).distinct(), "rid", "left_anti")
+    measured = written(near.mapInArrow(K.tidy(_near), "rid long, pivot long, far long, level long"), "near")
+    near = measured.join(measured.select(F.col("pivot").alias("rid")).distinct(), "rid", "left_anti")
     homes = written(active.select("rid", "n").join(near, "rid", "left").select("rid", "n", F.coalesce("pivot", "rid").alias("home"), F.coalesce("far", F.lit(-1)).alias("far"), F.coalesce("level", F.lit(99)).alias("level")), "homes")
+    forget(measured)
     # a region of one has radius -1
     radius = homes.groupBy(F.col("home").alias("region")).agg(F.max("far").alias("radius"), F.min("level").alias("level"))
 
@@ -630,10 +632,14 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     inside = inside.union(sifted).union(crowd.filter("crowded").select("rid", "region"))
     guests = inside.join(homes.select("rid", "n", "home"), "rid").select("region", "rid", (F.col("region") < 0).alias("own"), F.when(F.col("region") < 0, F.col("home")).otherwise(F.col("rid")).alias("home"), F.col("rid").alias("part"), "n")
     hosts = homes.select(F.col("home").alias("region"), "rid", F.lit(True).alias("own"), F.col("rid").alias("home"), F.col("rid").alias("part"), "n")
-    members = written(hosts.union(guests), "members")
-    size = _sizes(members).filter("rows > 1").select("region", _too_large(region_rows).alias("large"))
-    members = members.join(size, "region").join(classes.select("rid", "doc", "text_hash"), "rid")
-    members = written(members, "members")
+    drawn = written(hosts.union(guests), "members")
+    forget(window)
+    forget(active)
+    forget(homes)
+    size = _sizes(drawn).filter("rows > 1").select("region", _too_large(region_rows).alias("large"))
+    members = written(drawn.join(size, "region").join(classes.select("rid", "doc", "text_hash"), "rid"), "members")
+    forget(drawn)
+    forget(classes)
 
     # 4. links
     need = members.select("doc", "text_hash").distinct()
@@ -647,6 +653,7 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
 
     # 5. components
     roots = components(links)
+    forget(links)
     labelled = ids.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(*SAME, "least_id", "first", F.coalesce("root", "class").alias("root"))
     return sketch, labelled
 
