@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import forget, written
 
 #: Least share of a language's words for a word to be common; counters of a summary, which misses 1 / COUNTERS of the words at most.
 SHARE, COUNTERS = 0.001, 4000
@@ -163,12 +163,17 @@ def references(docs: DataFrame) -> dict:
     What reaches the driver grows with the labels only: fewer than 2 / SHARE words for each, and their counts for each label."""
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
     found = docs.mapInArrow(K.tidy(_candidates), "lang string, word long, n long, docs long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    whole = W.partitionBy("lang")
-    large = (F.trim("lang") != "") & (F.max("docs").over(whole) >= REF_DOCS) & (F.max(F.when(F.col("word").isNull(), F.col("n"))).over(whole) >= REF_WORDS)
-    found = found.withColumn("large", large).groupBy(F.when(F.col("large"), F.col("lang")).alias("label"), "word").agg(F.sum("n").alias("n"))
+    found = written(found, "candidates")
+    # totals by aggregation: a language's candidate words are never in one task. They have a row for each label, as what reaches the driver does
+    of_word = F.when(F.col("word").isNull(), F.col("n"))
+    large = found.groupBy("lang").agg(F.max("docs").alias("most"), F.max(of_word).alias("words")).filter((F.trim("lang") != "") & (F.col("most") >= REF_DOCS) & (F.col("words") >= REF_WORDS))
+    named = found.join(F.broadcast(large.select("lang", F.lit(True).alias("large"))), "lang", "left").groupBy(F.when(F.col("large"), F.col("lang")).alias("label"), "word").agg(F.sum("n").alias("n"))
     # counts of the summaries are too small by 1 / COUNTERS of the words, no more; so this holds all words of the share, and 1 / (SHARE - 1 / COUNTERS) at most
-    words = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(W.partitionBy("label"))
-    found = found.withColumn("words", words).filter(F.col("word").isNull() | (F.col("n") >= (SHARE - 1 / COUNTERS) * F.col("words"))).select("label", "word").toArrow()
+    totals = named.groupBy("label").agg(F.max(of_word).alias("words")).withColumnRenamed("label", "of")
+    often = named.join(F.broadcast(totals), F.col("label").eqNullSafe(F.col("of")), "left")
+    seen = often.filter(F.col("word").isNull() | (F.col("n") >= (SHARE - 1 / COUNTERS) * F.col("words"))).select("label", "word").toArrow()
+    forget(found)
+    found = seen
     labels = sorted(found["label"].drop_null().unique().to_pylist())
     common = np.unique(found["word"].drop_null().to_numpy().view(np.uint64))
     sums = docs.mapInArrow(K.tidy(_sums(common, labels)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
