@@ -37,7 +37,19 @@ LEAST_SCORE, LEAST_LENGTH = 0.5, 8
 # name (with quotes or brackets around it), type, operator, then literals and names joined by + or ..
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
 _TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\$\{[A-Za-z_][A-Za-z0-9_.-]*+\}|[A-Za-z0-9_$](?:[A-Za-z0-9_$/+=-]|\.(?=[A-Za-z0-9_$]))*+)"""
-_ONE_TYPE = r"""(?:[&*][ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:(?:mut|dyn|readonly)[ \t]++)?[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:[<\[][^=\n"]{0,100}[>\]])?[?!*]?"""
+#: How deep brackets of a type may stand in one another; a type may be as long as it likes.
+TYPE_DEPTH = 8
+
+
+def _inside(depth: int) -> str:
+    """What may stand between the brackets of a type: anything, if brackets in it are paired."""
+    inner = r'[^=\n"<>\[\]]*+'
+    for _ in range(depth - 1):
+        inner = rf'(?:[^=\n"<>\[\]]++|[<\[]{inner}[>\]])*+'
+    return inner
+
+
+_ONE_TYPE = rf"""(?:[&*][ \t]*+)?(?:'[a-z_]++[ \t]++)?(?:(?:mut|dyn|readonly)[ \t]++)?[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*+)*+(?:[<\[]{_inside(TYPE_DEPTH)}[>\]]|[<\[][^=\n"]{{0,100}}[>\]])?[?!*]?"""
 _TYPE = rf"(?:[?!]?[ \t]*+:[ \t]*+(?P<type>{_ONE_TYPE}(?:[ \t]*+\|[ \t]*+{_ONE_TYPE})*+)|[ \t]++\*?string|(?:[ \t]*+\[[0-9]*+\])+)[ \t]*+(?==(?![=~>]))"
 # a name is looked for once in a run of its characters, after what can't begin it
 _STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.-])[.-]*+(?:[0-9][A-Za-z0-9_]*+[.-]++)*+(?P<name>{_NAME})["'\]]{{0,2}}(?:{_TYPE})?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?P<terms>{_TERM}(?:[ \t]*+(?:\+|\.\.)[ \t]*+{_TERM})*+)""")
@@ -46,8 +58,8 @@ _ASSIGNED = re.compile(r"[ \t]*+=(?![=~>])")
 _SIMPLE_NAME = re.compile(_NAME)
 # in double quotes
 _INSERTED = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.-]*+)\}|([A-Za-z_][A-Za-z0-9_]*+))")
-#: Characters of joined literals beyond which they are no longer compared with placeholders.
-JOINED_CHARS = 4096
+#: Characters of either end of a long joined value that are kept, to be compared with placeholders.
+ENDS = 32
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -128,13 +140,24 @@ def _pieces(text: str, a: int, b: int, defined) -> list[tuple[int, int, str | No
     return [(a, b, None, False)]
 
 
+def _placeholder(ends: str, chars: dict[str, float]) -> bool:
+    """Whether a long value of these ends and characters is a placeholder: all but those of one repeated character are told by their ends."""
+    kinds = {c.lower() for c in chars}
+    return bool(PLACEHOLDER.match(kinds.pop() if len(kinds) == 1 else ends)) and (len(kinds) == 0 or len(set(ends.lower())) > 1)
+
+
 class Joined:
-    """What literals give when they are joined: how many, their characters, and the text itself while it is short. Counts are scaled down where doubling would let them grow without bound."""
+    """What literals give when they are joined: how many, their characters, and the text itself, of a long one its ends. Counts are scaled down where doubling would let them grow without bound."""
 
-    __slots__ = ("best", "chars", "pieces", "text")
+    __slots__ = ("best", "chars", "ends", "long", "pieces")
 
     def __init__(self) -> None:
-        self.pieces, self.chars, self.text, self.best = 0, {}, "", 0.0
+        self.pieces, self.chars, self.ends, self.long, self.best = 0, {}, "", False, 0.0
+
+    def _end_with(self, ends: str, long: bool) -> None:
+        both = self.ends + ends
+        self.long = self.long or long or len(both) > 2 * ENDS
+        self.ends = both[:ENDS] + both[-ENDS:] if self.long else both
 
     def add(self, other: Joined) -> None:
         self.pieces = min(self.pieces + other.pieces, 1 << 30)
@@ -142,18 +165,20 @@ class Joined:
             self.chars[c] = self.chars.get(c, 0) + k
         if sum(self.chars.values()) > 1e12:
             self.chars = {c: k * 1e-6 for c, k in self.chars.items()}
-        self.text = None if self.text is None or other.text is None or len(self.text) + len(other.text) > JOINED_CHARS else self.text + other.text
+        self._end_with(other.ends, other.long)
         self.best = max(self.best, other.best)
 
     @classmethod
     def of(cls, value: str) -> Joined:
         out = cls()
         out.pieces, out.chars, out.best = 1, dict(Counter(value)), literal_score(value)
-        out.text = value if len(value) <= JOINED_CHARS else None
+        out._end_with(value, False)
         return out
 
     def score(self) -> float:
-        return literal_score(self.text) if self.text is not None else _form_score(self.chars)
+        if not self.long:
+            return literal_score(self.ends)
+        return 0.0 if _placeholder(self.ends, self.chars) else _form_score(self.chars)
 
 
 def _parts(text: str, statements) -> list[list[tuple[int, int, bool, int]]]:
