@@ -98,7 +98,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     """
     added = [x.split()[0] for x in FOUND.split(", ", 3)]
     docs = docs.drop(*added, "_hit")
-    items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").dropDuplicates(["item", "text"])
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
     # further passes need the texts, the last one doesn't
