@@ -125,11 +125,13 @@ def _featurise(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> FM:
     """Fitted on at most ``rows`` of the labelled documents outside the held-out fifth, those of the smallest hashes. Null labels and ids don't count;
-    of contrary labels of one id the larger does."""
+    of contrary labels of one id the larger does. Rows that are equal in id and text are one, and of ids with many texts no more than ``rows`` texts in all are taken, so what
+    reaches the driver is bounded by rows, not by ids."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out("doc_id", 5)).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     # the ids first, a few thousand longs; then the texts of these alone
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "text"])
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
     table = texts.mapInArrow(K.tidy(_featurise), "label double, feature array<int>, value array<float>").toArrow()
     label_of = np.array(table["label"].to_pylist(), float)
     pairs = [(np.asarray(f.values, np.int64), np.asarray(v.values, np.float64)) for f, v in zip(table["feature"], table["value"], strict=True)]
