@@ -15,7 +15,7 @@ from leafmill.operators import incremental as I
 from leafmill.operators import reading_order as R
 from leafmill.operators import recompute as RC
 from leafmill.operators import textlayer as T
-from leafmill.sources import hocr
+from leafmill.sources import hocr, hocr_pack
 from leafmill.sources import layout as L
 from leafmill.sources import results
 
@@ -198,6 +198,15 @@ def hocr_export(spark, d):
     return hocr.documents(_pages(spark, d))
 
 
+@query
+def hocr_packed(spark, d):
+    """Every page exported, packed many to a file, and read back."""
+    path = results.folder(spark, "pack")
+    hocr_pack.write(hocr_export(spark, d), path)
+    back = hocr_pack.read(spark, path)
+    return back.select(F.col("doc").cast("long").alias("page_id"), F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 @query
 def hocr_ingest(spark, d):
     """Export, then read again: every page goes through both."""

@@ -143,6 +143,24 @@ keyed AS (SELECT g.*, used.page_id IS NOT NULL AS used, CASE WHEN NOT good THEN
 )
 
 
+#: Numbers as the export writes them, and a page's document.
+_NUMBER = "replace(replace(({0})::DOUBLE::VARCHAR, 'e+', 'E'), 'e-', 'E-')"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title></title></head><body>\n<div class="ocr_page" title="ppageno 0"><div class="ocr_carea">\n'
+EXPORTED = (
+    LINES
+    + f""", wx AS (
+  SELECT w.*, lx1, ly1, lx2, ly2, line_y, '<span class="ocrx_word" title="bbox ' || concat_ws(' ', x1, y1::INT, x2, y2::INT) || '; x_wconf ' || {_NUMBER.format("round(confidence * 100, 6)")} || '">' || array_to_string(list_transform(range(length(content)),
+    lambda i: '<span class="ocrx_cinfo" title="x_bboxes ' || CASE WHEN i < n_chars THEN concat_ws(' ', x1 + 10 * i, y1::INT, x1 + 10 * i + 10, y2::INT) ELSE concat_ws(' ', x2, y1::INT, x2, y2::INT) END || '">' || {_ESCAPED.format("content[i + 1]")} || '</span>'), '') || '</span>' AS t
+  FROM w JOIN lines USING (page_id, par_no, line_no)
+), lx AS (
+  SELECT page_id, par_no, line_no, min(lx1) AS x1, min(ly1)::INT AS y1, max(lx2) AS x2, max(ly2)::INT AS y2, '<span class="ocr_line" title="bbox ' || concat_ws(' ', min(lx1), min(ly1)::INT, max(lx2), max(ly2)::INT) || '; baseline ' || {_NUMBER.format("tan(radians(min(angle_deg)))")} || ' ' || {_NUMBER.format("min(line_y)")} || '; x_size ' || {_NUMBER.format("min(font_size)")} || '">' || string_agg(t, '' ORDER BY word_no) || '</span>' || chr(10) AS t
+  FROM wx GROUP BY page_id, par_no, line_no
+), px_ AS (SELECT page_id, par_no, '<p class="ocr_par" title="bbox ' || concat_ws(' ', min(x1), min(y1), max(x2), max(y2)) || '">' || chr(10) || string_agg(t, '' ORDER BY line_no) || '</p>' || chr(10) AS t FROM lx GROUP BY page_id, par_no),
+exported AS (SELECT page_id, '{_HEAD}' || string_agg(t, '' ORDER BY par_no) || '</div></div>' || chr(10) || '</body></html>' || chr(10) AS content FROM px_ GROUP BY page_id)"""
+)
+
+
 def level_only(x: str, digits: int = 4) -> str:
     return f"CASE WHEN abs({x}) < 1e9 THEN round({x}, {digits}) + 0.0 END"
 
@@ -210,4 +228,7 @@ ORACLE_SQL: dict[str, str] = {
     "reading_order": f"WITH RECURSIVE {READING} SELECT page_id, par_no, line_at, row_number() OVER (PARTITION BY page_id, par_no ORDER BY CASE WHEN used THEN key END, CASE WHEN used THEN CASE WHEN good THEN x1 ELSE -1e300 END END, line_at) - 1 AS place FROM keyed",
     "option_submissions": f"WITH {SUBMISSIONS} SELECT page_id, version::INT AS version, CASE WHEN has_image THEN (SELECT count(*) FROM changed c WHERE c.page_id = x.page_id AND c.has_image AND c.version <= x.version) END::INT AS job_id, CASE WHEN has_image THEN CASE WHEN old_other IS NULL OR old_other <> other THEN 'FULL' ELSE 'ONLY_PARAGRAPHS' END END AS mode, CASE WHEN NOT has_image THEN 'no image' END AS error FROM changed x",
     "recompute_store": f"WITH {OPTIONS}, {WORDS}, {BLUR}, kw AS (SELECT page_id, count(*) AS n_words, sum(line_no * 31 + word_no)::BIGINT AS places FROM w JOIN o2 USING (page_id) WHERE confidence >= conf GROUP BY ALL), kb AS (SELECT ws.page_id, count(*) AS n_blurred FROM ws JOIN o2 USING (page_id) LEFT JOIN q85 USING (page_id, cell) WHERE ws.contrast >= ws.char_width * blur * coalesce(q85.at, 0) GROUP BY ALL) SELECT page_id, conf::DOUBLE AS min_word_confidence, blur::DOUBLE AS blur_coef, coalesce(n_words, 0) AS n_words, coalesce(places, 0) AS places, coalesce(n_blurred, 0) AS n_blurred FROM o2 LEFT JOIN kw USING (page_id) LEFT JOIN kb USING (page_id)",
+    "hocr_export": f"WITH {EXPORTED} SELECT page_id AS doc, content FROM exported",
+    "hocr_packed": f"WITH {EXPORTED} SELECT page_id, length(content) AS n_chars, md5(content) AS digest FROM exported",
+    "hocr_errors": f"WITH {WORDS} SELECT DISTINCT page_id, CASE page_id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no body' WHEN 2 THEN 'word' WHEN 3 THEN 'line' ELSE 'char' END AS error FROM w",
 }
