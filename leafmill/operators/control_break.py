@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FLAGS = ["par_start", "line_start", "word_start"]
@@ -109,10 +108,9 @@ def _step(new: pa.Table | None, open_: _Open, boxes: bool, last: bool) -> Iterat
         yield _words(both.slice(0, cut), page[:cut], [x[:cut] for x in levels], heads if last else heads[:-1], boxes)
 
 
-def words(symbols: DataFrame, boxes: bool = False) -> DataFrame:
+def words(symbols: DataFrame, boxes: bool = False, dealt: bool = False) -> DataFrame:
     """Symbols (page_id, seq, FLAGS, text, EDGES, conf, row_height) -> words (WORDS, and BOXES with ``boxes``): levels are numbered by their flags within a page, symbols without text
-    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One sort, by page and seq, and no exchange where symbols are dealt by page already."""
-    order = W.partitionBy("page_id").orderBy("seq")
+    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One exchange by page, unless symbols are ``dealt`` by page already, and one sort by page and seq."""
     rows = symbols.select("page_id", "seq", *FLAGS, "text", *(F.col(c).cast("int").alias(c) for c in EDGES), "conf", "row_height")
-    placed = rows.withColumn("at", F.row_number().over(order)).drop("seq")  # the window brings the order, and the exchange if there was none
-    return placed.mapInArrow(_broken(boxes), WORDS + (f", {BOXES}" if boxes else ""))
+    rows = rows if dealt else rows.repartition("page_id")
+    return rows.sortWithinPartitions("page_id", "seq").mapInArrow(_broken(boxes), WORDS + (f", {BOXES}" if boxes else ""))

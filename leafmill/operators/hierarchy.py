@@ -41,16 +41,16 @@ def flat_chars(words: DataFrame) -> DataFrame:
 NOT_TEXT = ("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VERT_LINE", "NOISE")
 
 
-def symbols_to_words(symbols: DataFrame, boxes: bool = False) -> DataFrame:
-    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes. One sort and one pass (``control_break``)."""
-    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes)
+def symbols_to_words(symbols: DataFrame, boxes: bool = False, dealt: bool = False) -> DataFrame:
+    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes; ``dealt``: symbols stand by page in their partitions. One sort and one pass (``control_break``)."""
+    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes, dealt)
 
 
-def symbols_to_pages(symbols: DataFrame) -> DataFrame:
+def symbols_to_pages(symbols: DataFrame, dealt: bool = False) -> DataFrame:
     """A stream of recognised symbols -> nested pages as ``nest`` gives them: the boxes of lines and paragraphs hold their words', a line's baseline runs through its points
     (base_x1, base_y1, base_x2, base_y2 and orientation, if there are such columns; else along its lower edge), and words have it moved to their own box."""
     points = {"base_x1", "base_y1", "base_x2", "base_y2", "orientation"} <= set(symbols.columns)
-    words = symbols_to_words(symbols, boxes=True)
+    words = symbols_to_words(symbols, boxes=True, dealt=dealt)
     line = W.partitionBy("page_id", "line_no")
     box = F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
     around = F.struct(F.min("x1").over(line).cast("int").alias("x1"), F.min("y1").over(line).cast("int").alias("y1"), F.max("x2").over(line).cast("int").alias("x2"), F.max("y2").over(line).cast("int").alias("y2"))

@@ -233,13 +233,13 @@ def hocr_errors(spark, d):
 
 @query
 def symbols_nest(spark, d):
-    return H.symbols_to_words(_symbols(spark, d)).select("page_id", "par_no", "line_no", "word_no", "content", "x1", "x2", "n_chars", F.round("confidence", 6).alias("confidence"))
+    return H.symbols_to_words(_symbols(spark, d), dealt=True).select("page_id", "par_no", "line_no", "word_no", "content", "x1", "x2", "n_chars", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def symbols_pages(spark, d):
     """The whole hierarchy from symbols: line boxes, words and their baselines."""
-    w = H.flat_words(H.symbols_to_pages(_symbols(spark, d)))
+    w = H.flat_words(H.symbols_to_pages(_symbols(spark, d), dealt=True))
     b = F.col("line_box")
     return w.groupBy("page_id", "line_no").agg(F.max(b.x1).alias("x1"), F.max(b.y1).alias("y1"), F.max(b.x2).alias("x2"), F.max(b.y2).alias("y2"), F.count("*").alias("n_words"), F.sum(F.size("char_boxes")).alias("n_chars"), F.round(F.sum("baseline.y"), 3).alias("base_y"))
 

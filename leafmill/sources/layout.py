@@ -84,7 +84,7 @@ def symbols(word: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     new_word = lambda key: F.coalesce(F.lag(key).over(order) != F.col(key), F.lit(True))
     each = word.withColumns({"before": before, "new_par": new_word("par_no"), "new_line": new_word("line_no")})
-    each = each.select("page_id", "line_no", "x1", "y1", "y2", "confidence", "before", "new_par", "new_line", F.posexplode(F.filter(F.split("content", ""), lambda c: c != "")).alias("char_no", "text"))
+    each = each.select("page_id", "line_no", "x1", "y1", "y2", "confidence", "before", "new_par", "new_line", "content", F.explode(F.sequence(F.lit(0), F.length("content") - 1)).alias("char_no")).withColumn("text", F.substring("content", F.col("char_no") + 1, F.lit(1)))
     first = F.col("char_no") == 0
     kind = F.when(F.col("line_no") % 50 == 49, "HORZ_LINE").when(F.col("line_no") % 70 == 69, "FLOWING_IMAGE").otherwise("TEXT")
     x = F.col("x1") + 10 * F.col("char_no")

@@ -66,5 +66,5 @@ def test_in_spark_and_no_symbols(spark):
 
 def test_one_sort_and_no_exchange_after_dealing_by_page(spark):
     df = spark.createDataFrame(symbols(random.Random(3)), SCHEMA).withColumn("block_type", F.lit("TEXT")).repartition("page_id")
-    plan = H.symbols_to_words(df)._jdf.queryExecution().executedPlan().toString()
+    plan = H.symbols_to_words(df, dealt=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "Aggregate" not in plan
