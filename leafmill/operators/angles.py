@@ -17,16 +17,22 @@ def average_angle(words: DataFrame) -> DataFrame:
 def dominant_angle(angles: DataFrame, wrap: float, window: float, key: str = "page_id") -> DataFrame:
     """(key, angle, fraction): the weighted mean angle in the window (e - ``window``, e] of the circle of size ``wrap`` that weighs most, and its share of all weight.
 
-    ``angles``: key, angle, weight. Equal angles are summed first, so the sliding frame runs over distinct angles. Angles that a window across zero
+    ``angles``: key, angle, weight. Equal angles are summed first; then sums up to each distinct angle are taken once and looked up
+    twice for each window, so the work is in proportion to the distinct angles, however many a window holds. Angles that a window across zero
     takes from the top count as angle - wrap. Ties: windows that don't cross zero, then the smallest end. Without weight both are null.
     """
     at = angles.select(key, positive_mod(F.col("angle"), wrap).alias("a"), F.col("weight").cast("double").alias("w")).groupBy(key, "a").agg(F.sum("w").alias("w"))
     over = at.select(key, "a", "w", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).filter(F.expr(f"copy = 0 or a - {wrap}D > -{window}D"))
     over = over.select(key, (F.col("a") - F.col("copy") * wrap).alias("a"), "w", "copy")
-    upto = f"over (partition by {key} order by a range between {window}D preceding and current row)"
-    edge = f"over (partition by {key} order by a range between {window}D preceding and {window}D preceding)"
-    inside = lambda x: f"sum({x}) {upto} - coalesce(sum({x}) {edge}, 0)"
-    slid = over.selectExpr(key, "a", "w", "copy", f"{inside('w')} as density", f"{inside('w * a')} as moment", f"{inside('copy')} > 0 as crosses").filter("copy = 0")
+    # sums up to each angle; a window's are those up to its end less those up to where it begins, looked up as of there (what stands on the edge is outside)
+    upto = W.partitionBy(key).orderBy("a", F.desc("copy")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = F.struct(F.sum("w").over(upto).alias("w"), F.sum(F.col("w") * F.col("a")).over(upto).alias("m"), F.sum("copy").over(upto).alias("copies"))
+    marks = F.array(F.struct(F.col("a").alias("at"), F.lit(0).alias("asks"), (-F.col("copy")).alias("last")), F.struct((F.col("a") - window).alias("at"), F.lit(1).alias("asks"), F.lit(0).alias("last")))
+    asked = over.withColumn("own", sums).select(key, "a", "w", "copy", "own", F.explode(marks).alias("mark")).filter("mark.asks = 0 or copy = 0")
+    before = W.partitionBy(key).orderBy("mark").rowsBetween(W.unboundedPreceding, W.currentRow)
+    slid = asked.withColumn("begin", F.last(F.when(F.col("mark.asks") == 0, F.col("own")), ignorenulls=True).over(before)).filter("mark.asks = 1")
+    less = lambda x: F.col(f"own.{x}") - F.coalesce(F.col(f"begin.{x}"), F.lit(0))
+    slid = slid.select(key, "a", "w", less("w").alias("density"), less("m").alias("moment"), (less("copies") > 0).alias("crosses"))
     best = slid.groupBy(key).agg(F.max_by(F.struct("moment", "density"), F.struct("density", ~F.col("crosses"), -F.col("a"))).alias("best"), F.sum("w").alias("total"))
     total = F.nullif(F.col("total"), F.lit(0.0))
     return best.select(key, F.when(total.isNotNull(), F.col("best.moment") / F.nullif(F.col("best.density"), F.lit(0.0))).alias("angle"), (F.col("best.density") / total).alias("fraction"))

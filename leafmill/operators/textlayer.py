@@ -93,21 +93,24 @@ def text_layer(words: DataFrame, page_height: float = 0.0, digits: bool = True)
     return each.select(*LINE, "word_no", F.when(placed, F.col("char_no")).otherwise(-1 - F.col("char_no")).alias("char_no"), text.alias("text"), *of_word, exact(stretch).alias("stretch"))
 
 
-def export_manifest(pages: DataFrame, mode: str = "WITH_OCR", stem: str = "scan", form: str = "images") -> DataFrame:
+def export_manifest(pages: DataFrame, mode: str = "WITH_OCR", stem: str = "scan", form: str = "images", session: str | None = None) -> DataFrame:
     """Names of exported images in page order, without the last page, which is still in progress; with form "pdf" all pages are in one file, page by page.
 
-    ``pages``: page_id, and if there are such columns, has_image and has_result: error then tells what a page lacks for the export. Pages are numbered in three levels of ranges of
-    ids, so a task sees a range of pages, or of ranges, or the few ranges of ranges.
+    ``pages``: page_id, and if there are such columns, has_image and has_result: error then tells what a page lacks for the export. ``session`` names a column: then each session has
+    numbers, a last page and a folder of its own (a null session, the folder ""), and comes along. Pages are numbered in three levels of ranges of
+    ids, so a task sees a range of pages, or of ranges, or the few ranges of ranges; one session may hold them all.
     """
     part, whole = F.floor(F.col("page_id") / MANIFEST_RANGE), F.floor(F.col("page_id") / MANIFEST_RANGE**2)
     lacks = [F.when(~F.col(c), text) for c, text in (("has_image", "no image"), ("has_result", "no result")) if c in pages.columns and (c == "has_image" or mode != "RAW")]
-    ranged = pages.select("page_id", part.alias("part"), whole.alias("whole"), *([F.coalesce(*lacks).alias("error")] if lacks else []))
-    counts = ranged.groupBy("whole", "part").agg(F.count("*").alias("own"))
-    inner = counts.withColumn("inner", F.sum("own").over(W.partitionBy("whole").orderBy("part")) - F.col("own"))
-    outer = counts.groupBy("whole").agg(F.sum("own").alias("own")).select("whole", (F.sum("own").over(W.orderBy("whole")) - F.col("own")).alias("outer"), F.sum("own").over(W.partitionBy()).alias("total"))
-    before = inner.join(outer, "whole").select("part", (F.col("inner") + F.col("outer")).alias("before"), "total")
-    within = F.row_number().over(W.partitionBy("part").orderBy("page_id"))
+    own = [] if session is None else ["session"]
+    ranged = pages.select("page_id", *([] if session is None else [F.coalesce(F.col(session).cast("string"), F.lit("")).alias("session")]), part.alias("part"), whole.alias("whole"), *([F.coalesce(*lacks).alias("error")] if lacks else []))
+    counts = ranged.groupBy(*own, "whole", "part").agg(F.count("*").alias("own"))
+    inner = counts.withColumn("inner", F.sum("own").over(W.partitionBy(*own, "whole").orderBy("part")) - F.col("own"))
+    outer = counts.groupBy(*own, "whole").agg(F.sum("own").alias("own")).select(*own, "whole", (F.sum("own").over(W.partitionBy(*own).orderBy("whole")) - F.col("own")).alias("outer"), F.sum("own").over(W.partitionBy(*own)).alias("total"))
+    before = inner.join(outer, [*own, "whole"]).select(*own, "part", (F.col("inner") + F.col("outer")).alias("before"), "total")
+    within = F.row_number().over(W.partitionBy(*own, "part").orderBy("page_id"))
     n = F.col("at") + F.col("before")
-    file = F.lit(f"{stem}.pdf") if form == "pdf" else F.concat(F.lit(f"{stem}-"), n.cast("string"), F.lit(".png"))
-    counted = ranged.withColumn("at", within).join(before, "part").filter(n < F.col("total"))
-    return counted.select("page_id", file.alias("file"), *([n.alias("file_page")] if form == "pdf" else []), F.lit("source" if mode == "RAW" else "adjusted").alias("image"), F.lit(mode != "RAW").alias("with_text"), *(["error"] if lacks else []))
+    folder = F.lit("") if session is None else F.concat("session", F.lit("/"))
+    file = F.concat(folder, F.lit(f"{stem}.pdf")) if form == "pdf" else F.concat(folder, F.lit(f"{stem}-"), n.cast("string"), F.lit(".png"))
+    counted = ranged.withColumn("at", within).join(before, [*own, "part"]).filter(n < F.col("total"))
+    return counted.select("page_id", *own, file.alias("file"), *([n.alias("file_page")] if form == "pdf" else []), F.lit("source" if mode == "RAW" else "adjusted").alias("image"), F.lit(mode != "RAW").alias("with_text"), *(["error"] if lacks else []))

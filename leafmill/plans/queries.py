@@ -321,6 +321,13 @@ def export_manifest_pdf(spark, d):
     return T.export_manifest(L.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 9 != 0).alias("has_image"), (F.col("doc_id") % 7 != 0).alias("has_result")), form="pdf").drop("image", "with_text")
 
 
+@query
+def export_sessions(spark, d):
+    """The export of each source's pages as a session of its own: numbers, and a page in progress, for each."""
+    pages = L.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("run"), (F.col("doc_id") % 9 != 0).alias("has_image"))
+    return T.export_manifest(pages, session="run").select("page_id", "session", "file", "error")
+
+
 @query
 def export_manifest(spark, d):
     return T.export_manifest(L.table(spark, d, "documents").select(F.col("doc_id").alias("page_id")))

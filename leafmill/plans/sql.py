@@ -231,4 +231,5 @@ ORACLE_SQL: dict[str, str] = {
     "hocr_export": f"WITH {EXPORTED} SELECT page_id AS doc, content FROM exported",
     "hocr_packed": f"WITH {EXPORTED} SELECT page_id, length(content) AS n_chars, md5(content) AS digest FROM exported",
     "hocr_errors": f"WITH {WORDS} SELECT DISTINCT page_id, CASE page_id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no body' WHEN 2 THEN 'word' WHEN 3 THEN 'line' ELSE 'char' END AS error FROM w",
+    "export_sessions": "SELECT doc_id AS page_id, session, session || '/scan-' || n || '.png' AS file, CASE WHEN doc_id % 9 = 0 THEN 'no image' END AS error FROM (SELECT doc_id, session, row_number() OVER (PARTITION BY session ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY session) AS total FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN coalesce(source, '') ELSE '' END AS session FROM documents)) WHERE n < total",
 }

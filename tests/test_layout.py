@@ -52,6 +52,36 @@ def test_dominant_angle_is_half_open_and_turns(spark):
     assert dominant(spark, [(3, 0)]) == (None, None)
 
 
+def plain_dominant(rows, wrap, window):
+    """Windows one by one over sorted angles, with a copy of those below zero."""
+    weight = {}
+    for a, w in rows:
+        weight[a % wrap] = weight.get(a % wrap, 0) + w
+    each = sorted([(a, w) for a, w in weight.items()] + [(a - wrap, w) for a, w in weight.items() if a - wrap > -window])
+    a, w = np.array([x[0] for x in each]), np.array([x[1] for x in each], float)
+    sums, moments = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * a)])
+    begin, end = np.searchsorted(a, a - window, "right"), np.arange(1, len(a) + 1)
+    density, moment = sums[end] - sums[begin], moments[end] - moments[begin]
+    ends = np.flatnonzero(a >= 0)
+    best = max(ends, key=lambda i: (density[i], not a[begin[i]] < 0, -a[i]))
+    return moment[best] / density[best], density[best] / sum(weight.values())
+
+
+def test_dominant_angle_of_many_angles(spark):
+    """A page of 100,000 distinct angles, half of them within one window, and pages of few; the plan has no frame of ranges."""
+    rng = np.random.default_rng(2)
+    many = [(float(a), int(w)) for a, w in zip(np.concatenate([rng.uniform(-900, 900, 50_000), rng.normal(359, 0.5, 50_000)]), rng.integers(1, 9, 100_000), strict=True)]
+    few = [[(float(a), int(w)) for a, w in zip(rng.integers(-3, 3, n) * rng.choice([1.0, 2.5, 5.0, 90.0]), rng.integers(1, 5, n), strict=True)] for n in rng.integers(1, 12, 150)]
+    pages = [many, *few]
+    df = spark.createDataFrame([(p, a, float(w)) for p, rows in enumerate(pages) for a, w in rows], "page_id long, angle double, weight double")
+    for wrap in (360.0, 90.0):
+        found = A.dominant_angle(df, wrap, 5.0)
+        got = {r.page_id: (r.angle, r.fraction) for r in found.collect()}
+        for p, rows in enumerate(pages):
+            assert got[p] == pytest.approx(plain_dominant(rows, wrap, 5.0), abs=1e-6), p
+        assert "RangeFrame" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("degrees", "x", "y"), [(0, 0, -20), (-30, 0, -14.226497), (30, 0, -25.773503), (-60, 1.547005, 0), (60, -21.547005, 0)])
 def test_moved_baseline(spark, degrees, x, y):
     b = lambda *v: F.struct(*(F.lit(i).alias(n) for i, n in zip(v, ("x1", "y1", "x2", "y2"), strict=True)))
