@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
 from leafmill.functions import scalars as S
+from leafmill.functions import typed as Y
 from leafmill.operators import angles as A
 from leafmill.operators import blur as B
 from leafmill.operators import devices as D
@@ -15,6 +16,7 @@ from leafmill.operators import incremental as I
 from leafmill.operators import reading_order as R
 from leafmill.operators import recompute as RC
 from leafmill.operators import textlayer as T
+from leafmill.operators import versions as V
 from leafmill.sources import hocr, hocr_pack
 from leafmill.sources import layout as L
 from leafmill.sources import results
@@ -449,6 +451,20 @@ def _desired(spark, d) -> DataFrame:
     return s.withColumn("desired", F.when(F.col("name") == "mode", 2.0).when(F.col("name") == "resolution", 300.0).otherwise((F.col("device_id") % 5).cast("double")))
 
 
+@query
+def typed_values(spark, d):
+    v = F.col("value")
+    o = L.typed_options(L.table(spark, d, "supplier"))
+    return o.select("device_id", "name", Y.as_bool(v).cast("string").alias("b"), Y.as_int(v).alias("i"), Y.as_double(v).alias("f"), Y.as_string(v).alias("s"))
+
+
+@query
+def word_changes(spark, d):
+    """New, gone and changed words between a page's words and an edited version of them."""
+    words = L.structured(_words(spark, d))
+    return V.word_changes(H.nest(words), H.nest(L.edited(words)))
+
+
 @query
 def settings_diff(spark, d):
     return D.changed_settings(_devices(spark, d), _desired(spark, d))

@@ -232,4 +232,6 @@ ORACLE_SQL: dict[str, str] = {
     "hocr_packed": f"WITH {EXPORTED} SELECT page_id, length(content) AS n_chars, md5(content) AS digest FROM exported",
     "hocr_errors": f"WITH {WORDS} SELECT DISTINCT page_id, CASE page_id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no body' WHEN 2 THEN 'word' WHEN 3 THEN 'line' ELSE 'char' END AS error FROM w",
     "export_sessions": "SELECT doc_id AS page_id, session, session || '/scan-' || n || '.png' AS file, CASE WHEN doc_id % 9 = 0 THEN 'no image' END AS error FROM (SELECT doc_id, session, row_number() OVER (PARTITION BY session ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY session) AS total FROM (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN coalesce(source, '') ELSE '' END AS session FROM documents)) WHERE n < total",
+    "typed_values": "WITH o AS (SELECT s_suppkey AS id, unnest(['preview', 'resolution', 'tl-x', 'mode', 'depth', 'button', 'holes']) AS name FROM supplier), t AS (SELECT *, CASE name WHEN 'depth' THEN CASE WHEN id % 2 = 0 THEN 'resolution' ELSE 'tl-x' END ELSE name END AS kind, id % 4 > 1 AS one FROM o) SELECT id AS device_id, name, CASE WHEN kind = 'preview' AND one THEN (id % 2 = 0)::VARCHAR END AS b, CASE WHEN kind = 'resolution' AND one THEN id END::INT AS i, CASE WHEN kind = 'tl-x' AND one THEN id / 2 END::DOUBLE AS f, CASE WHEN kind = 'mode' THEN 'Mode ' || id % 3 END AS s FROM t",
+    "word_changes": f"WITH {WORDS}, k AS (SELECT page_id, par_no, line_no, word_no, n_chars, (page_id + line_no * 3 + word_no) % 40 AS k FROM w WHERE page_id % 4 <> 0) SELECT page_id, par_no, line_no, word_no, CASE WHEN k = 0 THEN 'gone' ELSE 'changed' END AS status FROM k WHERE k < 3 OR k = 3 AND n_chars > 1 UNION ALL SELECT page_id, par_no, line_no, word_no + 100000, 'new' FROM k WHERE k = 4",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import box
+from leafmill.functions.typed import typed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,3 +153,24 @@ def resolutions(supplier: DataFrame) -> DataFrame:
         F.when(kind == 2, F.struct((base * 1.5).alias("from"), (base * 8.0).alias("to"))).alias("float_range"), F.when(kind == 3, F.struct((base * 3).cast("int").alias("from"), (base * 9).cast("int").alias("to"))).alias("int_range"),
         F.lit(300.0).alias("value"),
     )
+
+
+def typed_options(supplier: DataFrame) -> DataFrame:
+    """Option values of each device with the type that they were set with: one or several truth values, whole numbers or floating ones, strings, and none."""
+    s = F.col("s_suppkey").cast("int")
+    several = lambda x, more: F.when(s % 4 == 0, F.array(x, more)).when(s % 4 == 1, F.slice(F.array(x), 1, 0)).otherwise(F.array(x))
+    whole, floating = several(s, s + 1), several(s / 2, F.lit(1.0))
+    rows = [
+        ("preview", typed(several(s % 2 == 0, F.lit(True)))), ("resolution", typed(whole)), ("tl-x", typed(floating)), ("mode", typed(F.concat(F.lit("Mode "), (s % 3).cast("string")))),
+        ("depth", F.when(s % 2 == 0, typed(whole)).otherwise(typed(floating))), ("button", F.lit(None).cast("variant")), ("holes", typed(F.array(F.lit(None).cast("int")))),
+    ]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(n).alias("name"), v.alias("value")) for i, (n, v) in enumerate(rows))))
+    return supplier.select(F.col("s_suppkey").alias("device_id"), each.alias("o")).select("device_id", "o.*")
+
+
+def edited(words: DataFrame) -> DataFrame:
+    """Another version of structured words, by rules on their numbers: some gone, some new, some with other content, without confidence or with their first char box alone; every fourth page as it was."""
+    k = (F.col("page_id") + F.col("line_no") * 3 + F.col("word_no")) % 40
+    kept = words.withColumn("k", F.when(F.col("page_id") % 4 == 0, 39).otherwise(k)).filter("k <> 0")
+    kept = kept.withColumns({"content": F.when(F.col("k") == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")), "confidence": F.when(F.col("k") == 2, F.lit(None).cast("double")).otherwise(F.col("confidence")), "char_boxes": F.when(F.col("k") == 3, F.slice("char_boxes", 1, 1)).otherwise(F.col("char_boxes"))})
+    return kept.unionByName(kept.filter("k = 4").withColumn("word_no", F.col("word_no") + 100_000)).drop("k")
