@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import superkmers as S
 from . import textkernel as K
 from .components import components
-from .shared import forget, written
+from .shared import bucketed, forget, written
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -597,7 +597,8 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(S._LEAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     sketch = written(rows.mapInArrow(K.tidy(_sketch(sc.broadcast(hot))), "rid long, doc_id long, doc long, text_hash long, n long, d1 long, d2 long, prefix binary, map binary"), "sketch")
     ids = written(sketch.filter("n > 0").groupBy(*SAME).agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc", "text_hash")).alias("first")), "classes")
-    classes = written(sketch.select("rid", "doc", "text_hash", "n", "prefix", "map").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes")
+    # rows with sets and maps are dealt by rid once, and joined from there
+    classes = bucketed(sketch.select("rid", "doc", "text_hash", "n", "prefix", "map").join(ids.select(F.col("class").alias("rid")), "rid", "left_semi"), "classes", "rid")
     keys = classes.agg(F.sum(F.octet_length("prefix") / 5)).first()[0] or 0
     buckets = max(1, -(-int(keys) // BUCKET_KEYS))
     dealt = lambda df: df.select("rid", "home", "n", "prefix").mapInArrow(K.tidy(_deal(buckets)), "bucket long, blob binary").groupBy("bucket")
@@ -607,7 +608,7 @@ def _joined(docs: DataFrame, region_rows: int = REGION_ROWS, meeting: int = MEET
     votes = votes.groupBy("rid", "named").agg(F.sum("votes").alias("votes")).groupBy("rid").agg(F.max(F.struct("votes", "named")).named.alias("pivot"))
     voted = written(votes, "votes")
     votes = voted.select("rid").union(voted.select("pivot")).distinct().join(voted, "rid", "left")
-    active = written(votes.join(classes.select("rid", "n", "map"), "rid"), "active")
+    active = bucketed(votes.join(classes.select("rid", "n", "map"), "rid"), "active", "rid")
     forget(voted)
     pivots = active.select(F.col("rid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("map").alias("pivot_map"))
     near = active.filter("pivot is not null").join(pivots, "pivot").select("rid", "n", "map", "pivot", "pivot_n", "pivot_map")

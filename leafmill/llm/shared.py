@@ -32,7 +32,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_tables: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``written``, dealt by ``key`` into as many buckets as the session has shuffle partitions: joins and aggregations by ``key`` read it as it stands, so wide rows travel once, however often they are joined."""
+    spark = df.sparkSession
+    path, table = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", f"leafmill_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    _written.append(path)
+    _tables[path] = table
+    return spark.table(table)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
