@@ -436,6 +436,22 @@ def region_links(value: np.ndarray, begins: np.ndarray, own: np.ndarray, home: n
     return links
 
 
+def _sets_of(texts, whole) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of compressed texts one after another, and where each begins. Texts are unpacked and cut block by block, so that besides the sets a task holds one block's arrays."""
+    values, sizes, held, size = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [], 0
+    for x in [*texts, None]:
+        if x is not None:
+            held.append(whole(x.as_buffer()))
+            size += len(held[-1])
+        if held and (x is None or size >= K.BLOCK_BYTES):
+            for block in K.blocks(pa.array(held, pa.large_binary()), lower=True):
+                _, value, begins = sets(block)
+                values.append(value)
+                sizes.append(np.diff(begins))
+            held, size = [], 0
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
 def _join(batches):
     """Links of regions; the rows come by region, those that are own first."""
     whole = zstandard.ZstdDecompressor().decompress
@@ -455,8 +471,7 @@ def _join(batches):
                 total += size[head[upto] : tail[upto]].sum()
                 upto += 1
             a, b = head[done], tail[upto - 1]
-            text = pa.array([whole(x.as_buffer()) for x in table["text"].slice(a, b - a)], pa.large_binary())
-            _, value, begins = sets(next(K.blocks(text, lower=True, limit=1 << 60)))
+            value, begins = _sets_of(table["text"].slice(a, b - a), whole)
             for x, y in zip(head[done:upto], tail[done:upto], strict=True):
                 if y - x < 2:
                     continue
