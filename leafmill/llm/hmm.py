@@ -218,6 +218,41 @@ def expected_counts(model: Model, texts: list[np.ndarray], begins: list[bool] |
     return np.concatenate([head @ alpha[0], (move * model.move).ravel(), counts.ravel()])
 
 
+def long_counts(model: Model, text: np.ndarray, piece: int) -> np.ndarray:
+    """``expected_counts`` of one text, ``piece`` tokens at a time: the forward pass keeps what it has at each edge, the backward pass takes the pieces from the last to the first, forward once more within each, and carries
+    its own values over the edges. Memory is a piece's."""
+    k = len(model.start)
+    emit = np.ascontiguousarray(model.emit.T)
+
+    def forward(a, obs, alpha=None, scale=None):
+        for t, o in enumerate(obs.tolist()):
+            a = (model.start if a is None else a @ model.move) * emit[o]
+            total = a.sum()
+            a = a / total
+            if alpha is not None:
+                alpha[t], scale[t] = a, total
+        return a
+
+    pieces = [text[i : i + piece] for i in range(0, len(text), piece)]
+    before: list[np.ndarray | None] = [None]
+    for obs in pieces[:-1]:
+        before.append(forward(before[-1], obs))
+    beta, move, emitted = np.ones(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1]))
+    for obs, a in zip(reversed(pieces), reversed(before), strict=True):
+        alpha, scale = np.zeros((len(obs), k)), np.ones(len(obs))
+        forward(a, obs, alpha, scale)
+        for t in range(len(obs) - 1, -1, -1):
+            eb = emit[obs[t]] * beta / scale[t]
+            last = alpha[t - 1] if t else a
+            if last is not None:
+                move += np.outer(last, eb)
+            alpha[t] = alpha[t] * beta  # now the posterior
+            beta = model.move @ eb
+        for j in range(k):
+            emitted[j] += np.bincount(obs, alpha[:, j], emitted.shape[1])
+    return np.concatenate([alpha[0], (move * model.move).ravel(), emitted.ravel()])
+
+
 def _expect(shared):
     def run(batches):
         model: Model = shared.value
@@ -238,7 +273,11 @@ def _expect(shared):
         for batch in batches:
             for raw in K.column(batch, "classes"):
                 text = np.frombuffer(raw.as_buffer(), "<i2")
-                pieces += [(text[a : a + TRAIN_TOKENS], a == 0) for a in range(0, len(text), TRAIN_TOKENS)]
+                if len(text) > TRAIN_TOKENS:
+                    part = long_counts(model, text, TRAIN_TOKENS)
+                    total = part if total is None else total + part
+                    continue
+                pieces.append((text, True))
                 held += len(text)
                 if held > 10 * TOGETHER:
                     add()

@@ -14,7 +14,7 @@ from .shared import written
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 6
-#: Sketches have 2**LG_K registers; an estimate is off by more than BAND of itself in fewer than one line in 10,000 (4 standard errors of 1.04 / sqrt(2**LG_K)), and at few sites sketches are exact.
+#: Sketches have 2**LG_K registers; an estimate is off by more than BAND of itself in fewer than one line in 10,000 (4 standard errors of 1.04 / sqrt(2**LG_K)), and at few sites sketches are exact, as they are at the default MIN_SITES; with a threshold of hundreds, that share of lines outside the band is decided by its estimate.
 LG_K = 10
 BAND = 4 * 1.04 / 2 ** (LG_K / 2)
 #: Lines are broadcast up to so many (some 50 bytes each); beyond that they are joined by shuffle, where AQE splits a line that stands everywhere.

@@ -3,9 +3,11 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from leafmill.llm import decontaminate, jaccard_join, quality_fm, quality_rules, secrets
+from leafmill.llm import decontaminate, hmm, jaccard_join, quality_fm, quality_rules, secrets
 from leafmill.llm import shared
 from leafmill.llm.shared import checkpoint_dir
 
@@ -95,3 +97,37 @@ def test_join_leaves_few_tables(spark, corpus):
     jaccard_join.jaccard_components(corpus).collect()
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
     assert left <= {"sketch", "classes", "members", "labels", "edges"}
+
+
+def test_long_texts_are_trained_on_whole(monkeypatch):
+    """Pieces of a long text give the counts of the whole one, moves over their edges included; so does training on it."""
+    rng = np.random.default_rng(3)
+    m = hmm.Model.first(rng.uniform(1, 9, 12), states=4)
+    text = rng.integers(0, 12, 200).astype(np.int16)
+    whole = hmm.expected_counts(m, [text])
+    for piece in (1, 7, 64, 199, 200, 500):
+        assert hmm.long_counts(m, text, piece) == pytest.approx(whole)
+    assert whole[4:20].sum() == pytest.approx(199)
+    # the step of a task, with a bound that the first text is above
+    monkeypatch.setattr(hmm, "TRAIN_TOKENS", 30)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype("<i2").tobytes() for x in (text, text[:9])])], ["classes"])
+    (out,) = hmm._expect(type("Shared", (), {"value": m})())(iter([batch]))
+    want = hmm.expected_counts(m, [text]) + hmm.expected_counts(m, [text[:9]])
+    assert out.column("x").to_pylist() == pytest.approx(want[want != 0].tolist())
+
+
+def test_the_model_beats_the_words_alone(spark):
+    """On texts that it didn't learn from, the model finds them likelier than their words alone do."""
+    rng = random.Random(5)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+
+    def say(n):
+        k, out = 0, []
+        for _ in range(n):
+            k = (k + 1) % 3 if rng.random() < 0.04 else k  # a kind of words lasts
+            out.append(rng.choice(kinds[k]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, say(60)) for i in range(300)], "doc_id long, text string").repartition(2)
+    held = [r for r in hmm.score(docs, rounds=20).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -232,6 +233,7 @@ def test_training_reads_texts_whole():
     assert hmm.expected_counts(m, texts, [True, False, True, False])[:3].sum() == pytest.approx(2)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_quality_on_the_held_out_fifth(spark):
     """Area under the curve on rows that weren't learned from."""
     rows = quality_fm.op2_quality_classifier(spark, "/root/testdata/sf0.01").collect()
@@ -246,7 +248,6 @@ def test_quality_on_the_held_out_fifth(spark):
 
 def test_written_tables_can_be_dropped(spark, corpus):
     import glob
-    import os
 
     path = checkpoint_dir(spark).removeprefix("file:")
     sketches = lambda: {p for p in glob.glob(f"{path}/*") if os.path.basename(p).startswith("sketch-")}
