@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 FLAGS = ["par_start", "line_start", "word_start"]
 EDGES = ["x1", "y1", "x2", "y2"]
 WORDS = "page_id long, par_no int, line_no int, word_no int, content string, x1 int, y1 int, x2 int, y2 int, confidence double, font_size double, n_chars long"
-BOXES = "char_boxes array<struct<x1:int,y1:int,x2:int,y2:int>>"
+BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
+BOXES = f"char_boxes array<{BOX}>"
+LINE_BOX = f"line_box {BOX}"
 
 _NO_PAGE = -(2**63)
 
@@ -30,7 +32,7 @@ def _numbers(column: pa.Array, of: type) -> np.ndarray:
 
 
 class _Open:
-    """Symbols of the word that the last batch left open, with the page's counters after them."""
+    """Symbols of the word (or line) that the last batch left open, with the page's counters after them."""
 
     def __init__(self) -> None:
         self.rows: pa.Table | None = None
@@ -38,8 +40,8 @@ class _Open:
         self.levels = np.zeros(len(FLAGS), np.int64)
 
 
-def _words(table: pa.Table, page: np.ndarray, levels: list[np.ndarray], heads: np.ndarray, boxes: bool) -> pa.RecordBatch:
-    """The words that begin at ``heads``, from symbols that have text; every symbol belongs to one of them."""
+def _words(table: pa.Table, page: np.ndarray, levels: list[np.ndarray], heads: np.ndarray, boxes: bool, lines: np.ndarray | None) -> pa.RecordBatch:
+    """The words that begin at ``heads``, from symbols that have text; every symbol belongs to one of them. ``lines``: where lines begin, if words are to have their line's box."""
     text = table["text"].combine_chunks().cast(pa.large_string())
     offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
     ends = np.append(heads[1:], len(text))
@@ -60,21 +62,26 @@ def _words(table: pa.Table, page: np.ndarray, levels: list[np.ndarray], heads: n
         each = pa.StructArray.from_arrays([table[c].combine_chunks().cast(pa.int32()) for c in EDGES], EDGES)
         columns.append(pa.ListArray.from_arrays(pa.array(np.append(heads, len(text)).astype(np.int32)), each))
         names.append("char_boxes")
+    if lines is not None:
+        of_line = np.repeat(np.arange(len(lines)), np.diff(np.append(np.searchsorted(heads, lines), len(heads))))
+        edges = [f.reduceat(edge[c], lines).astype(np.int32)[of_line] for c, f in zip(EDGES, (np.minimum, np.minimum, np.maximum, np.maximum), strict=True)]
+        columns.append(pa.StructArray.from_arrays([pa.array(x) for x in edges], EDGES))
+        names.append("line_box")
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _broken(boxes: bool):
+def _broken(boxes: bool, lined: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = _Open()
         for batch in batches:
-            yield from _step(pa.Table.from_batches([batch]), open_, boxes, last=False)
-        yield from _step(None, open_, boxes, last=True)
+            yield from _step(pa.Table.from_batches([batch]), open_, boxes, lined, last=False)
+        yield from _step(None, open_, boxes, lined, last=True)
 
     return run
 
 
-def _step(new: pa.Table | None, open_: _Open, boxes: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    """Words that ``new`` closes. The word that it leaves open, and the numbers of its levels, stay in ``open_``; its symbols bring their numbers along."""
+def _step(new: pa.Table | None, open_: _Open, boxes: bool, lined: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Words that ``new`` closes; with ``lined``, words of lines that it closes. The word (line) that it leaves open, and the numbers of its levels, stay in ``open_``; its symbols bring their numbers along."""
     if new is not None and new.num_rows:
         page = _numbers(new["page_id"].combine_chunks(), int)
         turn = np.flatnonzero(np.diff(page, prepend=page[0] if open_.page is None else open_.page) != 0)
@@ -101,16 +108,22 @@ def _step(new: pa.Table | None, open_: _Open, boxes: bool, last: bool) -> Iterat
         return
     page = _numbers(both["page_id"].combine_chunks(), int)
     levels = [both[flag].combine_chunks().to_numpy() for flag in FLAGS]
-    heads = np.flatnonzero(np.append(True, (page[1:] != page[:-1]) | (levels[2][1:] != levels[2][:-1])))
-    cut = both.num_rows if last else int(heads[-1])
+    turned = page[1:] != page[:-1]
+    line_turn = np.append(True, turned | (levels[1][1:] != levels[1][:-1]))
+    word_turn = np.append(True, turned | (levels[2][1:] != levels[2][:-1]))
+    if lined:
+        word_turn |= line_turn
+    heads, lines = np.flatnonzero(word_turn), np.flatnonzero(line_turn)
+    cut = both.num_rows if last else int((lines if lined else heads)[-1])
     open_.rows = None if last else both.slice(cut)
     if cut:
-        yield _words(both.slice(0, cut), page[:cut], [x[:cut] for x in levels], heads if last else heads[:-1], boxes)
+        yield _words(both.slice(0, cut), page[:cut], [x[:cut] for x in levels], heads[heads < cut], boxes, lines[lines < cut] if lined else None)
 
 
-def words(symbols: DataFrame, boxes: bool = False, dealt: bool = False) -> DataFrame:
-    """Symbols (page_id, seq, FLAGS, text, EDGES, conf, row_height) -> words (WORDS, and BOXES with ``boxes``): levels are numbered by their flags within a page, symbols without text
-    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One exchange by page, unless symbols are ``dealt`` by page already, and one sort by page and seq."""
+def words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False) -> DataFrame:
+    """Symbols (page_id, seq, FLAGS, text, EDGES, conf, row_height) -> words (WORDS, with ``boxes`` BOXES, and with ``lined`` their LINE_BOX): levels are numbered by their flags within a page, symbols without text
+    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One exchange by page, unless symbols are ``dealt`` by page already, and one sort by page and seq, unless they stand so (``ordered``)."""
     rows = symbols.select("page_id", "seq", *FLAGS, "text", *(F.col(c).cast("int").alias(c) for c in EDGES), "conf", "row_height")
-    rows = rows if dealt else rows.repartition("page_id")
-    return rows.sortWithinPartitions("page_id", "seq").mapInArrow(_broken(boxes), WORDS + (f", {BOXES}" if boxes else ""))
+    rows = rows if dealt or ordered else rows.repartition("page_id")
+    rows = rows if ordered else rows.sortWithinPartitions("page_id", "seq")
+    return rows.mapInArrow(_broken(boxes, lined), ", ".join([WORDS, *([BOXES] if boxes else []), *([LINE_BOX] if lined else [])]))

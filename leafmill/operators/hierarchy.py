@@ -7,22 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.geometry import baseline_from_points, moved_baseline
-from leafmill.operators import control_break
+from leafmill.operators import control_break, nesting
 
 LEVELS = ["page_id", "par_no", "line_no", "word_no"]
 WORD = ["box", "baseline", "confidence", "font_size", "content", "char_boxes"]
 
 
-def nest(words: DataFrame) -> DataFrame:
+def nest(words: DataFrame, ordered: bool = False) -> DataFrame:
     """Flat words (LEVELS, WORD, line_box, line_baseline) -> a row per page with paragraphs of lines of words; ordinals stay in the structs.
 
-    All three groupings cluster by page_id alone, so one exchange serves them; collected arrays are bounded by a page.
+    One exchange by page and one sort, unless words stand in order already, a page's together (``ordered``), and one pass that cuts them at their levels (``nesting``): a task holds a page.
     """
-    word = F.struct("word_no", *WORD)
-    lines = words.repartition("page_id").groupBy(*LEVELS[:3]).agg(F.array_sort(F.collect_list(word)).alias("words"), F.first("line_box").alias("box"), F.first("line_baseline").alias("baseline"))
-    union = F.struct(F.min("box.x1").alias("x1"), F.min("box.y1").alias("y1"), F.max("box.x2").alias("x2"), F.max("box.y2").alias("y2"))
-    pars = lines.groupBy(*LEVELS[:2]).agg(F.array_sort(F.collect_list(F.struct("line_no", "box", "baseline", "words"))).alias("lines"), union.alias("box"))
-    return pars.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("par_no", "box", "lines"))).alias("paragraphs"))
+    if not ordered:
+        words = words.repartition("page_id").sortWithinPartitions(*LEVELS, *WORD)
+    return nesting.pages(words, ["word_no", *WORD])
 
 
 def flat_words(pages: DataFrame) -> DataFrame:
@@ -41,20 +39,17 @@ def flat_chars(words: DataFrame) -> DataFrame:
 NOT_TEXT = ("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VERT_LINE", "NOISE")
 
 
-def symbols_to_words(symbols: DataFrame, boxes: bool = False, dealt: bool = False) -> DataFrame:
-    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes; ``dealt``: symbols stand by page in their partitions. One sort and one pass (``control_break``)."""
-    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes, dealt)
+def symbols_to_words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False) -> DataFrame:
+    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes, with ``lined`` their line's; ``dealt``: symbols stand by page in their partitions, ``ordered``: and in order. One sort and one pass (``control_break``)."""
+    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes, dealt, ordered, lined)
 
 
-def symbols_to_pages(symbols: DataFrame, dealt: bool = False) -> DataFrame:
+def symbols_to_pages(symbols: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
     """A stream of recognised symbols -> nested pages as ``nest`` gives them: the boxes of lines and paragraphs hold their words', a line's baseline runs through its points
     (base_x1, base_y1, base_x2, base_y2 and orientation, if there are such columns; else along its lower edge), and words have it moved to their own box."""
     points = {"base_x1", "base_y1", "base_x2", "base_y2", "orientation"} <= set(symbols.columns)
-    words = symbols_to_words(symbols, boxes=True, dealt=dealt)
-    line = W.partitionBy("page_id", "line_no")
-    box = F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    around = F.struct(F.min("x1").over(line).cast("int").alias("x1"), F.min("y1").over(line).cast("int").alias("y1"), F.max("x2").over(line).cast("int").alias("x2"), F.max("y2").over(line).cast("int").alias("y2"))
-    words = words.withColumns({"line_box": around, "box": box})
+    words = symbols_to_words(symbols, boxes=True, dealt=dealt, ordered=ordered, lined=True)
+    words = words.withColumn("box", F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))))
     if points:
         text = symbols.filter(~F.col("block_type").isin(*NOT_TEXT)).withColumn("line_no", F.sum(F.col("line_start").cast("int")).over(W.partitionBy("page_id").orderBy("seq")) - 1)
         rows = text.groupBy("page_id", "line_no").agg(*(F.min_by(c, "seq").alias(c) for c in ("base_x1", "base_y1", "base_x2", "base_y2", "orientation")))
@@ -64,7 +59,7 @@ def symbols_to_pages(symbols: DataFrame, dealt: bool = False) -> DataFrame:
         base = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("angle"))
     words = words.withColumn("line_baseline", base)
     own = moved_baseline(F.col("line_baseline.x"), F.col("line_baseline.y"), F.col("line_baseline.angle"), F.col("line_box"), F.col("box"))
-    return nest(words.withColumn("baseline", own))
+    return nest(words.withColumn("baseline", own), ordered=not points)  # a join leaves no order
 
 
 def confident(words: DataFrame, least: float) -> DataFrame:
