@@ -7,6 +7,7 @@ from leafmill.operators import blur as B
 from leafmill.operators import hierarchy as H
 from leafmill.operators import recompute as RC
 from leafmill.sources import layout as L
+from leafmill.sources import results
 
 PAGES = 10
 
@@ -105,3 +106,15 @@ def test_a_broken_run_is_run_again(spark, tables, job, tmp_path):
     whole = str(tmp_path / "whole")
     RC.create(new, recognise, measure, whole, PAGES)
     assert held(spark, path) == held(spark, whole)
+
+
+def test_partitions_are_dealt_to_several_tasks(spark, tmp_path):
+    rows = spark.range(10_000).withColumnRenamed("id", "page_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small rows stay dealt
+    results.write(rows, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert back.filter("part = 0").count() == 10_000
+    assert back.select("page_id").distinct().count() == 10_000
+    assert results.read(spark, str(tmp_path / "t"), 7_777).count() == 1
+    assert len(back.inputFiles()) > 1
