@@ -6,13 +6,16 @@ open, one word and three counters, from batch to batch; nothing is grouped or co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from leafmill.operators import nesting
 
 FLAGS = ["par_start", "line_start", "word_start"]
 EDGES = ["x1", "y1", "x2", "y2"]
@@ -120,10 +123,61 @@ def _step(new: pa.Table | None, open_: _Open, boxes: bool, lined: bool, last: bo
         yield _words(both.slice(0, cut), page[:cut], [x[:cut] for x in levels], heads[heads < cut], boxes, lines[lines < cut] if lined else None)
 
 
-def words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False) -> DataFrame:
-    """Symbols (page_id, seq, FLAGS, text, EDGES, conf, row_height) -> words (WORDS, with ``boxes`` BOXES, and with ``lined`` their LINE_BOX): levels are numbered by their flags within a page, symbols without text
-    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One exchange by page, unless symbols are ``dealt`` by page already, and one sort by page and seq, unless they stand so (``ordered``)."""
-    rows = symbols.select("page_id", "seq", *FLAGS, "text", *(F.col(c).cast("int").alias(c) for c in EDGES), "conf", "row_height")
+Made = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _text(made: Made, kinds: tuple[str, ...]) -> Made:
+    """``made`` without symbols of blocks of those kinds, or of none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in made(batches):
+            kind = batch["block_type"]
+            kept = pc.and_(kind.is_valid(), pc.invert(pc.is_in(kind, pa.array(kinds, pa.string()))))
+            yield batch if pc.all(kept).as_py() else batch.filter(kept)
+
+    return run
+
+
+def _rows(symbols: DataFrame, dealt: bool, ordered: bool) -> DataFrame:
+    rows = symbols.select("page_id", *FLAGS, "text", *(F.col(c).cast("int").alias(c) for c in EDGES), "conf", "row_height", *([] if ordered else ["seq"]))
     rows = rows if dealt or ordered else rows.repartition("page_id")
-    rows = rows if ordered else rows.sortWithinPartitions("page_id", "seq")
-    return rows.mapInArrow(_broken(boxes, lined), ", ".join([WORDS, *([BOXES] if boxes else []), *([LINE_BOX] if lined else [])]))
+    return rows if ordered else rows.sortWithinPartitions("page_id", "seq")
+
+
+def words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False, made: Made | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """Symbols (page_id, seq, FLAGS, text, EDGES, conf, row_height) -> words (WORDS, with ``boxes`` BOXES, and with ``lined`` their LINE_BOX): levels are numbered by their flags within a page, symbols without text
+    count for that alone, and words without text vanish. Null flags are off; conf and row_height skip nulls. One exchange by page, unless symbols are ``dealt`` by page already, and one sort by page and seq, unless they stand so (``ordered``).
+
+    With ``made``, ``symbols`` are rows from whose batches that function makes symbols, in order, with their block_type; those of kinds ``without`` are left out. They go on as columns, and never stand as rows of Spark."""
+    run = _broken(boxes, lined)
+    rows = symbols if made else _rows(symbols, dealt, ordered)
+    return rows.mapInArrow(_after(made, without, run), ", ".join([WORDS, *([BOXES] if boxes else []), *([LINE_BOX] if lined else [])]))
+
+
+def _after(made: Made | None, without: tuple[str, ...], run: Made) -> Made:
+    if made is None:
+        return run
+    text = _text(made, without)
+    return lambda batches: run(text(batches))
+
+
+def _leveled(words: pa.RecordBatch) -> pa.RecordBatch:
+    """Words with boxes and baselines as nesting takes them: lines run along their lower edge, and words have that moved to their own box."""
+    edges = [words[e] for e in EDGES]
+    none = pa.array(np.zeros(words.num_rows))
+    y = pc.subtract(words["line_box"].field("y2"), words["y2"]).cast(pa.float64())
+    line = lambda y: pa.StructArray.from_arrays([none, y, none], ["x", "y", "angle"])
+    made = {"box": pa.StructArray.from_arrays(edges, EDGES), "baseline": line(y), "line_baseline": line(none)}
+    kept = {n: words[n] for n in words.schema.names if n not in EDGES}
+    return pa.RecordBatch.from_pydict(kept | made)
+
+
+def pages(symbols: DataFrame, word: list[str], dealt: bool = False, ordered: bool = False, made: Made | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """``words`` with boxes and lines, nested in the same pass: page_id and paragraphs of lines, along their lower edge, of words (word_no and ``word``)."""
+    base = "struct<x:double,y:double,angle:double>"
+    flat = ", ".join([WORDS, BOXES, LINE_BOX, f"box {BOX}", f"baseline {base}", f"line_baseline {base}"])
+    broken = _broken(boxes=True, lined=True)
+    nested = nesting.by_page(lambda table: nesting._pages(table, word))
+    run = lambda batches: nested(_leveled(b) for b in broken(batches))
+    rows = symbols if made else _rows(symbols, dealt, ordered)
+    return rows.mapInArrow(_after(made, without, run), nesting.schema(StructType.fromDDL(flat), word))

@@ -39,27 +39,30 @@ def flat_chars(words: DataFrame) -> DataFrame:
 NOT_TEXT = ("FLOWING_IMAGE", "HEADING_IMAGE", "PULLOUT_IMAGE", "HORZ_LINE", "VERT_LINE", "NOISE")
 
 
-def symbols_to_words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False) -> DataFrame:
-    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes, with ``lined`` their line's; ``dealt``: symbols stand by page in their partitions, ``ordered``: and in order. One sort and one pass (``control_break``)."""
-    return control_break.words(symbols.filter(~F.col("block_type").isin(*NOT_TEXT)), boxes, dealt, ordered, lined)
+def _text(symbols: DataFrame) -> DataFrame:
+    return symbols.filter(~F.col("block_type").isin(*NOT_TEXT))
 
 
-def symbols_to_pages(symbols: DataFrame, dealt: bool = False, ordered: bool = False) -> DataFrame:
+def symbols_to_words(symbols: DataFrame, boxes: bool = False, dealt: bool = False, ordered: bool = False, lined: bool = False, made: control_break.Made | None = None) -> DataFrame:
+    """A stream of recognised symbols -> words: a level begins where its flag is set; blocks that aren't text, words without text and symbols without text vanish. With ``boxes`` words have their chars' boxes, with ``lined`` their line's; ``dealt``: symbols stand by page in their partitions, ``ordered``: and in order. ``made``: ``symbols`` are
+    rows from whose batches it makes symbols in order. One sort and one pass (``control_break``)."""
+    return control_break.words(symbols if made else _text(symbols), boxes, dealt, ordered, lined, made, NOT_TEXT)
+
+
+def symbols_to_pages(symbols: DataFrame, dealt: bool = False, ordered: bool = False, made: control_break.Made | None = None) -> DataFrame:
     """A stream of recognised symbols -> nested pages as ``nest`` gives them: the boxes of lines and paragraphs hold their words', a line's baseline runs through its points
-    (base_x1, base_y1, base_x2, base_y2 and orientation, if there are such columns; else along its lower edge), and words have it moved to their own box."""
-    points = {"base_x1", "base_y1", "base_x2", "base_y2", "orientation"} <= set(symbols.columns)
+    (base_x1, base_y1, base_x2, base_y2 and orientation, if there are such columns; else along its lower edge, and words are nested in the pass that makes them), and words have it moved to their own box. ``made`` as in ``symbols_to_words``."""
+    if made or not {"base_x1", "base_y1", "base_x2", "base_y2", "orientation"} <= set(symbols.columns):
+        return control_break.pages(symbols if made else _text(symbols), WORD, dealt, ordered, made, NOT_TEXT)
     words = symbols_to_words(symbols, boxes=True, dealt=dealt, ordered=ordered, lined=True)
     words = words.withColumn("box", F.struct(*(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))))
-    if points:
-        text = symbols.filter(~F.col("block_type").isin(*NOT_TEXT)).withColumn("line_no", F.sum(F.col("line_start").cast("int")).over(W.partitionBy("page_id").orderBy("seq")) - 1)
-        rows = text.groupBy("page_id", "line_no").agg(*(F.min_by(c, "seq").alias(c) for c in ("base_x1", "base_y1", "base_x2", "base_y2", "orientation")))
-        words = words.join(rows, ["page_id", "line_no"])
-        base = baseline_from_points(F.col("line_box"), F.col("base_x1"), F.col("base_y1"), F.col("base_x2"), F.col("base_y2"), F.col("orientation"))
-    else:
-        base = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("angle"))
+    text = _text(symbols).withColumn("line_no", F.sum(F.col("line_start").cast("int")).over(W.partitionBy("page_id").orderBy("seq")) - 1)
+    rows = text.groupBy("page_id", "line_no").agg(*(F.min_by(c, "seq").alias(c) for c in ("base_x1", "base_y1", "base_x2", "base_y2", "orientation")))
+    words = words.join(rows, ["page_id", "line_no"])
+    base = baseline_from_points(F.col("line_box"), F.col("base_x1"), F.col("base_y1"), F.col("base_x2"), F.col("base_y2"), F.col("orientation"))
     words = words.withColumn("line_baseline", base)
     own = moved_baseline(F.col("line_baseline.x"), F.col("line_baseline.y"), F.col("line_baseline.angle"), F.col("line_box"), F.col("box"))
-    return nest(words.withColumn("baseline", own), ordered=not points)  # a join leaves no order
+    return nest(words.withColumn("baseline", own))  # a join leaves no order
 
 
 def confident(words: DataFrame, least: float) -> DataFrame:
