@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from leafmill.functions import geometry as G
 from leafmill.functions import scalars as S
 from leafmill.operators import angles as A
@@ -260,6 +261,27 @@ def test_quantiles_of_arrays_and_blur_of_other_coefficients(spark):
         assert {(r.cell, r.blurred) for r in B.flagged(measured, coef).collect()} == {(r.cell, r.blurred) for r in B.blurred(cells, px, coef).collect()}
 
 
+def test_rounding_is_that_of_decimals(spark):
+    """Doubles rounded in double arithmetic, but for the few that are as near a half as to need decimals."""
+    g = np.random.default_rng(5)
+    halves = (np.arange(-4000, 4000) + 0.5) / 10.0 ** g.integers(0, 8, 8000)
+    each = [halves, np.nextafter(halves, 9), np.nextafter(halves, -9), g.normal(0, 1, 4000) * 10.0 ** g.integers(-12, 18, 4000), g.integers(-(10**6), 10**6, 4000) / 7.0, [0.0, -0.0, -1e-9, 1e300, -1e300, math.inf, -math.inf, math.nan]]
+    x = [(float(v),) for v in np.concatenate(each)] + [(None,)]
+    rows = spark.createDataFrame(x, "x double")
+    for digits in (0, 3, 4, 6):
+        bad = rows.select("x", S.rounded(F.col("x"), digits).alias("got"), F.round("x", digits).alias("want")).filter("not got <=> want or string(got) <> string(want)")
+        assert bad.collect() == []
+
+
+@pytest.mark.parametrize("name", ["rotated_pen", "word_pen", "baseline_transfer", "word_baseline_hocr", "scalar_angles", "flat_line_level", "stretch"])
+def test_numbers_are_rounded_without_decimals(spark, monkeypatch, name):
+    """Each rounding through decimals has its condition, and what is rounded is worked out once."""
+    docs = spark.createDataFrame([(3, "one two\nthree")], "doc_id long, text string")
+    monkeypatch.setattr(layout, "table", lambda *_: docs)
+    last = entry.queries()[name](spark, "")._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert last.count("round(") and last.count("FLOOR(") == 2 * last.count("round(") and "tan(" not in last.lower()
+
+
 def test_result_tables(spark, tmp_path):
     words = spark.createDataFrame([(5, 1, "a"), (10_007, 1, "b")], "page_id long, word_no int, content string")
     results.write(words, str(tmp_path / "words"))
