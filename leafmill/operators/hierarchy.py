@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,12 @@ def flat_words(pages: DataFrame) -> DataFrame:
     return lines.select("page_id", "par_no", "l.line_no", F.col("l.box").alias("line_box"), F.col("l.baseline").alias("line_baseline"), F.explode("l.words").alias("w")).select("page_id", "par_no", "line_no", "line_box", "line_baseline", "w.*")
 
 
-def flat_chars(words: DataFrame) -> DataFrame:
-    """A row per char box, with its ordinal."""
-    return words.select(*LEVELS, F.posexplode("char_boxes").alias("char_no", "box"))
+def flat_chars(words: DataFrame, box_at: Callable[[F.Column, F.Column], F.Column] | None = None) -> DataFrame:
+    """A row per char box, with its ordinal. ``box_at``: words have no char_boxes but n_chars, and this gives the box of an ordinal, so that no arrays of boxes are made; all in generated code."""
+    if box_at is None:
+        return words.select(*LEVELS, F.posexplode("char_boxes").alias("char_no", "box"))
+    each = words.filter("n_chars > 0").select(*LEVELS, F.col("box").alias("_box"), F.explode(F.sequence(F.lit(0), F.col("n_chars") - 1)).alias("char_no"))
+    return each.select(*LEVELS, "char_no", box_at(F.col("char_no"), F.col("_box")).alias("box"))
 
 
 #: Kinds of blocks that hold no text.

@@ -355,3 +355,16 @@ def test_reading_order_against_a_plain_version(spark):
     for r in rows:
         want.setdefault(r[0], []).append(r)
     assert got == {page: plain_places(own) for page, own in want.items()}
+
+
+def test_chars_and_boxes_without_arrays_in_rows(spark):
+    """flat_chars by ordinals, and boxes made in batches, are those of char_boxes."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one  two\n\n three é four ", None, "", "x \U0001f600y\n" * 30, " a"])], "doc_id long, text string")
+    words = layout.lined_words(docs).withColumn("n_chars", F.when(F.col("word_no") == 1, 0).otherwise(F.col("n_chars")))
+    arrays, bare = layout.structured(words), layout.structured(words, boxes=False)
+    want = sorted(map(str, H.flat_chars(arrays).collect()))
+    got = H.flat_chars(bare, layout.box_at)
+    assert sorted(map(str, got.collect())) == want and len(want) > 30
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    made = bare.mapInArrow(lambda batches: (b.select([*H.LEVELS, "char_boxes"]) for b in map(layout.boxed, batches)), arrays.select(*H.LEVELS, "char_boxes").schema)
+    assert sorted(map(str, made.collect())) == sorted(map(str, arrays.select(*H.LEVELS, "char_boxes").collect()))
